@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .byte_bpe import Codec, encoding_digests, read_ranks
+from .chat_format import preference_pairs
+from .decontamination import contamination
+from .fingerprints import fingerprints
 from .language_id import identify_languages
 from .near_dedup import near_duplicates
+from .personal_data import personal_data
 from .quality import quality_scores
 from .repeated_spans import without_repeats
 from .token_counts import token_counts
@@ -25,6 +30,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair."""
+    turns = table(spark, sf_dir, "conversations")
+    return preference_pairs(turns.select(F.shiftright("conv_id", 1).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 13, 20).drop("version")
+
+
 def multilingual_codec() -> Codec:
     return Codec(read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
 
@@ -33,10 +48,18 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"), multilingual_codec())
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"), 13)
 
@@ -45,5 +68,64 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_language_id, op5_byte_bpe, op7_token_counts, op9_repeated_spans, op10_quality)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_near_duplicates,
+        op2_language_id,
+        op3_chat_preferences,
+        op4_decontamination,
+        op5_byte_bpe,
+        op6_fingerprints,
+        op7_token_counts,
+        op8_personal_data,
+        op9_repeated_spans,
+        op10_quality,
+    )
+}
+
+SQL: dict[str, str] = {
+    "op1_near_duplicates": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [w] else list_transform(range(1, len(w) - 2), i -> w[i : i + 3]) end) as g from w),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+r(doc_id, c) as (select doc_id, doc_id from documents union select r.doc_id, l.b from r join l on l.a = r.c)
+select d.doc_id, coalesce(max(n.n), 0)::bigint as n_shingles, min(r.c) as component_id, d.doc_id = min(r.c) as kept
+from documents d join r on r.doc_id = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id
+""",
+    "op3_chat_preferences": r"""
+with t as (
+  select conv_id >> 1 as pair_id, conv_id % 2 = 0 as chosen, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn, role, text) as rn
+  from conversations where conv_id is not null),
+j as (
+  select coalesce(c.pair_id, r.pair_id) as pair_id, coalesce(c.rn, r.rn) as rn,
+    c.rn is not null and r.rn is not null and coalesce(c.role = r.role and c.text = r.text, false) as same
+  from (select * from t where chosen) c full join (select * from t where not chosen) r on c.pair_id = r.pair_id and c.rn = r.rn),
+n as (select pair_id, coalesce(min(rn) filter (where not same), max(rn) + 1) - 1 as n from j group by 1),
+o as (
+  select t.*, n.n, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as line,
+    coalesce(sum(length('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10))) filter (where rn > n) over (partition by t.pair_id, chosen order by rn rows between unbounded preceding and 1 preceding), 0)::bigint as at
+  from t join n on n.pair_id = t.pair_id)
+select pair_id, max(n)::bigint as n_common,
+  coalesce(string_agg(line, '' order by rn) filter (where chosen and rn <= n), '') as prompt,
+  coalesce(string_agg(line, '' order by rn) filter (where chosen and rn > n), '') as chosen,
+  coalesce(string_agg(line, '' order by rn) filter (where not chosen and rn > n), '') as rejected,
+  coalesce(string_agg((at + length(role) + 5) || ':' || (at + length(line) - 1), ',' order by rn) filter (where chosen and rn > n and role = 'assistant'), '') as chosen_mask,
+  coalesce(string_agg((at + length(role) + 5) || ':' || (at + length(line) - 1), ',' order by rn) filter (where not chosen and rn > n and role = 'assistant'), '') as rejected_mask
+from o group by pair_id
+""",
+    "op9_repeated_spans": r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+k as (select doc_id, i, w[i : i + 12] as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from w where len(w) >= 13)),
+m as (select g, min(doc_id) as m from k group by 1),
+c as (select distinct k.doc_id, unnest(range(i, i + 13)) as i from k join m on m.g = k.g where m.m < k.doc_id),
+r as (select doc_id, list(i) as gone from c group by 1)
+select w.doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+  sha256(array_to_string(case when gone is null then w else list_transform(list_filter(range(1, len(w) + 1), i -> not list_contains(gone, i)), i -> w[i]) end, ' ')) as kept_sha256
+from w left join r on r.doc_id = w.doc_id
+""",
+}
