@@ -37,7 +37,7 @@ def op3_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 13, 20).drop("version")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 13, 20).drop("version", "n_near")
 
 
 def multilingual_codec() -> Codec:
@@ -88,7 +88,7 @@ SQL: dict[str, str] = {
     "op1_near_duplicates": r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
-s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [w] else list_transform(range(1, len(w) - 2), i -> w[i : i + 3]) end) as g from w),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [w] else list_transform(range(1, len(w) - 2), lambda i: w[i : i + 3]) end) as g from w),
 n as (select doc_id, count(*) as n from s group by 1),
 p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
 l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
@@ -108,15 +108,28 @@ j as (
 n as (select pair_id, coalesce(min(rn) filter (where not same), max(rn) + 1) - 1 as n from j group by 1),
 o as (
   select t.*, n.n, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as line,
-    coalesce(sum(length('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10))) filter (where rn > n) over (partition by t.pair_id, chosen order by rn rows between unbounded preceding and 1 preceding), 0)::bigint as at
+    coalesce(sum(length('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10))) filter (where rn > n) over (partition by t.pair_id, chosen order by rn rows between unbounded preceding and 1 preceding), 0)::bigint as off
   from t join n on n.pair_id = t.pair_id)
 select pair_id, max(n)::bigint as n_common,
   coalesce(string_agg(line, '' order by rn) filter (where chosen and rn <= n), '') as prompt,
   coalesce(string_agg(line, '' order by rn) filter (where chosen and rn > n), '') as chosen,
   coalesce(string_agg(line, '' order by rn) filter (where not chosen and rn > n), '') as rejected,
-  coalesce(string_agg((at + length(role) + 5) || ':' || (at + length(line) - 1), ',' order by rn) filter (where chosen and rn > n and role = 'assistant'), '') as chosen_mask,
-  coalesce(string_agg((at + length(role) + 5) || ':' || (at + length(line) - 1), ',' order by rn) filter (where not chosen and rn > n and role = 'assistant'), '') as rejected_mask
+  coalesce(string_agg((off + length(role) + 5) || ':' || (off + length(line) - 1), ',' order by rn) filter (where chosen and rn > n and role = 'assistant'), '') as chosen_mask,
+  coalesce(string_agg((off + length(role) + 5) || ':' || (off + length(line) - 1), ',' order by rn) filter (where not chosen and rn > n and role = 'assistant'), '') as rejected_mask
 from o group by pair_id
+""",
+    "op4_decontamination": r"""
+with b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null),
+g as (select distinct item_id, case when len(w) <= 13 then w else w[i : i + 12] end as g from (select item_id, w, unnest(range(1, greatest(len(w) - 11, 2))) as i from b where len(w) > 0)),
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+n as (select distinct len(g) as n from g),
+k as (select doc_id, i, n, w[i : i + n - 1] as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, n where len(w) >= n)),
+h as (select k.doc_id, k.i, k.n, g.item_id from k join g on g.g = k.g),
+c as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from h) group by 1),
+m as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from h group by 1)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join c on c.doc_id = d.doc_id left join m on m.doc_id = d.doc_id
 """,
     "op9_repeated_spans": r"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
@@ -125,7 +138,7 @@ m as (select g, min(doc_id) as m from k group by 1),
 c as (select distinct k.doc_id, unnest(range(i, i + 13)) as i from k join m on m.g = k.g where m.m < k.doc_id),
 r as (select doc_id, list(i) as gone from c group by 1)
 select w.doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
-  sha256(array_to_string(case when gone is null then w else list_transform(list_filter(range(1, len(w) + 1), i -> not list_contains(gone, i)), i -> w[i]) end, ' ')) as kept_sha256
+  sha256(array_to_string(case when gone is null then w else list_transform(list_filter(range(1, len(w) + 1), lambda i: not list_contains(gone, i)), lambda i: w[i]) end, ' ')) as kept_sha256
 from w left join r on r.doc_id = w.doc_id
 """,
 }
