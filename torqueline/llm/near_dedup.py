@@ -6,12 +6,16 @@ sets of similarity s share a key unless all left bands or all right bands differ
 at s = 0.8 with bands of two values and SIDE = 10 that is 7e-5, and 6e-7 at 0.9.
 
 Links are confirmed on full sets of 64-bit shingle hashes.  Inside a bucket no
-quadratic list of pairs is made: each member is tried against one hub, links are
-contracted to components, and rounds with other hubs follow while they link much.
-What then still lies in one bucket but in different components is tried in full,
-members outside a bucket's main component against all others, so a candidate pair
-is left out only if its sketch of 128 one-bit minhashes rules out the threshold
-(32 or more bits differ; at 0.8 they are 12.8 +- 3.4) or its set sizes do.
+quadratic list of pairs is made: each member is tried against one hub, the member
+that shares most keys in all (of edited copies, that is nearly always their source);
+links are contracted to components, and rounds with other hubs follow while they link
+much.  Documents that still share buckets across components are then joined exactly by
+prefix filtering: of their shingles in one order, rarest first, linked sets must share
+one within the first fifth, at places that leave room for enough more.  An edited copy
+whose own edits come first thus meets only what shares those, however many copies of
+its source there are; members outside a shingle's main component meet all others.
+Sketches of 384 one-bit minhashes spare the confirmation of hopeless pairs (more than
+MOST_BITS differ; at 0.8 they are 38.4 +- 5.9).
 """
 
 from __future__ import annotations
@@ -27,12 +31,13 @@ from .kernels import batch, binary_lists, constants, mix, window_hashes, word_ha
 from .runtime import bounded_broadcast, components, write_table
 
 #: Bands of each collection, values in a band, minhashes in all (the first 2 * SIDE * BAND also make bands).
-SIDE, BAND, HASHES = 10, 2, 128
+SIDE, BAND, HASHES = 10, 2, 384
 #: Sketch bits in which a linked pair may differ.
-MOST_BITS = 31
+MOST_BITS = 71
 _U = np.uint64
 _CHUNK = 1 << 16
 PAIR = "a long, b long"
+BITS = [f"b{i}" for i in range(HASHES // 64)]
 
 
 def shingle_sets(col: pa.Array, words: int) -> list[np.ndarray]:
@@ -75,7 +80,7 @@ def _sketches(words: int):
                 flat = np.concatenate(sets) if n.sum() else np.zeros(0, _U)
                 full = np.flatnonzero(n)
                 starts = np.r_[0, np.cumsum(n)][:-1][full]
-                sig, f1, f2, bits = np.zeros((len(n), 2 * SIDE * BAND), np.uint32), np.zeros(len(n), _U), np.zeros(len(n), _U), np.zeros((len(n), 2), _U)
+                sig, f1, f2, bits = np.zeros((len(n), 2 * SIDE * BAND), np.uint32), np.zeros(len(n), _U), np.zeros(len(n), _U), np.zeros((len(n), len(BITS)), _U)
                 if len(full):
                     low = minhashes(flat, starts)
                     sig[full] = (low[:, : 2 * SIDE * BAND] >> _U(32)).astype(np.uint32)
@@ -83,11 +88,10 @@ def _sketches(words: int):
                     f2[full] = np.add.reduceat(mix(flat ^ _U(0xA7)), starts)
                     one = mix(low) & _U(1)
                     place = np.arange(64, dtype=_U)
-                    bits[full, 0] = (one[:, :64] << place).sum(1, dtype=_U)
-                    bits[full, 1] = (one[:, 64:] << place).sum(1, dtype=_U)
+                    bits[full] = (one.reshape(len(full), len(BITS), 64) << place).sum(2, dtype=_U)
                 yield batch(
-                    ["doc_id", "n", "f1", "f2", "b0", "b1", "sig"],
-                    [part.column(0), n, f1.view(np.int64), f2.view(np.int64), bits[:, 0].copy().view(np.int64), bits[:, 1].copy().view(np.int64), binary_lists(sig.ravel(), np.arange(len(n) + 1) * (2 * SIDE * BAND))],
+                    ["doc_id", "n", "f1", "f2", *BITS, "sig"],
+                    [part.column(0), n, f1.view(np.int64), f2.view(np.int64), *np.ascontiguousarray(bits.T).view(np.int64), binary_lists(sig.ravel(), np.arange(len(n) + 1) * (2 * SIDE * BAND))],
                 )
 
     return run
@@ -114,6 +118,18 @@ def _sets(words: int):
     return run
 
 
+def _shingles(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                sets = shingle_sets(part.column(1), words)
+                n = [len(x) for x in sets]
+                yield batch(["h", "doc"], [np.concatenate(sets).view(np.int64), np.repeat(part.column(0).to_numpy(zero_copy_only=False), n)])
+
+    return run
+
+
 def _confirm(share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,8 +145,30 @@ def _confirm(share: int):
 
 
 def _may_link(share: int) -> str:
-    """Of columns n, b0, b1 and n2, c0, c1: sizes and sketches allow a link."""
-    return f"100 * least(n, n2) >= {share} * greatest(n, n2) and bit_count(b0 ^ c0) + bit_count(b1 ^ c1) <= {MOST_BITS}"
+    """Of columns n, b0, ... and n2, other_b0, ...: sizes and sketches allow a link."""
+    apart = " + ".join(f"bit_count({b} ^ other_{b})" for b in BITS)
+    return f"100 * least(n, n2) >= {share} * greatest(n, n2) and {apart} <= {MOST_BITS}"
+
+
+def _other(facts: DataFrame, name: str) -> DataFrame:
+    return facts.select(F.col("doc").alias(name), F.col("n").alias("n2"), *[F.col(b).alias(f"other_{b}") for b in BITS])
+
+
+def _prefixes(docs: DataFrame, sets: DataFrame, n_sets: int, words: int, share: int) -> DataFrame:
+    """(h, doc, i): of the sets (doc, n), the shingles in which a linked one must show, with their places.
+
+    Shingles are ordered by the sets that hold them, then by hash; those that one set
+    alone holds come first and are only counted.
+    """
+    ids = bounded_broadcast(sets.select("doc"), n_sets, 40)
+    each = docs.select(F.col("doc_id").alias("doc"), "text").join(ids, "doc", "left_semi").select("doc", "text").mapInArrow(_shingles(words), "h long, doc long")
+    several = write_table(each.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "several")
+    one = sets.groupBy("doc").agg(F.max("n").alias("n"), (F.count("*") > 1).alias("mixed"))  # an id with several texts keeps all places
+    held = each.join(several, "h").groupBy("doc").agg(F.collect_list(F.struct("k", "h")).alias("r")).join(bounded_broadcast(one, n_sets, 48), "doc")
+    alone = F.when(F.col("mixed"), 0).otherwise(F.col("n") - F.size("r"))
+    reach = F.when(F.col("mixed"), F.size("r")).otherwise(F.greatest(F.expr(f"n - ({share} * n + 99) div 100 + 1") - alone, F.lit(0)))
+    near = held.select("doc", "mixed", alone.alias("alone"), F.slice(F.array_sort("r"), F.lit(1), reach.cast("int")).alias("r"))
+    return near.select("doc", "mixed", "alone", F.posexplode("r").alias("at", "x")).select(F.col("x.h").alias("h"), "doc", F.when(F.col("mixed"), 0).otherwise(F.col("alone") + F.col("at")).alias("i"))
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, words: int, share: int) -> DataFrame:
@@ -160,22 +198,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80) -> DataFra
     empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = write_table(docs.mapInArrow(_sketches(words), "doc_id long, n long, f1 long, f2 long, b0 long, b1 long, sig binary"), "sketch")
+    sketch = write_table(docs.mapInArrow(_sketches(words), f"doc_id long, n long, f1 long, f2 long, {', '.join(b + ' long' for b in BITS)}, sig binary"), "sketch")
     full = sketch.where("n > 0 and doc_id is not null")
-    reps = write_table(full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc"), F.first("b0").alias("b0"), F.first("b1").alias("b1"), F.first("sig").alias("sig")), "classes")
+    reps = write_table(full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc"), *[F.first(b).alias(b) for b in BITS], F.first("sig").alias("sig")), "classes")
     n_reps = reps.count()
-    facts = bounded_broadcast(reps.select("doc", "n", "b0", "b1"), n_reps, 72)
-    other = facts.select(F.col("doc").alias("b"), F.col("n").alias("n2"), F.col("b0").alias("c0"), F.col("b1").alias("c1"))
+    facts = bounded_broadcast(reps.select("doc", "n", *BITS), n_reps, 120)
 
     keys = reps.select("doc", "sig").mapInArrow(_table_keys, "key long, doc long")
-    shared = write_table(keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "keys")
-    members = write_table(keys.join(bounded_broadcast(shared, shared.count(), 40), "key", "left_semi"), "members")
+    shared = write_table(keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "keys")
+    members = write_table(keys.join(bounded_broadcast(shared, shared.count(), 48), "key"), "members")
+    known_by = write_table(members.groupBy("doc").agg(F.sum("k").alias("keys")), "known")
+    members = write_table(members.select("key", "doc").join(bounded_broadcast(known_by, known_by.count(), 40), "doc"), "members")
 
     def likely(pairs: DataFrame) -> DataFrame:
-        return pairs.join(facts.withColumnRenamed("doc", "a"), "a").join(other, "b").where(_may_link(share)).select("a", "b").distinct()
+        return pairs.join(facts.withColumnRenamed("doc", "a"), "a").join(_other(facts, "b"), "b").where(_may_link(share)).select("a", "b").distinct()
 
-    hubs = members.groupBy("key").agg(F.min("doc").alias("a"))
-    tried = write_table(likely(members.join(hubs, "key").where("a <> doc").select("a", F.col("doc").alias("b")).distinct()), "pairs")
+    hubs = members.groupBy("key").agg(F.max_by("doc", F.struct("keys", -F.col("doc"))).alias("a"))
+    tried = write_table(likely(members.join(hubs, "key").where("a <> doc").select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()), "pairs")
     links = _confirmed(docs, tried, words, share)
     total = links.count()
     turn = 0
@@ -196,10 +235,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80) -> DataFra
             total += grown
             links = links.union(more)
             continue
-        main = open_rows.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("c", "k").alias("main"))
-        rich = write_table(open_rows.join(facts, "doc"), "rich")
-        stray = rich.join(main, "key").where("c <> main").select("key", F.col("doc").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("b0").alias("c0"), F.col("b1").alias("c1"))
-        pairs = rich.join(stray, (rich.key == stray.key) & F.expr(f"c <> c2 and {_may_link(share)}")).select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
+        groups = write_table(open_rows.groupBy("doc").agg(F.first("c").alias("c")), "groups")
+        n_open = groups.count()
+        sets = write_table(facts.join(bounded_broadcast(groups, n_open, 48), "doc"), "open-sets")
+        rich = write_table(_prefixes(docs, sets, n_open, words, share).join(bounded_broadcast(sets, n_open, 120), "doc"), "prefixes")
+        main = rich.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", "k").alias("main"), F.count("*").alias("k")).where("k > 1")
+        stray = rich.join(main.select("h", "main"), "h").where("c <> main").select(F.col("h").alias("h2"), F.col("doc").alias("b"), F.col("c").alias("c2"), F.col("i").alias("i2"), F.col("n").alias("n2"), *[F.col(x).alias(f"other_{x}") for x in BITS])
+        room = f"{100 + share} * least(n - i, n2 - i2) >= {share} * (n + n2)"
+        pairs = rich.join(write_table(stray, "stray"), F.expr(f"h = h2 and c <> c2 and {room} and {_may_link(share)}")).select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
         rest = write_table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         more = _confirmed(docs, rest, words, share)
         if more.limit(1).count():
@@ -214,3 +257,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80) -> DataFra
     found = own.join(bounded_broadcast(labels.withColumnRenamed("node", "rep"), labels.count(), 40), "rep", "left")
     out = found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, share: int = 80) -> DataFrame:
+    """docs with one document of each near-duplicate component, the smallest doc_id; all columns stay.
+
+    Rows that repeat a kept doc_id are one document: one of them stays (the least text).
+    Rows without doc_id stay.
+    """
+    found = write_table(near_duplicates(docs, words, share), "near")
+    gone = write_table(found.where("not kept").select("doc_id").distinct(), "gone")
+    left = docs.join(bounded_broadcast(gone, gone.count(), 40), "doc_id", "left_anti").select(*docs.columns)
+    again = write_table(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "again")
+    n_again = again.count()
+    if not n_again:
+        return left
+    again = bounded_broadcast(again, n_again, 40)
+    several = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
+    one = several.select(*[F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns])
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest relation that is broadcast, in bytes of its rows; larger ones are shuffled.
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 24 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
