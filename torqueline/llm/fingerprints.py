@@ -97,13 +97,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     key = ["k0", "k1", "version"]
     ids = neighbours(rows.select(F.col("doc_id").alias("id"), "version", F.char_length("text").alias("chars")))
     ids = ids.select(F.coalesce("id", F.lit(0)).alias("k0"), F.col("id").isNull().alias("k1"), "version", F.coalesce("prev_id", F.lit(0)).alias("p0"), F.col("prev_id").isNull().alias("p1"), "prev_version", "prev_chars")
-    texts = rows.repartition(*key)
+    texts = rows.select(*key, "text").repartition(*key)  # both joins read these columns alone, and so one shuffle
     sent = texts.join(ids, key).select(
         F.col("p0").alias("k0"), F.col("p1").alias("k1"), F.col("prev_version").alias("version"),
         F.expr("substring(text, 1, prev_chars div 3)").alias("head"), F.expr(like_part("text")).alias("next_like"),
     )
     sent = sent.groupBy(*key).agg(F.first(F.struct("head", "next_like")).alias("s")).select(*key, "s.head", "s.next_like")
-    both = texts.join(sent, key).select("doc_id", "text", F.char_length("text").alias("n"), "head", "next_like")
+    both = texts.join(sent, key).select(F.when(~F.col("k1"), F.col("k0")).alias("doc_id"), "text", F.char_length("text").alias("n"), "head", "next_like")
     both = both.select("doc_id", "text", "n", "next_like", F.expr("concat(substring(text, 1, n - n div 3), head)").alias("edited"))
     made = both.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "next_like", F.expr(equal_part("text")).alias("e"), F.expr(like_part("text")).alias("l"), F.expr(equal_part("edited")).alias("ee"), F.expr(like_part("edited")).alias("el"))
     return made.select("doc_id", "n_chars", "edited_sha256", text_of("e", "l").alias("fingerprint"), text_of("ee", "el").alias("edited_fingerprint"), likeness("l", "el").alias("near_edited"), likeness("l", "next_like").alias("near_next"))
