@@ -233,12 +233,16 @@ def _digests(codec: Codec):
     return run
 
 
-def _ids(codec: Codec):
+def _encoded(codec: Codec, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, at = codec.encode([x or "" for x in b.column(1).to_pylist()])
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield batch(["doc_id", "ids"], [b.column(0), lists])
+            sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in b.column(text)], np.int64)
+            for s, e in groups_by_size(sizes, PIECE):
+                part = b.slice(s, e - s)
+                ids, at = codec.encode([x or "" for x in part.column(text).to_pylist()])
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view(np.int32)))
+                columns = [c for i, c in enumerate(part.columns) if i != text]
+                yield batch([f"c{i}" for i in range(len(columns) + 2)], [*columns, np.diff(at), lists])
 
     return run
 
@@ -247,9 +251,12 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def encode(docs: DataFrame, codec: Codec) -> DataFrame:
-    """(doc_id, ids) of each row; a null text is empty; repeated rows and null ids pass through."""
-    return _rows(docs).mapInArrow(_ids(codec), "doc_id long, ids array<int>")
+def encoded(docs: DataFrame, codec: Codec) -> DataFrame:
+    """docs with n_tokens and ids (array of int) in place of text; a null text is empty."""
+    names = [c for c in docs.columns if c != "text"]
+    kinds = [docs.schema[c].dataType.simpleString() for c in names] + ["long", "array<int>"]
+    rows = docs.mapInArrow(_encoded(codec, docs.columns.index("text")), ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
+    return rows.toDF(*names, "n_tokens", "ids")
 
 
 def encoding_digests(docs: DataFrame, codec: Codec) -> DataFrame:

@@ -110,3 +110,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, share: int
         ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "d.version",
     )
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
+    """Rows of docs that aren't contaminated; all columns stay."""
+    bad = write_table(contamination(docs, items, size, share).where("contaminated").select(F.col("doc_id").alias("bad_id"), "version"), "contaminated")
+    bad = bounded_broadcast(bad, bad.count(), 48)
+    version = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (version == F.col("version")), "left_anti")

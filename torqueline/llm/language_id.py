@@ -97,48 +97,84 @@ def profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     return ranked
 
 
-def _predict(names: list[str], grams: np.ndarray, ranks: np.ndarray, size: int):
+class Predictor:
+    """Languages by out-of-place distance to learned profiles."""
+
+    def __init__(self, names: list[str], grams: np.ndarray, ranks: np.ndarray, size: int):
+        self.names, self.grams, self.ranks, self.size = names, grams, ranks, size
+
+    def __call__(self, text: str | None) -> tuple[str, float, float]:
+        """Language, score and fit of one text."""
+        size, names = self.size, self.names
+        codes, k = gram_counts(text) if text else ((), ())
+        if not len(codes) or not names:
+            return UNKNOWN, 0.0, 0.0
+        if len(k) > size:
+            least = np.partition(k, len(k) - size)[len(k) - size]
+            codes, k = codes[k >= least], k[k >= least]
+        top = codes[np.lexsort((codes, -k))][:size]
+        at = np.minimum(np.searchsorted(self.grams, top), len(self.grams) - 1)
+        known = self.grams[at] == top
+        far = np.where(known[:, None], np.abs(self.ranks[at] - np.arange(len(top))[:, None]), size)
+        d = np.minimum(far, size).sum(0)
+        order = np.argsort(d, kind="stable")
+        best = d[order[0]]
+        second = d[order[1]] if len(names) > 1 else size * len(top)
+        return names[order[0]], float(second / (best + second)) if best + second else 0.5, float(1 - best / (size * len(top)))
+
+    def columns(self, texts: pa.Array) -> list[pa.Array]:
+        found = [self(t.as_py()) for t in texts]
+        return [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+
+
+def _appended(predictor: Predictor, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores, fits = [], [], []
-            for text in b.column(2):
-                codes, k = gram_counts(text.as_py()) if text.is_valid else ((), ())
-                if not len(codes) or not names:
-                    langs.append(UNKNOWN), scores.append(0.0), fits.append(0.0)
-                    continue
-                if len(k) > size:
-                    least = np.partition(k, len(k) - size)[len(k) - size]
-                    codes, k = codes[k >= least], k[k >= least]
-                top = codes[np.lexsort((codes, -k))][:size]
-                at = np.minimum(np.searchsorted(grams, top), len(grams) - 1)
-                known = grams[at] == top
-                far = np.where(known[:, None], np.abs(ranks[at] - np.arange(len(top))[:, None]), size)
-                d = np.minimum(far, size).sum(0)
-                order = np.argsort(d, kind="stable")
-                best = d[order[0]]
-                langs.append(names[order[0]])
-                scores.append(1.0 if len(names) == 1 else float(d[order[1]] / max(best + d[order[1]], 1)) if best + d[order[1]] else 0.5)
-                fits.append(float(1 - best / (size * len(top))))
-            yield batch(["doc_id", "held_out", "lang_pred", "score", "fit"], [b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())])
+            more = predictor.columns(b.column(text))
+            yield batch([f"c{i}" for i in range(b.num_columns + 3)], [*b.columns, *more])
 
     return run
 
 
+def learn(docs: DataFrame, size: int = PROFILE) -> Predictor:
+    """A predictor learned from the rows of docs (doc_id, text, lang) that aren't held out and have a lang."""
+    learned = profiles(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"), size).collect()  # at most ``size`` rows a language
+    names = sorted({r.lang for r in learned})
+    grams = np.unique(np.array([r.gram for r in learned], np.int64))
+    ranks = np.full((len(grams), len(names)), size, np.int64)
+    for r in learned:
+        ranks[np.searchsorted(grams, r.gram), names.index(r.lang)] = r["rank"]
+    return Predictor(names, grams, ranks, size)
+
+
+def with_languages(rows: DataFrame, predictor: Predictor) -> DataFrame:
+    """rows, by the names c0, c1, ..., with language, score and fit of their column text behind."""
+    kinds = [f.dataType.simpleString() for f in rows.schema.fields] + ["string", "double", "double"]
+    return rows.mapInArrow(_appended(predictor, rows.columns.index("text")), ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
+
+
 def identify_languages(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     """doc_id, held_out, lang_pred, score, fit of each row of docs (doc_id, text, lang).
 
     Profiles are learned from rows that aren't held out and have a lang; a prediction
     sees the text alone.  lang_pred is a learned language, or ``und`` where the text is
     null or has no letter (or no language was learned); ties go to the language that
-    sorts first.  score is second / (best + second) of the two smallest distances, from
-    0.5 (a tie) to 1; fit is 1 minus the best distance over the largest possible one.
+    sorts first.  score is second / (best + second) of the two smallest distances (with
+    one language, second is the largest possible), from 0.5 (a tie) to 1; fit is 1 minus the best distance over the largest possible one.
     Repeated rows are predicted each; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    learned = profiles(rows.where(~F.col("held_out")), size).collect()  # at most ``size`` rows a language
-    names = sorted({r.lang for r in learned})
-    grams = np.unique(np.array([r.gram for r in learned], np.int64))
-    ranks = np.full((len(grams), len(names)), size, np.int64)
-    for r in learned:
-        ranks[np.searchsorted(grams, r.gram), names.index(r.lang)] = r["rank"]
-    return rows.select("doc_id", "held_out", "text").mapInArrow(_predict(names, grams, ranks, size), "doc_id long, held_out boolean, lang_pred string, score double, fit double")
+    found = with_languages(rows.select("doc_id", "held_out", "text"), learn(rows, size))
+    return found.select(F.col("c0").alias("doc_id"), F.col("c1").alias("held_out"), F.col("c3").alias("lang_pred"), F.col("c4").alias("score"), F.col("c5").alias("fit"))
+
+
+def in_a_language(docs: DataFrame, size: int = PROFILE) -> DataFrame:
+    """Rows of docs whose text is in a learned language; a null lang becomes the prediction.
+
+    Rejected are texts without any letter (null, empty, only signs); all columns stay.
+    """
+    found = with_languages(docs, learn(docs, size))
+    n = len(docs.columns)
+    kept = found.where(F.col(f"c{n}") != UNKNOWN)
+    value = lambda i, c: F.coalesce(F.col(f"c{i}"), F.col(f"c{n}")) if c == "lang" else F.col(f"c{i}")
+    return kept.select(*[value(i, c).alias(c) for i, c in enumerate(docs.columns)])
