@@ -1 +1 @@
-"""See the package docstring."""
+"""Scalar kernels: text, scores, similarity."""

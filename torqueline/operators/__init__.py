@@ -1 +1 @@
-"""See the package docstring."""
+"""operators of the engine; see the modules."""

@@ -1 +1 @@
-"""See the package docstring."""
+"""End-to-end plans and the registered queries."""

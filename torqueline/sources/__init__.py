@@ -1 +1 @@
-"""See the package docstring."""
+"""sources of the engine; see the modules."""

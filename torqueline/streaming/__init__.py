@@ -1 +1 @@
-"""See the package docstring."""
+"""Streaming extensions: the same status rules on live readings."""
