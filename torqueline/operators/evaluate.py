@@ -15,7 +15,7 @@ def mode_stats(decided: DataFrame) -> DataFrame:
 
 
 def by_system(decided: DataFrame) -> DataFrame:
-    return decided.groupBy("system").pivot("mode", ["EXTRACTED", "AMBIGUOUS"]).agg(F.count("*")).na.fill(0)
+    return decided.groupBy("system").pivot("mode", ["EXTRACTED", "AMBIGUOUS"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def threshold_sweep(scored: DataFrame, thresholds: list[float]) -> DataFrame:

@@ -86,7 +86,7 @@ def merged_entities(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
     kept = nodes.join(to.where("id = to").select("id"), "id", "left_semi")
     s, t = to.select(F.col("id").alias("source"), F.col("to").alias("s")), to.select(F.col("id").alias("target"), F.col("to").alias("t"))
     moved = edges.join(s, "source").join(t, "target")
-    return kept, moved.withColumns({"source": F.col("s"), "target": F.col("t")}).drop("s", "t").dropDuplicates(["source", "target"])
+    return kept, moved.withColumns({"source": F.col("s"), "target": F.col("t")}).select(*edges.columns).dropDuplicates(["source", "target"])
 
 
 def normalized(nodes: DataFrame, records: DataFrame | None = None) -> DataFrame:
@@ -144,7 +144,7 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, relations: list[str] | None =
 
 def children(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, symptoms, steps): labels below each subcategory in edge order."""
-    e = edges.join(nodes.select(F.col("id").alias("target"), "label"), "target")
+    e = edges.select("source", "target", "relation", "ord").join(nodes.select(F.col("id").alias("target"), "label"), "target")
     kids = lambda rel: F.transform(F.array_sort(F.collect_list(F.when(F.col("relation") == rel, F.struct("ord", "label")))), lambda x: x["label"])
     return e.where("relation in ('HAS_SYMPTOM', 'HAS_DIAGNOSIS_STEP')").groupBy(F.col("source").alias("id")).agg(kids("HAS_SYMPTOM").alias("symptoms"), kids("HAS_DIAGNOSIS_STEP").alias("steps"))
 

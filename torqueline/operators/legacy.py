@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..runtime import cut
 from .graph import bfs
 from .retrieval import merged
 
@@ -40,7 +41,7 @@ def voted_community_search(vector: DataFrame, nodes: DataFrame, rollup: DataFram
 def two_path_fusion(vector: DataFrame, graph: DataFrame, top_k: int = 10) -> DataFrame:
     """Vector score, + 0.5 if the graph found it too, 0.3 if only the graph did."""
     none = graph.limit(0)
-    m = merged(*[p.select("query_id", "id", F.col("raw_score").alias("norm_score"), "rank") for p in (vector, graph, none)])
+    m = merged(*[cut(p.select("query_id", "id", F.col("raw_score").alias("norm_score"), "rank")) for p in (vector, graph, none)])
     source = F.when(F.size("found_by") == 2, "both").otherwise(F.col("source"))
     score = F.when(F.size("found_by") == 2, F.col("v") + 0.5).when(F.col("v").isNotNull(), F.col("v")).otherwise(F.lit(0.3))
     return _ranked(m.withColumns({"score": score, "source": source}), top_k)
@@ -48,7 +49,7 @@ def two_path_fusion(vector: DataFrame, graph: DataFrame, top_k: int = 10) -> Dat
 
 def three_path_fusion(vector: DataFrame, graph: DataFrame, community: DataFrame, top_k: int = 10) -> DataFrame:
     """Vector base, + 0.5 for the graph, + 0.3 for the community (0.8 after both, 0.2 after the graph alone)."""
-    m = merged(*[p.select("query_id", "id", F.col("raw_score").alias("norm_score"), "rank") for p in (vector, graph, community)])
+    m = merged(*[cut(p.select("query_id", "id", F.col("raw_score").alias("norm_score"), "rank")) for p in (vector, graph, community)])
     base = F.when(F.col("v").isNotNull(), F.col("v") + F.when(F.col("g").isNotNull(), 0.5).otherwise(0.0)).when(F.col("g").isNotNull(), F.lit(0.3)).otherwise(F.col("c"))
     plus = F.when(F.col("c").isNull(), 0.0).when(F.col("v").isNotNull() & F.col("g").isNotNull(), 0.8).when(F.col("v").isNotNull(), 0.3).when(F.col("g").isNotNull(), 0.2).otherwise(0.0)
     return _ranked(m.withColumn("score", base + plus), top_k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RECORDS = "category string, subcategory string, symptoms array<string>, diagnosis_steps array<struct<step: string, result: array<string>>>"
+RECORDS = "array<struct<category: string, subcategory: string, symptoms: array<string>, diagnosis_steps: array<struct<step: string, result: array<string>>>>>"
 NODES = "array<struct<id: string, label: string, norm_label: string, file_type: string, source_file: string, result_a: string, result_b: string, community: int, node_type: string, category: string, subcategory: string>>"
 EDGES = "array<struct<source: string, target: string, relation: string, confidence: string, source_file: string, weight: double, label: string>>"
 PROFILE = "map<string, struct<count: bigint, mean: double, std: double, variance: double, min: double, max: double, median: double, q1: double, q3: double, iqr: double, skewness: double, kurtosis: double>>"
@@ -47,7 +47,7 @@ def comparison_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def fault_records(spark: SparkSession, path: str) -> DataFrame:
     """Fault records in file order (column ord) from a JSON list."""
-    return _json(spark, path, f"array<struct<{RECORDS.replace(' string', ': string').replace(' array', ': array')}>>").select(F.posexplode("j").alias("ord", "r")).select("ord", "r.*")
+    return _json(spark, path, RECORDS).select(F.posexplode("j").alias("ord", "r")).select("ord", "r.*")
 
 
 def dump_records(spark: SparkSession, path: str) -> DataFrame:

@@ -29,7 +29,7 @@ def mapping_json(mapping: DataFrame, top_k: int = 10, p_value: float = 0.05, eff
     by_speed = mapping.groupBy("fault", "speed").agg(sensors.alias("sensors"))
     entry = F.struct(F.col("speed").cast("string").alias("s"), F.struct("speed", "fault", F.size("sensors").alias("top_k"), rule.alias("selection"), "sensors").alias("e"))
     by_fault = by_speed.groupBy("fault").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("m"))
-    return by_fault.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("fault", "m"))))).alias("json"))
+    return by_fault.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("fault", "m")))).alias("json"))
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
