@@ -240,7 +240,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80) -> DataFra
         sets = write_table(facts.join(bounded_broadcast(groups, n_open, 48), "doc"), "open-sets")
         rich = write_table(_prefixes(docs, sets, n_open, words, share).join(bounded_broadcast(sets, n_open, 120), "doc"), "prefixes")
         main = rich.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", "k").alias("main"), F.count("*").alias("k")).where("k > 1")
-        stray = rich.join(main.select("h", "main"), "h").where("c <> main").select(F.col("h").alias("h2"), F.col("doc").alias("b"), F.col("c").alias("c2"), F.col("i").alias("i2"), F.col("n").alias("n2"), *[F.col(x).alias(f"other_{x}") for x in BITS])
+        main = write_table(main.select("h", "main"), "main")  # a plain join after it can split hot shingles
+        stray = rich.join(main, "h").where("c <> main").select(F.col("h").alias("h2"), F.col("doc").alias("b"), F.col("c").alias("c2"), F.col("i").alias("i2"), F.col("n").alias("n2"), *[F.col(x).alias(f"other_{x}") for x in BITS])
         room = f"{100 + share} * least(n - i, n2 - i2) >= {share} * (n + n2)"
         pairs = rich.join(write_table(stray, "stray"), F.expr(f"h = h2 and c <> c2 and {room} and {_may_link(share)}")).select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
         rest = write_table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
