@@ -24,7 +24,7 @@ def label_faults(labels: DataFrame, table: DataFrame, s: Settings = DEFAULTS) ->
     key = F.explode(F.array_distinct(F.concat(F.transform("stems", lambda x: F.concat(F.lit("s:"), x)), F.array(F.concat(F.lit("n:"), "norm"))))).alias("k")
     left = prepared(labels.select("label").distinct(), "label").select("label", "norm", "stems", key)
     right = prepared(table, "anchor").select("anchor_ord", "anchor", "fault", F.col("norm").alias("norm2"), F.col("stems").alias("stems2"), key)
-    pairs = left.join(F.broadcast(right), "k").dropDuplicates(["label", "anchor_ord"])
+    pairs = left.join(right, "k").dropDuplicates(["label", "anchor_ord"])
     m = pairs.withColumn("match", F.expr(label_match("norm", "stems", "norm2", "stems2"))).where(F.col("match") >= s.match_threshold)
     w = Window.partitionBy("label").orderBy(F.desc("match"), "anchor_ord")
     return m.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("label", "anchor", "fault", "match")
@@ -51,7 +51,7 @@ def map_faults(candidates: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """
     by_label = label_faults(candidates, anchors(candidates.sparkSession), s).select("label", F.col("fault").alias("lf"))
     by_cat = category_faults(candidates).groupBy("category").agg(F.collect_list(F.struct("fault", "base")).alias("cf"))
-    c = candidates.join(F.broadcast(by_label), "label", "left").join(F.broadcast(by_cat), "category", "left")
+    c = candidates.join(by_label, "label", "left").join(by_cat, "category", "left")
     options = F.when(F.col("lf").isNotNull(), F.array(F.struct(F.col("lf").alias("fault"), F.lit(1.0).alias("base")))).otherwise(F.col("cf"))
     rows = c.select("*", F.posexplode(options).alias("at", "o"))
     bonus = F.when(F.col("score") >= 2.0, 0.05).when(F.col("score") >= 1.5, 0.02).otherwise(0.0)

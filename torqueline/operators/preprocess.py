@@ -36,7 +36,7 @@ def fuzzy_matches(words: DataFrame, vocabulary: DataFrame, threshold: float = DE
     w = words.select("word").distinct().withColumn("n", F.length("word"))
     reach = w.select("word", "n", F.explode(F.sequence(F.ceil(F.col("n") * share).cast("int"), F.floor(F.col("n") / share).cast("int"))).alias("m"))
     v = vocabulary.select(F.col("word").alias("match"), F.length("word").alias("m")).distinct()
-    scored = reach.join(F.broadcast(v), "m").withColumn("ratio", indel_ratio("word", "match")).where(F.col("ratio") >= threshold)
+    scored = reach.join(v, "m").withColumn("ratio", indel_ratio("word", "match")).where(F.col("ratio") >= threshold)
     best = Window.partitionBy("word").orderBy(F.desc("ratio"), "match")
     return scored.withColumn("rn", F.row_number().over(best)).where("rn = 1").select("word", "match", "ratio")
 
@@ -44,7 +44,7 @@ def fuzzy_matches(words: DataFrame, vocabulary: DataFrame, threshold: float = DE
 def corrected(queries: DataFrame, vocabulary: DataFrame, threshold: float = DEFAULTS.fuzzy_threshold) -> DataFrame:
     """queries with ``processed``: unknown words of three letters or more replaced by their closest known one."""
     tokens = queries.select("query_id", F.posexplode(F.filter(F.split("text", "\\s+"), lambda w: w != "")).alias("at", "token")).withColumn("word", F.lower(F.regexp_replace("token", "[^a-zA-Z0-9]", "")))
-    unknown = tokens.where("length(word) > 2").join(F.broadcast(vocabulary.select("word")), "word", "left_anti")
+    unknown = tokens.where("length(word) > 2").join(vocabulary.select("word"), "word", "left_anti")
     fixed = tokens.join(fuzzy_matches(unknown, vocabulary, threshold).select("word", "match").join(unknown.select("word").distinct(), "word", "left_semi"), "word", "left")
     row = F.struct("at", F.coalesce("match", "token").alias("t"))
     joined = fixed.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["t"]), " ").alias("processed"))
@@ -78,7 +78,7 @@ def label_variants(queries: DataFrame, labels: DataFrame, column: str = "process
     """(query_id, variant): for each query word, the first labels with it that don't hold the whole query."""
     q = queries.select("query_id", F.lower(column).alias("q"))
     words = q.select("query_id", "q", F.explode(F.array_distinct(F.expr(alnum_tokens("q")))).alias("word"))
-    rows = words.join(F.broadcast(word_labels(labels)), "word").select("query_id", "q", F.explode(F.slice("labels", 1, most)).alias("l")).withColumn("variant", F.lower("l"))
+    rows = words.join(word_labels(labels), "word").select("query_id", "q", F.explode(F.slice("labels", 1, most)).alias("l")).withColumn("variant", F.lower("l"))
     apart = "size(array_except(split(q, '\\\\s+'), split(variant, '\\\\s+'))) > 0 and not contains(variant, q)"
     return rows.where(apart).select("query_id", "variant").distinct()
 
@@ -94,11 +94,11 @@ def entities(texts: DataFrame, nodes: DataFrame, s: Settings = DEFAULTS) -> Data
     labels = labels.withColumns({"lw": F.array_distinct(F.expr(alnum_tokens("low"))), "ls": F.expr(stem_set(f"array_distinct({alnum_tokens('low')})", QUERY_STEM))}).where("size(lw) > 0")
     t = texts.select("query_id", "text").distinct().withColumns({"qw": F.array_distinct(F.expr(alnum_tokens("text"))), "qs": F.expr(stem_set(f"array_distinct({alnum_tokens('text')})", QUERY_STEM))})
     keyed = lambda df, w, st, *keep: df.select(*keep, F.explode(F.array_distinct(F.concat(F.transform(w, lambda x: F.concat(F.lit("w:"), x)), F.transform(st, lambda x: F.concat(F.lit("s:"), x))))).alias("k"))
-    hits = keyed(t, "qw", "qs", "query_id", "text").join(F.broadcast(keyed(labels, "lw", "ls", "low")), "k").select("query_id", "text", "low", "k")
+    hits = keyed(t, "qw", "qs", "query_id", "text").join(keyed(labels, "lw", "ls", "low"), "k").select("query_id", "text", "low", "k")
     df = document_frequency(nodes)
-    words = hits.withColumn("word", F.when(F.col("k").startswith("w:"), F.substring("k", 3, 1000))).join(F.broadcast(df), "word", "left")
+    words = hits.withColumn("word", F.when(F.col("k").startswith("w:"), F.substring("k", 3, 1000))).join(df, "word", "left")
     agg = words.groupBy("query_id", "text", "low").agg(F.count("word").alias("n_words"), F.count_if(F.col("word").isNull()).alias("n_stems"), F.sum(F.when(F.col("word").isNotNull(), 1.0 / F.coalesce("df", F.lit(1)))).alias("idf"))
-    both = agg.join(F.broadcast(labels.select("low", "n", F.size("lw").alias("n_label"))), "low")
+    both = agg.join(labels.select("low", "n", F.size("lw").alias("n_label")), "low")
     weight = F.coalesce(F.create_map(*[F.lit(x) for kv in ENTITY_WEIGHTS.items() for x in kv])[F.col("n.node_type")], F.lit(1.0))
     overlap = 0.6 * F.col("n_stems") / F.col("n_label") + 0.4 * F.col("n_words") / F.col("n_label")
     raw = (0.45 * F.least(F.coalesce("idf", F.lit(0.0)), F.lit(1.5)) + 0.55 * overlap) * weight
@@ -132,7 +132,7 @@ def sibling_terms(strong: DataFrame, nodes: DataFrame, most: int = 5, least: flo
     """(query_id, label, score): the first subcategories beside a sure entity's own, but not itself."""
     sub = nodes.where("coalesce(category, '') <> '' and coalesce(subcategory, '') <> ''").select(F.lower("category").alias("cat"), "subcategory").distinct()
     pairs = sub.join(sub.select("cat", F.col("subcategory").alias("sibling")), "cat").where("subcategory <> sibling").select(F.lower("subcategory").alias("sub"), "sibling").distinct()
-    e = strong.where(F.col("confidence") >= least).select("query_id", "node_id", F.lower("subcategory").alias("sub"), F.lower("label").alias("own"), "confidence").join(F.broadcast(pairs), "sub").where("lower(sibling) <> own")
+    e = strong.where(F.col("confidence") >= least).select("query_id", "node_id", F.lower("subcategory").alias("sub"), F.lower("label").alias("own"), "confidence").join(pairs, "sub").where("lower(sibling) <> own")
     first = e.withColumn("rn", F.row_number().over(Window.partitionBy("query_id", "node_id").orderBy("sibling"))).where(F.col("rn") <= most)
     return first.groupBy("query_id", F.col("sibling").alias("label")).agg(F.max("confidence").alias("score"))
 

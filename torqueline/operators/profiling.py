@@ -43,11 +43,14 @@ def cleaned(readings: DataFrame, keys: list[str], order: str = "row_idx") -> Dat
 
 def summary(readings: DataFrame, keys: list[str]) -> DataFrame:
     """count, missing, unique, mean, median, std, variance, min, p25, p75, max of each sensor."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    agg = readings.groupBy(*keys).agg(
-        F.count("value").alias("count"), F.count_if(F.col("value").isNull()).alias("missing"), F.count_distinct("value").alias("unique"), F.avg("value").alias("mean"),
-        q.alias("q"), F.stddev_samp("value").alias("std"), F.var_samp("value").alias("variance"), F.min("value").alias("min"), F.max("value").alias("max"),
+    moments = readings.groupBy(*keys).agg(
+        F.count("value").alias("count"), F.count_if(F.col("value").isNull()).alias("missing"), F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"), F.var_samp("value").alias("variance"), F.min("value").alias("min"), F.max("value").alias("max"),
     )
+    # values are counted first, so neither the distinct count nor the quartiles see a repeated one twice
+    values = readings.where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    spread = values.groupBy(*keys).agg(F.count("*").alias("unique"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q"))
+    agg = moments.join(spread, keys, "left").withColumn("unique", F.coalesce("unique", F.lit(0)))
     return agg.select(*keys, "count", "missing", "unique", "mean", F.col("q")[1].alias("median"), "std", "variance", "min", F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"), "max")
 
 

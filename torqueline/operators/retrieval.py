@@ -62,7 +62,7 @@ def graph_seeds(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     words = n.select("id", F.explode("w").alias("lw"))
     pieces = words.select("id", F.explode(F.expr("array_distinct(flatten(transform(sequence(1, length(lw)), i -> transform(sequence(1, length(lw) - i + 1), k -> substring(lw, i, k)))))")).alias("k")).where("length(k) > 2").select("id", F.concat(F.lit("in:"), "k").alias("k"))
     starts = words.select("id", F.explode(F.expr("transform(sequence(1, least(4, length(lw))), k -> concat('at:', left(lw, k)))")).alias("k"))
-    keys = F.broadcast(pieces.union(starts).distinct())
+    keys = pieces.union(starts).distinct()
     t = q.select("query_id", F.explode("telling").alias("t")).select("query_id", F.explode(F.array(F.concat(F.lit("in:"), "t"), F.expr(f"concat('at:', left({retrieval_stem('t')}, 4))"))).alias("k"))
     by_word = t.join(keys, "k").select("query_id", "id").distinct()
     by_stem = label_overlap(q, n).select("query_id", "id")
@@ -94,7 +94,7 @@ def community_search(queries: DataFrame, nodes: DataFrame, rollup: DataFrame, to
     """
     q = queries.withColumn("stems", _stems("text")).withColumn("special", F.array_except("stems", _literal(GENERIC_SEED_WORDS)))
     members = rollup.select("community", "is_multi_category", F.posexplode("node_ids").alias("member_ord", "id")).join(nodes.where("coalesce(node_type, 'Unknown') not in ('', 'Unknown')").select("id", "label"), "id").withColumn("ls", _stems("label"))
-    rows = q.select("query_id", "stems", "special", F.explode("communities").alias("community")).join(F.broadcast(members), "community")
+    rows = q.select("query_id", "stems", "special", F.explode("communities").alias("community")).join(members, "community")
     rows = rows.withColumns({"so": F.size(F.array_intersect("special", "ls")), "to": F.size(F.array_intersect("stems", "ls"))}).where(F.when(F.size("special") > 0, F.col("so") > 0).otherwise(F.col("to") > 0))
     w = Window.partitionBy("query_id", "community").orderBy(F.desc("so"), F.desc("to"), "member_ord")
     best = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

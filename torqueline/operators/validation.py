@@ -43,7 +43,7 @@ def candidate_faults(mapped: DataFrame, results: DataFrame) -> DataFrame:
 def enriched(names: DataFrame, dictionary: DataFrame, column: str = "sensor") -> DataFrame:
     """Display name, description and subsystem of each sensor; its own name where the dictionary lacks it."""
     d = dictionary.select(F.col("sensor").alias(column), "display_name", "description", "subsystem", "units")
-    return names.join(F.broadcast(d), column, "left").withColumns({"display_name": F.coalesce("display_name", F.col(column)), "description": F.coalesce("description", F.lit("")), "subsystem": F.coalesce("subsystem", F.lit("")), "units": F.coalesce("units", F.lit(""))})
+    return names.join(d, column, "left").withColumns({"display_name": F.coalesce("display_name", F.col(column)), "description": F.coalesce("description", F.lit("")), "subsystem": F.coalesce("subsystem", F.lit("")), "units": F.coalesce("units", F.lit(""))})
 
 
 def interpretations(signals: DataFrame, dictionary: DataFrame, mapping: DataFrame, compared: DataFrame) -> DataFrame:

@@ -361,8 +361,8 @@ def _paths(spark, d):
 
     vec = vector_topk(v, v.join(q.select(F.col("query_id").alias("id")), "id").withColumnRenamed("id", "query_id"), 20)
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_retailprice", "p_size")
-    gph = ranked(p.join(F.broadcast(q), F.col("p_name") == F.col("qn")).select("query_id", "id", (F.col("p_retailprice") / 10000).alias("raw_score")), 30)
-    com = ranked(p.join(F.broadcast(q), F.col("p_brand") == F.col("qb")).select("query_id", "id", (F.col("p_size") / 50).alias("raw_score")), 10)
+    gph = ranked(p.join(q, F.col("p_name") == F.col("qn")).select("query_id", "id", (F.col("p_retailprice") / 10000).alias("raw_score")), 30)
+    com = ranked(p.join(q, F.col("p_brand") == F.col("qb")).select("query_id", "id", (F.col("p_size") / 50).alias("raw_score")), 10)
     return q, vec, gph, com
 
 

@@ -114,7 +114,7 @@ def nominal_sample(profiles: DataFrame, speed: int) -> DataFrame:
 def simulated_sample(readings: DataFrame, seed: int = 0) -> DataFrame:
     """(sensor, value) of one row of readings (row_idx, sensor, value), drawn by a hash of its number."""
     one = readings.select("row_idx").distinct().orderBy(F.xxhash64("row_idx", F.lit(seed))).limit(1)
-    return readings.join(F.broadcast(one), "row_idx", "left_semi").select("sensor", "value")
+    return readings.join(one, "row_idx", "left_semi").select("sensor", "value")
 
 
 def first_sample(rows: DataFrame) -> DataFrame:
