@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .kernels import batch
 
-#: Merged pre-tokens a worker remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 500_000, 64
+#: Merged pre-tokens in each of the two generations that a worker remembers, and the longest of them in bytes.
+REMEMBERED, LONGEST = 300_000, 64
+#: They stay with the worker from task to task, by the vocabulary's digest: (newer, older).
+_remembered: dict[str, tuple[dict[bytes, list[int]], dict[bytes, list[int]]]] = {}
 #: Code points that the regex module knows as letters or numbers but the
 #: tokenizer libraries' older Unicode tables don't know at all, as ranges (first-last).
 LATER = """
@@ -121,9 +123,10 @@ class Codec:
         self.tokens = sorted(ranks, key=ranks.__getitem__)
         self.ids = np.array([ranks[t] for t in self.tokens], np.uint32)
         self.perfect = PerfectHash(self.tokens)
+        self.digest = hashlib.sha256(b"".join(self.tokens) + self.ids.tobytes() + pattern.encode()).hexdigest()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("finders", "memory", "bytes_at")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("finders", "bytes_at")}
 
     @functools.cached_property
     def finders(self):
@@ -140,10 +143,6 @@ class Codec:
         has_later, usual, with_later = self.finders
         return with_later(text) if not text.isascii() and has_later(text) else usual(text)
 
-    @functools.cached_property
-    def memory(self) -> dict[bytes, list[int]]:
-        return {}
-
     @functools.cached_property
     def bytes_at(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All tokens' bytes, and start and length by id."""
@@ -155,21 +154,21 @@ class Codec:
         return np.frombuffer(b"".join(self.tokens), np.uint8), start, length
 
     def pre_token_ids(self, words: list[bytes]) -> list[list[int]]:
-        place = self.perfect(words)
-        out: list[list[int]] = []
-        memory = self.memory
-        for w, i, t in zip(words, self.ids[place].tolist(), place.tolist(), strict=True):
+        newer, older = _remembered.get(self.digest, ({}, {}))
+        out = [newer.get(w) for w in words]
+        missing = [i for i, got in enumerate(out) if got is None]
+        place = self.perfect([words[i] for i in missing])
+        for i, own, t in zip(missing, self.ids[place].tolist(), place.tolist(), strict=True):
+            w = words[i]
             if self.tokens[t] == w:
-                out.append([i])
+                out[i] = [own]
                 continue
-            got = memory.get(w)
-            if got is None:
-                got = merge(w, self.ranks)
-                if len(w) <= LONGEST:
-                    if len(memory) >= REMEMBERED:
-                        memory.clear()
-                    memory[w] = got
-            out.append(got)
+            out[i] = older.get(w) or merge(w, self.ranks)
+            if len(w) <= LONGEST:
+                if len(newer) >= REMEMBERED:
+                    newer, older = {}, newer
+                newer[w] = out[i]
+        _remembered[self.digest] = newer, older
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
