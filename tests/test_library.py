@@ -305,6 +305,26 @@ def test_evaluation(spark):
     assert (e.improved, e.worsened, e.mode_changed) == (3, 0, 3)
 
 
+def test_evaluation_plan(spark, kb):
+    from torqueline.plans import evaluation, provider
+
+    q = evaluation.query_set(spark)
+    assert q.count() == 39 and q.where("query_type = 'partial'").count() == 2
+    out = evaluation.evaluation(q.where("query_id < 4"), kb)
+    assert out["decided"].count() == 4 and out["components"].count() == 16
+    assert evaluation.spot_checks(spark, kb).count() == 7 and len(evaluation.REFINEMENT_SEEDS) == 4
+    assert provider.assisted("s", [], "template") == "template" and not provider.HttpProvider("http://127.0.0.1:9", "m", 0.2).available()
+    assert provider.assisted("s", [{"label": "a", "score": 1.0, "source": "x"}], "template", provider.HttpProvider("http://127.0.0.1:9", "m", 0.2, 0.2)) == "template"
+
+    class Fixed:
+        def generate(self, prompt, system=""):
+            return "check " + prompt.splitlines()[2]
+
+    assert provider.assisted("s", [{"label": "a", "score": 1.0, "source": "x"}], "t", Fixed()).startswith("check - a (score: 1.000")
+    row = legacy.known_systems(spark.createDataFrame([("", None, "l")], "category string, subcategory string, label string")).first()
+    assert (row.system, row.subsystem) == ("Unknown", "l")
+
+
 def test_sources_and_sinks(spark, tmp_path, records, kb):
     (tmp_path / "log.csv").write_text("time,x\ns,bar\n0,1.5\n1,oops\n")
     rows, units = readers.log_csv(spark, str(tmp_path / "log.csv"))

@@ -114,6 +114,12 @@ def answers(overall: DataFrame, paths: DataFrame, skip: bool = False) -> DataFra
     return r.select("query_id", kind.alias("kind"), text.alias("text"))
 
 
+def known_systems(candidates: DataFrame) -> DataFrame:
+    """candidates with system (category, or Unknown) and subsystem (subcategory, or the label)."""
+    text = lambda c: F.when(F.trim(c) != "", F.col(c))
+    return candidates.withColumns({"system": F.coalesce(text("category"), F.lit("Unknown")), "subsystem": F.coalesce(text("subcategory"), F.col("label"))})
+
+
 def adapted_evidence(fused: DataFrame, results: DataFrame) -> DataFrame:
     """(query_id, sensor_status, kg_status): confirmed by any sensor confidence above 0.5, by a top score of 0.7."""
     s = results.groupBy("query_id").agg(F.when(F.bool_or(F.col("sensor_confidence") > 0.5), "CONFIRMS").otherwise("CONTRADICTS").alias("sensor_status"))
