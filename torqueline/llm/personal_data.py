@@ -55,7 +55,7 @@ def spans_sql(text: str, pattern: str, needs: str) -> str:
     step = "named_struct('at', p.at + y.g + y.n, 'out', array_append(p.out, named_struct('s', p.at + y.g, 'e', p.at + y.g + y.n)))"
     none = "cast(array() as array<struct<s: int, e: int>>)"
     lens = "zip_with(slice(v.gaps, 1, size(v.m)), v.m, (g, t) -> named_struct('g', char_length(g), 'n', char_length(t)))"
-    blocks = f"transform(sequence(0, (size(v.m) - 1) div {BLOCK}), k -> aggregate(slice({lens}, cast(k * {BLOCK} + 1 as int), {BLOCK}), named_struct('at', 0, 'out', {none}), (p, y) -> {step}))"
+    blocks = f"transform(array({lens}), all -> transform(sequence(0, (size(v.m) - 1) div {BLOCK}), k -> aggregate(slice(all, cast(k * {BLOCK} + 1 as int), {BLOCK}), named_struct('at', 0, 'out', {none}), (p, y) -> {step})))[0]"
     whole = f"flatten(aggregate({blocks}, named_struct('at', 0, 'out', cast(array() as array<array<struct<s: int, e: int>>>)), (q, l) -> named_struct('at', q.at + l.at, 'out', array_append(q.out, transform(l.out, z -> named_struct('s', z.s + q.at, 'e', z.e + q.at)))), q -> q.out))"
     full = f"transform({whole}, (z, i) -> named_struct('s', z.s, 'e', z.e, 't', v.m[i], 'b', right(v.gaps[i], {CONTEXT}), 'a', left(v.gaps[i + 1], {CONTEXT})))"
     empty = "cast(array() as array<struct<s: int, e: int, t: string, b: string, a: string>>)"
