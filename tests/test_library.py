@@ -185,7 +185,7 @@ def test_validation(spark):
     signals = validation.signals(mapping, sample, profiles)
     r = {x.fault: x for x in validation.fault_results(signals).collect()}
     assert r["F1"].critical == ["x"] and r["F1"].normal == ["y"] and r["F1"].num_sensors_checked == 2 and "F3" not in r
-    mapped = spark.createDataFrame([(0, 1, "c", "l", "F1", 1.0, "s", "t"), (0, 2, "c", "l", "F2", 1.0, "s", "t"), (0, 3, "c", "l", "F3", 1.0, "s", "t")], "query_id long, ord int, kg_category string, label string, navic_fault string, kg_score double, source string, node_type string")
+    mapped = spark.createDataFrame([(0, 1, "c", "l", "F1", 1.0, "s", "t"), (0, 2, "c", "l", "F2", 1.0, "s", "t"), (0, 3, "c", "l", "F3", 1.0, "s", "t")], "query_id long, ord int, kg_category string, label string, fault_code string, kg_score double, source string, node_type string")
     res = validation.candidate_faults(mapped, validation.fault_results(signals))
     status = {x.fault: (x.sensor_status, x.sensor_confidence) for x in validation.contradiction(res).collect()}
     assert status["F1"][0] == "Supported" and status["F3"] == ("Contradicted", 0.0)
@@ -263,7 +263,7 @@ def test_diagnose(spark, kb):
 def test_mapping_bonus(spark):
     rows = [(1, 1, "engine misfires", "Fuel System", 2.0, "all", "Symptom"), (1, 2, "odd", "Fuel System", 1.5, "all", "Symptom"), (1, 3, "odd", "Fuel System", 0.5, "all", "Symptom"), (1, 4, "odd", "Steering", 0.4, "all", "Symptom")]
     m = decision.map_faults(spark.createDataFrame(rows, "query_id long, rank int, label string, category string, score double, source string, node_type string")).orderBy("ord").collect()
-    assert [(r.label, r.navic_fault, r.mapping_type, r.mapping_confidence) for r in m] == [("engine misfires", "FAULT_INJ_PRS", "label", 1.0), ("odd", "FAULT_INJ_PRS", "category", 0.92), ("odd", "FAULT_INJ_DUR", "category", 0.72)]
+    assert [(r.label, r.fault_code, r.mapping_type, r.mapping_confidence) for r in m] == [("engine misfires", "FAULT_INJ_PRS", "label", 1.0), ("odd", "FAULT_INJ_PRS", "category", 0.92), ("odd", "FAULT_INJ_DUR", "category", 0.72)]
 
 
 def test_explanations(spark):

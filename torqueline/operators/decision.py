@@ -43,7 +43,7 @@ def category_faults(categories: DataFrame) -> DataFrame:
 
 
 def map_faults(candidates: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """(query_id, ord, kg_category, label, navic_fault, kg_score, source, node_type, mapping_type, mapping_confidence).
+    """(query_id, ord, kg_category, label, fault_code, kg_score, source, node_type, mapping_type, mapping_confidence).
 
     candidates has query_id, rank, label, category, score, source, node_type.  A label's
     anchor goes before its category; each (label, fault) of a query once; ord is the
@@ -55,8 +55,8 @@ def map_faults(candidates: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     options = F.when(F.col("lf").isNotNull(), F.array(F.struct(F.col("lf").alias("fault"), F.lit(1.0).alias("base")))).otherwise(F.col("cf"))
     rows = c.select("*", F.posexplode(options).alias("at", "o"))
     bonus = F.when(F.col("score") >= 2.0, 0.05).when(F.col("score") >= 1.5, 0.02).otherwise(0.0)
-    rows = rows.select("query_id", "rank", "at", F.col("category").alias("kg_category"), "label", F.col("o.fault").alias("navic_fault"), F.col("score").alias("kg_score"), "source", "node_type", F.when(F.col("lf").isNotNull(), "label").otherwise("category").alias("mapping_type"), F.round(F.least(F.col("o.base") + bonus, F.lit(1.0)), 3).alias("mapping_confidence"))
-    once = rows.withColumn("rn", F.row_number().over(Window.partitionBy("query_id", "label", "navic_fault").orderBy("rank", "at"))).where("rn = 1")
+    rows = rows.select("query_id", "rank", "at", F.col("category").alias("kg_category"), "label", F.col("o.fault").alias("fault_code"), F.col("score").alias("kg_score"), "source", "node_type", F.when(F.col("lf").isNotNull(), "label").otherwise("category").alias("mapping_type"), F.round(F.least(F.col("o.base") + bonus, F.lit(1.0)), 3).alias("mapping_confidence"))
+    once = rows.withColumn("rn", F.row_number().over(Window.partitionBy("query_id", "label", "fault_code").orderBy("rank", "at"))).where("rn = 1")
     return once.withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("kg_score"), "rank", "at"))).drop("rn", "rank", "at")
 
 
@@ -66,7 +66,7 @@ def fuse_evidence(candidates: DataFrame, mapped: DataFrame, results: DataFrame)
     A candidate takes the best positive sensor confidence among its label's faults;
     the mapping's own confidence stays out, as in the reference (0.20 for all).
     """
-    r = mapped.select("query_id", "label", F.col("navic_fault").alias("fault"), F.col("ord").alias("mo")).join(results.select("query_id", "fault", "sensor_confidence", "critical", "warning", "normal"), ["query_id", "fault"]).where("sensor_confidence > 0")
+    r = mapped.select("query_id", "label", F.col("fault_code").alias("fault"), F.col("ord").alias("mo")).join(results.select("query_id", "fault", "sensor_confidence", "critical", "warning", "normal"), ["query_id", "fault"]).where("sensor_confidence > 0")
     best = r.groupBy("query_id", "label").agg(F.max_by(F.struct("sensor_confidence", "critical", "warning", "normal"), F.struct("sensor_confidence", -F.col("mo"))).alias("s"))
     c = candidates.join(best, ["query_id", "label"], "left")
     conf, kg = F.coalesce("s.sensor_confidence", F.lit(0.0)), S.rescaled(F.col("score"))
@@ -87,7 +87,7 @@ def decide(queries: DataFrame, fused: DataFrame, mapped: DataFrame, results: Dat
     """
     named = fused.where("trim(coalesce(label, '')) <> ''")
     tops = named.groupBy("query_id").agg(F.reverse(F.array_sort(F.collect_list("score"))).alias("scores"), F.min_by("label", "ord").alias("top_label"))
-    first = mapped.groupBy("query_id", "label").agg(F.min_by("navic_fault", "ord").alias("top_fault"), F.max_by(F.struct("navic_fault", "mapping_type"), "ord").alias("last"))
+    first = mapped.groupBy("query_id", "label").agg(F.min_by("fault_code", "ord").alias("top_fault"), F.max_by(F.struct("fault_code", "mapping_type"), "ord").alias("last"))
     conf = results.select("query_id", "fault", "sensor_confidence")
     words = F.filter(F.split("text", "\\s+"), lambda w: w != "")
     matched = F.array_distinct(F.flatten(F.transform("entities", lambda e: F.filter(F.split(e["label"], "\\s+"), lambda w: w != ""))))
@@ -100,10 +100,10 @@ def decide(queries: DataFrame, fused: DataFrame, mapped: DataFrame, results: Dat
     q = q.drop("scores", "original", "matched", "top_label", "top_conf")
     from .validation import contradiction
 
-    status = contradiction(results).select("query_id", F.col("fault").alias("navic_fault"), F.col("sensor_confidence").alias("fc"), "sensor_status", "critical", "warning", "normal")
-    own = named.join(first.select("query_id", "label", "last.*"), ["query_id", "label"], "left").join(status, ["query_id", "navic_fault"], "left").join(q.select("query_id", "mode", "separation", "coverage"), "query_id")
+    status = contradiction(results).select("query_id", F.col("fault").alias("fault_code"), F.col("sensor_confidence").alias("fc"), "sensor_status", "critical", "warning", "normal")
+    own = named.join(first.select("query_id", "label", "last.*"), ["query_id", "label"], "left").join(status, ["query_id", "fault_code"], "left").join(q.select("query_id", "mode", "separation", "coverage"), "query_id")
     own = own.withColumn("confidence", S.confidence(S.calibrated(F.col("score"), s), F.col("separation"), F.col("coverage"), S.sensor_boost(F.coalesce("fc", F.lit(0.0)), s), s))
-    own = own.withColumns({"navic_fault": F.coalesce("navic_fault", F.lit("")), "mapping_type": F.coalesce("mapping_type", F.lit("")), "sensor_status": F.coalesce("sensor_status", F.lit("No Evidence")), "sensor_confidence": F.coalesce("fc", F.lit(0.0))}).drop("fc")
+    own = own.withColumns({"fault_code": F.coalesce("fault_code", F.lit("")), "mapping_type": F.coalesce("mapping_type", F.lit("")), "sensor_status": F.coalesce("sensor_status", F.lit("No Evidence")), "sensor_confidence": F.coalesce("fc", F.lit(0.0))}).drop("fc")
     shown = S.in_band(F.col("confidence"), F.col("mode"), s)
     place = F.row_number().over(Window.partitionBy("query_id", shown).orderBy(F.desc("confidence"), "ord"))
     return q, own.withColumn("display_rank", F.when(shown & (place <= 5), place)).drop("mode", "separation", "coverage")
@@ -111,16 +111,16 @@ def decide(queries: DataFrame, fused: DataFrame, mapped: DataFrame, results: Dat
 
 def sensor_evidence(annotated: DataFrame) -> DataFrame:
     """(query_id, fault, status, critical, warning, normal, sensor_confidence): once for each displayed fault."""
-    w = Window.partitionBy("query_id", "navic_fault").orderBy("display_rank")
+    w = Window.partitionBy("query_id", "fault_code").orderBy("display_rank")
     none = EMPTY().cast("array<string>")
-    one = annotated.where("display_rank is not null and navic_fault <> ''").withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    return one.select("query_id", F.col("navic_fault").alias("fault"), F.col("sensor_status").alias("status"), *[F.coalesce(c, none).alias(c) for c in ("critical", "warning", "normal")], "sensor_confidence")
+    one = annotated.where("display_rank is not null and fault_code <> ''").withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    return one.select("query_id", F.col("fault_code").alias("fault"), F.col("sensor_status").alias("status"), *[F.coalesce(c, none).alias(c) for c in ("critical", "warning", "normal")], "sensor_confidence")
 
 
 def reasoning_chain(queries: DataFrame, candidates: DataFrame, mapped: DataFrame, decided: DataFrame) -> DataFrame:
     """(query_id, reasoning_chain): array of (step, detail, metrics as JSON); a sixth step where the mode is AMBIGUOUS."""
     c = candidates.groupBy("query_id").agg(F.count("*").alias("n_candidates"), F.min_by(F.struct("label", "score", "source"), "rank").alias("top"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "label", "score", "source", "found_by"))), lambda x: x.dropFields("rank")).alias("provenance"))
-    m = mapped.groupBy("query_id").agg(F.count("*").alias("n_mapped"), F.count_if(F.col("mapping_type") == "label").alias("n_label"), F.count_if(F.col("mapping_type") == "category").alias("n_category"), F.min_by(F.struct("label", "navic_fault", "mapping_type"), "ord").alias("topm"))
+    m = mapped.groupBy("query_id").agg(F.count("*").alias("n_mapped"), F.count_if(F.col("mapping_type") == "label").alias("n_label"), F.count_if(F.col("mapping_type") == "category").alias("n_category"), F.min_by(F.struct("label", "fault_code", "mapping_type"), "ord").alias("topm"))
     d = decided.drop("entities", "text")
     r = queries.select("query_id", "text", "intent", "entities", "expansion_terms").join(c, "query_id", "left").join(m, "query_id", "left").join(d, "query_id")
     labels = F.transform(F.slice("entities", 1, 5), lambda e: e["label"])
@@ -132,7 +132,7 @@ def reasoning_chain(queries: DataFrame, candidates: DataFrame, mapped: DataFrame
     base = F.array(
         step("Query Analysis", cat('User query: "', F.col("text"), '". Detected intent: ', F.col("intent"), ". ", F.when(F.size("entities") > 0, cat("KG entities identified: ", F.array_join(labels, ", "), ".")).otherwise("No KG entities identified from the query.")), js(original_query=F.col("text"), intent=F.col("intent"), entity_count=F.size("entities"), entity_labels=labels)),
         step("Knowledge Graph Retrieval", cat("Retrieved ", count("n_candidates"), " candidate(s). ", F.when(F.col("n_candidates") > 0, cat('Top: "', F.col("top.label"), '" (score: ', f3("top.score"), ", source: ", F.col("top.source"), ").")).otherwise("No candidates found.")), js(candidate_count=F.coalesce("n_candidates", F.lit(0)), top_candidate=F.col("top.label"), top_score=F.col("top.score"), provenance=F.col("provenance"))),
-        step("Fault Mapping", F.when(F.col("n_mapped") > 0, cat("Mapped ", count("n_mapped"), " fault(s): ", count("n_label"), " direct label match(es), ", count("n_category"), ' category fallback(s). Top: "', F.col("topm.label"), '" → ', F.col("topm.navic_fault"), " (", F.col("topm.mapping_type"), ").")).otherwise("No faults could be mapped from the retrieved candidates."), js(mapped_count=F.coalesce("n_mapped", F.lit(0)), label_mapped=F.coalesce("n_label", F.lit(0)), category_mapped=F.coalesce("n_category", F.lit(0)), top_mapping=F.col("topm"))),
+        step("Fault Mapping", F.when(F.col("n_mapped") > 0, cat("Mapped ", count("n_mapped"), " fault(s): ", count("n_label"), " direct label match(es), ", count("n_category"), ' category fallback(s). Top: "', F.col("topm.label"), '" → ', F.col("topm.fault_code"), " (", F.col("topm.mapping_type"), ").")).otherwise("No faults could be mapped from the retrieved candidates."), js(mapped_count=F.coalesce("n_mapped", F.lit(0)), label_mapped=F.coalesce("n_label", F.lit(0)), category_mapped=F.coalesce("n_category", F.lit(0)), top_mapping=F.col("topm"))),
         step("Confidence Calculation", cat("Retrieval calibration: ", f3("calibrated_retrieval"), " (raw: ", f3("raw_retrieval_score"), "). Separation: ", f3("separation"), ". Coverage: ", f3("coverage"), ". ", F.when(F.col("sensor_boost") > 0, cat("Sensor boost: +", f3("sensor_boost"), ". ")).otherwise(""), "Final confidence: ", f3("confidence"), "."), js(raw_retrieval_score=F.col("raw_retrieval_score"), calibrated_retrieval=F.col("calibrated_retrieval"), separation=F.col("separation"), coverage=F.col("coverage"), sensor_boost=F.col("sensor_boost"), final_confidence=F.col("confidence"))),
         step("Mode Determination", cat("Confidence ", f3("confidence"), " ", F.when(F.col("mode") == "EXTRACTED", ">= 0.30").otherwise("< 0.30"), " → mode: ", F.col("mode"), "."), js(mode=F.col("mode"), confidence=F.col("confidence"), threshold_applied=F.when(F.col("mode") == "EXTRACTED", ">= 0.30").otherwise("< 0.30"))),
     )

@@ -34,7 +34,7 @@ def fault_results(signals: DataFrame) -> DataFrame:
 
 def candidate_faults(mapped: DataFrame, results: DataFrame) -> DataFrame:
     """One result for each mapped fault of a query, with the metadata of the fault's last candidate; no sensors, confidence 0."""
-    last = mapped.groupBy("query_id", F.col("navic_fault").alias("fault")).agg(F.max_by(F.struct("kg_category", "kg_score", "label", "node_type", "source"), "ord").alias("m"))
+    last = mapped.groupBy("query_id", F.col("fault_code").alias("fault")).agg(F.max_by(F.struct("kg_category", "kg_score", "label", "node_type", "source"), "ord").alias("m"))
     r = last.join(results, "fault", "left").select("query_id", "fault", "m.*", *[c for c in results.columns if c != "fault"])
     empty = F.array().cast("array<string>")
     return r.withColumns({"sensor_confidence": F.coalesce("sensor_confidence", F.lit(0.0))} | {c: F.coalesce(c, empty) for c in ("critical", "warning", "normal")})

@@ -65,9 +65,9 @@ def diagnose(queries: DataFrame, kb: KnowledgeBase, mapping: DataFrame | None =
     decided, annotated = map(cut, decision.decide(q, fused, mapped, results, s))
     chain = decision.reasoning_chain(q, candidates, mapped, decided)
     shown = annotated.where("display_rank is not null")
-    top = shown.where("display_rank = 1").select("query_id", F.col("label").alias("top_label"), F.col("navic_fault").alias("fault"), "category", "subcategory")
+    top = shown.where("display_rank = 1").select("query_id", F.col("label").alias("top_label"), F.col("fault_code").alias("fault"), "category", "subcategory")
     steps = decision.inspection_steps(kb.nodes, kb.edges)
-    listed = shown.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("display_rank", "label", "confidence", "source", "navic_fault", "sensor_status"))), lambda c: c.dropFields("display_rank")).alias("display_candidates"))
+    listed = shown.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("display_rank", "label", "confidence", "source", "fault_code", "sensor_status"))), lambda c: c.dropFields("display_rank")).alias("display_candidates"))
     report = decided.drop("entities").withColumnRenamed("text", "query_text").join(top, "query_id", "left").join(steps, "subcategory", "left").join(listed, "query_id", "left").join(chain, "query_id", "left")
     words = F.array_join(F.slice(F.filter(F.split("query_text", "\\s+"), lambda w: w != ""), 1, 5), ", ")
     extracted = F.col("mode") == "EXTRACTED"

@@ -88,7 +88,7 @@ def community_index(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def profiles(spark: SparkSession, path: str) -> DataFrame:
-    """(speed, condition, sensor, statistics) from profile files INCA_SPEED_<speed>_<condition>.json; no files, no rows."""
+    """(speed, condition, sensor, statistics) from profile files named ...SPEED_<speed>_<condition>.json; no files, no rows."""
     j = _json(spark, path, PROFILE).select("file", F.explode("j").alias("sensor", "p"))
     key = r"SPEED_(\d+)_(.+)\.json$"
     return j.select(F.regexp_extract("file", key, 1).cast("int").alias("speed"), F.regexp_extract("file", key, 2).alias("condition"), "sensor", "p.*")
