@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions.text import clean_category, label_match, label_stems, normalized_label
+from .. import texts as TX
 from ..presets import ANCHORS, CATEGORY_FAULTS, DEFAULTS, Settings
 
 EMPTY = F.array
@@ -130,13 +131,13 @@ def reasoning_chain(queries: DataFrame, candidates: DataFrame, mapped: DataFrame
     cat = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
     count = lambda x: F.coalesce(x, F.lit(0)).cast("string")
     base = F.array(
-        step("Query Analysis", cat('User query: "', F.col("text"), '". Detected intent: ', F.col("intent"), ". ", F.when(F.size("entities") > 0, cat("KG entities identified: ", F.array_join(labels, ", "), ".")).otherwise("No KG entities identified from the query.")), js(original_query=F.col("text"), intent=F.col("intent"), entity_count=F.size("entities"), entity_labels=labels)),
+        step("Query Analysis", cat('User query: "', F.col("text"), '". Detected intent: ', F.col("intent"), ". ", F.when(F.size("entities") > 0, cat("KG entities identified: ", F.array_join(labels, ", "), ".")).otherwise(TX.NO_ENTITIES)), js(original_query=F.col("text"), intent=F.col("intent"), entity_count=F.size("entities"), entity_labels=labels)),
         step("Knowledge Graph Retrieval", cat("Retrieved ", count("n_candidates"), " candidate(s). ", F.when(F.col("n_candidates") > 0, cat('Top: "', F.col("top.label"), '" (score: ', f3("top.score"), ", source: ", F.col("top.source"), ").")).otherwise("No candidates found.")), js(candidate_count=F.coalesce("n_candidates", F.lit(0)), top_candidate=F.col("top.label"), top_score=F.col("top.score"), provenance=F.col("provenance"))),
-        step("Fault Mapping", F.when(F.col("n_mapped") > 0, cat("Mapped ", count("n_mapped"), " fault(s): ", count("n_label"), " direct label match(es), ", count("n_category"), ' category fallback(s). Top: "', F.col("topm.label"), '" → ', F.col("topm.fault_code"), " (", F.col("topm.mapping_type"), ").")).otherwise("No faults could be mapped from the retrieved candidates."), js(mapped_count=F.coalesce("n_mapped", F.lit(0)), label_mapped=F.coalesce("n_label", F.lit(0)), category_mapped=F.coalesce("n_category", F.lit(0)), top_mapping=F.col("topm"))),
+        step("Fault Mapping", F.when(F.col("n_mapped") > 0, cat("Mapped ", count("n_mapped"), " fault(s): ", count("n_label"), " direct label match(es), ", count("n_category"), ' category fallback(s). Top: "', F.col("topm.label"), '" → ', F.col("topm.fault_code"), " (", F.col("topm.mapping_type"), ").")).otherwise(TX.NO_FAULTS), js(mapped_count=F.coalesce("n_mapped", F.lit(0)), label_mapped=F.coalesce("n_label", F.lit(0)), category_mapped=F.coalesce("n_category", F.lit(0)), top_mapping=F.col("topm"))),
         step("Confidence Calculation", cat("Retrieval calibration: ", f3("calibrated_retrieval"), " (raw: ", f3("raw_retrieval_score"), "). Separation: ", f3("separation"), ". Coverage: ", f3("coverage"), ". ", F.when(F.col("sensor_boost") > 0, cat("Sensor boost: +", f3("sensor_boost"), ". ")).otherwise(""), "Final confidence: ", f3("confidence"), "."), js(raw_retrieval_score=F.col("raw_retrieval_score"), calibrated_retrieval=F.col("calibrated_retrieval"), separation=F.col("separation"), coverage=F.col("coverage"), sensor_boost=F.col("sensor_boost"), final_confidence=F.col("confidence"))),
         step("Mode Determination", cat("Confidence ", f3("confidence"), " ", F.when(F.col("mode") == "EXTRACTED", ">= 0.30").otherwise("< 0.30"), " → mode: ", F.col("mode"), "."), js(mode=F.col("mode"), confidence=F.col("confidence"), threshold_applied=F.when(F.col("mode") == "EXTRACTED", ">= 0.30").otherwise("< 0.30"))),
     )
-    gap = step("Symptom Gap Analysis", F.when(F.size("entities") == 0, "No direct KG concepts matched the user's description. Providing additional symptoms may help find relevant fault patterns.").otherwise(cat("Identified ", F.size("entities").cast("string"), " KG concept(s), expanded to ", F.size("expansion_terms").cast("string"), " related terms. Additional symptoms may help narrow the diagnosis.")), js(entity_count=F.size("entities"), expansion_count=F.size("expansion_terms")))
+    gap = step("Symptom Gap Analysis", F.when(F.size("entities") == 0, TX.NO_CONCEPTS).otherwise(cat("Identified ", F.size("entities").cast("string"), " KG concept(s), expanded to ", F.size("expansion_terms").cast("string"), TX.MORE_SYMPTOMS)), js(entity_count=F.size("entities"), expansion_count=F.size("expansion_terms")))
     return r.select("query_id", F.when(F.col("mode") == "AMBIGUOUS", F.concat(base, F.array(gap))).otherwise(base).alias("reasoning_chain"))
 
 
@@ -151,7 +152,7 @@ def sensor_detail(evidence: DataFrame, dictionary: DataFrame) -> DataFrame:
     rows = evidence.select("query_id", "fault", F.posexplode(F.concat(F.transform("critical", lambda s: F.struct(F.lit("CRITICAL").alias("l"), s.alias("sensor"))), F.transform("warning", lambda s: F.struct(F.lit("WARNING").alias("l"), s.alias("sensor"))))).alias("at", "x")).select("query_id", "fault", "at", "x.*")
     text = F.concat("display_name", F.lit(" ("), "sensor", F.lit("): "), "l", F.when(F.col("description") != "", F.concat(F.lit(" — "), "description")).otherwise(""))
     flagged = enriched(rows, dictionary).groupBy("query_id", "fault").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", text.alias("t")))), lambda x: x["t"]), "; ").alias("d"))
-    return evidence.select("query_id", "fault").join(flagged, ["query_id", "fault"], "left").select("query_id", "fault", F.coalesce("d", F.lit("All sensor readings are within the normal range.")).alias("detail"))
+    return evidence.select("query_id", "fault").join(flagged, ["query_id", "fault"], "left").select("query_id", "fault", F.coalesce("d", F.lit(TX.ALL_NORMAL)).alias("detail"))
 
 
 def diagnosis_summary(mode, label, category, subcategory, symptoms, detail):
@@ -159,21 +160,21 @@ def diagnosis_summary(mode, label, category, subcategory, symptoms, detail):
     parts = F.concat_ws(
         "\n\n",
         F.concat(F.lit("**Diagnosis:** "), label),
-        F.when((F.coalesce(category, F.lit("")) != "") & (F.coalesce(subcategory, F.lit("")) != ""), F.concat(F.lit("This fault falls under **"), subcategory, F.lit("** in the **"), category, F.lit("** system."))),
-        F.when(F.coalesce(symptoms, F.lit("")) != "", F.concat(F.lit("The reported symptoms ("), symptoms, F.lit(") are consistent with this type of fault."))),
+        F.when((F.coalesce(category, F.lit("")) != "") & (F.coalesce(subcategory, F.lit("")) != ""), F.concat(F.lit(TX.FALLS_UNDER), subcategory, F.lit("** in the **"), category, F.lit("** system."))),
+        F.when(F.coalesce(symptoms, F.lit("")) != "", F.concat(F.lit("The reported symptoms ("), symptoms, F.lit(TX.CONSISTENT))),
         F.when(F.coalesce(detail, F.lit("")) != "", F.concat(F.lit("**Sensor status:** "), detail)),
     )
     return F.when((mode == "EXTRACTED") & (F.coalesce(label, F.lit("")) != ""), parts).otherwise("")
 
 
-DISCLAIMER = "---\n⚠ AI-ASSISTED ANALYSIS — NOT A DIAGNOSIS\nThis response is generated by an AI language model and is NOT a knowledge-graph-derived diagnosis. It should be treated as general informational guidance only."
+DISCLAIMER = TX.DISCLAIMER
 
 
 def assisted_text(symptoms, candidates):
     """Guidance from the first three candidates (label, source), or from none, always with the disclaimer."""
     lines = F.array_join(F.transform(F.slice(candidates, 1, 3), lambda c: F.concat(F.lit("- **"), c["label"], F.lit("** — found via "), c["source"], F.lit(" retrieval."))), "\n")
-    some = F.concat(F.lit("here is what the knowledge graph suggests:\n\n"), lines, F.lit("\n\nThese are the closest matches in the knowledge base, but none had sufficient confidence for a definitive diagnosis. Consider consulting a mechanic for hands-on inspection."))
-    none = F.lit("here is what the knowledge graph suggests:\n\nNo closely related fault patterns were found in the knowledge base. The described symptoms do not match known patterns. Consider consulting a mechanic for a professional diagnosis.")
+    some = F.concat(F.lit(TX.SUGGESTS), lines, F.lit(TX.CLOSEST))
+    none = F.lit(TX.SUGGESTS + TX.NOTHING)
     return F.concat(F.lit('Based on the symptoms "'), symptoms, F.lit('", '), F.when(F.size(candidates) > 0, some).otherwise(none), F.lit("\n\n" + DISCLAIMER))
 
 

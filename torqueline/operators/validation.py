@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import texts as TX
 from ..functions.scores import describe_z, sensor_status, signed_change, similarity, z_score
 
 
@@ -52,18 +53,18 @@ def interpretations(signals: DataFrame, dictionary: DataFrame, mapping: DataFram
     keys = ["fault", "speed", "sensor"]
     facts = flagged.join(mapping.select(*keys, F.col("importance_score").alias("imp"), F.col("effect_size").alias("es")), keys, "left").join(compared.select(*keys, F.col("effect_size").alias("cmp_effect")), keys, "left")
     gap = F.col("current_value") - F.col("nominal_mean")
-    abnormal = F.format_string("Current reading (%.2f) is %s the nominal mean (%.2f) by %.2f. with a z-score of %.1f (%s the normal band). a %+.1f%% shift from nominal.", F.col("current_value"), F.when(gap > 0, "above").otherwise("below"), F.col("nominal_mean"), F.abs(gap), F.col("z_score"), describe_z(F.col("z_score")), F.col("percent_change"))
-    weight = F.when(F.col("imp") > 0.8, "It is a primary diagnostic indicator for ").when(F.col("imp") > 0.5, "It has moderate diagnostic relevance to ").otherwise("It has minor diagnostic relevance to ")
+    abnormal = F.format_string(TX.ABNORMAL, F.col("current_value"), F.when(gap > 0, "above").otherwise("below"), F.col("nominal_mean"), F.abs(gap), F.col("z_score"), describe_z(F.col("z_score")), F.col("percent_change"))
+    weight = F.when(F.col("imp") > 0.8, TX.PRIMARY).when(F.col("imp") > 0.5, TX.MODERATE).otherwise(TX.MINOR)
     relevance = F.concat_ws(" ", F.when(F.col("description") != "", F.col("description")), F.when(F.col("imp").isNotNull(), F.concat(weight, F.col("fault"), F.format_string(" (importance %.2f).", "imp"))), F.when(F.col("es").isNotNull(), F.format_string("Effect size %.2f sigma.", "es")))
-    close = F.when(F.col("sensor_confidence") > 0.8, "The reading closely matches the expected profile for this fault type.").when(F.col("sensor_confidence") > 0.5, "The reading shows partial alignment with the fault profile.").otherwise("The reading does not closely match the expected fault profile, reducing diagnostic confidence.")
+    close = F.when(F.col("sensor_confidence") > 0.8, TX.CLOSE).when(F.col("sensor_confidence") > 0.5, TX.PARTIAL).otherwise(TX.FAR)
     primary, critical = F.coalesce(F.col("imp") > 0.8, F.lit(False)), F.col("status") == "CRITICAL"
     lead = (
-        F.when(critical & primary, F.lit("Strongly confirms the diagnosis. The deviation is both severe and directly relevant to the predicted fault mechanism."))
-        .when(critical, F.concat(F.lit("Provides supporting evidence. The deviation is severe, though this sensor is not a top-ranked diagnostic indicator for "), F.col("fault"), F.lit(".")))
-        .when(primary, F.concat(F.lit("Lends weight to the diagnosis. The sensor is diagnostically important for "), F.col("fault"), F.lit(" but the deviation magnitude is moderate.")))
-        .otherwise(F.concat(F.lit("Offers minor supporting context. The deviation is moderate and the sensor is not a primary indicator for "), F.col("fault"), F.lit(".")))
+        F.when(critical & primary, F.lit(TX.CONFIRMS))
+        .when(critical, F.concat(F.lit(TX.SUPPORTS), F.col("fault"), F.lit(".")))
+        .when(primary, F.concat(F.lit(TX.LENDS), F.col("fault"), F.lit(TX.LENDS_END)))
+        .otherwise(F.concat(F.lit(TX.OFFERS), F.col("fault"), F.lit(".")))
     )
-    return facts.select("sample_id", *keys, "display_name", F.col("status").alias("severity"), abnormal.alias("abnormality"), F.when(relevance == "", "No additional diagnostic context is available for this sensor.").otherwise(relevance).alias("relevance"), F.concat_ws(" ", lead, close).alias("contribution"))
+    return facts.select("sample_id", *keys, "display_name", F.col("status").alias("severity"), abnormal.alias("abnormality"), F.when(relevance == "", TX.NO_CONTEXT).otherwise(relevance).alias("relevance"), F.concat_ws(" ", lead, close).alias("contribution"))
 
 
 def contradiction(results: DataFrame) -> DataFrame:
