@@ -3,6 +3,7 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +151,20 @@ def test_vector_topk(spark):
     assert similarity.vector_topk(v, v.limit(0).withColumnRenamed("id", "query_id"), 4).count() == 0
 
 
+def test_vector_topk_near_copies(spark):
+    v = spark.createDataFrame([(i, [1.0 + i * 1e-7]) for i in range(30)] + [(50, [0.5])], "id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(0, [1.0])], "query_id long, embedding array<double>")
+    assert [(r.rank, r.id, r.raw_score) for r in similarity.vector_topk(v, q, 4).orderBy("rank").collect()] == [(i + 1, i, 1.0) for i in range(4)]
+    variants = q.withColumn("variant_id", F.lit(7).cast("long"))
+    assert [r.id for r in similarity.multi_query_topk(v, variants, 4).orderBy("rank").collect()] == [0, 1, 2, 3]
+
+
+def test_rounding_agrees_with_the_engine(spark):
+    x = [0.00005, 0.00015, -0.00005, 1.00005, 2.67485, -2.67485, 0.1 + 0.2, 1234.56785, 0.99995, 1e-9, -1e-9, 0.0, 3e17, 123456789.00005]
+    want = [r.y for r in spark.createDataFrame([(a,) for a in x], "x double").select(F.round("x", 4).alias("y")).collect()]
+    assert similarity.rounded_half_up(np.array(x), 4).tolist() == want
+
+
 def test_cleaning(spark):
     rows = [("a", i, x) for i, x in enumerate([None, 1.0, None, None, 4.0, float("nan"), None])] + [("b", i, 7.0) for i in range(4)] + [("c", i, None) for i in range(3)]
     r = profiling.cleaned(spark.createDataFrame(rows, "sensor string, row_idx int, value double"), ["sensor"])

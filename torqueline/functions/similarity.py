@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
@@ -16,12 +17,23 @@ from pyspark.sql.types import DoubleType
 QUERY_BYTES = 32 << 20
 
 
+def rounded_half_up(x: np.ndarray, dp: int) -> np.ndarray:
+    """x to ``dp`` places as ``F.round`` does it: half up on the shortest decimal of each number."""
+    scale = 10.0**dp
+    size = np.abs(x) * scale
+    out = np.sign(x) * np.floor(size + 0.5) / scale
+    for i in np.flatnonzero(np.abs(size - np.floor(size) - 0.5) < 1e-5):  # the product's own error could decide these
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-dp), ROUND_HALF_UP))
+    return np.where(size < 2.0**52, out, x) + 0.0
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, dp: int = 4) -> DataFrame:
-    """(query_id, id, raw_score, rank): the k largest dot products of each query, ties by id.
+    """(query_id, id, raw_score, rank): the k largest dot products of each query, rounded to ``dp`` places, ties by id.
 
     vectors has id and embedding, queries query_id and embedding.  Queries go to the
     tasks in blocks of bounded size; each task multiplies its vectors by a block and
-    passes on its own k best for each query, so no row for every pair is made.
+    passes on its own k best for each query, so no row for every pair is made.  Scores
+    are rounded before anything is ranked, so that a batch keeps what the whole would.
     """
     width = max(len((queries.select("embedding").first() or [[]])[0]), 1)
     per_pass = max(QUERY_BYTES // (8 * width), 1)
@@ -39,6 +51,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, dp: int = 4) ->
                 own = np.array(b.column(0).to_pylist(), np.int64)
                 score = q @ x.T
                 for i, s in enumerate(score):
+                    s = rounded_half_up(s, dp)
                     top = np.lexsort((own, -s))[:k]
                     yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(top), pa.int64()), pa.array(own[top]), pa.array(s[top])], ["query_id", "id", "score"])
 
@@ -54,7 +67,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, dp: int = 4) ->
             return vectors.sparkSession.createDataFrame([], "query_id long, id long, raw_score double, rank int")
         out = one_pass(ids, block) if out is None else out.union(one_pass(ids, block))
     w = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "id")
-    return out.select("query_id", "id", F.round("score", dp).alias("raw_score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.select("query_id", "id", F.col("score").alias("raw_score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def multi_query_topk(vectors: DataFrame, variants: DataFrame, k: int) -> DataFrame:
