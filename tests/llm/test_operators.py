@@ -281,6 +281,14 @@ def test_fingerprints_are_sums(spark):
     assert list(q.et) == [(a + b) % 2**32 for a, b in zip(q.ex, q.ey, strict=True)] and list(q.lt) == [a + b for a, b in zip(q.lx, q.ly, strict=True)]
 
 
+def test_fingerprint_counters_hold_long_texts(spark):
+    """1,100,000 equal pieces pass 2**20, and 2,200,000 different ones pass it in every counter."""
+    rows = spark.range(1).select(F.expr("repeat('a,', 1100000)").alias("t"), F.expr("array_join(transform(sequence(1, 2200000), i -> concat('w', i, ',')), '')").alias("u"))
+    got = rows.select(F.expr(fingerprints.like_part("t")).alias("t"), F.expr(fingerprints.like_part("u")).alias("u")).select(F.expr(fingerprints.signed("t")).alias("t"), F.expr(fingerprints.signed("u")).alias("u")).first()
+    assert {abs(x) for x in got.t} == {1_100_000.0}
+    assert max(map(abs, got.u)) < 6 * 2_200_000**0.5
+
+
 def test_preferences(spark):
     rows = [
         (1, True, 0, "user", "hi"), (1, True, 1, "assistant", "good é"), (1, False, 0, "user", "hi"), (1, False, 1, "assistant", "bad"), (1, False, 2, "user", "x"),

@@ -4,8 +4,8 @@ A fingerprint is a sum over the text's paragraphs (lines), so it doesn't depend
 order, and a paragraph is inserted or deleted by adding or subtracting its own.  It has
 two parts.  EQUAL lanes sum a 32-bit hash of each whole paragraph modulo 2**32.  The
 LIKE part sums, for each short piece of a paragraph (up to eight words, ending at
-punctuation), the bits of its hashes, three counters of 20 bits to a word, modulo 2**60:
-a random +-1 projection of the multiset of pieces, so the cosine of two such vectors
+punctuation), the bits of its hashes, two counters of 30 bits to a word, modulo 2**60: a
+piece takes two bytes or more and a string less than 2**31, so no counter can carry.  It is a random +-1 projection of the multiset of pieces, so the cosine of two such vectors
 estimates how alike two texts are.
 
 Neighbours in the order of ids are found on ids alone (range partitions, then the
@@ -18,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lanes of the first part; hashes of a piece, and words of 3 x 20 bits that each fills.
-EQUAL, SEEDS, WORDS = 8, 3, 20
-_MASK = 1 | 1 << 20 | 1 << 40
+#: Lanes of the first part; hashes of a piece, and words of PER_WORD counters that each fills.
+EQUAL, SEEDS, WORDS = 8, 3, 30
+PER_WORD, BITS = 2, 30
+_MASK = 1 | 1 << BITS
 _PIECE = r"(?:[^\s.,;:!?|]+[ \t]*){1,8}[.,;:!?|]*"
 
 
@@ -46,7 +47,7 @@ def text_of(equal: str, like: str) -> Column:
 def signed(like: str) -> str:
     """SQL of the vector of a LIKE part: twice each counter less the pieces."""
     n = SEEDS * WORDS
-    return f"transform(sequence(0, {3 * n - 1}), i -> cast(2 * (shiftrightunsigned({like}[i div 3], 20 * cast(i % 3 as int)) & 1048575) - {like}[{n}] as double))"
+    return f"transform(sequence(0, {PER_WORD * n - 1}), i -> cast(2 * (shiftrightunsigned({like}[i div {PER_WORD}], {BITS} * cast(i % {PER_WORD} as int)) & {(1 << BITS) - 1}) - {like}[{n}] as double))"
 
 
 def likeness(a: str, b: str) -> Column:
