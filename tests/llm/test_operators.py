@@ -5,6 +5,7 @@ import json
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -102,6 +103,13 @@ def test_repeated_spans_odd_rows(spark, empty):
     assert got == [(0, 20, 0), (7, 20, 0), (7, 20, 0), (8, 0, 0), (9, 21, 20)]
 
 
+def test_minimizer_counts_have_rare_ones():
+    text = " ".join(f"w{i}" for i in range(13))
+    piece = lambda *ids: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([text] * len(ids))], ["doc_id", "text"])
+    found = [b for ids in ([1, 2], [3]) for b in repeated_spans._common(13)(iter([piece(*ids)]))]
+    assert [b.column(1).to_pylist() for b in found] == [[2], [1]] and found[0].column(0) == found[1].column(0)
+
+
 def test_contamination(spark, docs, texts, empty):
     items = {1: texts[211], 2: texts[211][:60].upper(), 10: "One", 3: None, 4: "...", 5: "never seen words", 6: "a b", 7: "a b", 8: "é è ü"}
     bench = spark.createDataFrame([*items.items(), (None, "one")], "item_id long, text string")

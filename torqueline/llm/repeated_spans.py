@@ -11,8 +11,8 @@ are merged per document.
 Before the shuffle each piece of a task settles its own repeats: only the smallest
 document of a piece stays a contender for a window, so a passage that a third of all
 documents share costs one row for each piece.  Minimizers that very many documents
-have (HOT or more, counted over all documents) are split further: their paths travel
-as single windows with keys of their own.  The reducers read sorted rows as a stream.
+have (HOT or more, counted over all documents: pieces pass on all their counts, rare
+ones too) are split further: their paths travel as single windows with keys of their own.  The reducers read sorted rows as a stream.
 """
 
 from __future__ import annotations
@@ -76,8 +76,7 @@ def _common(size: int):
             low, owner = low[new], owner[new]
             _, once = np.unique(low ^ mix(owner.astype(_U) + _U(1)), return_index=True)
             found, k = np.unique(low[once], return_counts=True)
-            often = k >= 3
-            yield batch(["key", "k"], [found[often].view(np.int64), k[often].astype(np.int64)])
+            yield batch(["key", "k"], [found.view(np.int64), k.astype(np.int64)])
 
     return run
 
