@@ -142,6 +142,13 @@ def test_languages(spark, empty):
     assert stay.columns == ["doc_id", "text", "lang", "c1"] and stay.count() == docs.count() + 2 and stay.where("lang is null").count() == 0
 
 
+def test_only_learned_languages_stay(spark):
+    rows = [(i, "the cat and the dog are in the house", "en") for i in (0, 1, 2)]  # 5, 100 and 102 are held out
+    rows += [(100, "привет мир", None), (5, "你好 世界", "en"), (102, "the house", None)]
+    kept = language_id.in_a_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {(r.doc_id, r.lang) for r in kept.collect()} == {(i, "en") for i in (0, 1, 2, 102)}
+
+
 def test_language_counts_match_brute_force():
     text = "Été, et l'été 42 à la mer"
     clean = " été et l été à la mer "

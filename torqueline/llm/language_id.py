@@ -171,10 +171,11 @@ def identify_languages(docs: DataFrame, size: int = PROFILE) -> DataFrame:
 def in_a_language(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     """Rows of docs whose text is in a learned language; a null lang becomes the prediction.
 
-    Rejected are texts without any letter (null, empty, only signs); all columns stay.
+    Rejected are texts without any letter (null, empty, only signs) and texts of which no
+    profile holds an n-gram (fit 0, as in a script that wasn't learned); all columns stay.
     """
     found = with_languages(docs, learn(docs, size))
     n = len(docs.columns)
-    kept = found.where(F.col(f"c{n}") != UNKNOWN)
+    kept = found.where((F.col(f"c{n}") != UNKNOWN) & (F.col(f"c{n + 2}") > 0))
     value = lambda i, c: F.coalesce(F.col(f"c{i}"), F.col(f"c{n}")) if c == "lang" else F.col(f"c{i}")
     return kept.select(*[value(i, c).alias(c) for i, c in enumerate(docs.columns)])
