@@ -4,8 +4,9 @@ A fingerprint is a sum over the text's paragraphs (lines), so it doesn't depend
 order, and a paragraph is inserted or deleted by adding or subtracting its own.  It has
 two parts.  EQUAL lanes sum a 32-bit hash of each whole paragraph modulo 2**32.  The
 LIKE part sums, for each short piece of a paragraph (up to eight words, ending at
-punctuation), the bits of its hashes, two counters of 30 bits to a word, modulo 2**60: a
-piece takes two bytes or more and a string less than 2**31, so no counter can carry.  It is a random +-1 projection of the multiset of pieces, so the cosine of two such vectors
+punctuation), the bits of its hashes, two counters of 30 bits to a word: a piece takes two
+bytes or more and a string less than 2**31, so no counter can carry.  (They are counted
+as three of 20 bits a word, over at most CHUNK pieces, and then widened.)  It is a random +-1 projection of the multiset of pieces, so the cosine of two such vectors
 estimates how alike two texts are.
 
 Neighbours in the order of ids are found on ids alone (range partitions, then the
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 #: Lanes of the first part; hashes of a piece, and words of PER_WORD counters that each fills.
 EQUAL, SEEDS, WORDS = 8, 3, 30
 PER_WORD, BITS = 2, 30
-_MASK = 1 | 1 << BITS
+#: Pieces that counters of 20 bits hold.
+CHUNK = (1 << 20) - 1
+_MASK = 1 | 1 << 20 | 1 << 40
 _PIECE = r"(?:[^\s.,;:!?|]+[ \t]*){1,8}[.,;:!?|]*"
 
 
@@ -33,10 +36,15 @@ def equal_part(text: str) -> str:
 
 def like_part(text: str) -> str:
     """SQL of the array of SEEDS * WORDS packed counters; the last element counts the pieces."""
-    sums = [f"aggregate(h, 0L, (a, x) -> a + (shiftrightunsigned(x.h{s}, {k}) & {_MASK}L))" for s in range(SEEDS) for k in range(WORDS)]
+    n = SEEDS * WORDS
+    sums = [f"aggregate(q, 0L, (a, x) -> a + (shiftrightunsigned(x.h{s}, {k}) & {_MASK}L))" for s in range(SEEDS) for k in range(20)]
     pieces = f"regexp_extract_all({text}, r'{_PIECE}', 0)"
     hashes = ", ".join(f"'h{s}', xxhash64(p, {2000 + s})" for s in range(SEEDS))
-    return f"transform(array(transform({pieces}, p -> named_struct({hashes}))), h -> array({', '.join(sums)}, cast(size(h) as bigint)))[0]"
+    counter = lambda i: f"(shiftrightunsigned(s[({i}) div 3], cast(20 * (({i}) % 3) as int)) & 1048575L)"
+    wide = f"transform(sequence(0, {n - 1}), j -> {counter('2 * j')} + shiftleft({counter('2 * j + 1')}, {BITS}))"
+    chunks = f"transform(sequence(0, cast(greatest(size(h) - 1, 0) div {CHUNK} as int)), c -> transform(array(slice(h, c * {CHUNK} + 1, {CHUNK})), q -> array({', '.join(sums)}))[0])"
+    total = f"aggregate({chunks}, array_repeat(0L, {n}), (a, s) -> zip_with(a, {wide}, (x, y) -> x + y))"
+    return f"transform(array(transform({pieces}, p -> named_struct({hashes}))), h -> concat({total}, array(cast(size(h) as bigint))))[0]"
 
 
 def text_of(equal: str, like: str) -> Column:
