@@ -366,6 +366,17 @@ def test_stream(spark, tmp_path):
     assert [(r.fault, r.status, r.n) for r in spark.table("status_counts").collect()] == [("F", "CRITICAL", 1)]
 
 
+def test_community_path_reads_hints(spark):
+    from torqueline.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    n = queries._part_nodes(spark, sf)
+    asked = queries._text_queries(spark, sf).select("query_id", "text")
+    hinted = {(r.query_id, c) for r in preprocess.hints(preprocess.strong_entities(preprocess.entities(asked, n))).collect() for c in r.communities}
+    got = {(r.query_id, r.community) for r in queries.community_path_search(spark, sf).collect()}
+    assert got and got <= hinted and {c for _, c in got} - {1, 4, 7}
+
+
 def test_presets():
     assert len(presets.ANCHORS) == 29 and len(presets.CATEGORY_FAULTS) == len(presets.CATEGORY_SENSORS) == 13 and presets.DEFAULTS.vector_weight + presets.DEFAULTS.graph_weight + presets.DEFAULTS.community_weight == pytest.approx(1)
 

@@ -498,9 +498,11 @@ def graph_path_search(spark, d):
 
 @query()
 def community_path_search(spark, d):
+    """Each query's communities are those of its strong entities."""
     n = _part_nodes(spark, d)
-    q = _text_queries(spark, d).withColumn("communities", F.array(F.lit(1), F.lit(4), F.lit(7)))
-    return retrieval.community_search(q, n, graph.community_rollup(n))
+    asked = _text_queries(spark, d).select("query_id", "text")
+    found = preprocess.hints(preprocess.strong_entities(preprocess.entities(asked, n))).select("query_id", "communities")
+    return retrieval.community_search(asked.join(found, "query_id"), n, graph.community_rollup(n))
 
 
 @query()
