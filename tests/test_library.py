@@ -233,6 +233,25 @@ def test_graph_walks(spark):
     assert kept.count() == 2 and [tuple(r) for r in moved.collect()] == [("s_1", "s_3")]
 
 
+def test_communities_settle(spark):
+    """A path of 30 nodes is in mid-spread after 8 rounds; a pair and a star of equal weights alternate."""
+    path = [(f"p{i:02}", f"p{i + 1:02}") for i in range(29)]
+    names = [f"p{i:02}" for i in range(30)] + ["x", "y", "s", "t", "u", "alone"]
+    nodes = spark.createDataFrame([(n,) for n in names], "id string")
+    edges = spark.createDataFrame([(a, b, "R", 1.0) for a, b in [*path, ("x", "y"), ("s", "t"), ("s", "u")]], "source string, target string, relation string, weight double")
+    label, near = {n: n for n in names}, {n: [] for n in names}
+    for a, b in [*path, ("x", "y"), ("s", "t"), ("s", "u")]:
+        near[a].append(b), near[b].append(a)
+    states = [label]
+    while states[-1] not in states[:-1]:
+        label = {n: max(((sum(states[-1][o] == k for o in near[n]), k) for k in {states[-1][o] for o in near[n]}), default=(0, states[-1][n]))[1] for n in names}
+        states.append(label)
+    assert len(states) > 10 and states[-1] in states[-3:-1]
+    want = {n: min(states[-1][n], states[-2][n]) for n in names}
+    got = {r.id: r.community for r in graph.communities(nodes, edges).collect()}
+    assert all((got[a] == got[b]) == (want[a] == want[b]) for a in names for b in names)
+
+
 def test_quality(records, kb):
     row = graph.scorecard(records, kb.nodes, kb.edges).first()
     assert row.category_coverage and row.step_coverage and not row.communities and row.verdict in ("good", "acceptable", "needs work")

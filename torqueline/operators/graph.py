@@ -165,17 +165,29 @@ def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.where("from_community <> to_community")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """(id, community): synchronous label propagation; a node takes its neighbours' heaviest label, the least on ties.
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, community): synchronous label propagation; a node takes its neighbours' heaviest label, the greatest on ties.
 
+    Rounds go on until no label changes, or ``rounds`` are done where it is given.  Links
+    weigh the same both ways, so labels settle or alternate between two states (as in
+    bipartite graphs); a node that alternates then takes the lesser of its two labels.
     A stand-in for modularity methods: it finds dense groups, not the same partition.
     """
     links = neighbours(edges.withColumn("relation", F.lit(""))).where("id <> other").groupBy("id", "other").agg(F.sum("weight").alias("weight"))
-    labels = nodes.select("id", F.col("id").alias("label"))
-    for _ in range(rounds):
-        votes = links.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id", "label").agg(F.sum("weight").alias("w"))
+    labels = nodes.select("id", F.col("id").alias("label"), F.col("id").alias("past"))
+    done = 0
+    while rounds is None or done < rounds:
+        votes = links.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id", "label").agg(F.sum("weight").alias("w"))
         best = votes.groupBy("id").agg(F.max(F.struct("w", "label")).alias("b"))
-        labels = cut(labels.join(best, "id", "left").select("id", F.when(F.col("b").isNotNull(), F.col("b.label")).otherwise(F.col("label")).alias("label")))
+        now = F.when(F.col("b").isNotNull(), F.col("b.label")).otherwise(F.col("label"))
+        moved = cut(labels.join(best, "id", "left").select("id", now.alias("label"), F.col("label").alias("past"), F.col("past").alias("before")))
+        labels, done = moved.drop("before"), done + 1
+        changed, apart = moved.agg(F.count_if(F.col("label") != F.col("past")), F.count_if(F.col("label") != F.col("before"))).first()
+        if not changed:
+            break
+        if done > 1 and not apart:
+            labels = labels.withColumn("label", F.least("label", "past"))
+            break
     size = labels.groupBy("label").agg(F.count("*").alias("n"))
     order = size.select("label", (F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1).alias("community"))
     return labels.join(order, "label").select("id", "community")

@@ -514,4 +514,4 @@ def entity_detection(spark, d):
 @query()
 def label_propagation(spark, d):
     n, e = _kg(spark, d)
-    return graph.communities(n, e, 4)
+    return graph.communities(n, e)
