@@ -234,6 +234,7 @@ m as (select x.label, a.anchor, a.o, case when x.n = y.n then 1.0 else len(list_
 
 @query(f"with {_JACCARD} select label, anchor, round(match, 6) as match from (select *, row_number() over (partition by label order by match desc, o) as rn from m where match >= 0.15) where rn = 1")
 def jaccard_map(spark, d):
+    """Anchors are the parts whose id leaves 7 modulo 50, a stand-in for a short anchor table."""
     p = table(spark, d, "part")
     a = p.where("p_partkey % 50 = 7").select(F.floor(F.col("p_partkey") / 50).cast("int").alias("anchor_ord"), F.col("p_name").alias("anchor"), F.lit("F").alias("fault"))
     return decision.label_faults(p.select(F.col("p_name").alias("label")), a).select("label", "anchor", F.round("match", 6).alias("match"))
