@@ -124,6 +124,16 @@ def test_contamination(spark, docs, texts, empty):
     assert sorted(tuple(r)[1:3] for r in decontamination.contamination(twice, bench).collect()) == [(0, 0), (1, 0), (1, 1), (1, 1)]
 
 
+def test_contamination_near(spark):
+    texts = {1: "alpha x x x beta", 2: ", solo alone", 3: ", one two three new four new five", 4: "one two three", 5: "y y y y y y"}
+    items = {1: "alpha beta", 2: "alpha y y y y", 3: "solo solo", 4: "one two three four five", 5: "y y"}
+    bench = spark.createDataFrame([*items.items()], "item_id long, text string")
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.n_near for r in decontamination.contamination(docs, bench).collect()} == {1: 0, 2: 0, 3: 1, 4: 0, 5: 1}
+    got = {(r.doc_id, r.item_id, r.start, r.end, r.kind) for r in decontamination.matches(docs, bench).collect()}
+    assert got == {(3, 4, 4, 7, "near")} | {(5, 5, i, i + 2, "exact") for i in range(5)}
+
+
 def test_languages(spark, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     more = spark.createDataFrame([(10**6, None, None), (10**6 + 1, "12 !", "en"), (None, "the and of that", None), (10**6 + 2, "É" * 600_000, None)], "doc_id long, text string, lang string")

@@ -55,26 +55,18 @@ def postings(docs: DataFrame, reach: DataFrame, n_terms: int) -> DataFrame:
     found = each.join(bounded_broadcast(reach, n_terms, 100), "term")
     ends = F.when(F.element_at("w", 1) == "", 1).otherwise(0) + F.when((F.size("w") > 1) & (F.element_at("w", -1) == ""), 1).otherwise(0)
     first = F.greatest(F.col("pos") - F.col("before"), F.lit(1))
+    lead = F.when(F.element_at("w", 1) == "", 2).otherwise(1)  # words are numbered from 0
     mark = F.col("term") == _DOCUMENT
     return found.select(
-        "doc_id", "version", "term", "pos",
+        "doc_id", "version", "term", (F.col("pos") - lead).alias("pos"),
         F.when(mark, F.size("w") - ends).alias("n_words"),
         F.when(~mark, F.slice("w", first, F.col("pos") + F.col("after") - first + 1)).alias("around"),
-        first.alias("first"),
+        (first - lead).alias("first"),
     )
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
-    """Words of documents inside benchmark windows.
-
-    docs has doc_id and text, items item_id and text; other columns aren't looked at.
-    Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, one row
-    for each distinct (doc_id, text): n_hit counts words inside any occurrence of a
-    window, contaminated is n_hit > 0 and share * n_hit >= n_words, n_near the items of
-    which a window's two rarest terms stand within a window's reach of each other.
-    A null text has no words; a null doc_id is a document like others; items without id
-    or words have no window.  Empty tables give no rows or no hits.
-    """
+def _index(docs: DataFrame, items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Postings, and the anchors that read them: each window with its two rarest terms and their offsets."""
     windows = write_table(benchmark_windows(items, size), "windows")
     terms = write_table(windows.select(F.explode("words").alias("term")).distinct(), "terms")
     counts = write_table(term_counts(docs, terms, terms.count()), "counts")
@@ -88,15 +80,55 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, share: int
     reach = anchors.groupBy("term").agg(F.max("at").alias("before"), F.max(n - 1 - F.col("at")).alias("after"))
     reach = write_table(reach.union(docs.sparkSession.createDataFrame([(_DOCUMENT, 0, 0)], "term string, before int, after int")), "reach")
     index = write_table(postings(docs, reach, reach.count()), "postings")
+    return index, anchors
+
 
+def _matches(index: DataFrame, anchors: DataFrame) -> DataFrame:
+    n, start = F.size("words"), F.col("start")
     tried = index.where(F.col("term") != _DOCUMENT).join(bounded_broadcast(anchors, anchors.count(), 1500), "term")
     tried = tried.withColumn("start", F.col("pos") - F.col("at"))
     at_offset = F.get("around", F.col("start") - F.col("first") + F.col("at2")) == F.col("term2")
     phrase = (F.col("start") >= F.col("first")) & at_offset & (F.slice("around", F.greatest(F.col("start") - F.col("first") + 1, F.lit(1)), n) == F.col("words"))
-    matches = tried.where(F.array_contains("around", F.col("term2"))).select("doc_id", "version", "item_id", F.when(phrase, F.struct(F.col("start").alias("s"), (F.col("start") + n).alias("e"))).alias("span"))
-    hits = matches.groupBy("doc_id", "version").agg(
-        F.array_sort(F.collect_set("span")).alias("spans"),
-        F.collect_set(F.when(F.col("span").isNotNull(), F.col("item_id").cast("string"))).alias("items"),
+    at = lambda i: F.col("first") + i
+    inside = lambda x, i: (x == F.col("term2")) & (at(i) >= start) & (at(i) < start + n) & (at(i) != F.col("pos"))
+    near = F.array_min(F.transform("around", lambda x, i: F.when(inside(x, i), F.struct(F.abs(at(i) - F.col("pos")).alias("far"), at(i).alias("q")))))
+    tried = tried.where(F.array_contains("around", F.col("term2"))).withColumns({"exact": F.coalesce(phrase, F.lit(False)), "q": near["q"]}).where("exact or q is not null")
+    return tried.select(
+        "doc_id", "version", "item_id",
+        F.when(F.col("exact"), start).otherwise(F.least("pos", "q")).alias("start"),
+        F.when(F.col("exact"), start + n).otherwise(F.greatest("pos", "q") + 1).alias("end"),
+        F.when(F.col("exact"), "exact").otherwise("near").alias("kind"),
+    )
+
+
+def matches(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
+    """(doc_id, version, item_id, start, end, kind): distinct places of items in documents, words numbered from 0, end not included.
+
+    An exact row is an occurrence of a window.  A near row spans the rarest term of a
+    window and the closest second rarest one where, with the window laid on the first,
+    both lie inside it, but the phrase differs.  A window with a term that no document
+    has gives no rows.
+    """
+    return _matches(*_index(docs, items, size)).distinct()
+
+
+def contamination(docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
+    """Words of documents inside benchmark windows.
+
+    docs has doc_id and text, items item_id and text; other columns aren't looked at.
+    Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, one row
+    for each distinct (doc_id, text): n_hit counts words inside any occurrence of a
+    window, contaminated is n_hit > 0 and share * n_hit >= n_words, n_near the items of
+    which ``matches`` has a row, exact or near.
+    A null text has no words; a null doc_id is a document like others; items without id
+    or words have no window.  Empty tables give no rows or no hits.
+    """
+    index, anchors = _index(docs, items, size)
+    found = _matches(index, anchors)
+    exact = F.col("kind") == "exact"
+    hits = found.groupBy("doc_id", "version").agg(
+        F.array_sort(F.collect_set(F.when(exact, F.struct(F.col("start").alias("s"), F.col("end").alias("e"))))).alias("spans"),
+        F.collect_set(F.when(exact, F.col("item_id").cast("string"))).alias("items"),
         F.count_distinct("item_id").alias("n_near"),
     )
     covered = F.expr("aggregate(spans, named_struct('k', 0L, 'to', -1), (a, x) -> named_struct('k', a.k + greatest(0, x.e - greatest(a.to, x.s)), 'to', greatest(a.to, x.e)), a -> a.k)")
