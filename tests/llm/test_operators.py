@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 
 import public_tokenizers
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql.types import ArrayType
 
 from torqueline.llm import byte_bpe, chat_format, decontamination, fingerprints, language_id, near_dedup, personal_data, quality, repeated_spans, token_counts
 from torqueline.llm.entry import multilingual_codec
+from torqueline.llm import runtime
 from torqueline.llm.runtime import components
 
 from . import brute
@@ -121,7 +123,27 @@ def test_contamination(spark, docs, texts, empty):
     assert decontamination.contamination(empty, bench).count() == 0
     assert decontamination.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     twice = spark.createDataFrame([(1, "one"), (1, "one"), (1, "two"), (None, "one"), (None, None)], "doc_id long, text string")
-    assert sorted(tuple(r)[1:3] for r in decontamination.contamination(twice, bench).collect()) == [(0, 0), (1, 0), (1, 1), (1, 1)]
+    assert sorted(tuple(r)[1:3] for r in decontamination.contamination(twice, bench).collect()) == [(0, 0), (1, 0), (1, 1), (1, 1), (1, 1)]  # a row each
+    clash = twice.select("*", *[F.lit("x").alias(c) for c in ("version", "bad_id", "w", "n_hit")])
+    left = decontamination.without_contaminated(clash, bench)
+    assert left.columns == clash.columns and sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, ""), (1, "two")]
+    assert decontamination.without_contaminated(clash.limit(0), bench).count() == 0
+
+
+def test_contamination_without_broadcasts(spark, monkeypatch):
+    """Beyond the broadcast bound the same rows come out, and a word of the corpus travels about once."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    want = sorted(map(tuple, decontamination.contamination(docs, bench).collect()))
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, decontamination.contamination(docs, bench).collect())) == want
+        tokens = decontamination.postings(docs, spark.createDataFrame([("the",)], "term string"), 1)
+        plan = tokens._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"Generate posexplode\(w#\d+\), \[doc_id#\d+L, version#\d+L, lead#\d+\], true", plan) and "Exchange" in plan  # no text goes on
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_contamination_near(spark):

@@ -1,11 +1,12 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame operations only.
 
-Terms are indexed where a test phrase needs them: of each benchmark window only the
-corpus' rarest term (over all documents) has its postings stored, each with document,
-position and the few words around it that its windows can reach.  Lists are then
-intersected by adjusted offsets: a posting proposes a window's start, the window's
-next rarest term must stand at its own offset from there, and the whole phrase must
-match.  The same postings give proximity: both rarest terms near one another.
+Terms are indexed where a test phrase needs them: of each benchmark window the two terms
+that are rarest in the corpus (counted over all documents) have their postings stored,
+one list a term, a posting being document, term and position.  The lists of such a pair
+are intersected by document and by place, cut into stretches of a window's length so that
+no document gives more than a window's worth of partners to a posting.  Two postings at
+the window's own offsets propose an exact place, which the whole phrase must confirm in
+the document; other places inside one window give proximity.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ from .runtime import bounded_broadcast, write_table
 
 #: Everything but 0-9, a-z and code points above 127 separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A term that stands for a document itself, so that each has a posting.
-_DOCUMENT = "\x00"
 
 
 def split_words(text: Column) -> Column:
@@ -36,69 +35,84 @@ def benchmark_windows(items: DataFrame, size: int) -> DataFrame:
     return windows.select("item_id", F.xxhash64("words").alias("win"), "words")
 
 
+def versioned(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, w, lead, n_words): split texts; version tells texts under one doc_id apart, lead is 1 if w begins with an empty word."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    w = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), split_words(F.col("text")).alias("w"))
+    lead = F.when(F.element_at("w", 1) == "", 1).otherwise(0)
+    trail = F.when((F.size("w") > 1) & (F.element_at("w", -1) == ""), 1).otherwise(0)
+    return w.select("doc_id", "version", "w", lead.alias("lead"), (F.size("w") - lead - trail).alias("n_words"))
+
+
 def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     """(term, k): occurrences of each of ``terms`` over all documents."""
-    tokens = docs.select(F.explode(split_words(F.col("text"))).alias("term"))
+    tokens = docs.select(F.explode_outer(split_words(F.col("text"))).alias("term"))
     return tokens.join(bounded_broadcast(terms, n_terms, 80), "term", "left_semi").groupBy("term").agg(F.count("*").alias("k"))
 
 
-def postings(docs: DataFrame, reach: DataFrame, n_terms: int) -> DataFrame:
-    """(doc_id, version, term, pos, n_words, around, first) of the terms in ``reach`` (term, before, after).
+def postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+    """(doc_id, version, term, pos) of ``terms`` in distinct texts; words are numbered from 0.
 
-    around holds the words from position ``first`` on that lie up to ``before`` in front
-    of the term and ``after`` behind it.  Each document also has a posting of
-    ``_DOCUMENT``.  version tells texts under one doc_id apart.
+    A token's row holds no more than its word, so that a large ``terms``, which makes the
+    join shuffle, moves each word of the corpus once.
     """
-    w = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("version"), split_words(F.col("text")).alias("w"))
-    all_terms = F.concat(F.array(F.lit(_DOCUMENT)), F.col("w"))
-    each = w.select("doc_id", "version", "w", F.posexplode(all_terms).alias("pos", "term"))
-    found = each.join(bounded_broadcast(reach, n_terms, 100), "term")
-    ends = F.when(F.element_at("w", 1) == "", 1).otherwise(0) + F.when((F.size("w") > 1) & (F.element_at("w", -1) == ""), 1).otherwise(0)
-    first = F.greatest(F.col("pos") - F.col("before"), F.lit(1))
-    lead = F.when(F.element_at("w", 1) == "", 2).otherwise(1)  # words are numbered from 0
-    mark = F.col("term") == _DOCUMENT
-    return found.select(
-        "doc_id", "version", "term", (F.col("pos") - lead).alias("pos"),
-        F.when(mark, F.size("w") - ends).alias("n_words"),
-        F.when(~mark, F.slice("w", first, F.col("pos") + F.col("after") - first + 1)).alias("around"),
-        (first - lead).alias("first"),
-    )
+    each = versioned(docs).select("doc_id", "version", "lead", F.posexplode_outer("w").alias("i", "term"))  # outer: else a filter splits each text once more
+    found = each.where("term <> ''").join(bounded_broadcast(terms, n_terms, 80), "term", "left_semi")
+    return found.select("doc_id", "version", "term", (F.col("i") - F.col("lead")).alias("pos"))
 
 
-def _index(docs: DataFrame, items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """Postings, and the anchors that read them: each window with its two rarest terms and their offsets."""
+def _anchors(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """(item_id, words, term, at, term2, at2): each window with its two rarest terms and their offsets.
+
+    Rarest first, ties by term, then offset; a window of one word has it twice.  A window
+    with a term that no document has can't occur and is left out.
+    """
     windows = write_table(benchmark_windows(items, size), "windows")
     terms = write_table(windows.select(F.explode("words").alias("term")).distinct(), "terms")
     counts = write_table(term_counts(docs, terms, terms.count()), "counts")
     placed = windows.select("item_id", "win", "words", F.posexplode("words").alias("at", "term")).join(counts, "term", "left")
     rare = placed.groupBy("item_id", "win", "words").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "term", "at"))).alias("r"))
-    rare = rare.where("r[0].k > 0")  # a window with a term that no document has can't occur
-    second = F.coalesce(F.get("r", F.lit(1)), F.get("r", F.lit(0)))
-    anchors = rare.select(F.col("r")[0]["term"].alias("term"), F.col("r")[0]["at"].alias("at"), second["term"].alias("term2"), second["at"].alias("at2"), "item_id", "words")
-    anchors = write_table(anchors, "anchors")
-    n = F.size("words")
-    reach = anchors.groupBy("term").agg(F.max("at").alias("before"), F.max(n - 1 - F.col("at")).alias("after"))
-    reach = write_table(reach.union(docs.sparkSession.createDataFrame([(_DOCUMENT, 0, 0)], "term string, before int, after int")), "reach")
-    index = write_table(postings(docs, reach, reach.count()), "postings")
-    return index, anchors
-
-
-def _matches(index: DataFrame, anchors: DataFrame) -> DataFrame:
-    n, start = F.size("words"), F.col("start")
-    tried = index.where(F.col("term") != _DOCUMENT).join(bounded_broadcast(anchors, anchors.count(), 1500), "term")
-    tried = tried.withColumn("start", F.col("pos") - F.col("at"))
-    at_offset = F.get("around", F.col("start") - F.col("first") + F.col("at2")) == F.col("term2")
-    phrase = (F.col("start") >= F.col("first")) & at_offset & (F.slice("around", F.greatest(F.col("start") - F.col("first") + 1, F.lit(1)), n) == F.col("words"))
-    at = lambda i: F.col("first") + i
-    inside = lambda x, i: (x == F.col("term2")) & (at(i) >= start) & (at(i) < start + n) & (at(i) != F.col("pos"))
-    near = F.array_min(F.transform("around", lambda x, i: F.when(inside(x, i), F.struct(F.abs(at(i) - F.col("pos")).alias("far"), at(i).alias("q")))))
-    tried = tried.where(F.array_contains("around", F.col("term2"))).withColumns({"exact": F.coalesce(phrase, F.lit(False)), "q": near["q"]}).where("exact or q is not null")
-    return tried.select(
-        "doc_id", "version", "item_id",
-        F.when(F.col("exact"), start).otherwise(F.least("pos", "q")).alias("start"),
-        F.when(F.col("exact"), start + n).otherwise(F.greatest("pos", "q") + 1).alias("end"),
-        F.when(F.col("exact"), "exact").otherwise("near").alias("kind"),
-    )
+    rare = rare.where("r[0].k > 0").select("item_id", "words", F.col("r")[0].alias("x"), F.coalesce(F.get("r", F.lit(1)), F.get("r", F.lit(0))).alias("y"))
+    return write_table(rare.select("item_id", "words", F.col("x.term").alias("term"), F.col("x.at").alias("at"), F.col("y.term").alias("term2"), F.col("y.at").alias("at2")), "anchors")
+
+
+def _places(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """(doc_id, version, found): of each document that has any, where windows may be (phrase not yet confirmed) or are near.
+
+    found is array<struct<item_id, start, n, words, s, e>>: words is null if the two
+    terms don't stand at the window's offsets, s and e (null if there is none) are the
+    span of the rarest term and the closest second one.
+    """
+    anchors = _anchors(docs, items, size)
+    pairs = write_table(anchors.select("term", "term2").distinct().withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    n_pairs = pairs.count()
+    terms = write_table(pairs.select(F.explode(F.array("term", "term2")).alias("term")).distinct(), "rare")
+    index = write_table(postings(docs, terms, terms.count()), "postings")
+    cell = lambda c: F.expr(f"{c} div {size}")
+    first = index.join(bounded_broadcast(pairs, n_pairs, 100), "term").select("doc_id", "version", "pair", "pos", F.explode(F.expr(f"sequence(pos div {size} - 1, pos div {size} + 1)")).alias("cell"))
+    second = index.withColumnRenamed("term", "term2").join(bounded_broadcast(pairs, n_pairs, 100), "term2").select(F.col("doc_id").alias("doc2"), F.col("version").alias("v2"), F.col("pair").alias("p2"), F.col("pos").alias("q"), cell("pos").alias("cell2"))
+    both = first.join(second, F.expr(f"doc_id <=> doc2 and version = v2 and pair = p2 and cell = cell2 and abs(q - pos) < {size}")).select("doc_id", "version", "pair", "pos", "q")
+    laid = both.join(bounded_broadcast(anchors.join(pairs, ["term", "term2"]).select("pair", "item_id", "words", "at", "at2"), anchors.count(), 1500), "pair")
+    laid = laid.select("doc_id", "version", "item_id", "words", "pos", "q", (F.col("pos") - F.col("at")).alias("start"), F.size("words").alias("n"), (F.col("q") - F.col("pos") == F.col("at2") - F.col("at")).alias("fits"))
+    near = (F.col("q") != F.col("pos")) & (F.col("q") >= F.col("start")) & (F.col("q") < F.col("start") + F.col("n"))
+    laid = laid.where(near | (F.col("fits") & (F.col("start") >= 0)))
+    span = F.struct(F.abs(F.col("q") - F.col("pos")).alias("far"), F.least("pos", "q").alias("s"), (F.greatest("pos", "q") + 1).alias("e"))
+    each = laid.groupBy("doc_id", "version", "item_id", "words", "start").agg(F.max(F.col("fits") & (F.col("start") >= 0)).alias("fits"), F.min(F.when(near, span)).alias("near"))
+    row = F.struct("item_id", "start", F.size("words").alias("n"), F.when(F.col("fits"), F.col("words")).alias("words"), F.col("near.s").alias("s"), F.col("near.e").alias("e"))
+    return write_table(each.groupBy("doc_id", "version").agg(F.collect_list(row).alias("found")), "places")
+
+
+def _located(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """docs as doc_id, version, n_words and the arrays ``exact`` and ``near`` of (item_id, start, end), in row order of docs."""
+    places = _places(docs, items, size)
+    held = places.agg(F.coalesce(F.sum(F.size("found") + 1), F.lit(0))).first()[0]
+    texts = versioned(docs).alias("d")
+    both = texts.join(bounded_broadcast(places, held, 300).alias("p"), F.expr("d.doc_id <=> p.doc_id and d.version = p.version"), "left")
+    whole = "x.words is not null and slice(w, x.start + lead + 1, x.n) = x.words"
+    tested = both.select("d.doc_id", "d.version", "n_words", F.expr(f"transform(coalesce(found, array()), x -> named_struct('x', x, 'exact', coalesce({whole}, false)))").alias("t"))
+    exact = "transform(filter(t, y -> y.exact), y -> named_struct('item_id', y.x.item_id, 'start', y.x.start, 'end', y.x.start + y.x.n))"
+    near = "transform(filter(t, y -> not y.exact and y.x.s is not null), y -> named_struct('item_id', y.x.item_id, 'start', y.x.s, 'end', y.x.e))"
+    return tested.select("doc_id", "version", "n_words", F.expr(exact).alias("exact"), F.expr(near).alias("near"))
 
 
 def matches(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
@@ -109,44 +123,41 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
     both lie inside it, but the phrase differs.  A window with a term that no document
     has gives no rows.
     """
-    return _matches(*_index(docs, items, size)).distinct()
+    found = _located(docs, items, size)
+    rows = [found.select("doc_id", "version", F.explode(kind).alias("x"), F.lit(kind).alias("kind")) for kind in ("exact", "near")]
+    return rows[0].union(rows[1]).select("doc_id", "version", "x.item_id", "x.start", "x.end", "kind").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
     """Words of documents inside benchmark windows.
 
     docs has doc_id and text, items item_id and text; other columns aren't looked at.
-    Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, one row
-    for each distinct (doc_id, text): n_hit counts words inside any occurrence of a
-    window, contaminated is n_hit > 0 and share * n_hit >= n_words, n_near the items of
-    which ``matches`` has a row, exact or near.
+    Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, version,
+    one row for each row of docs: n_hit counts words inside any occurrence of a window,
+    contaminated is n_hit > 0 and share * n_hit >= n_words, n_near the items of which
+    ``matches`` has a row, exact or near.
     A null text has no words; a null doc_id is a document like others; items without id
     or words have no window.  Empty tables give no rows or no hits.
     """
-    index, anchors = _index(docs, items, size)
-    found = _matches(index, anchors)
-    exact = F.col("kind") == "exact"
-    hits = found.groupBy("doc_id", "version").agg(
-        F.array_sort(F.collect_set(F.when(exact, F.struct(F.col("start").alias("s"), F.col("end").alias("e"))))).alias("spans"),
-        F.collect_set(F.when(exact, F.col("item_id").cast("string"))).alias("items"),
-        F.count_distinct("item_id").alias("n_near"),
-    )
-    covered = F.expr("aggregate(spans, named_struct('k', 0L, 'to', -1), (a, x) -> named_struct('k', a.k + greatest(0, x.e - greatest(a.to, x.s)), 'to', greatest(a.to, x.e)), a -> a.k)")
-    hits = hits.select("doc_id", "version", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join(F.array_sort("items"), ",").alias("joined"), "n_near")
-    whole = index.where(F.col("term") == _DOCUMENT).groupBy("doc_id", "version").agg(F.max("n_words").cast("long").alias("n_words"))
-    both = whole.alias("d").join(hits.alias("h"), F.expr("d.doc_id <=> h.doc_id and d.version = h.version"), "left")
-    hit = F.coalesce("n_hit", F.lit(0))
-    return both.select(
-        "d.doc_id", "n_words", hit.cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce("joined", F.lit("")), 256).alias("items_sha256"),
-        ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"),
-        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "d.version",
+    found = _located(docs, items, size)
+    covered = F.expr("aggregate(array_sort(transform(exact, x -> named_struct('s', x.start, 'e', x.end))), named_struct('k', 0L, 'to', -1), (a, x) -> named_struct('k', a.k + greatest(0, x.e - greatest(a.to, x.s)), 'to', greatest(a.to, x.e)), a -> a.k)")
+    ids = "array_sort(array_distinct(transform({}, x -> cast(x.item_id as string))))"
+    rows = found.select("doc_id", "version", F.col("n_words").cast("long").alias("n_words"), covered.alias("n_hit"), F.expr(ids.format("exact")).alias("items"), F.expr(f"size({ids.format('concat(exact, near)')})").cast("long").alias("n_near"))
+    return rows.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "n_near", "version",
     )
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
-    """Rows of docs that aren't contaminated; all columns stay."""
-    bad = write_table(contamination(docs, items, size, share).where("contaminated").select(F.col("doc_id").alias("bad_id"), "version"), "contaminated")
-    bad = bounded_broadcast(bad, bad.count(), 48)
-    version = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (version == F.col("version")), "left_anti")
+    """Rows of docs that aren't contaminated; all columns stay, whatever their names.
+
+    Repeated rows stay or go together; rows with null text or doc_id are judged like
+    others; an empty table stays empty.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows, at = docs.toDF(*names), {c: F.col(n) for c, n in zip(docs.columns, names, strict=True)}
+    bad = contamination(docs.select("doc_id", "text"), items, size, share).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("version").alias("bad_text")).distinct()
+    bad = write_table(bad, "contaminated")
+    same = at["doc_id"].cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.coalesce(at["text"].cast("string"), F.lit(""))) == F.col("bad_text"))
+    return rows.join(bounded_broadcast(bad, bad.count(), 48), same, "left_anti").toDF(*docs.columns)

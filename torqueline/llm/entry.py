@@ -37,7 +37,7 @@ def op3_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 13, 20).drop("version", "n_near")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 13, 20).drop("version")
 
 
 def multilingual_codec() -> Codec:
@@ -126,10 +126,17 @@ n as (select distinct len(g) as n from g),
 k as (select doc_id, i, n, w[i : i + n - 1] as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, n where len(w) >= n)),
 h as (select k.doc_id, k.i, k.n, g.item_id from k join g on g.g = k.g),
 c as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from h) group by 1),
-m as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from h group by 1)
+m as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from h group by 1),
+t as (select doc_id, unnest(w) as term, unnest(range(len(w))) as pos from d),
+f as (select term, count(*) as k from t where term in (select unnest(g) from g) group by 1),
+p as (select item_id, g, unnest(g) as term, unnest(range(len(g))) as off from g),
+r as (select item_id, g, list(struct_pack(term := term, off := off) order by coalesce(k, 0), term, off) as r, min(coalesce(k, 0)) as k from p left join f using (term) group by 1, 2),
+o as (select a.doc_id, r.item_id from r join t a on a.term = r.r[1].term join t b on b.term = r.r[2].term and b.doc_id = a.doc_id
+  where r.k > 0 and b.pos <> a.pos and b.pos >= a.pos - r.r[1].off and b.pos < a.pos - r.r[1].off + len(r.g)),
+q as (select doc_id, count(distinct item_id) as n_near from (select doc_id, item_id from o union all select doc_id, item_id from h) group by 1)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
-  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
-from d left join c on c.doc_id = d.doc_id left join m on m.doc_id = d.doc_id
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated, coalesce(n_near, 0)::bigint as n_near
+from d left join c on c.doc_id = d.doc_id left join m on m.doc_id = d.doc_id left join q on q.doc_id = d.doc_id
 """,
     "op9_repeated_spans": r"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
