@@ -258,12 +258,25 @@ def test_token_counts(spark, docs, texts, empty):
     assert token_counts.token_counts(empty, path).count() == 0
 
 
-@pytest.mark.parametrize(("chunk", "overlap"), [(3000, 64), (500, 70), (150, 66)])
+@pytest.mark.parametrize(("chunk", "overlap"), [(3000, 64), (500, 70), (150, 66), (130, 130)])
 def test_resynchronisation(chunk, overlap):
     lib = token_counts._tokenizer(json.dumps(json.load(open(public_tokenizers.path("byte_bpe_50k.json")))))
     text = "a" * 900 + " " * 800 + "b1" * 300 + "<|endoftext|>" * 100 + " \n" * 300 + "é" * 500 + "some words, and more. " * 60
-    for t in (text, text[::-1], "z" * 2000, "x", ""):
-        assert token_counts.count_huge(t, lib, chunk, overlap) == len(lib.encode(t, add_special_tokens=False))
+    for t in (text, text[::-1], "z" * 2000, "x", "", "one two " * 400, "don't  stop 12 345 " * 99):
+        places = token_counts.chunk_places(len(t), chunk, overlap)
+        assert places[0][0] == 0 and places[-1][1] == len(t) and all(b[0] == a[1] - overlap for a, b in zip(places, places[1:], strict=False))
+        parts = [lib.encode(t[s:e], add_special_tokens=False) for s, e in places]
+        assert token_counts.spliced_count(t, places, parts, lib) == len(lib.encode(t, add_special_tokens=False))
+
+
+def test_token_counts_of_spliced_documents(spark):
+    """One document in ten or more is spliced from several chunks, and all counts are the library's."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = token_counts._tokenizer(json.dumps(json.load(open(path))))
+    got = {r.doc_id: r for r in token_counts.token_counts(docs, path).collect()}
+    assert sum(r.n_chunks > 1 for r in got.values()) * 10 >= len(got)
+    assert all(got[r.doc_id].n_tokens == len(lib.encode(r.text or "", add_special_tokens=False)) for r in docs.collect())
 
 
 PERSONAL = [
