@@ -368,9 +368,27 @@ def test_preferences(spark):
     assert chat_format.preference_pairs(turns.limit(0)).count() == 0
 
 
+def test_forked_preferences(spark):
+    rows = [
+        (0, 0, "user", "hi"), (0, 1, "assistant", "good"), (1, 0, "user", "yo"), (1, 1, "assistant", "one"), (1, 2, "user", "and"), (1, 3, "assistant", "two"), (1, 4, "user", "bye"),
+        (2, 0, "assistant", "alone"), (4, 0, "user", "q"), (5, 0, "assistant", "z"), (None, 0, "assistant", "n"), (6, 0, "assistant", "same"), (7, None, None, None), (7, 1, "assistant", "same"),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pair_id", F.lit("clash")).withColumn("chosen", F.lit(1))
+    got = {r.pair_id: tuple(r)[1:5] for r in chat_format.forked_pairs(turns).collect()}
+    line = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
+    assert got[0] == (1, line("user", "hi"), line("assistant", "good"), line("assistant", "two"))
+    assert got[1] == (3, line("user", "yo") + line("assistant", "one") + line("user", "and"), line("assistant", "two") + line("user", "bye"), line("assistant", "good"))
+    assert got[2] == (0, "", line("assistant", "alone"), "") and got[4][0] == got[5][0] == 0 and got[4][3] == ""
+    assert got[6] == (1, line("assistant", "same"), "", "") and got[7] == (2, line("", "") + line("assistant", "same"), "", "") and len(got) == 7
+    assert chat_format.forked_pairs(turns.limit(0)).count() == 0
+    data = chat_format.forked_pairs(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")).collect()
+    assert sum(r.n_common > 0 and r.chosen_mask != "" and r.rejected_mask != "" for r in data) > 0.9 * len(data) > 0
+
+
 def test_native_operators_have_no_python(spark, docs):
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
-    for df in (fingerprints.fingerprints(docs), personal_data.personal_data(docs), decontamination.contamination(docs, bench)):
+    turns = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    for df in (chat_format.forked_pairs(turns), fingerprints.fingerprints(docs), personal_data.personal_data(docs), decontamination.contamination(docs, bench)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 

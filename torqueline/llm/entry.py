@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import Codec, encoding_digests, read_ranks
-from .chat_format import preference_pairs
+from .chat_format import forked_pairs
 from .decontamination import contamination
 from .fingerprints import fingerprints
 from .language_id import identify_languages
@@ -31,9 +31,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair."""
-    turns = table(spark, sf_dir, "conversations")
-    return preference_pairs(turns.select(F.shiftright("conv_id", 1).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text"))
+    """Each conversation against its fork with another one's last answer (conversations 2k and 2k + 1 are partners)."""
+    return forked_pairs(table(spark, sf_dir, "conversations"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,10 +96,15 @@ select d.doc_id, coalesce(max(n.n), 0)::bigint as n_shingles, min(r.c) as compon
 from documents d join r on r.doc_id = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id
 """,
     "op3_chat_preferences": r"""
-with t as (
-  select conv_id >> 1 as pair_id, conv_id % 2 = 0 as chosen, coalesce(role, '') as role, coalesce(text, '') as text,
-    row_number() over (partition by conv_id order by turn, role, text) as rn
+with v as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn, coalesce(role, ''), coalesce(text, '')) as rn
   from conversations where conv_id is not null),
+a as (select conv_id, max(rn) filter (where role = 'assistant') as a from v group by 1),
+p as (select x.conv_id as pair_id, x.a, y.conv_id as other, y.a as b from a x left join a y on y.conv_id = xor(x.conv_id, 1)),
+t as (
+  select pair_id, true as chosen, role, text, rn from p join v on conv_id = pair_id
+  union all select pair_id, false, role, text, rn from p join v on conv_id = pair_id where b is not null and rn < a
+  union all select pair_id, false, role, text, a from p join v on conv_id = other and rn = b where a is not null),
 j as (
   select coalesce(c.pair_id, r.pair_id) as pair_id, coalesce(c.rn, r.rn) as rn,
     c.rn is not null and r.rn is not null and coalesce(c.role = r.role and c.text = r.text, false) as same
