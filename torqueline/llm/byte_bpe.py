@@ -251,10 +251,15 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def encoded(docs: DataFrame, codec: Codec) -> DataFrame:
-    """docs with n_tokens and ids (array of int) in place of text; a null text is empty."""
-    names = [c for c in docs.columns if c != "text"]
+    """docs with n_tokens and ids (array of int) in place of text; a null text is empty.
+
+    Columns of docs that are called n_tokens or ids, in any case, give way to the new ones.
+    Rows are independent, whatever their ids; an empty table stays empty.
+    """
+    names = [c for c in docs.columns if c.lower() not in ("text", "n_tokens", "ids")]
+    docs = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("string").alias("text"))
     kinds = [docs.schema[c].dataType.simpleString() for c in names] + ["long", "array<int>"]
-    rows = docs.mapInArrow(_encoded(codec, docs.columns.index("text")), ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
+    rows = docs.mapInArrow(_encoded(codec, len(names)), ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
     return rows.toDF(*names, "n_tokens", "ids")
 
 

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runtime import write_table
+
 #: Lanes of the first part; hashes of a piece, and words of PER_WORD counters that each fills.
 EQUAL, SEEDS, WORDS = 8, 3, 30
 PER_WORD, BITS = 2, 30
@@ -52,6 +54,34 @@ def text_of(equal: str, like: str) -> Column:
     return F.expr(f"concat(array_join(transform({equal}, x -> lpad(hex(x), 8, '0')), ''), '-', array_join(transform({like}, x -> lpad(hex(x & 1152921504606846975), 15, '0')), ''))")
 
 
+def parts_of(fingerprint: str) -> tuple[str, str]:
+    """SQL of the EQUAL lanes and of the LIKE part of a fingerprint's string."""
+    digits = lambda at, n: f"cast(conv(substring({fingerprint}, {at}, {n}), 16, 10) as bigint)"
+    lanes = f"transform(sequence(0, {EQUAL - 1}), i -> {digits('8 * i + 1', 8)})"
+    return lanes, f"transform(sequence(0, {SEEDS * WORDS}), i -> {digits(f'{8 * EQUAL + 2} + 15 * i', 15)})"
+
+
+def _changed(fingerprint: str, paragraph: str, sign: str) -> Column:
+    (equal, like), text = parts_of(fingerprint), f"coalesce({paragraph}, '')"
+    equal = f"zip_with({equal}, {equal_part(text)}, (x, y) -> (x {sign} y) & 4294967295)"
+    return text_of(equal, f"zip_with({like}, {like_part(text)}, (x, y) -> x {sign} y)")
+
+
+def inserted(fingerprint: str, paragraph: str) -> Column:
+    """The fingerprint (a column's name) of a text with the paragraphs of another column inserted, wherever that is.
+
+    Paragraphs are lines, and an empty text is one empty line: "a" and "b" make "a\nb" or
+    "b\na", "" and "b" make "\nb".  A null paragraph is an empty line, a null fingerprint
+    stays null.
+    """
+    return _changed(fingerprint, paragraph, "+")
+
+
+def deleted(fingerprint: str, paragraph: str) -> Column:
+    """The fingerprint of a text without one of its paragraphs; only for a paragraph that the text has."""
+    return _changed(fingerprint, paragraph, "-")
+
+
 def signed(like: str) -> str:
     """SQL of the vector of a LIKE part: twice each counter less the pieces."""
     n = SEEDS * WORDS
@@ -74,11 +104,12 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
     prev is the document before it by descending id (null ids last), then version; the
     first one's is the last.  Only ids travel; borders of range partitions are matched
-    on one row each.
+    on one row each.  The partitioned ids are written before they are read twice, as a
+    second range partitioning may draw its borders elsewhere.
     """
     rows = docs.groupBy("id", "version").agg(F.max("chars").alias("chars"))
     order = [F.col("id").desc_nulls_last(), F.col("version")]
-    rows = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    rows = write_table(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
     here = F.struct("id", "version", "chars")
     within = Window.partitionBy("part").orderBy(*order)
     placed = rows.select("part", "id", "version", F.lag(here).over(within).alias("prev"), F.when(F.lead(F.lit(1)).over(within).isNull(), here).alias("last"))
