@@ -5,6 +5,7 @@ import json
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -85,6 +86,20 @@ def test_near_duplicates_odd_rows(spark, empty):
     assert got == sorted([(1, 4, 1, True), (1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (None, 4, None, True), (4, 0, 4, True), (5, 0, 5, True), (5, 0, 5, True)], key=repr)
     kept = near_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 3)
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "a b c d e f"), (1, "a b c d e f"), (4, ""), (5, "")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.create_map(F.lit("k"), F.lit(1)).alias("m"), F.lit("x").alias("k"), F.lit("y").alias("component_id"))
+    kept = near_dedup.one_of_each(odd, 3)
+    assert kept.columns == odd.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "a b c d e f"), (1, "a b c d e f"), (4, ""), (5, "")]
+    assert near_dedup.one_of_each(odd.limit(0)).count() == 0
+
+
+def test_sketches_of_borderline_pairs():
+    """Of pairs with similarity 0.80 exactly, sketches rule out fewer than one in a thousand (none of 3000)."""
+    rng = np.random.default_rng(3)
+    sets = rng.integers(1, 2**63, (3000, 110), dtype=np.uint64)
+    left, right = sets[:, :90].ravel(), sets[:, np.r_[:80, 90:100]].ravel()  # 80 in common of 100
+    starts = np.arange(3000) * 90
+    a, b = (near_dedup.mix(near_dedup.minhashes(x, starts)) & np.uint64(1) for x in (left, right))
+    assert ((a != b).sum(1) <= near_dedup.MOST_BITS).all()
 
 
 @pytest.mark.parametrize("hot", [1000, 3])
@@ -230,6 +245,9 @@ def test_byte_bpe(spark, docs, texts, codec, empty):
     some = byte_bpe.encoded(docs.where("doc_id in (1, 201, 210)"), codec)
     assert {r.doc_id: r.ids for r in some.collect()} == {k: lib.encode_ordinary(texts[k] or "") for k in (1, 201, 210)}
     assert "n_tokens" in some.columns and "text" not in some.columns
+    clash = byte_bpe.encoded(docs.where("doc_id in (1, 201)").withColumns({"Ids": F.lit("x"), "n_tokens": F.lit("y")}), codec)
+    assert clash.schema["ids"].dataType.simpleString() == "array<int>" and clash.where("n_tokens = size(ids)").count() == 2 and "Ids" not in clash.columns
+    assert byte_bpe.encoded(empty, codec).count() == 0
 
 
 def test_byte_bpe_all_code_points(codec):
@@ -307,11 +325,41 @@ def test_personal_data_adds_spans(spark):
     assert got[99] == "email:9:31,phone:38:50" and got[3].count(":") == 4
 
 
+def test_personal_data_on_documents(spark):
+    """Of the candidates in the table EM and the classifier accept some and reject some; what is added is checked one by one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.spans.split(",") if r.spans else [] for r in personal_data.personal_data(docs).collect()}
+    added, missed = set(), set()
+    for r in docs.collect():
+        base = {f"{k}:{s}:{e}" for k, s, e in brute.personal(r.text)}
+        assert base <= set(got[r.doc_id])
+        new = {tuple(x.split(":")) for x in set(got[r.doc_id]) - base}
+        added |= {(k, r.text[int(s) : int(e)]) for k, s, e in new}
+        secrets = {m.span() for m in re.finditer(r'(?i)(?<=token = ")[0-9a-f]{20,}', r.text or "")}
+        assert secrets == {(int(s), int(e)) for k, s, e in new if k == "secret"}
+        missed |= {m.group() for m in re.finditer(r"(?<![0-9.+-])[0-9]{16}(?![0-9.-])", r.text or "") if not brute.passes("card", m.group())}
+    assert any(k == "secret" for k, _ in added)
+    assert missed and not missed & {t for k, t in added if k == "card"}  # sixteen digits that fail the test
+
+
+def test_personal_data_finds_loose_forms(spark):
+    """Loosely written forms planted among the table's texts come back, at their places."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").limit(400)
+    forms = {"email": "write to jo.ann{} [at] site [dot] org now", "phone": "call 202-555-01{:02d} today", "secret": 'api_key: "Zq{:02d}kd83hsYw6Tg2Lp0vN4xB" end'}
+    rows = [(10**6 + 10 * i + j, "lorem " * i + text.format(i), kind) for i in range(20) for j, (kind, text) in enumerate(forms.items())]
+    planted = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in personal_data.personal_data(docs.union(planted)).collect()}
+    inner = {"email": r"jo\.ann.* org", "phone": r"[0-9-]{12}", "secret": r"Zq\w+"}
+    for i, text, kind in rows:
+        m = re.search(inner[kind], text)
+        assert got[i] == f"{kind}:{m.start()}:{m.end()}"
+
+
 def test_reliabilities():
-    table = [((1, 1, 1), 50.0), ((0, 0, 0), 50.0), ((1, 1, 0), 9.0), ((0, 0, 1), 9.0), ((-1, -1, 1), 3.0)]
-    prior, rates, post = personal_data.reliabilities(table)
-    assert 0.4 < prior < 0.6 and post[2] > 0.5 > post[3] and rates[0][1][1] > rates[2][1][1]
-    assert personal_data.reliabilities([])[2] == [] and personal_data.train_classifier([]) == []
+    votes, counts = np.array([(1, 1, 1), (0, 0, 0), (1, 1, 0), (0, 0, 1), (-1, -1, 1)]), np.array([50.0, 50.0, 9.0, 9.0, 3.0])
+    prior, rates, post = personal_data.reliabilities(votes, counts)
+    assert 0.4 < prior < 0.6 and post[2] > 0.5 > post[3] and rates[0][1][2] > rates[2][1][2]
+    assert len(personal_data.reliabilities(np.zeros((0, 5), int), np.zeros(0))[2]) == 0 and not personal_data.train_classifier(np.zeros((0, 3)), np.zeros(0), np.zeros(0)).any()
 
 
 def test_fingerprints(spark, empty):
@@ -341,6 +389,42 @@ def test_fingerprints_are_sums(spark):
     assert list(q.et) == [(a + b) % 2**32 for a, b in zip(q.ex, q.ey, strict=True)] and list(q.lt) == [a + b for a, b in zip(q.lx, q.ly, strict=True)]
 
 
+def test_fingerprints_take_paragraphs_in_and_out(spark):
+    rows = spark.createDataFrame([("a b.\nc d!", "e f, g"), ("", "x"), ("one", ""), ("z", None)], "t string, p string")
+    rows = rows.withColumn("u", F.concat("t", F.lit("\n"), F.coalesce("p", F.lit("")))).withColumn("v", F.concat(F.coalesce("p", F.lit("")), F.lit("\n"), "t"))
+    made = rows.select("*", *[fingerprints.text_of(fingerprints.equal_part(c), fingerprints.like_part(c)).alias(f"f{c}") for c in "tuv"])
+    for r in made.select("ft", "fu", "fv", fingerprints.inserted("ft", "p").alias("more"), fingerprints.deleted("fu", "p").alias("less")).collect():
+        assert r.more == r.fu == r.fv and r.less == r.ft != r.fu
+
+
+def test_fingerprints_without_exchange_reuse(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text")).repartition(7)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = {r.id: r.prev_id for r in fingerprints.neighbours(docs.select(F.col("doc_id").alias("id"), F.lit(0).alias("version"), F.lit(9).alias("chars"))).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert got == {i: (i + 1) % 3000 for i in range(3000)}
+
+
+def test_likeness_matches_brute_force(spark):
+    """The cosine of the counters, recomputed from pieces and their hashes one by one."""
+    rows = spark.createDataFrame([("a b c, d e f. g", "a b c, d e f. h\ni"), ("x", "x"), ("", "x"), ("p q. r", "s. t. u. v")], "a string, b string")
+    got = [r.x for r in rows.select(F.expr(fingerprints.like_part("a")).alias("la"), F.expr(fingerprints.like_part("b")).alias("lb")).select(fingerprints.likeness("la", "lb").alias("x")).collect()]
+    pieces = lambda t: re.findall(r"(?:[^\s.,;:!?|]+[ \t]*){1,8}[.,;:!?|]*", t)
+    known = sorted({p for r in rows.collect() for t in r for p in pieces(t)})
+    hashed = spark.createDataFrame([(p,) for p in known], "p string").select("p", *[F.expr(f"xxhash64(p, {2000 + s})").alias(f"h{s}") for s in range(fingerprints.SEEDS)]).collect()
+    bits = {r.p: [1 if r[f"h{s}"] >> (20 * j + k) & 1 else -1 for s in range(fingerprints.SEEDS) for k in range(20) for j in range(3)] for r in hashed}
+    vector = lambda t: [sum(x) for x in zip(*[bits[p] for p in pieces(t)], strict=True)]
+    for r, x in zip(rows.collect(), got, strict=True):
+        if r.a == r.b or not r.a:
+            assert x == (1.0 if r.a == r.b else 0.0)
+            continue
+        a, b = vector(r.a), vector(r.b)
+        cosine = sum(p * q for p, q in zip(a, b, strict=True)) / (sum(p * p for p in a) * sum(q * q for q in b)) ** 0.5
+        assert abs(x - max(0.0, cosine)) < 1e-9
+
+
 def test_fingerprint_counters_hold_long_texts(spark):
     """1,100,000 equal pieces pass 2**20, and 2,200,000 different ones pass it in every counter."""
     rows = spark.range(1).select(F.expr("repeat('a,', 1100000)").alias("t"), F.expr("array_join(transform(sequence(1, 2200000), i -> concat('w', i, ',')), '')").alias("u"))

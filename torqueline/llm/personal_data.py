@@ -5,24 +5,26 @@ matches: gap and match lengths add up to positions in code points (block by bloc
 many matches in one text stay cheap).  Patterns are written so that no match recurses
 and no start rescans a run, which keeps very long words and digit runs linear.
 
-Further candidates (loosely written addresses and numbers, and what the base patterns
-match but their tests reject) are judged by five labelers: shape, format test, gazetteer,
-context that speaks for and context that speaks against.  Their votes are counted over
-all documents by pattern of votes, of which there is a fixed number; expectation-
-maximisation on that small table estimates each labeler's reliability, and a logistic
-span classifier is trained on its posteriors.  Candidates it accepts are added where
-they overlap no base span.
+Further candidates (loosely written addresses and numbers, long mixed strings that may be
+secrets, and what the base patterns match but their tests reject) are judged by five
+labelers: shape, format test, gazetteer, context that speaks for and context that speaks
+against.  Their votes are counted over all documents by pattern of votes and of text
+features that no labeler sees (what stands right before and after, and the length), of
+which there is a fixed number; expectation-maximisation on that small table estimates
+each labeler's reliability, and a logistic span classifier is trained on its posteriors.
+Candidates it accepts are added where they overlap no base span.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Kinds in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
+#: Those, and what only the classifier adds.
+ALL_KINDS = (*KINDS, "secret")
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: The base patterns: with possessive groups, and starts tied to the start of a run (or the end of the last match).
 BASE = {
@@ -35,16 +37,19 @@ BASE = {
 NEEDS = {"email": "contains({t}, '@')", "ip": r"{t} rlike r'[0-9]\.[0-9]+\.[0-9]'", "card": r"{t} rlike r'[0-9](?:[ -]?[0-9]){{12}}'", "phone": r"contains({t}, '+')"}
 _LOOSE = {
     "email": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}(?: ?[\[(]at[\])] ?[A-Za-z0-9-]{{1,63}}(?:(?: ?[\[(]dot[\])] ?|\.)[A-Za-z0-9-]{{2,63}}){{1,4}}+| at [A-Za-z0-9-]{{1,63}}(?: dot [A-Za-z0-9-]{{2,63}}){{1,4}}+)",
+    "secret": r"(?<![A-Za-z0-9_+/=.@-])(?=[A-Za-z_+/-]{0,200}[0-9])(?=[0-9_+/-]{0,200}[A-Za-z])[A-Za-z0-9_+/-]{20,200}+(?![A-Za-z0-9_+/@.-])={0,2}",
     "phone": r"(?<![0-9A-Za-z+().-])(?:\([0-9]{2,4}\) ?|(?:00[0-9]{1,3}[ .-])?[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])",
 }
-CANDIDATE = f"{BASE['email']}|{BASE['phone']}|{BASE['card']}|{BASE['ip']}|{_LOOSE['email']}|{_LOOSE['phone']}".replace(r"(?:\G|(?<!", r"(?:(?<!")
-_CANDIDATE_NEEDS = r"contains({t}, '@') or contains({t}, '[at]') or contains({t}, '(at)') or contains({t}, ' dot ') or {t} rlike r'[0-9]{{2}}\)? ?[ .-][0-9]{{3}}|[0-9](?:[ -]?[0-9]){{12}}|\+[0-9]|[0-9]\.[0-9]+\.[0-9]'"
+CANDIDATE = f"{BASE['email']}|{BASE['phone']}|{BASE['card']}|{BASE['ip']}|{_LOOSE['email']}|{_LOOSE['phone']}|{_LOOSE['secret']}".replace(r"(?:\G|(?<!", r"(?:(?<!")
+_CANDIDATE_NEEDS = r"contains({t}, '@') or contains({t}, '[at]') or contains({t}, '(at)') or contains({t}, ' dot ') or {t} rlike r'[0-9]{{2}}\)? ?[ .-][0-9]{{3}}|[0-9](?:[ -]?[0-9]){{12}}|\+[0-9]|[0-9]\.[0-9]+\.[0-9]|[A-Za-z0-9_+/-]{{20}}'"
 BLOCK, CONTEXT = 256, 24
 
 #: Gazetteers and context words.
 DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|it|nl|uk|eu|ch|at|be|pt|us|ca"
 ISSUERS = "4|5[1-5]|2[2-7]|3[47]|35|6011|65"
 CALLING = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+SECRETS = "token|secret|api[_-]?key|access[_-]?key|key|passw(?:or)?d|pwd|auth|bearer|credentials?"
+HASHES = "sha-?[0-9]*|md5|hash|commit|digest|checksum|integrity|uuid|https?|www"
 FOR = "e-?mail|mail|contact|kontakt|tel|phone|fon|t[eé]l[eé]fono?|call|mobile?|fax|card|visa|carte|karte|tarjeta|ip|host|addr"
 AGAINST = r"[=:\"#$%][ \"]*$|[0-9][ ,.]*$|version|isbn|page|seite|página"
 
@@ -90,21 +95,31 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def _kind(t: str) -> str:
-    return f"case when {t} rlike r'@|[\\[(]at[\\])]| at ' then 'email' when {t} rlike r'^[0-9]+(\\.[0-9]+){{3}}$' then 'ip' when {t} like '+%' or length({_digits(t)}) < 13 then 'phone' else 'card' end"
+    return f"case when {t} rlike r'@|[\\[(]at[\\])]| at ' then 'email' when {t} rlike r'^[0-9]+(\\.[0-9]+){{3}}$' then 'ip' when {t} rlike r'^[A-Za-z0-9_+/-]{{20,}}=*$' and {t} rlike '[A-Za-z]' then 'secret' when {t} like '+%' or length({_digits(t)}) < 13 then 'phone' else 'card' end"
+
+
+#: Classes of a neighbouring character (none, blank, quote, other sign, letter or digit), and lengths at which the next class begins.
+_NEIGHBOURS, _LENGTHS = 5, (12, 18, 32)
+
+
+def _neighbour(c: str) -> str:
+    return f"case when {c} = '' then 0 when {c} rlike r'\\s' then 1 when {c} in ('\"', '\\'', '`') then 2 when {c} rlike '[A-Za-z0-9]' then 4 else 3 end"
 
 
 def _judged(x: str) -> str:
-    """SQL of a candidate with kind, whether it is loosely written, and the five votes (1 yes, 0 no, -1 none)."""
+    """SQL of a candidate with kind, whether it is loosely written, the five votes (1 yes, 0 no, -1 none), and its text features."""
     d = _digits("c.t")
     strict = "(" + " or ".join(f"c.kind = '{k}' and c.t rlike r'^{BASE[k].replace(chr(92) + 'G|', '')}$' and {valid(k, 'c.t')}" for k in KINDS) + ")"
-    loose = f"(c.t rlike r'[\\[(]at[\\])]| at ' or c.kind = 'phone' and not c.t like '+%')"  # noqa: F541
-    test = f"case c.kind when 'email' then if(c.t rlike r'(?:\\.|dot[\\])]? ?)[A-Za-z]{{2,24}}$', 1, 0) else if(case c.kind {' '.join(f'when {chr(39)}{k}{chr(39)} then {valid(k, chr(99) + chr(46) + chr(116))}' for k in KINDS[1:])} end, 1, 0) end"
-    known = f"case c.kind when 'email' then if(c.t rlike r'(?i)(?:\\.|dot[\\])]? ?)(?:{DOMAINS})$', 1, -1) when 'phone' then if({d} rlike '^(?:00)?(?:{CALLING})' or {d} like '%555%', 1, -1) when 'ip' then if(c.t rlike '^(?:0|10|127|255|192.168)[.]', 0, -1) else if({d} rlike '^(?:{ISSUERS})', 1, 0) end"
-    pro = f"if(c.b rlike r'(?i)\\b(?:{FOR})\\b[^A-Za-z0-9]*$', 1, -1)"
-    con = f"if(c.b rlike r'(?i)(?:{AGAINST})' or c.a rlike '^[0-9A-Za-z_]', 0, -1)"
+    loose = "(c.t rlike r'[\\[(]at[\\])]| at ' or c.kind = 'secret' or c.kind = 'phone' and not c.t like '+%')"
+    mixed = f"length({d}) >= 4 and length(regexp_replace(c.t, '[^A-Za-z]', '')) >= 4"
+    test = f"case c.kind when 'email' then if(c.t rlike r'(?:\\.|dot[\\])]? ?)[A-Za-z]{{2,24}}$', 1, 0) when 'secret' then if({mixed}, 1, 0) else if(case c.kind {' '.join(f'when {chr(39)}{k}{chr(39)} then {valid(k, chr(99) + chr(46) + chr(116))}' for k in KINDS[1:])} end, 1, 0) end"
+    known = f"case c.kind when 'email' then if(c.t rlike r'(?i)(?:\\.|dot[\\])]? ?)(?:{DOMAINS})$', 1, -1) when 'phone' then if({d} rlike '^(?:00)?(?:{CALLING})' or {d} like '%555%', 1, -1) when 'ip' then if(c.t rlike '^(?:0|10|127|255|192.168)[.]', 0, -1) when 'secret' then if(c.b rlike r'(?i)(?:{SECRETS})[^A-Za-z0-9]*$', 1, 0) else if({d} rlike '^(?:{ISSUERS})', 1, 0) end"
+    pro = f"case c.kind when 'secret' then if(c.b rlike r'[=:] ?[\"\\x27]?$', 1, -1) else if(c.b rlike r'(?i)\\b(?:{FOR})\\b[^A-Za-z0-9]*$', 1, -1) end"
+    con = f"case c.kind when 'secret' then if(c.b rlike r'(?i)(?:{HASHES})[^A-Za-z0-9]*$', 0, -1) else if(c.b rlike r'(?i)(?:{AGAINST})' or c.a rlike '^[0-9A-Za-z_]', 0, -1) end"
+    long = " + ".join(f"if(length(c.t) > {n}, 1, 0)" for n in _LENGTHS)
     return (
         f"transform(transform({x}, y -> named_struct('s', y.s, 'e', y.e, 't', y.t, 'b', y.b, 'a', y.a, 'kind', {_kind('y.t')})), "
-        f"c -> named_struct('s', c.s, 'e', c.e, 'kind', c.kind, 'loose', {loose}, 'v', array(if({strict}, 1, if({loose}, -1, 0)), {test}, {known}, {pro}, {con})))"
+        f"c -> named_struct('s', c.s, 'e', c.e, 'kind', c.kind, 'loose', {loose}, 'v', array(if({strict}, 1, if({loose}, -1, 0)), {test}, {known}, {pro}, {con}), 'f', array({_neighbour('right(c.b, 1)')}, {_neighbour('left(c.a, 1)')}, {long})))"
     )
 
 
@@ -113,80 +128,77 @@ def candidates(docs: DataFrame) -> DataFrame:
     return docs.withColumn("cand", F.expr(spans_sql("text", CANDIDATE, _CANDIDATE_NEEDS))).withColumn("judged", F.expr(_judged("cand"))).drop("cand")
 
 
-def reliabilities(table: list[tuple[tuple[int, ...], float]], rounds: int = 100) -> tuple[float, list[list[dict[int, float]]], list[float]]:
-    """Expectation-maximisation over (votes, count): prior, p(vote | class) of each labeler, posterior of each pattern.
+def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray, np.ndarray]:
+    """Expectation-maximisation over rows of votes with counts: prior, p(vote | class) of each labeler, posterior of each row.
 
-    Starts from the majority of votes; a pseudo-count keeps every vote possible.
+    Rates are indexed by labeler, class and vote + 1.  Starts from the majority of votes;
+    a pseudo-count keeps every vote possible.
     """
-    if not table:
-        return 0.5, [], []
-    post = [(1 + sum(v == 1 for v in votes)) / (2 + sum(v >= 0 for v in votes)) for votes, _ in table]
-    n = len(table[0][0])
+    if not len(votes):
+        return 0.5, np.zeros((0, 2, 3)), np.zeros(0)
+    post = (1 + (votes == 1).sum(1)) / (2 + (votes >= 0).sum(1))
     for _ in range(rounds):
-        total = [sum(k * (p if c else 1 - p) for (_, k), p in zip(table, post, strict=True)) for c in (0, 1)]
-        prior = (total[1] + 1) / (sum(total) + 2)
-        rates = [[{v: (sum(k * (p if c else 1 - p) for (votes, k), p in zip(table, post, strict=True) if votes[j] == v) + 1) / (total[c] + 3) for v in (-1, 0, 1)} for c in (0, 1)] for j in range(n)]
-        post = []
-        for votes, _ in table:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(rates[j][1][v] / rates[j][0][v]) for j, v in enumerate(votes))
-            post.append(1 / (1 + math.exp(-max(-30, min(30, odds)))))
-    return prior, rates, post
-
-
-def train_classifier(rows: list[tuple[list[float], float, float]], rounds: int = 400) -> list[float]:
-    """Logistic weights (the last is the constant) for (features, target, weight), by damped gradient steps."""
-    if not rows:
-        return []
-    n = len(rows[0][0])
-    w = [0.0] * (n + 1)
-    total = sum(k for _, _, k in rows)
-    for _ in range(rounds):
-        g = [0.0] * (n + 1)
-        for x, y, k in rows:
-            z = w[n] + sum(a * b for a, b in zip(w, x, strict=False))
-            off = k / total * (1 / (1 + math.exp(-max(-30, min(30, z)))) - y)
-            for j, a in enumerate(x):
-                g[j] += off * a
-            g[n] += off
-        w = [a - 4.0 * (b + 1e-4 * a) for a, b in zip(w, g, strict=True)]
+        mass = np.stack([counts * (1 - post), counts * post])
+        prior = (mass[1].sum() + 1) / (mass.sum() + 2)
+        rates = np.stack([np.stack([(mass @ (votes[:, j] == v) + 1) / (mass.sum(1) + 3) for v in (-1, 0, 1)], 1) for j in range(votes.shape[1])])
+        odds = np.log(prior / (1 - prior)) + sum(np.log(r[1, votes[:, j] + 1] / r[0, votes[:, j] + 1]) for j, r in enumerate(rates))
+        post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    return float(prior), rates, post
+
+
+def train_classifier(x: np.ndarray, y: np.ndarray, counts: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """Logistic weights (the last is the constant) for features, soft targets and counts, by damped gradient steps."""
+    w = np.zeros(x.shape[1] + 1)
+    x = np.c_[x, np.ones(len(x))]
+    share = counts / max(counts.sum(), 1)
+    for _ in range(rounds if len(x) else 0):
+        off = share * (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y)
+        w -= 4.0 * (x.T @ off + 1e-4 * np.r_[w[:-1], 0])
     return w
 
 
-def _features(kind: str, loose: bool, votes: tuple[int, ...]) -> list[float]:
-    return [float(v == s) for v in votes for s in (0, 1)] + [float(kind == k) for k in KINDS] + [float(loose)]
+def _feature_tests() -> list[str]:
+    """SQL conditions on a judged candidate c: the features of the classifier."""
+    return [
+        *[f"c.v[{j}] = {v}" for j in range(5) for v in (0, 1)], *[f"c.kind = '{k}'" for k in ALL_KINDS], "c.loose",
+        *[f"c.f[{j}] = {n}" for j in (0, 1) for n in range(1, _NEIGHBOURS)], *[f"c.f[2] >= {n}" for n in range(1, len(_LENGTHS) + 1)],
+    ]
+
+
+def learn(docs: DataFrame) -> np.ndarray:
+    """Weights of the span classifier, from every pattern of kind, form, votes and text features in docs.
+
+    There are 5 * 2 * 3**5 * 5**2 * 4 such patterns at most, whatever the number of documents.
+    """
+    tests = F.expr("array(" + ", ".join(f"int({t})" for t in _feature_tests()) + ")")
+    seen = candidates(docs).select(F.explode("judged").alias("c")).groupBy("c.kind", "c.loose", "c.v", "c.f").agg(F.count("*").alias("k"))
+    seen = seen.select(F.struct("kind", "loose", "v", "f").alias("c"), "k").select(F.col("c.v").alias("v"), tests.alias("x"), "k").collect()
+    seen.sort()  # so that sums have one order
+    votes, x, counts = (np.array([r[i] for r in seen], float if i == 2 else np.int64) for i in range(3))
+    if not len(seen):
+        return np.r_[np.zeros(len(_feature_tests())), -1.0]
+    return train_classifier(x.astype(float), reliabilities(votes, counts)[2], counts)
 
 
-def learn(docs: DataFrame) -> dict[tuple[str, bool, tuple[int, ...]], float]:
-    """Scores of the span classifier for every pattern of kind, form and votes seen in docs (at most 8 * 3**5)."""
-    seen = candidates(docs).select(F.explode("judged").alias("c")).groupBy("c.kind", "c.loose", "c.v").agg(F.count("*").alias("k")).collect()
-    patterns = sorted((r.kind, r.loose, tuple(r.v), float(r.k)) for r in seen)
-    _, _, post = reliabilities([(v, k) for _, _, v, k in patterns])
-    weights = train_classifier([(_features(kind, loose, v), p, k) for (kind, loose, v, k), p in zip(patterns, post, strict=True)])
-    out = {}
-    for kind, loose, v, _ in patterns:
-        z = weights[-1] + sum(a * b for a, b in zip(weights, _features(kind, loose, v), strict=False))
-        out[kind, loose, v] = 1 / (1 + math.exp(-max(-30, min(30, z))))
-    return out
+def score_sql(weights: np.ndarray) -> str:
+    """SQL of the classifier's probability for a judged candidate c."""
+    z = " + ".join([f"double({weights[-1]!r})", *[f"if({t}, double({w!r}), 0d)" for t, w in zip(_feature_tests(), weights[:-1], strict=True)]])
+    return f"1d / (1d + exp(-({z})))".replace("np.float64", "")
 
 
 def found_spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs with a column a kind of base spans, and ``spans``: all of them and those the classifier adds.
 
-    spans is array<struct<o, s, e, kind>> in the order of KINDS, then start.
+    spans is array<struct<o, s, e, kind>> in the order of ALL_KINDS, then start.
     """
-    scores = learn(docs)
-    accepted = [f"{kind}:{str(loose).lower()}:{','.join(map(str, v))}" for (kind, loose, v), p in sorted(scores.items()) if p >= threshold and v[0] != 1]
+    weights = learn(docs)
     rows = candidates(base_spans(docs))
-    order = "array_position(array(" + ", ".join(f"'{k}'" for k in KINDS) + "), {})"
+    order = "array_position(array(" + ", ".join(f"'{k}'" for k in ALL_KINDS) + "), {})"
     base = "concat(" + ", ".join(f"transform({k}, x -> named_struct('o', {order.format(repr(k))}, 's', x.s, 'e', x.e, 'kind', '{k}'))" for k in KINDS) + ")"
     rows = rows.withColumn("base", F.expr(base))
-    key = "concat(c.kind, ':', cast(c.loose as string), ':', array_join(transform(c.v, y -> cast(y as string)), ','))"
-    if accepted:
-        chosen = f"filter(judged, c -> {key} in ({', '.join(map(repr, accepted))}))"
-        apart = "filter({}, c -> not exists(base, b -> b.s < c.e and c.s < b.e))"
-        added = f"transform({apart.format(chosen)}, c -> named_struct('o', {order.format('c.kind')}, 's', c.s, 'e', c.e, 'kind', c.kind))"
-        return rows.withColumn("spans", F.expr(f"array_sort(concat(base, {added}))")).drop("judged", "base")
-    return rows.withColumn("spans", F.expr("array_sort(base)")).drop("judged", "base")
+    chosen = f"filter(judged, c -> c.v[0] <> 1 and {score_sql(weights)} >= {threshold}d and not exists(base, b -> b.s < c.e and c.s < b.e))"
+    added = f"transform({chosen}, c -> named_struct('o', {order.format('c.kind')}, 's', c.s, 'e', c.e, 'kind', c.kind))"
+    return rows.withColumn("spans", F.expr(f"array_sort(concat(base, {added}))")).drop("judged", "base")
 
 
 def _listed(spans: str) -> str:
@@ -196,7 +208,8 @@ def _listed(spans: str) -> str:
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each row of docs (doc_id, text).
 
-    Counts and base_sha256 are of base spans; spans lists all as kind:start:end.  A null
+    Counts and base_sha256 are of base spans; spans lists all as kind:start:end, with
+    secrets, which have no base pattern, behind the other kinds.  A null
     text is empty; rows are independent, so null or repeated ids pass through; an empty
     table gives an empty result.
     """
