@@ -106,8 +106,21 @@ def test_sketches_of_borderline_pairs():
 def test_repeated_spans(docs, texts, hot, monkeypatch):
     monkeypatch.setattr(repeated_spans, "HOT", hot)
     monkeypatch.setattr(repeated_spans, "PIECE_WORDS", 2000)
-    common = repeated_spans.repeated_spans(docs)
-    assert common.columns == ["doc", "spans"]
+    paths = repeated_spans.repeated_paths(docs)
+    split = {k: brute.words(t) for k, t in texts.items()}
+    seen = set()
+    for r in paths.collect():
+        a, b = (split[k][p : p + r.n + 12] for k, p in ((r.doc, r.pos), (r.src, r.spos)))
+        assert r.src < r.doc and a == b and len(a) == r.n + 12
+        assert not seen & (own := {(r.doc, r.pos + i) for i in range(r.n)})  # each window once
+        seen |= own
+    first = {}
+    for k in sorted(split):
+        for i in range(len(split[k]) - 12):
+            first.setdefault(tuple(split[k][i : i + 13]), k)
+    assert seen == {(k, i) for k, w in split.items() for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < k}
+    nodes = repeated_spans.branching_nodes(paths)
+    assert nodes.agg(F.sum("entering") - F.sum("leaving")).first()[0] == 0
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeated_spans.without_repeats(docs).collect()}
     assert got == brute.repeated(texts)
 
@@ -118,6 +131,26 @@ def test_repeated_spans_odd_rows(spark, empty):
     rows = [(None, long), (7, long), (7, long), (9, long + " end"), (8, None)]
     got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in repeated_spans.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(0, 20, 0), (7, 20, 0), (7, 20, 0), (8, 0, 0), (9, 21, 20)]
+    other = " ".join(f"o{i}" for i in range(25))
+    rows = [(1, long), (2, other), (2, long), (3, "x " + other), (3, long), (3, "short")]  # several texts a doc_id
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in repeated_spans.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 20, 0), (2, 20, 20), (2, 25, 0), (3, 1, 0), (3, 20, 20), (3, 26, 25)]
+
+
+def test_repeated_spans_need_the_sources_words(spark, monkeypatch):
+    """Where window hashes collide (all are made equal here), nothing goes whose words differ from the source's."""
+    monkeypatch.setattr(repeated_spans, "window_hashes", lambda flat, size, seed: np.zeros(max(len(flat) - size + 1, 0), np.uint64))
+    texts = {k: [f"{c}{i}" for i in range(30)] for k, c in ((1, "a"), (2, "b"), (3, "a"))}
+    frame = pa.RecordBatch.from_arrays([pa.array(list(texts)), pa.array([" ".join(w) for w in texts.values()])], ["doc_id", "text"])
+    rows = [b for b in repeated_spans._paths(13)(iter([frame]))]
+    place = np.frombuffer(b"".join(x for b in rows for x, n in zip(b.column(4).to_pylist(), b.column(3).to_pylist(), strict=True) if n < 0), repeated_spans._PLACE)
+    assert set(place["src"]) == {1}  # by hash alone, documents 2 and 3 would lose all to document 1
+    monkeypatch.undo()
+    paths = spark.createDataFrame([(2, 0, 18, 1, 0), (3, 0, 18, 1, 0)], "doc long, pos int, n int, src long, spos int")
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    spans = docs.join(repeated_spans.verified(docs, paths).withColumnRenamed("doc", "doc_id"), "doc_id", "left").select("doc_id", "text", "spans")
+    got = {r.doc_id: r.n_removed for r in spans.mapInArrow(repeated_spans._cut(13), "doc_id long, n_words long, n_removed long, kept_sha256 string").collect()}
+    assert got == {1: 0, 2: 0, 3: 30}
 
 
 def test_minimizer_counts_have_rare_ones():

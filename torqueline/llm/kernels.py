@@ -10,6 +10,7 @@ so memory doesn't follow the length of a text.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ def _radix() -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.cache
-def _byte_values(lower: bool) -> np.ndarray:
-    v = constants(11, 256)
+def _byte_values(lower: bool, seed: int = 11) -> np.ndarray:
+    v = constants(seed, 256)
     if lower:
         v[65:91] = v[97:123]
     return v
@@ -78,11 +79,11 @@ def _whole(word: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.array([total], _U)
 
 
-def word_hashes(col: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words [^\\x20\\x09-\\x0D]+ of a column, and each text's first word (n + 1 offsets)."""
+def word_hashes(col: pa.Array, lower: bool, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words [^\\x20\\x09-\\x0D]+ of a column, and each text's first word (n + 1 offsets); other seeds give independent ones."""
     data, off = text_buffer(col)
     up, down = _radix()
-    values = _byte_values(lower)
+    values = _byte_values(lower, seed)
     hashes, counts = [], np.zeros(len(off) - 1, np.int64)
     texts = np.flatnonzero(off[1:] > off[:-1])
     at, end = 0, len(data)
@@ -150,6 +151,18 @@ def slide_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def text_slices(b: pa.RecordBatch, text: int = 1, most: int = 1 << 21, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes in the column ``text``, or one row of more, and at most ``rows`` rows."""
+    col = b.column(text)
+    col = col.cast(pa.large_string()) if pa.types.is_string(col.type) else col
+    ends = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8) if len(col) else np.zeros(1, np.int64)
+    at = 0
+    while at < b.num_rows:
+        to = min(max(int(np.searchsorted(ends, ends[at] + most, "right")) - 1, at + 1), at + rows, b.num_rows)
+        yield b.slice(at, to - at)
+        at = to
+
+
 def batch(names: list[str], arrays: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names)
 
