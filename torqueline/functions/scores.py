@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import texts as TX
 from ..presets import DEFAULTS, PATH_FACTORS, Settings
 
 
@@ -77,7 +78,7 @@ def mode(conf: Column, s: Settings = DEFAULTS) -> Column:
 
 
 def mode_text(m: Column) -> Column:
-    return F.when(m == "EXTRACTED", "High confidence: the graph's evidence supports one diagnosis.").otherwise("Low confidence: more symptoms are needed for a diagnosis.")
+    return F.when(m == "EXTRACTED", TX.MODE_EXTRACTED).when(m == "AMBIGUOUS", TX.MODE_AMBIGUOUS).otherwise(TX.MODE_UNKNOWN)
 
 
 def in_band(conf: Column, m: Column, s: Settings = DEFAULTS) -> Column:

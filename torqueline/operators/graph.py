@@ -16,56 +16,52 @@ NODE_PREFIX = {"Category": "cat_", "Subcategory": "subcat_", "Symptom": "sym_",
 
 
 def build(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of fault records (ord, category, subcategory, symptoms, diagnosis_steps).
+    """Nodes and edges of fault records (ord, category, subcategory, symptoms, diagnosis_steps), both with their own ord.
 
-    The first record that mentions a node names its source file; a later edge with the
+    ord is the order of first mention.  The first record that mentions a node names its source file; a later edge with the
     same ends replaces an earlier one, similarity edges coming last.
     """
-    records.createOrReplaceTempView("_records")
     spark = records.sparkSession
     sub_file = f"concat('data/corpus/', {slug('category')}, '/', {slug('subcategory')}, '.md')"
     cat_file = f"concat('data/corpus/', {slug('category')}, '.md')"
-    spark.sql(f"""
-      select ord, category, subcategory, {node_id('cat', 'category')} as cat_id, {node_id('subcat', 'subcategory')} as sub_id, {cat_file} as cat_file, {sub_file} as sub_file, symptoms, diagnosis_steps from _records
-    """).createOrReplaceTempView("_r")
-    spark.sql(f"""
-      select ord, 1 + at as at, 'sym' as kind, category, sub_id, sub_file, s as text, {node_id('sym', 's')} as id, cast(null as array<string>) as result from _r lateral view posexplode(symptoms) as at, s
+    r = records.selectExpr("ord", "category", "subcategory", f"{node_id('cat', 'category')} as cat_id", f"{node_id('subcat', 'subcategory')} as sub_id", f"{cat_file} as cat_file", f"{sub_file} as sub_file", "symptoms", "diagnosis_steps")
+    leaf = spark.sql(f"""
+      select ord, 1 + at as at, 'sym' as kind, category, sub_id, sub_file, s as text, {node_id('sym', 's')} as id, cast(null as array<string>) as result from {{r}} lateral view posexplode(symptoms) as at, s
       union all
-      select ord, 100000 + at, 'step', category, sub_id, sub_file, d.step, {node_id('step', 'd.step')}, d.result from _r lateral view posexplode(diagnosis_steps) as at, d
-    """).createOrReplaceTempView("_leaf")
+      select ord, 100000 + at, 'step', category, sub_id, sub_file, d.step, {node_id('step', 'd.step')}, d.result from {{r}} lateral view posexplode(diagnosis_steps) as at, d
+    """, r=r)
     nodes = spark.sql("""
-      select id, min_by(label, o) as label, 'document' as file_type, min_by(file, o) as source_file, min_by(a, o) as result_a, min_by(b, o) as result_b, min(o) as first from (
-        select cat_id as id, category as label, cat_file as file, null as a, null as b, struct(ord, -2) as o from _r
-        union all select sub_id, subcategory, sub_file, null, null, struct(ord, -1) from _r
-        union all select id, text, sub_file, if(kind = 'step', coalesce(get(result, 0), ''), null), if(kind = 'step', coalesce(get(result, 1), ''), null), struct(ord, at) from _leaf)
+      select id, min_by(label, o) as label, 'document' as file_type, min_by(file, o) as source_file, min_by(a, o) as result_a, min_by(b, o) as result_b, min(o.ord * 1000000L + o.at) as ord from (
+        select cat_id as id, category as label, cat_file as file, null as a, null as b, named_struct('ord', ord, 'at', 0) as o from {r}
+        union all select sub_id, subcategory, sub_file, null, null, named_struct('ord', ord, 'at', 1) from {r}
+        union all select id, text, sub_file, if(kind = 'step', coalesce(get(result, 0), ''), null), if(kind = 'step', coalesce(get(result, 1), ''), null), named_struct('ord', ord, 'at', at + 1) from {leaf})
       group by id
-    """)
-    similar = similarity_edges(spark.table("_leaf"))
-    similar.createOrReplaceTempView("_similar")
+    """, r=r, leaf=leaf)
     edges = spark.sql("""
-      select source, target, max_by(struct(relation, confidence, source_file, weight, label), o) as e from (
-        select cat_id as source, sub_id as target, 'HAS_SUBCATEGORY' as relation, 'EXTRACTED' as confidence, cat_file as source_file, 1.0D as weight, cast(null as string) as label, struct(0, ord, -1) as o from _r
-        union all select sub_id, id, if(kind = 'sym', 'HAS_SYMPTOM', 'HAS_DIAGNOSIS_STEP'), 'EXTRACTED', sub_file, 1.0D, null, struct(0, ord, at) from _leaf
-        union all select source, target, relation, 'INFERRED', source_file, 0.8D, label, struct(1, 0, 0) from _similar)
+      select source, target, max_by(struct(relation, confidence, source_file, weight, label), o) as e, min(o.late * 1000000000000000L + o.ord * 1000000L + o.at) as ord from (
+        select cat_id as source, sub_id as target, 'HAS_SUBCATEGORY' as relation, 'EXTRACTED' as confidence, cat_file as source_file, 1.0D as weight, cast(null as string) as label, named_struct('late', 0, 'ord', ord, 'at', 0) as o from {r}
+        union all select sub_id, id, if(kind = 'sym', 'HAS_SYMPTOM', 'HAS_DIAGNOSIS_STEP'), 'EXTRACTED', sub_file, 1.0D, null, named_struct('late', 0, 'ord', ord, 'at', at) from {leaf}
+        union all select source, target, relation, 'INFERRED', source_file, 0.8D, label, named_struct('late', if(relation = 'SIMILAR_SYMPTOM_TO', 1, 2), 'ord', seen.ord, 'at', seen.at) from {similar})
       group by source, target
-    """).select("source", "target", "e.*")
-    return nodes.drop("first"), edges
+    """, r=r, leaf=leaf, similar=similarity_edges(leaf)).select("source", "target", "e.*", "ord")
+    return nodes, edges
 
 
 def similarity_edges(leaf: DataFrame) -> DataFrame:
     """Subcategories of different categories that share a symptom or step, once a pair; symptoms come before steps.
 
     leaf has ord, at, kind, category, sub_id, sub_file, text.  Only texts in several
-    categories are joined, and the pairs of a text are as many as the edges asked for.
+    categories are joined, and the pairs of a text are as many as the edges asked for;
+    they are reduced to one a pair before the shuffle.
     """
     shared = leaf.groupBy("kind", "text").agg(F.count_distinct("category").alias("n"), F.min_by("sub_file", F.struct("ord", "at")).alias("file"), F.min(F.struct("ord", "at")).alias("seen")).where("n > 1")
     rows = leaf.join(shared, ["kind", "text"])
     a = rows.select("kind", "text", "file", "seen", F.struct("ord", "at").alias("o1"), F.col("category").alias("c1"), F.col("sub_id").alias("source"))
     b = rows.select("kind", "text", F.struct("ord", "at").alias("o2"), F.col("category").alias("c2"), F.col("sub_id").alias("target"))
     pairs = a.join(b, ["kind", "text"]).where("o1 < o2 and c1 <> c2")
-    w = Window.partitionBy(F.least("source", "target"), F.greatest("source", "target")).orderBy(F.desc("kind"), "seen", "o1", "o2")
-    first = pairs.withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    return first.select("source", "target", F.when(F.col("kind") == "sym", "SIMILAR_SYMPTOM_TO").otherwise("SIMILAR_STEP_TO").alias("relation"), F.col("file").alias("source_file"), F.col("text").alias("label"))
+    best = F.min_by(F.struct("source", "target", "kind", "file", "text", "seen"), F.struct(F.col("kind") != "sym", "seen", "o1", "o2")).alias("e")
+    first = pairs.groupBy(F.least("source", "target"), F.greatest("source", "target")).agg(best).select("e.*")
+    return first.select("source", "target", F.when(F.col("kind") == "sym", "SIMILAR_SYMPTOM_TO").otherwise("SIMILAR_STEP_TO").alias("relation"), F.col("file").alias("source_file"), F.col("text").alias("label"), "seen")
 
 
 def projected_similarity(children: DataFrame) -> DataFrame:

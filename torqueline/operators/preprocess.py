@@ -140,7 +140,7 @@ def sibling_terms(strong: DataFrame, nodes: DataFrame, most: int = 5, least: flo
 def hints(strong: DataFrame) -> DataFrame:
     """(query_id, communities, categories, node_types, expected_sensors): sorted distinct values of the entities."""
     s = lambda c: F.array_sort(F.collect_set(F.when(F.col(c).cast("string") != "", F.col(c)))).alias
-    table = F.create_map(*[x for k, v in CATEGORY_SENSORS.items() for x in (F.lit(k), F.array(*map(F.lit, v.split())))])
+    table = F.create_map(*[x for k, v in CATEGORY_SENSORS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     agg = strong.groupBy("query_id").agg(s("community")("communities"), s("category")("categories"), s("node_type")("node_types"))
     sensors = F.array_sort(F.array_distinct(F.flatten(F.transform("categories", lambda c: F.coalesce(table[c], F.array().cast("array<string>"))))))
     return agg.withColumn("expected_sensors", sensors)

@@ -26,11 +26,10 @@ class KnowledgeBase:
     def from_records(cls, records: DataFrame, communities: DataFrame | None = None) -> KnowledgeBase:
         """Build from fault records; communities (id, community) are detected where none are given."""
         nodes, edges = graph.build(records)
-        nodes = cut(graph.normalized(nodes, records).withColumn("ord", F.xxhash64("id")))
-        edges = cut(edges.withColumn("ord", F.xxhash64("source", "target")))
+        nodes, edges = cut(graph.normalized(nodes, records)), cut(edges)
         own = communities if communities is not None else graph.communities(nodes, edges)
         nodes = cut(nodes.join(own, "id", "left"))
-        return cls(nodes, cut(edges), cut(graph.community_rollup(nodes)), cut(embedded(graph.embedding_text(nodes))))
+        return cls(nodes, edges, cut(graph.community_rollup(nodes)), cut(embedded(graph.embedding_text(nodes))))
 
 
 def embedded(texts: DataFrame) -> DataFrame:

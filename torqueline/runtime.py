@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint in the folder the cluster names (one is set only where none is): a short plan for what follows."""
+    """df as a reliable checkpoint in the folder the cluster names: a short plan for what follows.
+
+    Only a local session (one machine) gets a folder of its own where none is named.
+    """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
     return df.checkpoint()

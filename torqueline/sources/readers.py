@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,16 +22,26 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def log_csv(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
-    """A log whose second line holds units: all cells as double (null where they aren't numbers), and the units.
+    """One log whose second line holds units: all cells as double (null where they aren't numbers), and the units.
 
-    Column names that repeat keep their first column.
+    Of columns that repeat a name the first one counts.  path is one file, as each log
+    has units of its own; Spark would rename repeated names, so the header line itself is
+    read and columns are taken by place.
     """
-    raw = spark.read.csv(path, header=True)
+    head = [r.value for r in spark.read.text(path).limit(1).collect()]
+    header = next(csv.reader(head), []) if head else []
+    raw = spark.read.csv(path, header=True, schema=", ".join(f"c{i} string" for i in range(len(header)))) if header else spark.createDataFrame([], "c0 string")
+    at = {c.strip(): i for i, c in reversed(list(enumerate(header)))}
+    names = sorted(at, key=at.__getitem__)
     first = raw.first()
-    names = [c for c in raw.columns if not (c[-1:].isdigit() and c.rstrip("0123456789") in raw.columns)] if len(set(raw.columns)) < len(raw.columns) else raw.columns
-    units = {c: first[c] for c in names} if first else {}
-    rows = raw.select(*[F.expr(f"try_cast(`{c}` as double)").alias(c) for c in names])
-    return rows.where(F.expr(" or ".join(f"`{c}` is not null" for c in names))), units
+    units = {c: first[at[c]] for c in names} if first else {}
+    rows = raw.select(*[F.expr(f"try_cast(c{at[c]} as double)").alias(c) for c in names])
+    return rows.where(F.expr(" or ".join(f"`{c}` is not null" for c in names) or "false")), units
+
+
+def file_name(kind: str, speed: int, condition: str, prefix: str = "") -> str:
+    """Name of a condition's artefact: "log", "profile" or "comparison" (against the nominal condition), as the readers parse it."""
+    return {"log": f"{prefix}SPEED_{speed}_{condition}.csv", "profile": f"{prefix}SPEED_{speed}_{condition}.json", "comparison": f"{speed}_{condition}_vs_NOMINAL.csv"}[kind]
 
 
 def table_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -51,22 +63,24 @@ def fault_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dump_records(spark: SparkSession, path: str) -> DataFrame:
-    """Fault records from an indented text dump: ## category, ### subcategory, - SYMPTOM: x, - STEP: x  [a / b]."""
+    """Fault records from an indented text dump: ## category, ### subcategory, - SYMPTOM: x, - STEP: x  [a / b].
+
+    A dump is one curated file, read whole: its lines are put in order in one task.
+    """
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("ord", "line"))
-    lines.createOrReplaceTempView("_dump_lines")
     return spark.sql(r"""
       with l as (
         select ord, trim(line) as line,
           last_value(case when line like '## %' then trim(substring(trim(line), 4)) end) ignore nulls over (order by ord) as category,
           last_value(case when trim(line) like '### %' then ord end) ignore nulls over (order by ord) as head,
           last_value(case when trim(line) like '### %' then trim(substring(trim(line), 5)) end) ignore nulls over (order by ord) as subcategory
-        from _dump_lines)
+        from {lines})
       select head as ord, first(category) as category, first(subcategory) as subcategory,
         transform(array_sort(collect_list(case when line like '- SYMPTOM:%' then struct(ord, trim(substring(line, 11)) as t) end)), x -> x.t) as symptoms,
         transform(array_sort(collect_list(case when line like '- STEP:%' then struct(ord, trim(substring(line, 8)) as t) end)),
           x -> named_struct('step', trim(regexp_replace(x.t, '\\s*\\[[^\\[\\]]*\\]$', '')), 'result', split(regexp_extract(x.t, '\\[([^\\[\\]]*)\\]$', 1), ' / '))) as diagnosis_steps
       from l where head is not null and line like '- %' group by head
-    """)
+    """, lines=lines)
 
 
 def graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
