@@ -140,11 +140,11 @@ def test_t_tail():
 def test_vector_topk(spark):
     rows = [(i, [float(i % 3), float(i % 5), 1.0]) for i in range(40)]
     v = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
-    similarity.QUERY_BYTES, old = 48, similarity.QUERY_BYTES
+    (similarity.QUERY_ROWS, similarity.VECTOR_ROWS), old = (2, 3), (similarity.QUERY_ROWS, similarity.VECTOR_ROWS)
     try:
         got = similarity.vector_topk(v, v.where("id < 5").withColumnRenamed("id", "query_id"), 4).collect()
     finally:
-        similarity.QUERY_BYTES = old
+        similarity.QUERY_ROWS, similarity.VECTOR_ROWS = old
     for q in range(5):
         want = sorted(((-sum(a * b for a, b in zip(rows[q][1], x, strict=True)), i) for i, x in rows))[:4]
         assert [(r.rank, r.id, r.raw_score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-#: Bytes of query vectors that one pass carries to the tasks; more queries take more passes.
-QUERY_BYTES = 32 << 20
+#: Rows of a block of queries and of a block of vectors.
+QUERY_ROWS, VECTOR_ROWS = 512, 2048
 
 
 def rounded_half_up(x: np.ndarray, dp: int) -> np.ndarray:
@@ -27,45 +27,58 @@ def rounded_half_up(x: np.ndarray, dp: int) -> np.ndarray:
     return np.where(size < 2.0**52, out, x) + 0.0
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best: largest score, then least id."""
+    return np.lexsort((ids, -scores))[:k]
+
+
+def _block_topk(k: int, dp: int):
+    """For rows (ids, embeddings) against (query ids, query embeddings) of one block: each query's k best over all of a task's batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for row in range(b.num_rows):
+                asked, mine = b.column(0)[row].values, b.column(1)[row].values
+                q = np.array(asked.field(1).to_pylist(), np.float64)
+                x, own = np.array(mine.field(1).to_pylist(), np.float64), mine.field(0).to_numpy()
+                for i, s in zip(asked.field(0).to_pylist(), q @ x.T, strict=True):
+                    s = rounded_half_up(s, dp)
+                    top = _best(own, s, k)
+                    ids, scores = own[top], s[top]
+                    if i in held:
+                        ids, scores = np.r_[held[i][0], ids], np.r_[held[i][1], scores]
+                        top = _best(ids, scores, k)
+                        ids, scores = ids[top], scores[top]
+                    held[i] = ids, scores
+        for i, (ids, scores) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(ids), pa.int64()), pa.array(ids), pa.array(scores)], ["query_id", "id", "score"])
+
+    return run
+
+
+def _blocks(df: DataFrame, key: str, rows: int, names: tuple[str, str]) -> tuple[DataFrame, int]:
+    """(block, values): rows (key, embedding) in arrays of about ``rows``, dealt by a hash of the key; and the number of blocks."""
+    n = max(-(-df.count() // rows), 1)
+    block = F.pmod(F.xxhash64(key), F.lit(n))
+    return df.groupBy(block.alias(names[0])).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), "embedding")).alias(names[1])), n
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, dp: int = 4) -> DataFrame:
     """(query_id, id, raw_score, rank): the k largest dot products of each query, rounded to ``dp`` places, ties by id.
 
-    vectors has id and embedding, queries query_id and embedding.  Queries go to the
-    tasks in blocks of bounded size; each task multiplies its vectors by a block and
-    passes on its own k best for each query, so no row for every pair is made.  Scores
-    are rounded before anything is ranked, so that a batch keeps what the whole would.
+    vectors has id and embedding, queries query_id and embedding.  Both are dealt into
+    blocks; every block of queries meets every block of vectors (queries are a stated set,
+    and the smaller side), multiplied as matrices on the executors, where a task passes on
+    its own k best of each query, so no row for every pair is made.  Nothing goes through
+    the driver.  Scores are rounded before anything is ranked, so that a task keeps what
+    the whole would.
     """
-    width = max(len((queries.select("embedding").first() or [[]])[0]), 1)
-    per_pass = max(QUERY_BYTES // (8 * width), 1)
-    rows = queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()
-    out, ids, block = None, [], []
-
-    def one_pass(ids, block):
-        q = np.array(block, np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = np.array(b.column(1).to_pylist(), np.float64)
-                own = np.array(b.column(0).to_pylist(), np.int64)
-                score = q @ x.T
-                for i, s in enumerate(score):
-                    s = rounded_half_up(s, dp)
-                    top = np.lexsort((own, -s))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(top), pa.int64()), pa.array(own[top]), pa.array(s[top])], ["query_id", "id", "score"])
-
-        return vectors.select("id", "embedding").mapInArrow(run, "query_id long, id long, score double")
-
-    for r in rows:
-        ids.append(r.query_id), block.append(r.embedding)
-        if len(ids) >= per_pass:
-            out = one_pass(ids, block) if out is None else out.union(one_pass(ids, block))
-            ids, block = [], []
-    if ids or out is None:
-        if not ids:
-            return vectors.sparkSession.createDataFrame([], "query_id long, id long, raw_score double, rank int")
-        out = one_pass(ids, block) if out is None else out.union(one_pass(ids, block))
+    q, n_blocks = _blocks(queries.select("query_id", "embedding"), "query_id", QUERY_ROWS, ("qb", "asked"))
+    v, _ = _blocks(vectors.select("id", "embedding"), "id", VECTOR_ROWS, ("vb", "mine"))
+    spread = v.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    out = spread.withColumn("qb", F.col("qb").cast("long")).join(q.withColumn("qb", F.col("qb").cast("long")), "qb")
+    out = out.select("asked", "mine").mapInArrow(_block_topk(k, dp), "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "id")
     return out.select("query_id", "id", F.col("score").alias("raw_score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -94,9 +107,18 @@ def indel(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(a) + len(b))
 
 
-@F.pandas_udf(DoubleType())
-def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel(x, y) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])
+def letters(word: str) -> str:
+    """SQL of a word's letters, each with how often it came before: equal arrays' intersection is that of multisets."""
+    return f"transform(split({word}, ''), (c, i) -> concat(c, size(filter(slice(split({word}, ''), 1, i + 1), d -> d = c))))"
+
+
+def indel_ratio(a: str, b: str) -> str:
+    """SQL of ``indel``: a row of the common-subsequence table is the running maximum of what the row above and the letter allow."""
+    letters_b = f"split({b}, '')"
+    allowed = f"transform(y, (c, j) -> greatest(row[j + 1], row[j] + int(c = x)))"  # noqa: F541
+    running = f"transform({allowed}, (v, j) -> array_max(slice({allowed}, 1, j + 1)))"
+    longest = f"transform(array({letters_b}), y -> element_at(aggregate(split({a}, ''), array_repeat(0, size(y) + 1), (row, x) -> concat(array(0), {running})), -1))[0]"
+    return f"case when {a} = '' and {b} = '' then 100D when {a} = '' or {b} = '' then 0D else 200D * {longest} / (length({a}) + length({b})) end"
 
 
 def hashed_embedding(text: str, width: int = 256) -> str:

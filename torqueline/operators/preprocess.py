@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import indel_ratio
+from ..functions.similarity import indel_ratio, letters
 from ..functions.text import alnum_tokens, error_codes, intent, stem_set
 from ..presets import CATEGORY_SENSORS, DEFAULTS, ENTITY_WEIGHTS, QUERY_STEM, RELATIONS, SYNONYMS, Settings
 from ..runtime import cut
@@ -29,14 +29,17 @@ def word_labels(labels: DataFrame, column: str = "label") -> DataFrame:
 def fuzzy_matches(words: DataFrame, vocabulary: DataFrame, threshold: float = DEFAULTS.fuzzy_threshold) -> DataFrame:
     """(word, match, ratio): the vocabulary's closest word by Indel ratio, if it reaches the threshold; ties by word.
 
-    A ratio bounds the difference in length and, as both words keep most letters, one of
-    the letters of the shorter; candidates are joined on lengths that can reach it.
+    A ratio bounds the difference in length, and the letters both words have (each as often
+    as in the lesser of the two) are no fewer than their longest common subsequence:
+    candidates are joined on lengths that can reach it and need enough common letters
+    before the subsequence is computed.
     """
     share = threshold / (200.0 - threshold)  # the least ratio of lengths
-    w = words.select("word").distinct().withColumn("n", F.length("word"))
-    reach = w.select("word", "n", F.explode(F.sequence(F.ceil(F.col("n") * share).cast("int"), F.floor(F.col("n") / share).cast("int"))).alias("m"))
-    v = vocabulary.select(F.col("word").alias("match"), F.length("word").alias("m")).distinct()
-    scored = reach.join(v, "m").withColumn("ratio", indel_ratio("word", "match")).where(F.col("ratio") >= threshold)
+    w = words.select("word").where("word <> ''").distinct().withColumns({"n": F.length("word"), "wl": F.expr(letters("word"))})
+    reach = w.select("word", "n", "wl", F.explode(F.sequence(F.ceil(F.col("n") * share).cast("int"), F.floor(F.col("n") / share).cast("int"))).alias("m"))
+    v = vocabulary.select(F.col("word").alias("match")).where("match <> ''").distinct().withColumns({"m": F.length("match"), "ml": F.expr(letters("match"))})
+    near = reach.join(v, "m").where(F.size(F.array_intersect("wl", "ml")) * 200.0 / (F.col("n") + F.col("m")) >= threshold)
+    scored = near.withColumn("ratio", F.expr(indel_ratio("word", "match"))).where(F.col("ratio") >= threshold)
     best = Window.partitionBy("word").orderBy(F.desc("ratio"), "match")
     return scored.withColumn("rn", F.row_number().over(best)).where("rn = 1").select("word", "match", "ratio")
 

@@ -41,27 +41,54 @@ def cleaned(readings: DataFrame, keys: list[str], order: str = "row_idx") -> Dat
     return informative(interpolated(known, keys, order), keys)
 
 
+BINS = 1024
+
+
+def quantiles(readings: DataFrame, keys: list[str], shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """(keys..., n, unique, q): exact linear quantiles of each sensor's values; NaN is the largest value.
+
+    No task holds all values of a sensor.  Values are counted, then their bins (BINS equal
+    ones between least and largest); the ranks asked for fall into a few bins, and only
+    the values of those are sorted.
+    """
+    v = readings.where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("k"))
+    edge = v.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.sum("k").alias("n"), F.count("*").alias("unique"))
+    place = (F.col("value") - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(F.lit(1.0))
+    bins = v.join(edge, keys).withColumn("_bin", F.when(F.isnan(place), F.lit(BINS)).otherwise(F.least(F.floor(place * BINS), F.lit(BINS - 1))).cast("int"))
+    held = bins.groupBy(*keys, "n", "_bin").agg(F.sum("k").alias("k"))
+    w = Window.partitionBy(*keys).orderBy("_bin")
+    held = held.withColumn("_before", F.sum("k").over(w) - F.col("k"))
+    at = [F.lit(s) * (F.col("n") - 1) for s in shares]
+    asked = F.explode(F.array(*[F.struct(F.lit(2 * i + up).alias("i"), (F.ceil(x) if up else F.floor(x)).cast("long").alias("rank")) for i, x in enumerate(at) for up in (0, 1)])).alias("_a")
+    wanted = held.select(*keys, "_bin", "_before", "k", asked).where("_a.rank >= _before and _a.rank < _before + k")
+    few = wanted.groupBy(*keys, "_bin", "_before").agg(F.collect_list("_a").alias("_asked"))
+    inside = bins.select(*keys, "_bin", "value", F.col("k").alias("_k")).join(few, [*keys, "_bin"])
+    upto = F.sum("_k").over(Window.partitionBy(*keys, "_bin").orderBy("value"))
+    hit = inside.withColumn("_upto", F.col("_before") + upto).select(*keys, "value", F.explode(F.filter("_asked", lambda a: (a["rank"] < F.col("_upto")) & (a["rank"] >= F.col("_upto") - F.col("_k")))).alias("_a"))
+    ends = hit.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_a.i", "value"))).alias("_v"))
+    low, high = (lambda i: F.col("_v")[2 * i]), (lambda i: F.col("_v")[2 * i + 1])
+    q = F.array(*[F.when(low(i) == high(i), low(i)).otherwise(low(i) + (high(i) - low(i)) * (x - F.floor(x))) for i, x in enumerate(at)])
+    return edge.join(ends, keys).select(*keys, "n", "unique", q.alias("q"))
+
+
 def summary(readings: DataFrame, keys: list[str]) -> DataFrame:
     """count, missing, unique, mean, median, std, variance, min, p25, p75, max of each sensor."""
     moments = readings.groupBy(*keys).agg(
         F.count("value").alias("count"), F.count_if(F.col("value").isNull()).alias("missing"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.var_samp("value").alias("variance"), F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    # values are counted first, so neither the distinct count nor the quartiles see a repeated one twice
-    values = readings.where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("n"))
-    spread = values.groupBy(*keys).agg(F.count("*").alias("unique"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q"))
-    agg = moments.join(spread, keys, "left").withColumn("unique", F.coalesce("unique", F.lit(0)))
+    agg = moments.join(quantiles(readings, keys).drop("n"), keys, "left").withColumn("unique", F.coalesce("unique", F.lit(0)))
     return agg.select(*keys, "count", "missing", "unique", "mean", F.col("q")[1].alias("median"), "std", "variance", "min", F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"), "max")
 
 
 def profile(readings: DataFrame, keys: list[str], dp: int | None = 6) -> DataFrame:
     """Twelve statistics of each sensor: exact linear quartiles, bias-corrected skewness and excess kurtosis."""
     n = F.col("n").cast("double")
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     agg = readings.where("value is not null").groupBy(*keys).agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.var_samp("value").alias("variance"), F.min("value").alias("min"),
-        F.max("value").alias("max"), q.alias("q"), F.skewness("value").alias("g1"), F.kurtosis("value").alias("g2"),
+        F.max("value").alias("max"), F.skewness("value").alias("g1"), F.kurtosis("value").alias("g2"),
     )
+    agg = agg.join(quantiles(readings, keys).drop("n", "unique"), keys)
     skew = F.when(F.col("n") > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(F.col("n") > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
     cols = {"mean": F.col("mean"), "std": F.col("std"), "variance": F.col("variance"), "min": F.col("min"), "max": F.col("max"), "median": F.col("q")[1], "q1": F.col("q")[0], "q3": F.col("q")[2], "iqr": F.col("q")[2] - F.col("q")[0], "skewness": skew, "kurtosis": kurt}
@@ -110,7 +137,7 @@ def histogram_overlay(bins: DataFrame, current: DataFrame, profiles: DataFrame,
 
 def boxplot(readings: DataFrame, keys: list[str]) -> DataFrame:
     """Quartiles, whiskers at the last values within 1.5 IQR, and the number of outliers."""
-    q = readings.where("value is not null").groupBy(*keys).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(readings, keys).drop("n", "unique")
     both = readings.where("value is not null").join(q, keys)
     reach = (F.col("q")[2] - F.col("q")[0]) * 1.5
     inside = (F.col("value") >= F.col("q")[0] - reach) & (F.col("value") <= F.col("q")[2] + reach)
