@@ -141,6 +141,18 @@ def reasoning_chain(queries: DataFrame, candidates: DataFrame, mapped: DataFrame
     return r.select("query_id", F.when(F.col("mode") == "AMBIGUOUS", F.concat(base, F.array(gap))).otherwise(base).alias("reasoning_chain"))
 
 
+def context_chain(category: str, subcategory: str, label: str, steps) -> F.Column:
+    """Array from category over subcategory to label and inspection steps; empty if fewer than two of the first three are there."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    parts = F.filter(F.array(text(category), F.when(text(subcategory) != text(category), text(subcategory)).otherwise(""), text(label)), lambda x: x != "")
+    return F.when(F.size(parts) < 2, F.array().cast("array<string>")).otherwise(F.concat(parts, F.coalesce(steps, F.array().cast("array<string>"))))
+
+
+def sensor_badge(status):
+    """Short text of a sensor status; empty for an unknown one."""
+    return F.when(status == "Supported", TX.BADGE_SUPPORTED).when(status == "Contradicted", TX.BADGE_CONTRADICTED).when(status == "No Evidence", TX.BADGE_NONE).otherwise("")
+
+
 def brief_summary(mode, label, fault):
     return F.concat(F.when(mode == "EXTRACTED", "Diagnosis").when(mode == "AMBIGUOUS", "Insufficient evidence").otherwise(mode), F.lit(": "), F.coalesce(label, F.lit("Unknown")), F.when(F.coalesce(fault, F.lit("")) != "", F.concat(F.lit(" ("), fault, F.lit(")"))).otherwise(""))
 

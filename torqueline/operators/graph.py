@@ -47,6 +47,14 @@ def build(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def label_sources(records: DataFrame) -> DataFrame:
+    """(kind, label, categories, source_file): each symptom and step with its categories and the file of its first mention."""
+    own = lambda kind, labels, base: records.select("ord", "category", "subcategory", F.lit(kind).alias("kind"), F.posexplode(labels).alias("at", "label")).withColumn("at", F.col("at") + base)
+    rows = own("sym", F.col("symptoms"), 1).union(own("step", F.transform("diagnosis_steps", lambda s: s["step"]), 100000))
+    file = F.expr(f"concat('data/corpus/', {slug('category')}, '/', {slug('subcategory')}, '.md')")
+    return rows.groupBy("kind", "label").agg(F.array_sort(F.collect_set("category")).alias("categories"), F.min_by(file, F.struct("ord", "at")).alias("source_file"))
+
+
 def similarity_edges(leaf: DataFrame) -> DataFrame:
     """Subcategories of different categories that share a symptom or step, once a pair; symptoms come before steps.
 
@@ -161,32 +169,52 @@ def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.where("from_community <> to_community")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(id, community): synchronous label propagation; a node takes its neighbours' heaviest label, the greatest on ties.
+def questions(nodes: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
+    """(kind, question): what to ask about the first hubs, and about the first edges between communities."""
+    label = nodes.select("id", "label")
+    hub = hubs(edges, most).join(label, "id").select(F.lit("hub").alias("kind"), F.concat(F.lit('What connects "'), "label", F.lit('" to its '), "degree", F.lit(" neighbours?")).alias("question"))
+    first = bridges(nodes, edges).orderBy("source", "target").limit(most)
+    ends = first.join(label.select(F.col("id").alias("source"), F.col("label").alias("a")), "source").join(label.select(F.col("id").alias("target"), F.col("label").alias("b")), "target")
+    return hub.union(ends.select(F.lit("bridge"), F.concat(F.lit('Why is "'), "a", F.lit('" related to "'), "b", F.lit('"?'))))
+
+
+def labels(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, label): synchronous label propagation; a node takes its neighbours' heaviest label, the greatest on ties.
 
     Rounds go on until no label changes, or ``rounds`` are done where it is given.  Links
     weigh the same both ways, so labels settle or alternate between two states (as in
     bipartite graphs); a node that alternates then takes the lesser of its two labels.
-    A stand-in for modularity methods: it finds dense groups, not the same partition.
     """
     links = neighbours(edges.withColumn("relation", F.lit(""))).where("id <> other").groupBy("id", "other").agg(F.sum("weight").alias("weight"))
-    labels = nodes.select("id", F.col("id").alias("label"), F.col("id").alias("past"))
+    own = nodes.select("id", F.col("id").alias("label"), F.col("id").alias("past"))
     done = 0
     while rounds is None or done < rounds:
-        votes = links.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id", "label").agg(F.sum("weight").alias("w"))
+        votes = links.join(own.select(F.col("id").alias("other"), "label"), "other").groupBy("id", "label").agg(F.sum("weight").alias("w"))
         best = votes.groupBy("id").agg(F.max(F.struct("w", "label")).alias("b"))
         now = F.when(F.col("b").isNotNull(), F.col("b.label")).otherwise(F.col("label"))
-        moved = cut(labels.join(best, "id", "left").select("id", now.alias("label"), F.col("label").alias("past"), F.col("past").alias("before")))
-        labels, done = moved.drop("before"), done + 1
+        moved = cut(own.join(best, "id", "left").select("id", now.alias("label"), F.col("label").alias("past"), F.col("past").alias("before")))
+        own, done = moved.drop("before"), done + 1
+        if rounds is not None:
+            continue
         changed, apart = moved.agg(F.count_if(F.col("label") != F.col("past")), F.count_if(F.col("label") != F.col("before"))).first()
         if not changed:
             break
         if done > 1 and not apart:
-            labels = labels.withColumn("label", F.least("label", "past"))
+            own = own.withColumn("label", F.least("label", "past"))
             break
-    size = labels.groupBy("label").agg(F.count("*").alias("n"))
+    return own.select("id", "label")
+
+
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, community): communities of equal ``labels``, numbered from the largest, ties by label.
+
+    A stand-in for modularity methods: it finds dense groups, not the same partition.
+    Numbers come from the sorted list of community sizes (one row a community).
+    """
+    found = labels(nodes, edges, rounds)
+    size = found.groupBy("label").agg(F.count("*").alias("n"))
     order = size.select("label", (F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1).alias("community"))
-    return labels.join(order, "label").select("id", "community")
+    return found.join(order, "label").select("id", "community")
 
 
 def community_rollup(nodes: DataFrame) -> DataFrame:

@@ -114,6 +114,11 @@ def answers(overall: DataFrame, paths: DataFrame, skip: bool = False) -> DataFra
     return r.select("query_id", kind.alias("kind"), text.alias("text"))
 
 
+def labelled(candidates: DataFrame) -> DataFrame:
+    """candidates with a label each: their own, else what follows the colon of their id, else an empty one."""
+    return candidates.withColumn("label", F.coalesce("label", F.get(F.split("id", ":"), F.lit(1)), F.lit("")))
+
+
 def known_systems(candidates: DataFrame) -> DataFrame:
     """candidates with system (category, or Unknown) and subsystem (subcategory, or the label)."""
     text = lambda c: F.when(F.trim(c) != "", F.col(c))

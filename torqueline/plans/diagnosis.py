@@ -37,6 +37,15 @@ def embedded(texts: DataFrame) -> DataFrame:
     return texts.select(F.xxhash64("node_id").alias("id"), F.expr(hashed_embedding("text")).alias("embedding"), "node_id")
 
 
+def store_vectors(vectors: DataFrame, path: str) -> None:
+    """Rebuild a vector store: what was at ``path`` is replaced."""
+    vectors.write.mode("overwrite").parquet(path)
+
+
+def open_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def vector_path(q: DataFrame, kb: KnowledgeBase, k: int) -> DataFrame:
     """(query_id, id, raw_score, rank) over each query's distinct variants."""
     v = q.select("query_id", F.explode(F.array_distinct(F.concat(F.array("processed"), "expanded_queries"))).alias("text"))

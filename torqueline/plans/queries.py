@@ -6,9 +6,7 @@ supplier and customer are the levels of a knowledge graph; parts are labels with
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
@@ -18,30 +16,11 @@ from ..operators import decision, evaluate, graph, legacy, preprocess, profiling
 from ..presets import ANCHOR_WORDS, GENERIC_LABEL_WORDS, LABEL_STOP_WORDS, MAPPER_STEM, RETRIEVAL_STEM
 from ..sources.readers import long_form
 from ..sources.sinks import STATS
+from .registry import QUERIES, SQL, query, rounded, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 SENSORS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def rounded(df: DataFrame, dp: int = 4) -> DataFrame:
-    return df.select(*[F.round(f.name, dp).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields])
-
-
 def readings(spark, d) -> DataFrame:
     """(speed, condition, sensor, value): N is the nominal condition."""
     rows = table(spark, d, "lineitem").select("*", F.col("l_linestatus").alias("speed"), F.when(F.col("l_returnflag") == "N", "NOMINAL").otherwise(F.col("l_returnflag")).alias("condition"))
@@ -516,3 +495,8 @@ def entity_detection(spark, d):
 def label_propagation(spark, d):
     n, e = _kg(spark, d)
     return graph.communities(n, e)
+
+
+from . import queries_decision, queries_graph, queries_io  # noqa: E402, F401  (they add theirs, on these bindings)
+
+__all__ = ["QUERIES", "SQL"]

@@ -26,7 +26,8 @@ def log_csv(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
 
     Of columns that repeat a name the first one counts.  path is one file, as each log
     has units of its own; Spark would rename repeated names, so the header line itself is
-    read and columns are taken by place.
+    read and columns are taken by place.  A row that is equal to the unit line counts as
+    one, so a unit may be a number.
     """
     head = [r.value for r in spark.read.text(path).limit(1).collect()]
     header = next(csv.reader(head), []) if head else []
@@ -35,8 +36,8 @@ def log_csv(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
     names = sorted(at, key=at.__getitem__)
     first = raw.first()
     units = {c: first[at[c]] for c in names} if first else {}
-    rows = raw.select(*[F.expr(f"try_cast(c{at[c]} as double)").alias(c) for c in names])
-    return rows.where(F.expr(" or ".join(f"`{c}` is not null" for c in names) or "false")), units
+    rows = raw.where(~F.struct(*raw.columns).eqNullSafe(F.struct(*[F.lit(x) for x in first]))) if first else raw
+    return rows.select(*[F.expr(f"try_cast(c{at[c]} as double)").alias(c) for c in names]), units
 
 
 def file_name(kind: str, speed: int, condition: str, prefix: str = "") -> str:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import graph
+
 STATS = ["count", "mean", "std", "variance", "min", "max", "median", "q1", "q3", "iqr", "skewness", "kurtosis"]
 
 
@@ -16,6 +20,27 @@ def csv(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").partitionBy(*by).csv(path, header=True)
 
 
+def text_file(lines: DataFrame, path: str) -> None:
+    """One file at exactly ``path``, in whatever store that is, from a column ``value`` (and ``ord``, by which lines are sorted)."""
+    spark = lines.sparkSession
+    one = lines.repartition(1)
+    if "ord" in lines.columns:
+        one = one.sortWithinPartitions("ord")
+    part = f"{path}.{uuid.uuid4().hex}"
+    one.select(F.col("value").cast("string").alias("value")).write.text(part)
+    jvm = spark.sparkContext._jvm
+    here, there = jvm.org.apache.hadoop.fs.Path(part), jvm.org.apache.hadoop.fs.Path(path)
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [f.getPath() for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{part}/part-*"))]
+    fs.mkdirs(there.getParent())
+    fs.delete(there, False)
+    if files:
+        fs.rename(files[0], there)
+    else:
+        fs.create(there).close()
+    fs.delete(here, True)
+
+
 def profile_json(profiles: DataFrame) -> DataFrame:
     """(speed, condition, json): a map from sensor to its statistics, 6 dp."""
     cells = F.struct(*[F.col(c) if c == "count" else F.round(c, 6).alias(c) for c in STATS])
@@ -39,6 +64,28 @@ def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.crossJoin(e).select(F.to_json(F.struct(F.lit(True).alias("directed"), "nodes", "edges")).alias("json"))
 
 
+def community_map_json(rollup: DataFrame) -> DataFrame:
+    """(json): a map from community to its nodes, categories, flag and size."""
+    entry = F.struct(F.col("community").cast("string").alias("k"), F.struct("node_ids", "categories", "is_multi_category", "size").alias("v"))
+    return rollup.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("json"))
+
+
+def analysis_json(nodes: DataFrame, edges: DataFrame, top: int = 5) -> DataFrame:
+    """(json): the first hubs, edges between communities, and questions on both."""
+    label = nodes.select("id", "label")
+    hubs = graph.hubs(edges, top).join(label, "id").agg(F.array_sort(F.collect_list(F.struct((-F.col("degree")).alias("o"), "id", "label", "degree"))).alias("h"))
+    far = graph.bridges(nodes, edges).orderBy("source", "target").limit(top).agg(F.array_sort(F.collect_list(F.struct("source", "target", "relation"))).alias("b"))
+    asked = graph.questions(nodes, edges, top).agg(F.array_sort(F.collect_list("question")).alias("q"))
+    row = hubs.crossJoin(far).crossJoin(asked)  # one row each
+    return row.select(F.to_json(F.struct(F.transform("h", lambda x: x.dropFields("o")).alias("god_nodes"), F.col("b").alias("surprising_connections"), F.col("q").alias("suggested_questions"))).alias("json"))
+
+
+def graph_artefacts(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """extraction.json (nodes and edges as built), graph.json, community_map.json and analysis.json of a curated graph."""
+    for name, df in (("extraction", graph_json(nodes.drop("community"), edges)), ("graph", graph_json(nodes, edges)), ("community_map", community_map_json(graph.community_rollup(nodes))), ("analysis", analysis_json(nodes, edges))):
+        text_file(df.select(F.col("json").alias("value")), f"{folder}/{name}.json")
+
+
 def report_text(report: DataFrame) -> DataFrame:
     """Five lines from a dataset report."""
     lines = [("Rows", "n_rows"), ("Columns", "n_columns"), ("Missing Values", "missing"), ("Duplicate Rows", "duplicates"), ("Numeric Columns", "numeric")]

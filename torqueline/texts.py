@@ -24,6 +24,9 @@ FALLS_UNDER = "This fault falls under **"
 MODE_EXTRACTED = "High-confidence diagnosis supported by strong evidence across retrieval, symptom coverage, and (if available) sensor data."
 MODE_AMBIGUOUS = "Insufficient evidence to identify a clear diagnosis. Please provide more details."
 MODE_UNKNOWN = "Unknown mode."
+BADGE_SUPPORTED = "🟢 Sensor Supported"
+BADGE_CONTRADICTED = "🟡 Sensor Contradicted"
+BADGE_NONE = "⚪ No Sensor Data"
 DISCLAIMER = "---\n⚠ AI-ASSISTED ANALYSIS — NOT A DIAGNOSIS\nThis response is generated by an AI language model and is NOT a knowledge-graph-derived diagnosis. It should be treated as general informational guidance only."
 SUGGESTS = "here is what the knowledge graph suggests:\n\n"
 CLOSEST = "\n\nThese are the closest matches in the knowledge base, but none had sufficient confidence for a definitive diagnosis. Consider consulting a mechanic for hands-on inspection."
