@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import batch
@@ -92,9 +92,9 @@ def profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     """(lang, gram, rank) of the ``size`` most frequent n-grams of each language of (text, lang); ties by code."""
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
     counts = rows.mapInArrow(_train, "lang string, gram long, k long").groupBy("lang", "gram").agg(F.sum("k").alias("k"))
-    counts.createOrReplaceTempView("_gram_counts")
-    ranked = docs.sparkSession.sql(f"select lang, gram, rank from (select lang, gram, row_number() over (partition by lang order by k desc, gram) - 1 as rank from _gram_counts) where rank < {int(size)}")
-    return ranked
+    first = Window.partitionBy("lang").orderBy(F.col("k").desc(), "gram")
+    ranked = counts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= size)  # compared as it is, so that each task keeps its own first ``size`` before the shuffle
+    return ranked.select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 class Predictor:
@@ -122,18 +122,9 @@ class Predictor:
         second = d[order[1]] if len(names) > 1 else size * len(top)
         return names[order[0]], float(second / (best + second)) if best + second else 0.5, float(1 - best / (size * len(top)))
 
-    def columns(self, texts: pa.Array) -> list[pa.Array]:
+    def column(self, texts: pa.Array) -> pa.Array:
         found = [self(t.as_py()) for t in texts]
-        return [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
-
-
-def _appended(predictor: Predictor, text: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            more = predictor.columns(b.column(text))
-            yield batch([f"c{i}" for i in range(b.num_columns + 3)], [*b.columns, *more])
-
-    return run
+        return pa.StructArray.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))], ["lang", "score", "fit"])
 
 
 def learn(docs: DataFrame, size: int = PROFILE) -> Predictor:
@@ -147,10 +138,14 @@ def learn(docs: DataFrame, size: int = PROFILE) -> Predictor:
     return Predictor(names, grams, ranks, size)
 
 
-def with_languages(rows: DataFrame, predictor: Predictor) -> DataFrame:
-    """rows, by the names c0, c1, ..., with language, score and fit of their column text behind."""
-    kinds = [f.dataType.simpleString() for f in rows.schema.fields] + ["string", "double", "double"]
-    return rows.mapInArrow(_appended(predictor, rows.columns.index("text")), ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
+def language_of(text: Column, predictor: Predictor) -> Column:
+    """Struct (lang, score, fit) of each text; only texts travel to Python, the rows stay where they are."""
+
+    @F.arrow_udf("lang string, score double, fit double")
+    def predict(texts: pa.Array) -> pa.Array:
+        return predictor.column(texts)
+
+    return predict.asNondeterministic()(text)  # else a filter on it would have it computed twice
 
 
 def identify_languages(docs: DataFrame, size: int = PROFILE) -> DataFrame:
@@ -164,8 +159,8 @@ def identify_languages(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     Repeated rows are predicted each; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    found = with_languages(rows.select("doc_id", "held_out", "text"), learn(rows, size))
-    return found.select(F.col("c0").alias("doc_id"), F.col("c1").alias("held_out"), F.col("c3").alias("lang_pred"), F.col("c4").alias("score"), F.col("c5").alias("fit"))
+    found = rows.select("doc_id", "held_out", language_of(F.col("text"), learn(rows, size)).alias("x"))
+    return found.select("doc_id", "held_out", F.col("x.lang").alias("lang_pred"), "x.score", "x.fit")
 
 
 def in_a_language(docs: DataFrame, size: int = PROFILE) -> DataFrame:
@@ -174,8 +169,9 @@ def in_a_language(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     Rejected are texts without any letter (null, empty, only signs) and texts of which no
     profile holds an n-gram (fit 0, as in a script that wasn't learned); all columns stay.
     """
-    found = with_languages(docs, learn(docs, size))
-    n = len(docs.columns)
-    kept = found.where((F.col(f"c{n}") != UNKNOWN) & (F.col(f"c{n + 2}") > 0))
-    value = lambda i, c: F.coalesce(F.col(f"c{i}"), F.col(f"c{n}")) if c == "lang" else F.col(f"c{i}")
-    return kept.select(*[value(i, c).alias(c) for i, c in enumerate(docs.columns)])
+    names = [f"c{i}" for i in range(len(docs.columns))]  # a column of docs may have any name
+    rows = docs.toDF(*names)
+    at = {c: n for c, n in zip(docs.columns, names, strict=True)}
+    found = rows.withColumn("x", language_of(F.col(at["text"]).cast("string"), learn(docs, size)))
+    kept = found.where((F.col("x.lang") != UNKNOWN) & (F.col("x.fit") > 0))
+    return kept.select(*[(F.coalesce(F.col(n), F.col("x.lang")) if c == "lang" else F.col(n)).alias(c) for c, n in at.items()])

@@ -5,7 +5,8 @@ a right collection, so ``SIDE * SIDE`` tables need only ``2 * SIDE`` bands.  Two
 sets of similarity s share a key unless all left bands or all right bands differ;
 at s = 0.8 with bands of two values and SIDE = 10 that is 7e-5, and 6e-7 at 0.9.
 
-Links are confirmed on full sets of 64-bit shingle hashes.  Inside a bucket no
+Links are confirmed on full sets of 64-bit shingle hashes, which are written once for the
+documents that share a bucket.  Inside a bucket no
 quadratic list of pairs is made: each member is tried against one hub, the member
 that shares most keys in all (of edited copies, that is nearly always their source);
 links are contracted to components, and rounds with other hubs follow while they link
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import batch, binary_lists, constants, mix, window_hashes, word_hashes
+from .kernels import batch, binary_lists, constants, mix, text_slices, window_hashes, word_hashes
 from .runtime import bounded_broadcast, components, write_table
 
 #: Bands of each collection, values in a band, minhashes in all (the first 2 * SIDE * BAND also make bands).
@@ -73,8 +74,7 @@ def minhashes(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for part in text_slices(b):
                 sets = shingle_sets(part.column(1), words)
                 n = np.array([len(x) for x in sets], np.int64)
                 flat = np.concatenate(sets) if n.sum() else np.zeros(0, _U)
@@ -110,24 +110,18 @@ def _table_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for part in text_slices(b):
                 sets = shingle_sets(part.column(1), words)
                 yield batch(["doc", "shingles"], [part.column(0), pa.array([x.tobytes() for x in sets], pa.binary())])
 
     return run
 
 
-def _shingles(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                sets = shingle_sets(part.column(1), words)
-                n = [len(x) for x in sets]
-                yield batch(["h", "doc"], [np.concatenate(sets).view(np.int64), np.repeat(part.column(0).to_numpy(zero_copy_only=False), n)])
-
-    return run
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        flat = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
+        n = np.array([len(x.as_buffer()) // 8 for x in b.column(1)], np.int64)
+        yield batch(["h", "doc"], [flat, np.repeat(b.column(0).to_numpy(zero_copy_only=False), n)])
 
 
 def _confirm(share: int):
@@ -154,14 +148,14 @@ def _other(facts: DataFrame, name: str) -> DataFrame:
     return facts.select(F.col("doc").alias(name), F.col("n").alias("n2"), *[F.col(b).alias(f"other_{b}") for b in BITS])
 
 
-def _prefixes(docs: DataFrame, sets: DataFrame, n_sets: int, words: int, share: int) -> DataFrame:
+def _prefixes(shingles: DataFrame, sets: DataFrame, n_sets: int, share: int) -> DataFrame:
     """(h, doc, i): of the sets (doc, n), the shingles in which a linked one must show, with their places.
 
     Shingles are ordered by the sets that hold them, then by hash; those that one set
     alone holds come first and are only counted.
     """
     ids = bounded_broadcast(sets.select("doc"), n_sets, 40)
-    each = docs.select(F.col("doc_id").alias("doc"), "text").join(ids, "doc", "left_semi").select("doc", "text").mapInArrow(_shingles(words), "h long, doc long")
+    each = shingles.join(ids, "doc", "left_semi").select("doc", "shingles").mapInArrow(_shingles, "h long, doc long")
     several = write_table(each.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "several")
     one = sets.groupBy("doc").agg(F.max("n").alias("n"), (F.count("*") > 1).alias("mixed"))  # an id with several texts keeps all places
     held = each.join(several, "h").groupBy("doc").agg(F.collect_list(F.struct("k", "h")).alias("r")).join(bounded_broadcast(one, n_sets, 48), "doc")
@@ -171,15 +165,14 @@ def _prefixes(docs: DataFrame, sets: DataFrame, n_sets: int, words: int, share:
     return near.select("doc", "mixed", "alone", F.posexplode("r").alias("at", "x")).select(F.col("x.h").alias("h"), "doc", F.when(F.col("mixed"), 0).otherwise(F.col("alone") + F.col("at")).alias("i"))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, words: int, share: int) -> DataFrame:
+def _confirmed(shingles: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
     """Of ``pairs``, those whose full sets are as similar as asked for."""
-    need = write_table(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "need")
-    rows = need.count()
-    wanted = docs.select(F.col("doc_id").alias("doc"), "text").join(bounded_broadcast(need, rows, 40), "doc", "left_semi")
-    sets = write_table(wanted.select("doc", "text").mapInArrow(_sets(words), "doc long, shingles binary"), "sets")
+    n_pairs = pairs.count()
+    need = write_table(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "need", 16 * n_pairs)
+    sets = shingles.join(bounded_broadcast(need, need.count(), 40), "doc", "left_semi")
     left, right = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return write_table(both.mapInArrow(_confirm(share), PAIR).distinct(), "confirmed")
+    both = left.join(bounded_broadcast(pairs, n_pairs, 40), "a").join(right, "b").select("a", "b", "x", "y")
+    return write_table(both.mapInArrow(_confirm(share), PAIR).distinct(), "confirmed", 16 * n_pairs)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80) -> DataFrame:
@@ -207,54 +200,59 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80) -> DataFra
     keys = reps.select("doc", "sig").mapInArrow(_table_keys, "key long, doc long")
     shared = write_table(keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "keys")
     members = write_table(keys.join(bounded_broadcast(shared, shared.count(), 48), "key"), "members")
-    known_by = write_table(members.groupBy("doc").agg(F.sum("k").alias("keys")), "known")
+    n_members = members.count()
+    known_by = write_table(members.groupBy("doc").agg(F.sum("k").alias("keys")), "known", 16 * n_reps)
     members = write_table(members.select("key", "doc").join(bounded_broadcast(known_by, known_by.count(), 40), "doc"), "members")
 
+    ours = docs.select(F.col("doc_id").alias("doc"), "text").join(bounded_broadcast(known_by.select("doc"), n_reps, 40), "doc", "left_semi")
+    shingles = write_table(ours.select("doc", "text").mapInArrow(_sets(words), "doc long, shingles binary"), "sets")
+
     def likely(pairs: DataFrame) -> DataFrame:
         return pairs.join(facts.withColumnRenamed("doc", "a"), "a").join(_other(facts, "b"), "b").where(_may_link(share)).select("a", "b").distinct()
 
     hubs = members.groupBy("key").agg(F.max_by("doc", F.struct("keys", -F.col("doc"))).alias("a"))
-    tried = write_table(likely(members.join(hubs, "key").where("a <> doc").select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()), "pairs")
-    links = _confirmed(docs, tried, words, share)
+    tried = write_table(likely(members.join(hubs, "key").where("a <> doc").select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()), "pairs", 16 * n_members)
+    links = _confirmed(shingles, tried, share)
     total = links.count()
     turn = 0
     while True:
         turn += 1
-        labels = components(links)
+        labels = components(links, total)
         n_labels = labels.count()
         known = members.join(bounded_broadcast(labels.withColumnRenamed("node", "doc"), n_labels, 40), "doc", "left").select("key", "doc", F.coalesce("component_id", "doc").alias("c"))
         mixed = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        open_rows = write_table(known.join(mixed, "key", "left_semi"), "open")
+        open_rows = write_table(known.join(mixed, "key", "left_semi"), "open", 24 * n_members)
         if turn <= 6 and (turn == 1 or grown * 20 > total):
             hub = open_rows.groupBy("key").agg(F.min_by(F.struct("doc", "c"), F.xxhash64("doc", F.lit(turn))).alias("hub"))
+            n_open = open_rows.count()
             pairs = open_rows.join(hub, "key").where("hub.doc <> doc and hub.c <> c").select(F.least("hub.doc", "doc").alias("a"), F.greatest("hub.doc", "doc").alias("b")).distinct()
-            fresh = write_table(likely(pairs).join(tried, ["a", "b"], "left_anti"), "pairs")
+            fresh = write_table(likely(pairs).join(tried, ["a", "b"], "left_anti"), "pairs", 16 * n_open)
             tried = tried.union(fresh)
-            more = _confirmed(docs, fresh, words, share)
+            more = _confirmed(shingles, fresh, share)
             grown = more.count()
             total += grown
             links = links.union(more)
             continue
-        groups = write_table(open_rows.groupBy("doc").agg(F.first("c").alias("c")), "groups")
+        groups = write_table(open_rows.groupBy("doc").agg(F.first("c").alias("c")), "groups", 16 * n_reps)
         n_open = groups.count()
         sets = write_table(facts.join(bounded_broadcast(groups, n_open, 48), "doc"), "open-sets")
-        rich = write_table(_prefixes(docs, sets, n_open, words, share).join(bounded_broadcast(sets, n_open, 120), "doc"), "prefixes")
+        rich = write_table(_prefixes(shingles, sets, n_open, share).join(bounded_broadcast(sets, n_open, 120), "doc"), "prefixes")
         main = rich.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", "k").alias("main"), F.count("*").alias("k")).where("k > 1")
         main = write_table(main.select("h", "main"), "main")  # a plain join after it can split hot shingles
         stray = rich.join(main, "h").where("c <> main").select(F.col("h").alias("h2"), F.col("doc").alias("b"), F.col("c").alias("c2"), F.col("i").alias("i2"), F.col("n").alias("n2"), *[F.col(x).alias(f"other_{x}") for x in BITS])
         room = f"{100 + share} * least(n - i, n2 - i2) >= {share} * (n + n2)"
         pairs = rich.join(write_table(stray, "stray"), F.expr(f"h = h2 and c <> c2 and {room} and {_may_link(share)}")).select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
         rest = write_table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = _confirmed(docs, rest, words, share)
-        if more.limit(1).count():
-            links = links.union(more)
+        more = _confirmed(shingles, rest, share)
+        if n_more := more.count():
+            links, total = links.union(more), total + n_more
         break
 
     own = sketch.select("doc_id", "n", "f1", "f2").join(reps.select("f1", "f2", "n", F.col("doc").alias("rep")), ["f1", "f2", "n"], "left")
     own = write_table(own.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "own")
     again = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a < hi").select("doc_id", "a")
     same_id = own.join(again, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
-    labels = components(links.union(same_id))
+    labels = components(links.union(same_id), total + own.count())
     found = own.join(bounded_broadcast(labels.withColumnRenamed("node", "rep"), labels.count(), 40), "rep", "left")
     out = found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -263,8 +261,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80) -> DataFra
 def one_of_each(docs: DataFrame, words: int = 5, share: int = 80) -> DataFrame:
     """docs with one document of each near-duplicate component, the smallest doc_id; all columns stay.
 
-    Rows that repeat a kept doc_id are one document: one of them stays (the least text).
-    Rows without doc_id stay.
+    Rows that repeat a kept doc_id are one document: one of them stays (the least text,
+    then the least of the other columns as JSON).  Rows without doc_id stay.  Other
+    columns may have any type; an empty table stays empty.
     """
     found = write_table(near_duplicates(docs, words, share), "near")
     gone = write_table(found.where("not kept").select("doc_id").distinct(), "gone")
@@ -274,6 +273,7 @@ def one_of_each(docs: DataFrame, words: int = 5, share: int = 80) -> DataFrame:
     if not n_again:
         return left
     again = bounded_broadcast(again, n_again, 40)
-    several = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
+    others = F.struct("text", *[f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")])
+    several = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(others, F.struct(F.col("text").cast("string"), F.to_json(others))).alias("row"))
     one = several.select(*[F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns])
     return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
