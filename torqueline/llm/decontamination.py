@@ -35,13 +35,21 @@ def benchmark_windows(items: DataFrame, size: int) -> DataFrame:
     return windows.select("item_id", F.xxhash64("words").alias("win"), "words")
 
 
-def versioned(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, w, lead, n_words): split texts; version tells texts under one doc_id apart, lead is 1 if w begins with an empty word."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    w = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), split_words(F.col("text")).alias("w"))
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _split(texts: DataFrame, *keep: str) -> DataFrame:
+    """keep..., w, lead, n_words of texts: w are the split words, lead is 1 if they begin with an empty one."""
+    w = texts.select(*keep, split_words(F.col("text")).alias("w"))
     lead = F.when(F.element_at("w", 1) == "", 1).otherwise(0)
     trail = F.when((F.size("w") > 1) & (F.element_at("w", -1) == ""), 1).otherwise(0)
-    return w.select("doc_id", "version", "w", lead.alias("lead"), (F.size("w") - lead - trail).alias("n_words"))
+    return w.select(*keep, "w", lead.alias("lead"), (F.size("w") - lead - trail).alias("n_words"))
+
+
+def versioned(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, text): version tells texts under one doc_id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(_text()).alias("version"), _text().alias("text"))
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
@@ -56,7 +64,7 @@ def postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     A token's row holds no more than its word, so that a large ``terms``, which makes the
     join shuffle, moves each word of the corpus once.
     """
-    each = versioned(docs).select("doc_id", "version", "lead", F.posexplode_outer("w").alias("i", "term"))  # outer: else a filter splits each text once more
+    each = _split(versioned(docs), "doc_id", "version").select("doc_id", "version", "lead", F.posexplode_outer("w").alias("i", "term"))  # outer: else a filter splits each text once more
     found = each.where("term <> ''").join(bounded_broadcast(terms, n_terms, 80), "term", "left_semi")
     return found.select("doc_id", "version", "term", (F.col("i") - F.col("lead")).alias("pos"))
 
@@ -76,43 +84,49 @@ def _anchors(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     return write_table(rare.select("item_id", "words", F.col("x.term").alias("term"), F.col("x.at").alias("at"), F.col("y.term").alias("term2"), F.col("y.at").alias("at2")), "anchors")
 
 
-def _places(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """(doc_id, version, found): of each document that has any, where windows may be (phrase not yet confirmed) or are near.
+def _laid(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """(doc_id, version, item_id, words, start, fits, near): windows laid on documents by their two terms.
 
-    found is array<struct<item_id, start, n, words, s, e>>: words is null if the two
-    terms don't stand at the window's offsets, s and e (null if there is none) are the
-    span of the rarest term and the closest second one.
+    fits: the terms stand at the window's offsets, so the phrase may be there.  near: the
+    span (s, e) of the rarest term and the closest second one where both lie inside the
+    window, else null.
     """
     anchors = _anchors(docs, items, size)
     pairs = write_table(anchors.select("term", "term2").distinct().withColumn("pair", F.monotonically_increasing_id()), "pairs")
     n_pairs = pairs.count()
     terms = write_table(pairs.select(F.explode(F.array("term", "term2")).alias("term")).distinct(), "rare")
     index = write_table(postings(docs, terms, terms.count()), "postings")
-    cell = lambda c: F.expr(f"{c} div {size}")
     first = index.join(bounded_broadcast(pairs, n_pairs, 100), "term").select("doc_id", "version", "pair", "pos", F.explode(F.expr(f"sequence(pos div {size} - 1, pos div {size} + 1)")).alias("cell"))
-    second = index.withColumnRenamed("term", "term2").join(bounded_broadcast(pairs, n_pairs, 100), "term2").select(F.col("doc_id").alias("doc2"), F.col("version").alias("v2"), F.col("pair").alias("p2"), F.col("pos").alias("q"), cell("pos").alias("cell2"))
+    second = index.withColumnRenamed("term", "term2").join(bounded_broadcast(pairs, n_pairs, 100), "term2").select(F.col("doc_id").alias("doc2"), F.col("version").alias("v2"), F.col("pair").alias("p2"), F.col("pos").alias("q"), F.expr(f"pos div {size}").alias("cell2"))
     both = first.join(second, F.expr(f"doc_id <=> doc2 and version = v2 and pair = p2 and cell = cell2 and abs(q - pos) < {size}")).select("doc_id", "version", "pair", "pos", "q")
     laid = both.join(bounded_broadcast(anchors.join(pairs, ["term", "term2"]).select("pair", "item_id", "words", "at", "at2"), anchors.count(), 1500), "pair")
-    laid = laid.select("doc_id", "version", "item_id", "words", "pos", "q", (F.col("pos") - F.col("at")).alias("start"), F.size("words").alias("n"), (F.col("q") - F.col("pos") == F.col("at2") - F.col("at")).alias("fits"))
-    near = (F.col("q") != F.col("pos")) & (F.col("q") >= F.col("start")) & (F.col("q") < F.col("start") + F.col("n"))
-    laid = laid.where(near | (F.col("fits") & (F.col("start") >= 0)))
+    start, n = F.col("pos") - F.col("at"), F.size("words")
+    fits = (F.col("q") - F.col("pos") == F.col("at2") - F.col("at")) & (start >= 0)
+    inside = (F.col("q") != F.col("pos")) & (F.col("q") >= start) & (F.col("q") < start + n)
     span = F.struct(F.abs(F.col("q") - F.col("pos")).alias("far"), F.least("pos", "q").alias("s"), (F.greatest("pos", "q") + 1).alias("e"))
-    each = laid.groupBy("doc_id", "version", "item_id", "words", "start").agg(F.max(F.col("fits") & (F.col("start") >= 0)).alias("fits"), F.min(F.when(near, span)).alias("near"))
-    row = F.struct("item_id", "start", F.size("words").alias("n"), F.when(F.col("fits"), F.col("words")).alias("words"), F.col("near.s").alias("s"), F.col("near.e").alias("e"))
-    return write_table(each.groupBy("doc_id", "version").agg(F.collect_list(row).alias("found")), "places")
-
-
-def _located(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """docs as doc_id, version, n_words and the arrays ``exact`` and ``near`` of (item_id, start, end), in row order of docs."""
-    places = _places(docs, items, size)
-    held = places.agg(F.coalesce(F.sum(F.size("found") + 1), F.lit(0))).first()[0]
-    texts = versioned(docs).alias("d")
-    both = texts.join(bounded_broadcast(places, held, 300).alias("p"), F.expr("d.doc_id <=> p.doc_id and d.version = p.version"), "left")
-    whole = "x.words is not null and slice(w, x.start + lead + 1, x.n) = x.words"
-    tested = both.select("d.doc_id", "d.version", "n_words", F.expr(f"transform(coalesce(found, array()), x -> named_struct('x', x, 'exact', coalesce({whole}, false)))").alias("t"))
+    laid = laid.select("doc_id", "version", "item_id", "words", start.alias("start"), fits.alias("fits"), F.when(inside, span).alias("near")).where("fits or near is not null")
+    return laid.groupBy("doc_id", "version", "item_id", "words", "start").agg(F.max("fits").alias("fits"), F.min("near").alias("near"))
+
+
+def _located(docs: DataFrame, items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs as doc_id, version, n_words, exact and near (arrays of item_id, start, end) and near_items; and the written ``_laid``.
+
+    Only windows that may be there need the document's words, which are compared with the
+    phrase by 128 bits of hash, so that a window takes few bytes on its way; of all other
+    windows just the items are kept (near_items).
+    """
+    laid = write_table(_laid(docs, items, size), "laid")
+    fit = F.when(F.col("fits"), F.struct("item_id", "start", F.size("words").alias("n"), F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), F.col("near.s").alias("s"), F.col("near.e").alias("e")))
+    places = write_table(laid.groupBy("doc_id", "version").agg(F.collect_list(fit).alias("found"), F.collect_set(F.when(~F.col("fits"), F.col("item_id"))).alias("near_items")), "places")
+    rows, n_fits, n_near = places.agg(F.count("*"), F.coalesce(F.sum(F.size("found")), F.lit(0)), F.coalesce(F.sum(F.size("near_items")), F.lit(0))).first()
+    joined = versioned(docs).alias("d").join(bounded_broadcast(places, 1, 80 * rows + 72 * n_fits + 24 * n_near).alias("p"), F.expr("d.doc_id <=> p.doc_id and d.version = p.version"), "left")
+    texts = _split(joined.select("d.doc_id", "d.version", "text", "found", "near_items"), "doc_id", "version", "found", "near_items")
+    phrase = "slice(w, x.start + lead + 1, x.n)"
+    whole = f"x.start + x.n <= n_words and xxhash64({phrase}) = x.h1 and xxhash64(1, {phrase}) = x.h2"
+    tested = texts.select("doc_id", "version", "n_words", "near_items", F.expr(f"transform(coalesce(found, array()), x -> named_struct('x', x, 'exact', {whole}))").alias("t"))
     exact = "transform(filter(t, y -> y.exact), y -> named_struct('item_id', y.x.item_id, 'start', y.x.start, 'end', y.x.start + y.x.n))"
     near = "transform(filter(t, y -> not y.exact and y.x.s is not null), y -> named_struct('item_id', y.x.item_id, 'start', y.x.s, 'end', y.x.e))"
-    return tested.select("doc_id", "version", "n_words", F.expr(exact).alias("exact"), F.expr(near).alias("near"))
+    return tested.select("doc_id", "version", "n_words", "near_items", F.expr(exact).alias("exact"), F.expr(near).alias("near")), laid
 
 
 def matches(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
@@ -123,9 +137,10 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
     both lie inside it, but the phrase differs.  A window with a term that no document
     has gives no rows.
     """
-    found = _located(docs, items, size)
-    rows = [found.select("doc_id", "version", F.explode(kind).alias("x"), F.lit(kind).alias("kind")) for kind in ("exact", "near")]
-    return rows[0].union(rows[1]).select("doc_id", "version", "x.item_id", "x.start", "x.end", "kind").distinct()
+    found, laid = _located(docs, items, size)
+    rows = [found.select("doc_id", "version", F.explode(kind).alias("x"), F.lit(kind).alias("kind")).select("doc_id", "version", "x.item_id", "x.start", "x.end", "kind") for kind in ("exact", "near")]
+    apart = laid.where("not fits").select("doc_id", "version", "item_id", F.col("near.s").alias("start"), F.col("near.e").alias("end"), F.lit("near").alias("kind"))
+    return rows[0].union(rows[1]).union(apart).distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
@@ -139,10 +154,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, share: int
     A null text has no words; a null doc_id is a document like others; items without id
     or words have no window.  Empty tables give no rows or no hits.
     """
-    found = _located(docs, items, size)
+    found, _ = _located(docs, items, size)
     covered = F.expr("aggregate(array_sort(transform(exact, x -> named_struct('s', x.start, 'e', x.end))), named_struct('k', 0L, 'to', -1), (a, x) -> named_struct('k', a.k + greatest(0, x.e - greatest(a.to, x.s)), 'to', greatest(a.to, x.e)), a -> a.k)")
     ids = "array_sort(array_distinct(transform({}, x -> cast(x.item_id as string))))"
-    rows = found.select("doc_id", "version", F.col("n_words").cast("long").alias("n_words"), covered.alias("n_hit"), F.expr(ids.format("exact")).alias("items"), F.expr(f"size({ids.format('concat(exact, near)')})").cast("long").alias("n_near"))
+    rows = found.select("doc_id", "version", F.col("n_words").cast("long").alias("n_words"), covered.alias("n_hit"), F.expr(ids.format("exact")).alias("items"), F.expr(f"size(array_union({ids.format('concat(exact, near)')}, transform(coalesce(near_items, array()), x -> cast(x as string))))").cast("long").alias("n_near"))
     return rows.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "n_near", "version",
