@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from torqueline import presets
+from torqueline import cli, presets
 from torqueline.functions import scores as S
 from torqueline.functions import similarity
 from torqueline.functions import text as T
@@ -294,6 +294,99 @@ def test_diagnose(spark, kb):
     assert diagnosis.refine(spark.createDataFrame([(0, "a")], "query_id long, text string"), "b").first().text == "a, b"
 
 
+def test_report_with_sensors(spark, kb):
+    """A sample that is abnormal where the mapped fault's sensors are gives evidence, detail and texts; a vague query gets guidance."""
+    stats = "mean double, std double"
+    profiles = spark.createDataFrame([(1000, "NOMINAL", "rail", 10.0, 1.0), (1000, "FAULT_INJ_PRS", "rail", 20.0, 1.0), (1000, "NOMINAL", "map", 5.0, 1.0), (1000, "FAULT_INJ_PRS", "map", 5.1, 1.0)], f"speed int, condition string, sensor string, {stats}")
+    mapping = spark.createDataFrame([("FAULT_INJ_PRS", 1000, 1, "rail", 0.9, 2.0), ("FAULT_INJ_PRS", 1000, 2, "map", 0.3, 1.0)], "fault string, speed int, rank int, sensor string, importance_score double, effect_size double")
+    names = spark.createDataFrame([("rail", "Rail pressure", "pressure in the rail", "fuel", "bar")], "sensor string, display_name string, description string, subsystem string, units string")
+    sample = spark.createDataFrame([(1000, "rail", 20.0), (1000, "map", 5.0)], "speed int, sensor string, value double")
+    out = diagnosis.diagnose(readers.queries(spark, ["engine misfires, poor fuel economy", "?? !!"]), kb, mapping, profiles, sample, dictionary=names, compared=mapping)
+    r = {x.query_id: x for x in out["report"].collect()}
+    assert r[0].fault == "FAULT_INJ_PRS" and [(e.fault, e.status, e.critical, e.normal) for e in r[0].sensor_evidence if e.fault == "FAULT_INJ_PRS"] == [("FAULT_INJ_PRS", "Supported", ["rail"], ["map"])]
+    assert r[0].mode == "EXTRACTED" and "Rail pressure (rail): CRITICAL — pressure in the rail" in r[0].diagnosis_summary and r[0].assisted_text is None
+    assert r[0].context_chain[-1 - len(r[0].inspection_steps)] == r[0].top_label and r[0].mode_description.startswith("High-confidence")
+    assert r[1].mode == "AMBIGUOUS" and 'Based on the symptoms "?? !!"' in r[1].assisted_text and decision.DISCLAIMER in r[1].assisted_text and r[1].diagnosis_summary == ""
+    t = [x for x in out["interpretations"].collect() if x.severity == "CRITICAL"]
+    assert [x.sensor for x in t] == ["rail"] and t[0].contribution.startswith("Strongly confirms") and "Effect size 2.00 sigma." in t[0].relevance
+    shown = json.loads(sinks.report_json(out["report"]).where("query_id = 0").first().json)["sensor_evidence"]
+    assert {e["fault"]: e["critical"] for e in shown}["FAULT_INJ_PRS"] == ["rail"]
+
+
+def test_record_order(spark, kb):
+    """Nodes and edges keep the order of their records: steps of a subcategory come as they were listed."""
+    steps = [f"step {c}" for c in "zmaqb"]
+    rows = [(0, "Cat", "Sub", ["s2", "s1"], [(x, ["ok", "bad"]) for x in steps]), (1, "Other", "Sub2", ["s1"], [(steps[2], ["ok", "bad"])])]
+    own = diagnosis.KnowledgeBase.from_records(spark.createDataFrame(rows, "ord int, category string, subcategory string, symptoms array<string>, diagnosis_steps array<struct<step: string, result: array<string>>>"))
+    assert {r.subcategory: r.inspection_steps for r in decision.inspection_steps(own.nodes, own.edges).collect()} == {"Sub": steps, "Sub2": [steps[2]]}
+    kids = {r.id: r for r in graph.children(own.nodes, own.edges).collect()}
+    sub = own.nodes.where("label = 'Sub'").first().id
+    assert kids[sub].symptoms == ["s2", "s1"] and kids[sub].steps == steps
+    assert graph.hierarchy(own.nodes, own.edges.where("relation like 'HAS%'")).where("id like 'sym_s1%'").first().subcategory == "Sub"
+
+
+def test_three_mode_plan(spark, kb):
+    q = readers.queries(spark, ["brake pedal", "zzz"])
+    vector = diagnosis.vector_path(q.select("query_id", F.col("text").alias("processed"), F.array().cast("array<string>").alias("expanded_queries")), kb, 5)
+    out = diagnosis.three_mode(q, vector, kb)
+    assert out["overall"].count() == 2 and {r.kind for r in out["answers"].collect()} <= {"final", "intermediate", "question"}
+    assert {r.kind for r in diagnosis.three_mode(q, vector, kb, skip=True)["answers"].collect()} <= {"final", "intermediate", "no_match"}
+
+
+def test_own_encoder(spark, records):
+    """An encoder in place of the hashing one serves nodes and queries alike."""
+    encode = lambda df: df.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)))
+    own = diagnosis.KnowledgeBase.from_records(records, encode=encode)
+    assert {tuple(r.embedding) for r in own.vectors.collect()} == {(1.0, 0.0)}
+    v = diagnosis.vector_path(spark.createDataFrame([(0, "a", ["b"])], "query_id long, processed string, expanded_queries array<string>"), own, 2)
+    assert {r.raw_score for r in v.collect()} == {1.0} and v.count() == min(2, own.vectors.count())
+
+
+def test_command_line(spark, tmp_path, capsys):
+    dump = tmp_path / "dump.txt"
+    dump.write_text("## Fuel System\n  ### Poor fuel economy\n- SYMPTOM: engine misfires\n- STEP: Check injectors  [ok / bad]\n## Brakes\n  ### Soft pedal\n- SYMPTOM: soft brake pedal\n- STEP: Check fluid  [ok / low]\n")
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / readers.file_name("log", 1000, "FAULT_INJ_PRS")).write_text("rail,map\nbar,bar\n20,5\n20,5\n")
+    (tmp_path / "profiles").mkdir()
+    one = lambda m: {"count": 9, "mean": m, "std": 1.0, "variance": 1.0, "min": 0.0, "max": 1.0, "median": m, "q1": m, "q3": m, "iqr": 0.0, "skewness": 0.0, "kurtosis": 0.0}
+    for kind, rail in (("NOMINAL", 10.0), ("FAULT_INJ_PRS", 20.0)):
+        (tmp_path / "profiles" / readers.file_name("profile", 1000, kind)).write_text(json.dumps({"rail": one(rail), "map": one(5.0)}))
+    sensors = [{"sensor": "rail", "importance_score": 0.9, "effect_size": 2.0, "percent_change": 100.0, "p_value": 0.0}]
+    (tmp_path / "mapping.json").write_text(json.dumps({"FAULT_INJ_PRS": {"1000": {"speed": 1000, "fault": "FAULT_INJ_PRS", "top_k": 1, "sensors": sensors}}}))
+    assert cli.main(["engine misfires", "--dump", str(dump), "--profiles", str(tmp_path / "profiles" / "*.json"), "--mapping", str(tmp_path / "mapping.json"), "--logs", str(tmp_path / "logs"), "--json"]) == 0
+    report = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert report["mode"] == "EXTRACTED" and {e["fault"]: e["critical"] for e in report["sensor_evidence"]}["FAULT_INJ_PRS"] == ["rail"]
+    assert cli.main(["?? !!", "--dump", str(dump), "--no-sensor", "--use-llm", "http://127.0.0.1:9"]) == 0
+    assert decision.DISCLAIMER in capsys.readouterr().out
+
+
+def test_log_reader_keeps_first_of_repeated_columns(spark, tmp_path):
+    (tmp_path / "log.csv").write_text("t,rpm,rpm,p1,p1x\ns,1/min,-,bar,2\n0,1,2,3,4\n1,x,5,6,2\n")
+    log, units = readers.log_csv(spark, str(tmp_path / "log.csv"))
+    assert log.columns == ["t", "rpm", "p1", "p1x"] and units == {"t": "s", "rpm": "1/min", "p1": "bar", "p1x": "2"}
+    assert sorted(map(tuple, log.collect())) == [(0.0, 1.0, 3.0, 4.0), (1.0, None, 6.0, 2.0)]
+    (tmp_path / "empty.csv").write_text("")
+    assert readers.log_csv(spark, str(tmp_path / "empty.csv"))[0].count() == 0
+
+
+def test_quantiles_of_odd_values(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", float(i % 7)) for i in range(50)] + [("b", 1.0)] + [("c", x) for x in (-inf, 1.0, 2.0, inf, nan)] + [("d", None), ("e", 1e308), ("e", -1e308), ("e", 5.0)]
+    got = {r.sensor: r for r in profiling.quantiles(spark.createDataFrame(rows, "sensor string, value double"), ["sensor"]).collect()}
+    assert got["a"].q == [1.0, 3.0, 5.0] and got["a"].unique == 7 and got["b"].q == [1.0] * 3 and "d" not in got
+    assert got["c"].q == [1.0, 2.0, inf] and got["e"].q[1] == 5.0
+
+
+def test_entry_without_the_optional_part(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "torqueline.llm", None)
+    monkeypatch.delitem(sys.modules, "torqueline.llm.entry", raising=False)
+    assert not [k for k in entry.queries() if k.startswith("op")] and "hybrid_fusion" in entry.queries()
+
+
 def test_mapping_bonus(spark):
     rows = [(1, 1, "engine misfires", "Fuel System", 2.0, "all", "Symptom"), (1, 2, "odd", "Fuel System", 1.5, "all", "Symptom"), (1, 3, "odd", "Fuel System", 0.5, "all", "Symptom"), (1, 4, "odd", "Steering", 0.4, "all", "Symptom")]
     m = decision.map_faults(spark.createDataFrame(rows, "query_id long, rank int, label string, category string, score double, source string, node_type string")).orderBy("ord").collect()
@@ -386,13 +479,13 @@ def test_stream(spark, tmp_path):
 
 
 def test_community_path_reads_hints(spark):
-    from torqueline.plans import queries
+    from torqueline.plans import queries, queries_decision
 
     sf = "/root/testdata/sf0.001"
     n = queries._part_nodes(spark, sf)
-    asked = queries._text_queries(spark, sf).select("query_id", "text")
+    asked = queries_decision._path_queries(spark, sf).select("query_id", "text")
     hinted = {(r.query_id, c) for r in preprocess.hints(preprocess.strong_entities(preprocess.entities(asked, n))).collect() for c in r.communities}
-    got = {(r.query_id, r.community) for r in queries.community_path_search(spark, sf).collect()}
+    got = {(r.query_id, r.community) for r in queries_decision.community_path_search(spark, sf).collect()}
     assert got and got <= hinted and {c for _, c in got} - {1, 4, 7}
 
 
@@ -403,4 +496,7 @@ def test_presets():
 def test_entry_points():
     import __spark_entry__ as e
 
-    assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 50
+    from torqueline.plans import queries
+
+    assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 130
+    assert set(queries.QUERIES) - set(queries.SQL) == {"label_propagation"}

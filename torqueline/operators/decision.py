@@ -118,10 +118,16 @@ def sensor_evidence(annotated: DataFrame) -> DataFrame:
     return one.select("query_id", F.col("fault_code").alias("fault"), F.col("sensor_status").alias("status"), *[F.coalesce(c, none).alias(c) for c in ("critical", "warning", "normal")], "sensor_confidence")
 
 
+def mapping_counts(mapped: DataFrame) -> DataFrame:
+    """(query_id, n_mapped, n_label, n_category): mapped faults by what they were mapped from."""
+    by = lambda k: F.count_if(F.col("mapping_type") == k)
+    return mapped.groupBy("query_id").agg(F.count("*").alias("n_mapped"), by("label").alias("n_label"), by("category").alias("n_category"))
+
+
 def reasoning_chain(queries: DataFrame, candidates: DataFrame, mapped: DataFrame, decided: DataFrame) -> DataFrame:
     """(query_id, reasoning_chain): array of (step, detail, metrics as JSON); a sixth step where the mode is AMBIGUOUS."""
     c = candidates.groupBy("query_id").agg(F.count("*").alias("n_candidates"), F.min_by(F.struct("label", "score", "source"), "rank").alias("top"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "label", "score", "source", "found_by"))), lambda x: x.dropFields("rank")).alias("provenance"))
-    m = mapped.groupBy("query_id").agg(F.count("*").alias("n_mapped"), F.count_if(F.col("mapping_type") == "label").alias("n_label"), F.count_if(F.col("mapping_type") == "category").alias("n_category"), F.min_by(F.struct("label", "fault_code", "mapping_type"), "ord").alias("topm"))
+    m = mapping_counts(mapped).join(mapped.groupBy("query_id").agg(F.min_by(F.struct("label", "fault_code", "mapping_type"), "ord").alias("topm")), "query_id")
     d = decided.drop("entities", "text")
     r = queries.select("query_id", "text", "intent", "entities", "expansion_terms").join(c, "query_id", "left").join(m, "query_id", "left").join(d, "query_id")
     labels = F.transform(F.slice("entities", 1, 5), lambda e: e["label"])

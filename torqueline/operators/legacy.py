@@ -78,6 +78,12 @@ def expand(candidates: DataFrame, nodes: DataFrame, most: int = 10, score: float
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
 
 
+def expand_ranked(fused: DataFrame, nodes: DataFrame, most: int = 10, score: float = 0.15) -> DataFrame:
+    """``expand`` for a graph's nodes, which need not say what kind of file they come from."""
+    kind = F.col("file_type") if "file_type" in nodes.columns else F.lit("document")
+    return expand(fused, nodes.withColumn("file_type", kind), most, score)
+
+
 def tagged(candidates: DataFrame, three_paths: bool = True) -> DataFrame:
     """candidates with effective confidence and tag; is_multi_category may be a string or a boolean."""
     multi = F.lower(F.col("is_multi_category").cast("string")) == "true"
@@ -119,6 +125,20 @@ def labelled(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("label", F.coalesce("label", F.get(F.split("id", ":"), F.lit(1)), F.lit("")))
 
 
+def sensor_summary(confidence, critical, warning, normal):
+    """One line on a sensor analysis: its confidence and how many sensors there are of each status; a null confidence is none."""
+    part = lambda c, name: F.when(F.size(c) > 0, F.concat(F.size(c).cast("string"), F.lit(f" {name}")))
+    parts = F.concat_ws(", ", part(critical, "critical"), part(warning, "warning"), part(normal, "normal"))
+    shown = F.when(parts == "", "No sensor readings").otherwise(parts)
+    return F.when(confidence.isNull(), "No sensor data available").otherwise(F.concat(F.lit("Sensor Analysis ("), F.format_string("%.0f", confidence * 100), F.lit("% confidence): "), shown))
+
+
+def brief(mode, system, subsystem):
+    """One line on a three-mode decision."""
+    place = F.concat(F.coalesce(system, F.lit("Unknown")), F.lit(" > "), F.coalesce(subsystem, F.lit("Unknown")))
+    return F.when(mode == "AMBIGUOUS", "Need more information — please provide additional symptoms.").when(mode == "INFERRED", F.concat(F.lit("Best guess: "), place, F.lit(" (needs confirmation)"))).otherwise(F.concat(F.lit("Diagnosed: "), place))
+
+
 def known_systems(candidates: DataFrame) -> DataFrame:
     """candidates with system (category, or Unknown) and subsystem (subcategory, or the label)."""
     text = lambda c: F.when(F.trim(c) != "", F.col(c))

@@ -104,11 +104,6 @@ def compare_to_nominal(spark, d):
     return out
 
 
-@query()
-def importance_ranking(spark, d):
-    return rounded(profiling.importance(profiling.comparison(readings(spark, d))))
-
-
 @query(f"with {_WELCH} select speed, fault, sensor, rank from (select *, row_number() over (partition by fault, speed order by abs(effect) desc, sensor)::int as rank from w where abs(effect) >= 0.001) where rank <= 2")
 def sensor_mapping_topk(spark, d):
     """Selection with significance left open (p <= 1), as these tables hold no faults."""
@@ -318,13 +313,6 @@ def slugs_and_ids(spark, d):
     return p.select("p_partkey", F.expr(T.slug("x")).alias("slug"), F.expr(T.node_id("sym", "p_name")).alias("node_id"))
 
 
-@query()
-def fuzzy_vocab_match(spark, d):
-    words = preprocess.document_frequency(table(spark, d, "part"), "p_name").select("word")
-    typos = words.select(F.concat(F.substring("word", 1, 2), F.substring("word", 4, 50)).alias("word"))
-    return rounded(preprocess.fuzzy_matches(typos, words))
-
-
 def _part_nodes(spark, d):
     kinds = F.element_at(F.array(*map(F.lit, ("Symptom", "Subcategory", "DiagnosisStep", "Category"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("p_brand").alias("category"), F.col("p_type").alias("subcategory"), kinds.alias("node_type"), F.pmod("p_size", F.lit(10)).alias("community"), F.col("p_partkey").alias("ord"))
@@ -465,32 +453,6 @@ def refinements(spark, d):
     return evaluate.refinements(n, ["a", "b", "c", "d", "e"])
 
 
-def _text_queries(spark, d):
-    return table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("text"), F.array().cast("array<int>").alias("communities"))
-
-
-@query()
-def graph_path_search(spark, d):
-    n = _part_nodes(spark, d)
-    edges = table(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")).distinct()
-    return retrieval.graph_search(_text_queries(spark, d), n, edges).select("query_id", "id", "hop", "overlap", "raw_score", "rank")
-
-
-@query()
-def community_path_search(spark, d):
-    """Each query's communities are those of its strong entities."""
-    n = _part_nodes(spark, d)
-    asked = _text_queries(spark, d).select("query_id", "text")
-    found = preprocess.hints(preprocess.strong_entities(preprocess.entities(asked, n))).select("query_id", "communities")
-    return retrieval.community_search(asked.join(found, "query_id"), n, graph.community_rollup(n))
-
-
-@query()
-def entity_detection(spark, d):
-    q = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("text"))
-    return preprocess.strong_entities(preprocess.entities(q, _part_nodes(spark, d)))
-
-
 @query()
 def label_propagation(spark, d):
     n, e = _kg(spark, d)

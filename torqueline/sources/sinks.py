@@ -111,7 +111,7 @@ def corpus_markdown(records: DataFrame) -> DataFrame:
 
 def report_json(reports: DataFrame) -> DataFrame:
     """(query_id, json) of a report's public part."""
-    keep = [c for c in ("query_text", "mode", "confidence", "summary", "diagnosis_summary", "inspection_steps", "display_candidates", "reasoning_chain") if c in reports.columns]
+    keep = [c for c in ("query_text", "mode", "mode_description", "confidence", "summary", "diagnosis_summary", "inspection_steps", "context_chain", "display_candidates", "reasoning_chain", "sensor_evidence", "assisted_text") if c in reports.columns]
     return reports.select("query_id", F.to_json(F.struct(*keep)).alias("json"))
 
 
