@@ -137,6 +137,12 @@ def test_repeated_spans_odd_rows(spark, empty):
     assert got == [(1, 20, 0), (2, 20, 20), (2, 25, 0), (3, 1, 0), (3, 20, 20), (3, 26, 25)]
 
 
+def test_repeated_spans_without_broadcasts(docs, texts, monkeypatch):
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 0)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeated_spans.without_repeats(docs).collect()}
+    assert got == brute.repeated(texts)
+
+
 def test_repeated_spans_need_the_sources_words(spark, monkeypatch):
     """Where window hashes collide (all are made equal here), nothing goes whose words differ from the source's."""
     monkeypatch.setattr(repeated_spans, "window_hashes", lambda flat, size, seed: np.zeros(max(len(flat) - size + 1, 0), np.uint64))
@@ -262,6 +268,24 @@ def test_quality(spark, empty):
     assert quality.quality_scores(more, labels.limit(0)).where("score = 0.5").count() == 3
 
 
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_class_prior_of_known_mixtures(share):
+    rng = np.random.default_rng(1)
+    draw = lambda n, at: rng.normal(at, 1, (n, 6)).astype(np.float32)
+    n = int(3000 * share)
+    unl = np.concatenate([draw(n, 1.5), draw(3000 - n, -1.5)])[rng.permutation(3000)]
+    assert abs(quality.class_prior(draw(1500, 1.5), unl) - share) < 0.06
+    assert quality.class_prior(draw(2, 0), unl) == 0.5
+
+
+def test_quality_takes_no_negative_labels(spark):
+    """Scores are the same whatever the rows labelled 0 say, and for labels given twice."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet").select("doc_id", c) for t, c in (("documents", "text"), ("labels", "quality")))
+    want = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
+    twice = labels.union(labels).where("quality = 1")
+    assert {r.doc_id: r.score for r in quality.quality_scores(docs, twice).collect()} == want
+
+
 @pytest.fixture(scope="module")
 def codec():
     return multilingual_codec()

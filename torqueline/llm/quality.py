@@ -5,9 +5,11 @@ p, trusted positives P and unlabelled web text U, and l the logistic loss,
 
     risk = p * mean_P l(+) + max(0, mean_U l(-) - p * mean_P l(-)),
 
-where a step that finds the second part negative only takes that part back.  Inputs
-are the text's byte-class pairs and word repetition figures; ids, languages, sources
-and labels are never inputs.
+where a step that finds the second part negative only takes that part back.  The
+class prior is estimated from positives and unlabelled texts alone: above a threshold that
+no negative reaches, there are as many more positives than unlabelled texts as the prior
+is less than one.  Inputs are the text's byte-class pairs and word
+repetition figures; ids, languages, sources and labels are never inputs.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .runtime import bounded_broadcast
 POSITIVES, UNLABELLED = 12_000, 24_000
 THRESHOLD = 0.7
 HIDDEN, EPOCHS, BATCH = 24, 30, 512
+#: Steps of the networks that the prior is estimated with: few, so that small samples aren't learned by heart.
+PRIOR_STEPS = 100
 
 #: Groups of ASCII characters that count as one class each; bytes above 127 are one more, the rest another.
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r", "\t\x0b\x0c", ".", ",", ";:", "!?", "'\"`", "()[]{}", "|", "-_", "/\\", "@", "#$%&*^~", "=+<>"]
@@ -104,23 +108,28 @@ class Network:
         return [z.T @ back, back.sum(0), hidden.T @ by, by.sum(keepdims=True)]
 
 
-def train(pos: np.ndarray, unl: np.ndarray, prior: float, seed: int = 5) -> Network:
-    """Minimise the non-negative risk by Adam over shuffled batches; the same result each time."""
+def train(pos: np.ndarray, unl: np.ndarray, prior: float | None, seed: int = 5) -> Network:
+    """Minimise the non-negative risk by Adam over shuffled batches; the same result each time.
+
+    Without a prior, the loss is the logistic one of positives against unlabelled texts,
+    for about PRIOR_STEPS steps.
+    """
     mean = unl.mean(0)
     net = Network(mean, np.maximum(unl.std(0), 0.02), seed)
     pos, unl = net.inputs(pos).astype(np.float32), net.inputs(unl).astype(np.float32)
     rng = np.random.default_rng(seed)
     m, v, t = [np.zeros_like(w) for w in net.w], [np.zeros_like(w) for w in net.w], 0
     steps = max(len(unl) // BATCH, 1)
-    epochs = max(EPOCHS, 600 // steps)
+    epochs = max(EPOCHS, 600 // steps) if prior is not None else max(PRIOR_STEPS // steps, 1)
     for _ in range(epochs):
         a, b = rng.permutation(len(pos)), rng.permutation(len(unl))
         for i in range(steps):
             p, u = pos[a[i * len(a) // steps : (i + 1) * len(a) // steps + 1]], unl[b[i * len(b) // steps : (i + 1) * len(b) // steps + 1]]
             (gp, hp), (gu, hu) = net.logits(p), net.logits(u)
             sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-            negative = np.mean(np.logaddexp(0, gu)) - prior * np.mean(np.logaddexp(0, gp))
-            if negative >= 0:
+            if prior is None:
+                by_p, by_u = (sp - 1) / len(p), su / len(u)
+            elif np.mean(np.logaddexp(0, gu)) >= prior * np.mean(np.logaddexp(0, gp)):
                 by_p, by_u = (prior * (sp - 1) - prior * sp) / len(p), su / len(u)
             else:
                 by_p, by_u = prior * sp / len(p), -su / len(u)
@@ -133,6 +142,30 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float, seed: int = 5) -> Netw
     return net
 
 
+def class_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 5) -> float:
+    """Share of positives among unlabelled texts, by best bins over two halves.
+
+    A network that tells positives from unlabelled texts, trained on one half, ranks the
+    other.  For any threshold, the share of unlabelled texts above it over the share of
+    positives above it bounds the prior from above, and is tight where no negative is
+    above; the threshold is the one whose ratio is least when both shares' sampling
+    errors count against it.
+    """
+    if len(pos) < 4 or len(unl) < 4:
+        return 0.5
+    found = []
+    for half in (0, 1):
+        (own_p, other_p), (own_u, other_u) = ((x[half::2], x[1 - half :: 2]) for x in (pos, unl))
+        net = train(own_p, own_u, None, seed)
+        sp, su = (np.sort(net.logits(net.inputs(x))[0]) for x in (other_p, other_u))
+        above = lambda x: 1 - np.searchsorted(x, sp, "left") / len(x)  # noqa: E731, B023
+        q_p, q_u = above(sp), above(su)
+        slack = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(sp)) + 1 / np.sqrt(len(su)))
+        best = int(np.argmin((q_u + slack) / q_p))
+        found.append(q_u[best] / q_p[best])
+    return float(np.clip(np.mean(found), 0.02, 0.98))
+
+
 def _score(net: Network | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,16 +182,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Positives are texts that labels marks 1, unlabelled ones any text, both from rows
     that aren't held out and drawn by a hash of doc_id down to POSITIVES and UNLABELLED
-    rows.  The class prior is the share of 1 among those labels, drawn towards 0.5 by
-    two pseudo-labels.  predicted is 1 where score >= 0.7.  A null text scores as an
+    rows; labels of 0 take no part.  The class prior is estimated (``class_prior``) from
+    those two samples.  predicted is 1 where score >= 0.7.  A null text scores as an
     empty one; with no positive or no unlabelled row every score is 0.5.  Labels with a
     null or another quality aren't used; a doc_id labelled twice counts as positive if
     any label is 1.  Repeated rows are scored each.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
-    ones, zeros = marks.agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)).first()
-    prior = (ones + 1) / (ones + zeros + 2)
+    ones = marks.where("quality = 1").count()
     total = rows.where("not held_out").count()
 
     def drawn(most: int, of: int, seed: int):
@@ -175,5 +207,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if is_pos.any() and is_unl.any():
         order = sorted(range(len(raw)), key=raw.__getitem__)  # rows come in any order; training shouldn't depend on it
         x, is_pos, is_unl = x[order], is_pos[order], is_unl[order]
-        net = train(x[is_pos], x[is_unl], prior)
+        net = train(x[is_pos], x[is_unl], class_prior(x[is_pos], x[is_unl]))
     return rows.mapInArrow(_score(net), "doc_id long, held_out boolean, score double, predicted int")
