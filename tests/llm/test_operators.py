@@ -554,3 +554,60 @@ def test_pipeline(spark):
     ids = p.tokenize(spark, docs.limit(20), SF)
     assert isinstance(ids.schema["ids"].dataType, ArrayType) and ids.count() == 20
     assert p.run(spark, SF).count() <= kept.count() and [n for n, _ in p.STAGES][0] == "language_id"
+
+
+def test_pipeline_stages_on_odd_tables(spark, empty):
+    """Empty tables, nulls, repeated rows, and other columns with the names that stages use themselves."""
+    import corpus_pipeline as p
+
+    names = ["version", "bad_id", "bad_text", "x", "c0", "fit", "n", "h", "rep", "component_id", "row", "_row", "spans", "base", "cand", "found", "w", "lead", "email", "k", "doc"]
+    base = spark.createDataFrame([(1, "the house is in the town", "en", "s", 4), (1, "the house is in the town", "en", "s", 4), (2, None, None, None, None), (3, "", "en", None, 0), (None, "the cat and the dog", None, "s", 3), (4, "a the " * 4000, "en", "s", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = base.select("*", *[F.lit(c).alias(c) for c in names], F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    for name, stage in p.STAGES:
+        none = stage(spark, docs.limit(0), SF)
+        some = stage(spark, docs, SF)
+        assert none.count() == 0 and none.columns == some.columns
+        kept = [c for c in docs.columns if c != "text"] + ["n_tokens", "ids"] if name == "byte_bpe" else docs.columns
+        assert some.columns == kept, name
+        got = sorted((r.doc_id or 0, r.version, r.m["a"]) for r in some.collect())
+        want = {"language_id": [0, 1, 1, 4], "near_dedup": [0, 1, 2, 3, 4]}.get(name, [0, 1, 1, 2, 3, 4])
+        assert got == [(i, "version", 1) for i in want], name
+
+
+def test_counts_and_languages_of_odd_ids(spark):
+    rows = spark.createDataFrame([(None, "a b"), (None, None), (7, "x"), (7, "x")], "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("n_tokens", F.lit("clash"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens > 0) for r in token_counts.token_counts(rows, path).collect()) == [(0, 0, False), (0, 3, True), (7, 1, True), (7, 1, True)]
+    assert sorted((r.doc_id or 0, r.lang_pred) for r in language_id.identify_languages(rows).collect()) == [(0, "en"), (0, "und"), (7, "en"), (7, "en")]
+
+
+def test_languages_match_brute_force(spark):
+    """Every prediction and score of the table, recomputed from dictionaries of n-grams and ranks."""
+    import collections
+    import zlib
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+
+    def grams(text):
+        out = collections.Counter()
+        clean = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        for n in (1, 2, 3):
+            out.update(clean[i : i + n] for i in range(len(clean) - n + 1) if clean[i : i + n] != " ")
+        return out
+
+    ranked = lambda found: {g: i for i, (g, _) in enumerate(sorted(found.items(), key=lambda x: (-x[1], [len(x[0]), *map(ord, x[0])]))[: language_id.PROFILE])}
+    totals = collections.defaultdict(collections.Counter)
+    for r in rows:
+        if r.lang and r.text and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            totals[r.lang].update(grams(r.text))
+    profiles = {lang: ranked(found) for lang, found in totals.items()}
+    got = {r.doc_id: r for r in language_id.identify_languages(docs).collect()}
+    size = language_id.PROFILE
+    for r in rows:
+        own = ranked(grams(r.text or ""))
+        if not own:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        far = sorted((sum(min(abs(i - p[g]), size) if g in p else size for g, i in own.items()), lang) for lang, p in profiles.items())
+        assert got[r.doc_id].lang_pred == far[0][1] and abs(got[r.doc_id].score - far[1][0] / (far[0][0] + far[1][0])) < 1e-12

@@ -37,23 +37,32 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of a text's n-grams; nothing for a text without letters."""
+def _symbols(text: str) -> np.ndarray:
+    """Letters of the lower-cased text, with one blank around and between runs of them; nothing for a text without letters."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[points]
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # one blank after each run of letters
     clean = np.where(letter, points, np.uint32(32))[keep]
     if not len(clean):
+        return np.zeros(0, np.int64)
+    return np.concatenate([[32], clean, [32] if clean[-1] != 32 else []]).astype(np.int64)
+
+
+def gram_counts(*texts: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the n-grams of all texts; none reaches from one text into the next."""
+    x = np.concatenate([_symbols(t) for t in texts]) if len(texts) != 1 else _symbols(texts[0])
+    if not len(x):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x = np.concatenate([[32], clean, [32] if clean[-1] != 32 else []]).astype(np.int64)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for at in range(0, len(x), PIECE):
         y = x[max(at - 2, 0) : at + PIECE]
         new = y[at - max(at - 2, 0) :]
+        apart = (y[:-1] == 32) & (y[1:] == 32)  # where one text ends and the next begins
         two = (y[:-1] << 21) | y[1:]
-        three = (two[:-1] << 21) | y[2:]
-        codes = np.concatenate([new[new != 32], two[1:] if at else two, three])
+        three = ((two[:-1] << 21) | y[2:])[~(apart[:-1] | apart[1:])]
+        skip = 1 if at else 0
+        codes = np.concatenate([new[new != 32], two[skip:][~apart[skip:]], three])
         found.append(np.unique(codes, return_counts=True))
     return merged(found)
 
@@ -80,7 +89,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lang, text in zip(b.column(0).slice(at, 256).to_pylist(), b.column(1).slice(at, 256).to_pylist(), strict=True):
                 texts[lang].append(text)
             for lang, some in texts.items():
-                held[lang].append(gram_counts("\n".join(some)))
+                held[lang].append(gram_counts(*some))
                 if len(held[lang]) >= 16:
                     held[lang] = [merged(held[lang])]
         if sum(len(c) for found in held.values() for c, _ in found) > HELD:
@@ -132,7 +141,7 @@ def learn(docs: DataFrame, size: int = PROFILE) -> Predictor:
     learned = profiles(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"), size).collect()  # at most ``size`` rows a language
     names = sorted({r.lang for r in learned})
     grams = np.unique(np.array([r.gram for r in learned], np.int64))
-    ranks = np.full((len(grams), len(names)), size, np.int64)
+    ranks = np.full((len(grams), len(names)), 3 * size, np.int64)  # so far out of place that it counts as ``size`` against any rank
     for r in learned:
         ranks[np.searchsorted(grams, r.gram), names.index(r.lang)] = r["rank"]
     return Predictor(names, grams, ranks, size)
