@@ -16,7 +16,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import bounded_broadcast, write_table
+from .runtime import bounded_broadcast, working_tables, write_table
 
 #: Everything but 0-9, a-z and code points above 127 separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -115,7 +115,9 @@ def _located(docs: DataFrame, items: DataFrame, size: int) -> tuple[DataFrame, D
     phrase by 128 bits of hash, so that a window takes few bytes on its way; of all other
     windows just the items are kept (near_items).
     """
-    laid = write_table(_laid(docs, items, size), "laid")
+    with working_tables() as kept:
+        laid = write_table(_laid(docs, items, size), "laid")
+        kept.append(laid)
     fit = F.when(F.col("fits"), F.struct("item_id", "start", F.size("words").alias("n"), F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), F.col("near.s").alias("s"), F.col("near.e").alias("e")))
     places = write_table(laid.groupBy("doc_id", "version").agg(F.collect_list(fit).alias("found"), F.collect_set(F.when(~F.col("fits"), F.col("item_id"))).alias("near_items")), "places")
     rows, n_fits, n_near = places.agg(F.count("*"), F.coalesce(F.sum(F.size("found")), F.lit(0)), F.coalesce(F.sum(F.size("near_items")), F.lit(0))).first()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import batch, binary_lists, constants, mix, text_slices, window_hashes, word_hashes
-from .runtime import bounded_broadcast, components, write_table
+from .runtime import bounded_broadcast, components, working_tables, write_table
 
 #: Bands of each collection, values in a band, minhashes in all (the first 2 * SIDE * BAND also make bands).
 SIDE, BAND, HASHES = 10, 2, 384
@@ -190,6 +190,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80) -> DataFra
     repeat a doc_id are one node with several sets: all get its component.  An
     empty table gives an empty result.
     """
+    with working_tables() as kept:
+        return _near_duplicates(docs, words, share, kept)
+
+
+def _near_duplicates(docs: DataFrame, words: int, share: int, kept: list[DataFrame]) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = write_table(docs.mapInArrow(_sketches(words), f"doc_id long, n long, f1 long, f2 long, {', '.join(b + ' long' for b in BITS)}, sig binary"), "sketch")
     full = sketch.where("n > 0 and doc_id is not null")
@@ -253,6 +258,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80) -> DataFra
     again = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a < hi").select("doc_id", "a")
     same_id = own.join(again, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
     labels = components(links.union(same_id), total + own.count())
+    kept += [own, labels]
     found = own.join(bounded_broadcast(labels.withColumnRenamed("node", "rep"), labels.count(), 40), "rep", "left")
     out = found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -265,10 +271,12 @@ def one_of_each(docs: DataFrame, words: int = 5, share: int = 80) -> DataFrame:
     then the least of the other columns as JSON).  Rows without doc_id stay.  Other
     columns may have any type; an empty table stays empty.
     """
-    found = write_table(near_duplicates(docs, words, share), "near")
-    gone = write_table(found.where("not kept").select("doc_id").distinct(), "gone")
+    with working_tables() as kept:
+        found = write_table(near_duplicates(docs, words, share), "near")
+        gone = write_table(found.where("not kept").select("doc_id").distinct(), "gone")
+        again = write_table(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "again")
+        kept += [gone, again]
     left = docs.join(bounded_broadcast(gone, gone.count(), 40), "doc_id", "left_anti").select(*docs.columns)
-    again = write_table(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "again")
     n_again = again.count()
     if not n_again:
         return left

@@ -35,13 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import batch, binary_lists, mix, slide_min, text_slices, window_hashes, word_hashes
-from .runtime import bounded_broadcast, write_table
+from . import runtime
+from .runtime import bounded_broadcast, working_tables, write_table
 
 GRAM = 4
 #: Documents from which on a minimizer's paths are split into windows.
 HOT = 1000
 #: Words handled at once in a task.
-PIECE_WORDS = 1 << 20
+PIECE_WORDS = 1 << 19
 #: Bytes of a window's hash that travel beside the 64 bits of its key.
 WIDTH = 6
 _U = np.uint64
@@ -323,14 +324,13 @@ def verified(docs: DataFrame, paths: DataFrame, size: int = 13) -> DataFrame:
     """(doc, spans): each document's ``paths``, as array<struct<pos, n, spos, here, there>> with the digests at both end nodes of the source.
 
     here and there are digests of the source's words before the span and up to its end.
+    Of the texts only those of sources meet their nodes.
     """
-    nodes = write_table(branching_nodes(paths).groupBy("src").agg(F.collect_list("at").alias("at")), "nodes")
-    rows, held = nodes.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
-    sources = _texts(docs).where("text is not null").join(bounded_broadcast(nodes.withColumnRenamed("src", "doc_id"), 1, 40 * rows + 4 * held), "doc_id").select("doc_id", "text", "at")
-    digests = write_table(sources.mapInArrow(_node_digests(size), "src long, at int, here long, there long").distinct(), "digests", 32 * held)
-    n = digests.count()
-    begin = bounded_broadcast(digests.select("src", F.col("at").alias("spos"), "here"), n, 40)
-    end = bounded_broadcast(digests.select("src", F.col("at").alias("send"), "there"), n, 40)
+    nodes = write_table(branching_nodes(paths).groupBy(F.col("src").alias("doc_id")).agg(F.collect_list("at").alias("at")), "nodes")
+    sources = _texts(docs).where("text is not null").join(bounded_broadcast(nodes.select("doc_id"), nodes.count(), 16), "doc_id", "left_semi")
+    digests = write_table(sources.join(nodes, "doc_id").select("doc_id", "text", "at").mapInArrow(_node_digests(size), "src long, at int, here long, there long").distinct(), "digests")
+    begin = digests.select("src", F.col("at").alias("spos"), "here")
+    end = digests.select("src", F.col("at").alias("send"), "there")
     both = paths.withColumn("send", F.col("spos") + F.col("n")).join(begin, ["src", "spos"]).join(end, ["src", "send"])
     return both.groupBy("doc").agg(F.collect_list(F.struct("pos", "n", "spos", "here", "there")).alias("spans"))
 
@@ -343,8 +343,15 @@ def without_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
     without doc_id loses none; rows that repeat a doc_id lose what each has itself; an
     empty table gives an empty result.
     """
-    paths = write_table(repeated_paths(docs, size), "paths")
-    spans = write_table(verified(docs, paths, size), "spans")
-    count, held = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    both = _texts(docs).join(bounded_broadcast(spans.withColumnRenamed("doc", "doc_id"), 1, 64 * count + 32 * held), "doc_id", "left").select("doc_id", "text", "spans")
+    with working_tables() as kept:
+        paths = write_table(repeated_paths(docs, size), "paths")
+        spans = write_table(verified(docs, paths, size).withColumnRenamed("doc", "doc_id"), "spans")
+        kept.append(spans)
+    texts, n = _texts(docs), spans.count()
+    ids = bounded_broadcast(spans.select("doc_id"), n, 16)
+    if 16 * n <= runtime.BROADCAST_BYTES:  # only texts that have spans travel to them
+        apart = texts.join(ids, "doc_id", "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+        both = texts.join(ids, "doc_id", "left_semi").join(spans, "doc_id").select("doc_id", "text", "spans").union(apart)
+    else:
+        both = texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_cut(size), "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import uuid
 from collections.abc import Iterator
 
@@ -46,12 +47,38 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_BATCH_SETTING) if before is None else spark.conf.set(_BATCH_SETTING, before)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Tables written since the innermost ``working_tables`` of this thread began.
+_made: contextvars.ContextVar[list | None] = contextvars.ContextVar("made", default=None)
+
+
+@contextlib.contextmanager
+def working_tables() -> Iterator[list[DataFrame]]:
+    """Deletes the tables written inside once it ends, but for those put into the list it gives."""
+    outer, own, kept = _made.get(), [], []
+    token = _made.set(own)
+    try:
+        yield kept
+    finally:
+        _made.reset(token)
+        stay = {getattr(df, "_torqueline_table", None) for df in kept}
+        for spark, path in own:
+            if path not in stay:
+                _delete(spark, path)
+                _written.remove((spark, path))
+            elif outer is not None:
+                outer.append((spark, path))
+
+
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the JVM may have ended before Python
             return
 
@@ -72,9 +99,13 @@ def write_table(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     if most is not None:
         df = df.coalesce(1 + most // FILE_BYTES)
     _written.append((spark, path))
+    if (own := _made.get()) is not None:
+        own.append((spark, path))
     with small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table._torqueline_table = path
+    return table
 
 
 def bounded_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -105,6 +136,7 @@ def components(links: DataFrame, n_links: int | None = None) -> DataFrame:
             step = step.join(jump, f"c{k}", "left").select("node", "was", F.least(F.col(f"c{k}"), F.coalesce("up", f"c{k}")).alias(f"c{k + 1}"))
         new = write_table(step.select("node", "was", F.col("c3").alias("component_id")), "labels", 24 * n)
         labels = new.select("node", "component_id")
+        labels._torqueline_table = new._torqueline_table
         if not new.where("was <> component_id").limit(1).count():
             break
     return labels
