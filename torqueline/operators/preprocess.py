@@ -149,6 +149,19 @@ def hints(strong: DataFrame) -> DataFrame:
     return agg.withColumn("expected_sensors", sensors)
 
 
+def distinct_variants(processed: str, expanded: str) -> F.Column:
+    """The processed query, then its expansions, each text once in this order."""
+    return F.array_distinct(F.concat(F.array(processed), F.col(expanded)))
+
+
+def united(*parts: DataFrame) -> DataFrame:
+    """(query_id, texts): all texts of tables (query_id, text), once each and sorted."""
+    rows = parts[0].select("query_id", "text")
+    for p in parts[1:]:
+        rows = rows.union(p.select("query_id", "text"))
+    return rows.groupBy("query_id").agg(F.array_sort(F.collect_set("text")).alias("texts"))
+
+
 def preprocessed(queries: DataFrame, nodes: DataFrame, edges: DataFrame, s: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """One row a query with all that later stages need, and the strong entities.
 
@@ -163,9 +176,9 @@ def preprocessed(queries: DataFrame, nodes: DataFrame, edges: DataFrame, s: Sett
     texts = q.select("query_id", F.col("processed").alias("text")).union(fresh.select("query_id", F.col("variant").alias("text")))
     strong = cut(strong_entities(entities(texts, nodes, s), s))
     near = cut(neighbour_terms(strong, nodes, neighbours(edges)))
-    terms = near.select("query_id", "label").union(sibling_terms(strong, nodes).select("query_id", "label")).groupBy("query_id").agg(F.array_sort(F.collect_set("label")).alias("expansion_terms"))
-    variants = q.select("query_id", F.col("processed").alias("v")).union(rewritten.select("query_id", F.col("variant").alias("v"))).union(label_variants(q, nodes).select("query_id", F.col("variant").alias("v"))).union(near.select("query_id", F.col("label").alias("v")))
-    variants = variants.groupBy("query_id").agg(F.array_sort(F.collect_set("v")).alias("expanded_queries"))
+    as_text = lambda df, c: df.select("query_id", F.col(c).alias("text"))
+    terms = united(as_text(near, "label"), as_text(sibling_terms(strong, nodes), "label")).withColumnRenamed("texts", "expansion_terms")
+    variants = united(as_text(q, "processed"), as_text(rewritten, "variant"), as_text(label_variants(q, nodes), "variant"), as_text(near, "label")).withColumnRenamed("texts", "expanded_queries")
     rows = strong.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "node_id", "label", "node_type", "category", "subcategory", "community", "match_ratio", "weighted_score", "confidence"))), lambda e: e.dropFields("ord")).alias("entities"))
     out = q
     for part in (rows, terms, variants, hints(strong)):

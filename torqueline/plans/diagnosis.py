@@ -61,7 +61,7 @@ def open_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 def vector_path(q: DataFrame, kb: KnowledgeBase, k: int) -> DataFrame:
     """(query_id, id, raw_score, rank) over each query's distinct variants."""
-    v = q.select("query_id", F.explode(F.array_distinct(F.concat(F.array("processed"), "expanded_queries"))).alias("text"))
+    v = q.select("query_id", F.explode(preprocess.distinct_variants("processed", "expanded_queries")).alias("text"))
     v = kb.encode(v).select("query_id", F.xxhash64("query_id", "text").alias("variant_id"), "embedding")
     return multi_query_topk(kb.vectors, v, k).join(kb.vectors.select("id", "node_id"), "id").select("query_id", F.col("node_id").alias("id"), "raw_score", "rank")
 

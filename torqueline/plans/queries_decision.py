@@ -472,3 +472,32 @@ def community_path_search(spark, d):
     asked = _path_queries(spark, d).select("query_id", "text")
     found = preprocess.hints(preprocess.strong_entities(preprocess.entities(asked, n))).select("query_id", "communities")
     return retrieval.community_search(asked.join(found, "query_id"), n, graph.community_rollup(n))
+
+
+@query(f"""with q as (select p_partkey as query_id, list_distinct(string_split(lower(p_name), ' ')) as w from part where p_partkey % 100 = 0), n as (select p_partkey as id, p_name as label, list_distinct(string_split(lower(p_name), ' ')) as w from part), e as (select distinct l_partkey as s, l_suppkey as t from lineitem),
+t as (select query_id, x, left({_duck_stem(RETRIEVAL_STEM, 'x')}, 4) as pre from (select query_id, unnest(w) as x from q) where length(x) > 2), nw as (select id, unnest(w) as lw from n),
+sd as (select distinct query_id, t0.id from (select query_id, id from t join nw on contains(lw, x) or starts_with(lw, pre)) t0 join part on p_partkey = t0.id where p_size % 10 = query_id % 3 or p_size % 10 = 5), fo as (select query_id, id, 0 as hop from sd union all select * from (select distinct sd.query_id, e.t as id, 1 from sd join e on e.s = sd.id) z where not exists (select 1 from sd y where y.query_id = z.query_id and y.id = z.id)),
+ov as (select fo.*, label, len(list_intersect({_stems('q.w', RETRIEVAL_STEM)}, {_stems('n.w', RETRIEVAL_STEM)}))::int as overlap from fo join q using (query_id) join n using (id)),
+r as (select query_id, id, hop, overlap, round(cast(case when hop = 0 then 0.35 else 0.1 end * least(overlap, 3) / 3.0 as decimal(18, 10)), 4)::double as raw_score, row_number() over (partition by query_id order by hop, overlap desc, label, id)::int as rank from ov) select * from r where rank <= 30""")
+def hinted_graph_search(spark, d):
+    """Seeds lie in two communities that each query is hinted at."""
+    from ..operators import retrieval
+
+    q = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("text"), F.array((F.col("p_partkey") % 3).cast("int"), F.lit(5)).alias("communities"))
+    edges = table(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")).distinct()
+    return retrieval.graph_search(q, _part_nodes(spark, d), edges).select("query_id", "id", "hop", "overlap", "raw_score", "rank")
+
+
+@query("""select p_partkey as k, array_to_string(case p_partkey % 3 when 0 then [p_name, p_type, p_brand] when 1 then [p_name, p_type] else [p_name, p_brand] end, '|') as variants from part""")
+def distinct_variants(spark, d):
+    """A query's own text first, then its expansions, repeats dropped."""
+    k = F.col("p_partkey")
+    p = table(spark, d, "part").withColumn("more", F.when(k % 3 == 0, F.array("p_type", "p_name", "p_type", "p_brand")).when(k % 3 == 1, F.array("p_type", "p_name")).otherwise(F.array("p_name", "p_brand", "p_brand")))
+    return p.select(k.alias("k"), F.array_join(preprocess.distinct_variants("p_name", "more"), "|").alias("variants"))
+
+
+@query("""select p_size as query_id, array_to_string(list_sort(list_distinct(list_concat(list(p_name), list(p_type)))), '|') as texts from part group by 1""")
+def united_terms(spark, d):
+    p = table(spark, d, "part")
+    as_text = lambda c: p.select(F.col("p_size").alias("query_id"), F.col(c).alias("text"))
+    return preprocess.united(as_text("p_name"), as_text("p_type")).select("query_id", F.array_join("texts", "|").alias("texts"))
