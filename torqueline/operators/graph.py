@@ -67,8 +67,8 @@ def similarity_edges(leaf: DataFrame) -> DataFrame:
     a = rows.select("kind", "text", "file", "seen", F.struct("ord", "at").alias("o1"), F.col("category").alias("c1"), F.col("sub_id").alias("source"))
     b = rows.select("kind", "text", F.struct("ord", "at").alias("o2"), F.col("category").alias("c2"), F.col("sub_id").alias("target"))
     pairs = a.join(b, ["kind", "text"]).where("o1 < o2 and c1 <> c2")
-    best = F.min_by(F.struct("source", "target", "kind", "file", "text", "seen"), F.struct(F.col("kind") != "sym", "seen", "o1", "o2")).alias("e")
-    first = pairs.groupBy(F.least("source", "target"), F.greatest("source", "target")).agg(best).select("e.*")
+    w = Window.partitionBy(F.least("source", "target"), F.greatest("source", "target")).orderBy(F.desc("kind"), "seen", "o1", "o2")
+    first = pairs.withColumn("rn", F.row_number().over(w)).where("rn = 1")  # each task keeps one a pair before the shuffle
     return first.select("source", "target", F.when(F.col("kind") == "sym", "SIMILAR_SYMPTOM_TO").otherwise("SIMILAR_STEP_TO").alias("relation"), F.col("file").alias("source_file"), F.col("text").alias("label"), "seen")
 
 

@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..functions.similarity import multi_query_topk, vector_topk
 from ..operators import decision, evaluate, graph, legacy, preprocess, profiling, retrieval, validation
 from ..presets import ANCHOR_WORDS, GENERIC_LABEL_WORDS, LABEL_STOP_WORDS, MAPPER_STEM, RETRIEVAL_STEM
+from ..runtime import cut
 from ..sources.readers import long_form
 from ..sources.sinks import STATS
 from .registry import QUERIES, SQL, query, rounded, table
@@ -118,7 +119,7 @@ def sensor_mapping_topk(spark, d):
 
 def _validation(spark, d):
     r = readings(spark, d)
-    p = profiling.profile(r, ["speed", "condition", "sensor"], None)
+    p = cut(profiling.profile(r, ["speed", "condition", "sensor"], None))  # read three times
     mapping = p.where("condition <> 'NOMINAL'").select(F.col("condition").alias("fault"), "speed", "sensor", F.dense_rank().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("condition", "speed").orderBy("sensor")).alias("rank"), (F.length("sensor") / 10.0).alias("importance_score"))
     first = table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("speed")).agg(*[F.min_by(c, F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias(c) for c in SENSORS])
     sample = long_form(first, SENSORS, ("speed",)).withColumn("sample_id", F.lit(0))
