@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import Codec, encoding_digests, read_ranks
 from .chat_format import forked_pairs
+from .conversation_repair import damaged, repair_digests
 from .decontamination import contamination
 from .fingerprints import fingerprints
 from .language_id import identify_languages
 from .near_dedup import near_duplicates
+from .periodic_runs import made_periodic, run_digests
 from .personal_data import personal_data
 from .quality import quality_scores
 from .repeated_spans import without_repeats
@@ -67,6 +69,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are damaged by a checksum of their turns and repaired with the least edits."""
+    return repair_digests(damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 12 words or more; one text in ten is made periodic before."""
+    return run_digests(table(spark, sf_dir, "documents"), 12, made_periodic)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,6 +92,8 @@ QUERIES = {
         op8_personal_data,
         op9_repeated_spans,
         op10_quality,
+        op12_conversation_repair,
+        op13_periodic_runs,
     )
 }
 
