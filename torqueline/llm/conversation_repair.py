@@ -9,7 +9,7 @@ first.  As each state allows one inserted role and one other role, the letters d
 the repair.
 
 Rows come sorted by conversation and turn through bounded batches.  Of a conversation a
-task keeps some twenty bytes a row; its texts wait in a file of the task beyond
+task keeps some forty bytes a row; its texts wait in a file of the task beyond
 SPOOL_BYTES.  A conversation of more than BLOCK turns is cut into blocks that go through
 the arrays side by side: first for each state behind a block, which gives the least costs
 through it from state to state, then with the true costs behind it, then traced from each
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -73,16 +74,16 @@ class _Texts:
 
     def __init__(self):
         self.file = tempfile.SpooledTemporaryFile(max_size=SPOOL_BYTES)  # unlinked at once, so that nothing stays behind
-        self.sizes: list[tuple[int, int]] = []
+        self.sizes = array("q")
 
     def add(self, role: bytes, text: bytes) -> None:
         self.file.write(role)
         self.file.write(text)
-        self.sizes.append((len(role), len(text)))
+        self.sizes.extend((len(role), len(text)))
 
     def rows(self) -> Iterator[tuple[bytes, bytes]]:
         self.file.seek(0)
-        for r, t in self.sizes:
+        for r, t in zip(self.sizes[::2], self.sizes[1::2], strict=True):
             yield self.file.read(r), self.file.read(t)
 
 

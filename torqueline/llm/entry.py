@@ -17,6 +17,7 @@ from .periodic_runs import made_periodic, run_digests
 from .personal_data import personal_data
 from .quality import quality_scores
 from .repeated_spans import without_repeats
+from .suffix_dedup import repeat_digests
 from .token_counts import token_counts
 
 
@@ -69,6 +70,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(table(spark, sf_dir, "documents"), 100)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations are damaged by a checksum of their turns and repaired with the least edits."""
     return repair_digests(damaged(table(spark, sf_dir, "conversations")))
@@ -92,6 +97,7 @@ QUERIES = {
         op8_personal_data,
         op9_repeated_spans,
         op10_quality,
+        op11_suffix_dedup,
         op12_conversation_repair,
         op13_periodic_runs,
     )
