@@ -283,7 +283,7 @@ def _segments(size: int, shards: int, hot: np.ndarray):
 
 def _covered(rows: np.ndarray, pieces: list[bytes], size: int) -> np.ndarray:
     """(doc, tag, place, windows) of all windows of different segments that occur before, by one suffix array."""
-    order = np.lexsort((rows[2], rows[1], rows[0]))
+    order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
     rows = rows[order]
     data = np.frombuffer(b"".join([x for i in order.tolist() for x in (pieces[i], bytes([END]))]), np.uint8)
     length = rows[:, 3] + size  # with END
