@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 #: Bytes of queue entries in memory, and entries of a block.
-MEMORY, BLOCK = 24 << 20, 1 << 18
+MEMORY, BLOCK = 12 << 20, 1 << 17
 #: A byte that UTF-8 never has: it ends each part of the string.
 END = 0xFE
 _CUT = 7

@@ -43,9 +43,9 @@ HOT, HOT_KEYS = 1000, 1 << 17
 #: Windows of a segment, of a part of a text, and anchors of a task's block.
 LONGEST, PART, ANCHORS = 1024, 1 << 20, 1 << 19
 #: Bytes of segments that a task gathers before it sends them, and that are sorted together.
-GATHERED, SHARD_BYTES = 24 << 20, 6 << 20
-#: Buckets for each shuffle partition.
-SPREAD = 4
+GATHERED, SHARD_BYTES = 12 << 20, 4 << 20
+#: Buckets for each shuffle partition at most, and bytes of text for each bucket at least.
+SPREAD, BUCKET_BYTES = 4, 1 << 20
 _U = np.uint64
 _PLACE = _U((1 << 24) - 1)
 _WORDS = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
@@ -418,8 +418,9 @@ def covered_spans(docs: DataFrame, size: int = 100) -> DataFrame:
     if not 3 * GRAM <= size < 255:
         raise ValueError("size must be from 48 to 254")
     spark = docs.sparkSession
-    buckets = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = _texts(docs).where("doc_id is not null and text is not null")
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(1 + total // BUCKET_BYTES, SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")))
     row = "bucket int, block binary"
     anchors = _dealt_out(texts.mapInArrow(_anchors(size, buckets), row)).mapInArrow(_repeated(buckets, HOT), row)
     anchors = write_table(anchors, "anchors")
