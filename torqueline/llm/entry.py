@@ -13,6 +13,7 @@ from .decontamination import contamination
 from .fingerprints import fingerprints
 from .language_id import identify_languages
 from .near_dedup import near_duplicates
+from .oracles import CONVERSATION_REPAIR, PERIODIC_RUNS, SUFFIX_DEDUP
 from .periodic_runs import made_periodic, run_digests
 from .personal_data import personal_data
 from .quality import quality_scores
@@ -172,4 +173,7 @@ select w.doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_
   sha256(array_to_string(case when gone is null then w else list_transform(list_filter(range(1, len(w) + 1), lambda i: not list_contains(gone, i)), lambda i: w[i]) end, ' ')) as kept_sha256
 from w left join r on r.doc_id = w.doc_id
 """,
+    "op11_suffix_dedup": SUFFIX_DEDUP,
+    "op12_conversation_repair": CONVERSATION_REPAIR,
+    "op13_periodic_runs": PERIODIC_RUNS,
 }
