@@ -460,6 +460,6 @@ def label_propagation(spark, d):
     return graph.communities(n, e)
 
 
-from . import queries_decision, queries_graph, queries_io  # noqa: E402, F401  (they add theirs, on these bindings)
+from . import queries_decision, queries_graph, queries_io, queries_scale  # noqa: E402, F401  (they add theirs, on these bindings)
 
 __all__ = ["QUERIES", "SQL"]

@@ -47,3 +47,11 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(_folder(spark))
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written to the shared folder and read back: as ``cut``, but computed once."""
+    spark, schema = df.sparkSession, df.schema
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
