@@ -32,17 +32,43 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def _matrix(values: pa.Array) -> np.ndarray:
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1).astype(np.float64)
+
+
+def _packed(rows: int, keys: int):
+    """Rows (keys..., id, embedding) of a task's batches as blocks (keys..., ids, matrix) of one combination of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            if keys:
+                table = table.sort_by([(n, "ascending") for n in table.column_names[:keys]]).combine_chunks()
+            values = [table.column(i).to_numpy() for i in range(keys)]
+            new = np.any([v[1:] != v[:-1] for v in values], axis=0) if keys else np.zeros(max(table.num_rows - 1, 0), bool)
+            edge = [0, *(np.flatnonzero(new) + 1).tolist(), table.num_rows]
+            spans = [(i, min(i + rows, e)) for s, e in zip(edge, edge[1:], strict=False) for i in range(s, e, rows)]
+            if not spans:
+                continue
+            ids = table.column(keys).to_numpy()
+            flat = table.column(keys + 1).combine_chunks()
+            blocks = [(ids[s:e].tobytes(), _matrix(flat.slice(s, e - s)).tobytes()) for s, e in spans]
+            heads = [pa.array(v[[s for s, _ in spans]]) for v in values]
+            yield pa.RecordBatch.from_arrays([*heads, pa.array([i for i, _ in blocks], pa.binary()), pa.array([m for _, m in blocks], pa.binary())], [*table.column_names[:keys], "ids", "matrix"])
+
+    return run
+
+
 def _block_topk(k: int, dp: int):
-    """For rows (ids, embeddings) against (query ids, query embeddings) of one block: each query's k best over all of a task's batches."""
+    """For blocks of vectors against blocks of queries: each query's k best over all of a task's blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            for row in range(b.num_rows):
-                asked, mine = b.column(0)[row].values, b.column(1)[row].values
-                q = np.array(asked.field(1).to_pylist(), np.float64)
-                x, own = np.array(mine.field(1).to_pylist(), np.float64), mine.field(0).to_numpy()
-                for i, s in zip(asked.field(0).to_pylist(), q @ x.T, strict=True):
+            for asked, q, own, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                asked, own = np.frombuffer(asked, np.int64), np.frombuffer(own, np.int64)
+                q, x = np.frombuffer(q).reshape(len(asked), -1), np.frombuffer(x).reshape(len(own), -1)
+                for i, s in zip(asked.tolist(), q @ x.T, strict=True):
                     s = rounded_half_up(s, dp)
                     top = _best(own, s, k)
                     ids, scores = own[top], s[top]
@@ -57,30 +83,41 @@ def _block_topk(k: int, dp: int):
     return run
 
 
-def _blocks(df: DataFrame, key: str, rows: int, names: tuple[str, str]) -> tuple[DataFrame, int]:
-    """(block, values): rows (key, embedding) in arrays of about ``rows``, dealt by a hash of the key; and the number of blocks."""
-    n = max(-(-df.count() // rows), 1)
-    block = F.pmod(F.xxhash64(key), F.lit(n))
-    return df.groupBy(block.alias(names[0])).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), "embedding")).alias(names[1])), n
+#: Tasks that the vectors which meet one block of queries are spread over.
+SPREAD = 8
+
+
+def packed_topk(vectors: DataFrame, queries: DataFrame, k: int, dp: int, keys: list[str]) -> DataFrame:
+    """(query_id, id, raw_score): each task's k best of every query among the vectors with equal keys; ranks are the caller's.
+
+    Vectors are packed into matrices as they are read, without a shuffle, and each block goes to the
+    blocks of queries of its keys; it is dealt by that block and a salt of its own, so
+    few queries don't make few tasks.
+    """
+    kinds = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in keys)
+    block = f"{kinds}{', ' if kinds else ''}ids binary, matrix binary"
+    n = max(-(-queries.count() // QUERY_ROWS), 1)
+    q = queries.select(*keys, F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("qb"), F.col("query_id").cast("long"), "embedding")
+    q = q.repartition(*keys, "qb").mapInArrow(_packed(QUERY_ROWS, len(keys) + 1), f"{kinds}{', ' if kinds else ''}qb int, ids binary, matrix binary")
+    q = q.select(*keys, "qb", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"), F.col("ids").alias("asked"), F.col("matrix").alias("q"))
+    v = vectors.select(*keys, F.col("id").cast("long"), "embedding").mapInArrow(_packed(VECTOR_ROWS, len(keys)), block)
+    v = v.withColumns({"salt": F.pmod(F.xxhash64("ids"), F.lit(SPREAD)).cast("int"), "qb": F.explode(F.sequence(F.lit(0), F.lit(n - 1)))})
+    both = v.join(q, [*keys, "qb", "salt"]).select("asked", "q", "ids", "matrix")
+    return both.mapInArrow(_block_topk(k, dp), "query_id long, id long, score double").withColumnRenamed("score", "raw_score")
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, dp: int = 4) -> DataFrame:
     """(query_id, id, raw_score, rank): the k largest dot products of each query, rounded to ``dp`` places, ties by id.
 
-    vectors has id and embedding, queries query_id and embedding.  Both are dealt into
-    blocks; every block of queries meets every block of vectors (queries are a stated set,
-    and the smaller side), multiplied as matrices on the executors, where a task passes on
-    its own k best of each query, so no row for every pair is made.  Nothing goes through
-    the driver.  Scores are rounded before anything is ranked, so that a task keeps what
-    the whole would.
+    vectors has id and embedding, queries query_id and embedding.  Every block of queries
+    meets every block of vectors (queries are a stated set, and the smaller side),
+    multiplied as matrices on the executors, where a task passes on its own k best of each
+    query, so no row for every pair is made.  Scores are rounded before anything is
+    ranked, so that a task keeps what the whole would.
     """
-    q, n_blocks = _blocks(queries.select("query_id", "embedding"), "query_id", QUERY_ROWS, ("qb", "asked"))
-    v, _ = _blocks(vectors.select("id", "embedding"), "id", VECTOR_ROWS, ("vb", "mine"))
-    spread = v.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    out = spread.withColumn("qb", F.col("qb").cast("long")).join(q.withColumn("qb", F.col("qb").cast("long")), "qb")
-    out = out.select("asked", "mine").mapInArrow(_block_topk(k, dp), "query_id long, id long, score double")
+    out = packed_topk(vectors.select("id", "embedding"), queries.select("query_id", "embedding"), k, dp, [])
     w = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "id")
-    return out.select("query_id", "id", F.col("score").alias("raw_score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def multi_query_topk(vectors: DataFrame, variants: DataFrame, k: int) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.similarity import vector_topk
+from ..functions.vector_index import VectorIndex
 from ..operators import modularity
 from ..runtime import scratch
 from ..sources import logs
-from .queries import _KG, _kg
+from .queries import _DOTS, _KG, _kg, _vectors
 from .registry import query, rounded, table
 
 _LINKS = f"""{_KG}, l as (
@@ -93,3 +95,29 @@ def many_logs(spark, d):
     path = scratch(spark, "logs")
     heads.union(lines).repartition("log").sortWithinPartitions("log", "ord").select("log", "value").write.partitionBy("log").text(path)
     return logs.csv_logs(spark, path).withColumn("file", F.regexp_extract("file", "log=([A-Z]+)", 1))
+
+
+def _index(spark, d):
+    """An index built in two batches, the second of which has part of the first again, with a tenth deleted and added back."""
+    v = _vectors(spark, d)
+    index = VectorIndex.create(v.where("id % 3 <> 0"), scratch(spark, "index"), lists=32)
+    index.add(v.where("id % 2 = 0 or id % 3 = 0"))
+    index.delete(v.where("id % 10 = 0").select("id"))
+    index.add(v.where("id % 10 = 0"))
+    return index, v.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+
+
+@query(f"with {_DOTS} select * from (select query_id, id, raw_score, row_number() over (partition by query_id order by raw_score desc, id)::int as rank from s) where rank <= 10")
+def index_search_exact(spark, d):
+    """Search of all lists of a stored index: the same rows as ``vector_search``."""
+    index, queries = _index(spark, d)
+    return index.search(queries, 10, probes=None)
+
+
+@query()
+def index_recall(spark, d):
+    """Recall at 10 of a search of as many of 32 lists as a sample asks for (no SQL: the quantiser is learnt)."""
+    index, queries = _index(spark, d)
+    found = index.search(queries, 10, probes=index.probes_for(0.95)).select("query_id", "id", F.lit(1).alias("hit"))
+    true = vector_topk(_vectors(spark, d), queries, 10).select("query_id", "id")
+    return true.join(found, ["query_id", "id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"), F.count("*").alias("n"))

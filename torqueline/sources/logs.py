@@ -27,7 +27,7 @@ LONG = "file string, sheet string, row_idx long, sensor string, unit string, val
 def _cells(line: Column) -> Column:
     """The cells of a line of comma-separated values; quoted ones may hold commas and doubled quotes, but no line ends."""
     quoted = F.transform(F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.when(F.trim(c).startswith('"'), F.regexp_replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), '""', '"')).otherwise(c))
-    return F.transform(F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",")), F.trim)
+    return F.transform(F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",")), lambda c: F.trim(c))
 
 
 def csv_logs(spark: SparkSession, path: str) -> DataFrame:
