@@ -16,17 +16,41 @@ from ..functions.similarity import t_p_value
 from ..presets import DEFAULTS, IGNORED_SENSORS, Settings
 
 
-def interpolated(readings: DataFrame, keys: list[str], order: str = "row_idx") -> DataFrame:
-    """Gaps in value filled by position between their neighbours; a leading gap stays, a trailing one takes the last value."""
-    back = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    r = readings.withColumn("_at", at)
-    known = F.when(F.col("value").isNotNull(), F.col("_at"))
-    r = r.withColumns({"_v0": F.last("value", True).over(back), "_a0": F.last(known, True).over(back), "_v1": F.first("value", True).over(ahead), "_a1": F.first(known, True).over(ahead)})
-    between = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_at") - F.col("_a0")) / (F.col("_a1") - F.col("_a0"))
-    filled = F.when(F.col("value").isNotNull(), F.col("value")).when(F.col("_v1").isNull(), F.col("_v0")).when(F.col("_v0").isNotNull(), between)
-    return r.withColumn("value", filled).drop("_at", "_v0", "_v1", "_a0", "_a1")
+#: Row numbers of a segment of a log.
+SEGMENT = 1 << 16
+
+
+def interpolated(readings: DataFrame, keys: list[str], order: str = "row_idx", segment: int = SEGMENT) -> DataFrame:
+    """Gaps in value filled by position between their neighbours; a leading gap stays, a trailing one takes the last value.
+
+    order is a row number (nulls come first).  A segmented scan: each segment of row
+    numbers counts its rows and gives its first and last known value; over the segments, a few rows a log, go
+    the rows before and the known values next to each; then each segment is filled by itself, so a log
+    needn't be in one task.
+    """
+    own = [*keys, "_seg"]
+    seg = F.coalesce(F.floor(F.col(order) / segment).cast("long"), F.lit(-(1 << 62)))
+    inside = Window.partitionBy(*own).orderBy(order)
+    r = readings.withColumn("_seg", seg).withColumn("_at", F.row_number().over(inside))
+    known = F.col("value").isNotNull()
+    here = F.when(known, F.struct(F.col("_at").cast("long").alias("at"), F.col("value").alias("v")))
+    each = r.groupBy(*own).agg(F.count("*").alias("_n"), F.min(here).alias("_first"), F.max(here).alias("_last"))
+    along = Window.partitionBy(*keys).orderBy("_seg")
+    before = F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = each.withColumn("_before", before)
+    shifted = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(c)["at"] + F.col("_before")).alias("at"), F.col(c)["v"].alias("v")))
+    each = each.withColumns({"_first": shifted("_first"), "_last": shifted("_last")})
+    each = each.withColumns({"_left": F.last("_last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)), "_right": F.first("_first", True).over(along.rowsBetween(1, Window.unboundedFollowing))})
+    side = each.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(own)], "_before", "_left", "_right")
+    r = r.join(side, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(own)]).drop(*[f"_key{i}" for i in range(len(own))])
+    r = r.withColumn("_at", F.col("_at") + F.col("_before"))
+    here = F.when(known, F.struct(F.col("_at").alias("at"), F.col("value").alias("v")))
+    back = F.last(here, True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first(here, True).over(inside.rowsBetween(0, Window.unboundedFollowing))
+    r = r.withColumns({"_0": F.coalesce(back, "_left"), "_1": F.coalesce(ahead, "_right")})
+    between = F.col("_0.v") + (F.col("_1.v") - F.col("_0.v")) * (F.col("_at") - F.col("_0.at")) / (F.col("_1.at") - F.col("_0.at"))
+    filled = F.when(known, F.col("value")).when(F.col("_1").isNull(), F.col("_0.v")).when(F.col("_0").isNotNull(), between)
+    return r.withColumn("value", filled).drop("_seg", "_at", "_before", "_left", "_right", "_0", "_1")
 
 
 def informative(readings: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,30 +65,45 @@ def cleaned(readings: DataFrame, keys: list[str], order: str = "row_idx") -> Dat
     return informative(interpolated(known, keys, order), keys)
 
 
-BINS = 1024
+#: Shares of the values between which a wanted rank is looked for, and parts into which what is left is cut again.
+NEAR, PARTS = 1 / 256, 64
+
+
+def _asked_bins(rows: DataFrame, keys: list[str], asked: DataFrame) -> DataFrame:
+    """(keys..., _bin, _before, _asked): the bins of counted rows (keys..., _bin, _k) in which ranks of asked (keys..., _asked) lie, and how many values stand before."""
+    held = rows.groupBy(*keys, "_bin").agg(F.sum("_k").alias("_k"))
+    held = held.withColumn("_before", F.sum("_k").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_k")).join(asked, keys)  # a row a bin
+    inside = F.filter("_asked", lambda a: (a["rank"] >= F.col("_before")) & (a["rank"] < F.col("_before") + F.col("_k")))
+    own = F.transform(inside, lambda a: F.struct(a["i"].alias("i"), (a["rank"] - F.col("_before")).alias("rank")))
+    return held.select(*keys, "_bin", own.alias("_asked")).where("size(_asked) > 0")
 
 
 def quantiles(readings: DataFrame, keys: list[str], shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """(keys..., n, unique, q): exact linear quantiles of each sensor's values; NaN is the largest value.
 
-    No task holds all values of a sensor.  Values are counted, then their bins (BINS equal
-    ones between least and largest); the ranks asked for fall into a few bins, and only
-    the values of those are sorted.
+    Distributed selection.  Values are counted.  A sketch of each sensor gives bounds just below and above
+    each share, exact counts between the bounds tell where the wanted ranks lie, and only
+    those few values (NEAR on each side) are cut again, into PARTS parts of equal number, and then
+    sorted.  Bounds follow ranks, so outliers don't fill a bin; results don't depend on how
+    well the sketch does, only the size of the last sort, about NEAR / PARTS of a sensor's
+    different values.
     """
-    v = readings.where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("k"))
-    edge = v.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.sum("k").alias("n"), F.count("*").alias("unique"))
-    place = (F.col("value") - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(F.lit(1.0))
-    bins = v.join(edge, keys).withColumn("_bin", F.when(F.isnan(place), F.lit(BINS)).otherwise(F.least(F.floor(place * BINS), F.lit(BINS - 1))).cast("int"))
-    held = bins.groupBy(*keys, "n", "_bin").agg(F.sum("k").alias("k"))
-    w = Window.partitionBy(*keys).orderBy("_bin")
-    held = held.withColumn("_before", F.sum("k").over(w) - F.col("k"))
+    v = readings.where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("_k"))
+    cuts = sorted({min(max(x, 0.0), 1.0) for s in shares for x in (s - NEAR, s + NEAR)})
+    edge = v.groupBy(*keys).agg(F.sum("_k").alias("n"), F.count("*").alias("unique"), F.percentile_approx("value", cuts, 4096).alias("_cuts"))
     at = [F.lit(s) * (F.col("n") - 1) for s in shares]
-    asked = F.explode(F.array(*[F.struct(F.lit(2 * i + up).alias("i"), (F.ceil(x) if up else F.floor(x)).cast("long").alias("rank")) for i, x in enumerate(at) for up in (0, 1)])).alias("_a")
-    wanted = held.select(*keys, "_bin", "_before", "k", asked).where("_a.rank >= _before and _a.rank < _before + k")
-    few = wanted.groupBy(*keys, "_bin", "_before").agg(F.collect_list("_a").alias("_asked"))
-    inside = bins.select(*keys, "_bin", "value", F.col("k").alias("_k")).join(few, [*keys, "_bin"])
-    upto = F.sum("_k").over(Window.partitionBy(*keys, "_bin").orderBy("value"))
-    hit = inside.withColumn("_upto", F.col("_before") + upto).select(*keys, "value", F.explode(F.filter("_asked", lambda a: (a["rank"] < F.col("_upto")) & (a["rank"] >= F.col("_upto") - F.col("_k")))).alias("_a"))
+    ranks = F.array(*[F.struct(F.lit(2 * i + up).alias("i"), (F.ceil(x) if up else F.floor(x)).cast("long").alias("rank")) for i, x in enumerate(at) for up in (0, 1)])
+    edge = edge.withColumn("_asked", ranks)
+    bins = v.join(edge.select(*keys, "_cuts"), keys).select(*keys, "value", "_k", sum(((F.col("value") > F.col("_cuts")[i]).cast("int") for i in range(len(cuts))), F.lit(0)).alias("_bin"))
+    first = _asked_bins(bins, keys, edge.select(*keys, "_asked"))
+    few = bins.join(first.drop("_asked"), [*keys, "_bin"], "left_semi").withColumnRenamed("_bin", "_part")
+    inner = [*keys, "_part"]
+    parts = few.groupBy(*inner).agg(F.percentile_approx("value", [i / PARTS for i in range(1, PARTS)], 4096).alias("_cuts"))
+    again = few.join(parts, inner).withColumn("_bin", F.size(F.filter("_cuts", lambda x: x < F.col("value")))).drop("_cuts")
+    wanted = _asked_bins(again, inner, first.withColumnRenamed("_bin", "_part"))
+    last = again.join(wanted, [*inner, "_bin"])
+    upto = last.withColumn("_upto", F.sum("_k").over(Window.partitionBy(*inner, "_bin").orderBy("value")))
+    hit = upto.select(*keys, "value", F.explode(F.filter("_asked", lambda a: (a["rank"] < F.col("_upto")) & (a["rank"] >= F.col("_upto") - F.col("_k")))).alias("_a"))
     ends = hit.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_a.i", "value"))).alias("_v"))
     low, high = (lambda i: F.col("_v")[2 * i]), (lambda i: F.col("_v")[2 * i + 1])
     q = F.array(*[F.when(low(i) == high(i), low(i)).otherwise(low(i) + (high(i) - low(i)) * (x - F.floor(x))) for i, x in enumerate(at)])

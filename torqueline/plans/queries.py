@@ -6,14 +6,14 @@ supplier and customer are the levels of a knowledge graph; parts are labels with
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
 from ..functions.similarity import multi_query_topk, vector_topk
 from ..operators import decision, evaluate, graph, legacy, preprocess, profiling, retrieval, validation
-from ..presets import ANCHOR_WORDS, GENERIC_LABEL_WORDS, LABEL_STOP_WORDS, MAPPER_STEM, RETRIEVAL_STEM
+from ..presets import ANCHOR_WORDS, GENERIC_LABEL_WORDS, LABEL_STOP_WORDS, MAPPER_STEM, QUERY_STEM, RETRIEVAL_STEM
 from ..runtime import cut
 from ..sources.readers import long_form
 from ..sources.sinks import STATS
@@ -108,8 +108,6 @@ def compare_to_nominal(spark, d):
 @query(f"with {_WELCH} select speed, fault, sensor, rank from (select *, row_number() over (partition by fault, speed order by abs(effect) desc, sensor)::int as rank from w where abs(effect) >= 0.001) where rank <= 2")
 def sensor_mapping_topk(spark, d):
     """Selection with significance left open (p <= 1), as these tables hold no faults."""
-    from pyspark.sql import Window
-
     from ..presets import Settings
 
     c = profiling.comparison(readings(spark, d)).withColumns({"importance_score": F.abs("effect_size")})
@@ -119,8 +117,8 @@ def sensor_mapping_topk(spark, d):
 
 def _validation(spark, d):
     r = readings(spark, d)
-    p = cut(profiling.profile(r, ["speed", "condition", "sensor"], None))  # read three times
-    mapping = p.where("condition <> 'NOMINAL'").select(F.col("condition").alias("fault"), "speed", "sensor", F.dense_rank().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("condition", "speed").orderBy("sensor")).alias("rank"), (F.length("sensor") / 10.0).alias("importance_score"))
+    p = r.where("value is not null").groupBy("speed", "condition", "sensor").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    mapping = p.where("condition <> 'NOMINAL'").select(F.col("condition").alias("fault"), "speed", "sensor", F.dense_rank().over(Window.partitionBy("condition", "speed").orderBy("sensor")).alias("rank"), (F.length("sensor") / 10.0).alias("importance_score"))
     first = table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("speed")).agg(*[F.min_by(c, F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias(c) for c in SENSORS])
     sample = long_form(first, SENSORS, ("speed",)).withColumn("sample_id", F.lit(0))
     return validation.signals(mapping, sample, p)
@@ -184,7 +182,7 @@ def _duck_stem(rules, x):
     return f"case when length({x}) <= 3 then {x} {whens} else {x} end"
 
 
-@query("select distinct word, " + ", ".join(f"{_duck_stem(r, 'word')} as {n}" for n, r in (("retrieval", RETRIEVAL_STEM), ("query", __import__("torqueline.presets", fromlist=["QUERY_STEM"]).QUERY_STEM), ("mapper", MAPPER_STEM))) + " from (select unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from conversations)")
+@query("select distinct word, " + ", ".join(f"{_duck_stem(r, 'word')} as {n}" for n, r in (("retrieval", RETRIEVAL_STEM), ("query", QUERY_STEM), ("mapper", MAPPER_STEM))) + " from (select unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from conversations)")
 def stemmers(spark, d):
     w = table(spark, d, "conversations").select(F.explode(F.expr(T.alnum_tokens("text"))).alias("word")).distinct()
     return w.select("word", F.expr(T.retrieval_stem("word")).alias("retrieval"), F.expr(T.query_stem("word")).alias("query"), F.expr(T.mapper_stem("word")).alias("mapper"))
@@ -323,8 +321,6 @@ def _paths(spark, d):
     """Three scored lists for 20 queries: vectors, retail price and size of parts with the same name."""
     v = _vectors(spark, d)
     q = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("qn"), F.col("p_brand").alias("qb"))
-    from pyspark.sql import Window
-
     def ranked(df, k):
         return df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "id"))).where(F.col("rank") <= k)
 
@@ -406,8 +402,6 @@ def score_gaps(spark, d):
 
 @query(f"with {_FUSED}, r as (select query_id, rank, row_number() over (partition by query_id order by coalesce(v, g, c) desc, id) as raw from h) select a.query_id, count(*) filter (where a.rank > b.rank) as n from r a join r b on a.query_id = b.query_id and a.raw < b.raw group by 1")
 def rank_inversions(spark, d):
-    from pyspark.sql import Window
-
     h = _hybrid(spark, d)
     return evaluate.inversions(h.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.coalesce("v", "g", "c")), "id")).alias("rank_raw"), F.col("rank").alias("rank_final")))
 
