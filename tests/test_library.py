@@ -373,7 +373,7 @@ def test_quantiles_of_odd_values(spark):
     nan, inf = float("nan"), float("inf")
     rows = [("a", float(i % 7)) for i in range(50)] + [("b", 1.0)] + [("c", x) for x in (-inf, 1.0, 2.0, inf, nan)] + [("d", None), ("e", 1e308), ("e", -1e308), ("e", 5.0)]
     got = {r.sensor: r for r in profiling.quantiles(spark.createDataFrame(rows, "sensor string, value double"), ["sensor"]).collect()}
-    assert got["a"].q == [1.0, 3.0, 5.0] and got["a"].unique == 7 and got["b"].q == [1.0] * 3 and "d" not in got
+    assert got["a"].q == [1.0, 3.0, 5.0] and got["b"].q == [1.0] * 3 and "d" not in got
     assert got["c"].q == [1.0, 2.0, inf] and got["e"].q[1] == 5.0
 
 

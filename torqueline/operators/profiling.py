@@ -6,7 +6,9 @@ logs have is simply absent, and one query serves every condition at once.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import absolute_change
 from ..functions.similarity import t_p_value
 from ..presets import DEFAULTS, IGNORED_SENSORS, Settings
+from ..runtime import stored
 
 
 #: Row numbers of a segment of a log.
@@ -67,6 +70,8 @@ def cleaned(readings: DataFrame, keys: list[str], order: str = "row_idx") -> Dat
 
 #: Shares of the values between which a wanted rank is looked for, and parts into which what is left is cut again.
 NEAR, PARTS = 1 / 256, 64
+#: A sketch is off by one in ACCURACY of the ranks at most; sensors of up to FEW values need none.
+ACCURACY, FEW = 1024, 1024
 
 
 def _asked_bins(rows: DataFrame, keys: list[str], asked: DataFrame) -> DataFrame:
@@ -79,26 +84,30 @@ def _asked_bins(rows: DataFrame, keys: list[str], asked: DataFrame) -> DataFrame
 
 
 def quantiles(readings: DataFrame, keys: list[str], shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """(keys..., n, unique, q): exact linear quantiles of each sensor's values; NaN is the largest value.
+    """(keys..., n, q): exact linear quantiles of each sensor's values; NaN is the largest value.
 
-    Distributed selection.  Values are counted.  A sketch of each sensor gives bounds just below and above
+    Distributed selection.  A sketch of each sensor gives bounds just below and above
     each share, exact counts between the bounds tell where the wanted ranks lie, and only
-    those few values (NEAR on each side) are cut again, into PARTS parts of equal number, and then
-    sorted.  Bounds follow ranks, so outliers don't fill a bin; results don't depend on how
-    well the sketch does, only the size of the last sort, about NEAR / PARTS of a sensor's
-    different values.
+    those few values (NEAR on each side) are shuffled: counted, cut again into PARTS parts of equal number, and then
+    sorted.  Bounds follow ranks, so outliers don't fill a bin, and the sketch's error is well
+    below NEAR, so the wanted ranks are between them; the last sort has about NEAR / PARTS of a sensor's
+    different values.  Two passes over readings; bounds and the few values are written in between.
     """
-    v = readings.where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("_k"))
-    cuts = sorted({min(max(x, 0.0), 1.0) for s in shares for x in (s - NEAR, s + NEAR)})
-    edge = v.groupBy(*keys).agg(F.sum("_k").alias("n"), F.count("*").alias("unique"), F.percentile_approx("value", cuts, 4096).alias("_cuts"))
+    v = readings.where("value is not null").select(*keys, "value")
+    cuts = [min(max(x, 0.0), 1.0) for s in shares for x in (s - NEAR, s + NEAR)]
+    edge = v.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("value", cuts, ACCURACY).alias("_cuts"))
     at = [F.lit(s) * (F.col("n") - 1) for s in shares]
     ranks = F.array(*[F.struct(F.lit(2 * i + up).alias("i"), (F.ceil(x) if up else F.floor(x)).cast("long").alias("rank")) for i, x in enumerate(at) for up in (0, 1)])
-    edge = edge.withColumn("_asked", ranks)
-    bins = v.join(edge.select(*keys, "_cuts"), keys).select(*keys, "value", "_k", sum(((F.col("value") > F.col("_cuts")[i]).cast("int") for i in range(len(cuts))), F.lit(0)).alias("_bin"))
+    edge = stored(edge.withColumn("_asked", ranks).coalesce(1), "bounds")  # a row a sensor
+    low, high = ([F.col("_cuts")[2 * i + j] for i in range(len(shares))] for j in (0, 1))
+    place = sum(((F.col("value") >= x).cast("int") for x in low), F.lit(0)) + sum(((F.col("value") > x).cast("int") for x in high), F.lit(0))
+    close = reduce(or_, [(F.col("value") >= x) & (F.col("value") <= y) for x, y in zip(low, high, strict=True)], F.col("n") <= FEW)
+    bins = v.join(edge.select(*keys, "n", "_cuts"), keys).groupBy(*keys, place.alias("_bin"), F.when(close, F.col("value")).alias("value")).agg(F.count("*").alias("_k"))
+    bins = stored(bins, "near")
     first = _asked_bins(bins, keys, edge.select(*keys, "_asked"))
-    few = bins.join(first.drop("_asked"), [*keys, "_bin"], "left_semi").withColumnRenamed("_bin", "_part")
+    few = bins.where("value is not null").join(first.select(*keys, "_bin"), [*keys, "_bin"], "left_semi").withColumnRenamed("_bin", "_part")
     inner = [*keys, "_part"]
-    parts = few.groupBy(*inner).agg(F.percentile_approx("value", [i / PARTS for i in range(1, PARTS)], 4096).alias("_cuts"))
+    parts = few.groupBy(*inner).agg(F.percentile_approx("value", [i / PARTS for i in range(1, PARTS)], ACCURACY).alias("_cuts"))
     again = few.join(parts, inner).withColumn("_bin", F.size(F.filter("_cuts", lambda x: x < F.col("value")))).drop("_cuts")
     wanted = _asked_bins(again, inner, first.withColumnRenamed("_bin", "_part"))
     last = again.join(wanted, [*inner, "_bin"])
@@ -107,7 +116,7 @@ def quantiles(readings: DataFrame, keys: list[str], shares: tuple[float, ...] =
     ends = hit.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_a.i", "value"))).alias("_v"))
     low, high = (lambda i: F.col("_v")[2 * i]), (lambda i: F.col("_v")[2 * i + 1])
     q = F.array(*[F.when(low(i) == high(i), low(i)).otherwise(low(i) + (high(i) - low(i)) * (x - F.floor(x))) for i, x in enumerate(at)])
-    return edge.join(ends, keys).select(*keys, "n", "unique", q.alias("q"))
+    return edge.join(ends, keys).select(*keys, "n", q.alias("q"))
 
 
 def summary(readings: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,7 +125,8 @@ def summary(readings: DataFrame, keys: list[str]) -> DataFrame:
         F.count("value").alias("count"), F.count_if(F.col("value").isNull()).alias("missing"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.var_samp("value").alias("variance"), F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    agg = moments.join(quantiles(readings, keys).drop("n"), keys, "left").withColumn("unique", F.coalesce("unique", F.lit(0)))
+    different = readings.where("value is not null").select(*keys, "value").distinct().groupBy(*keys).agg(F.count("*").alias("unique"))
+    agg = moments.join(quantiles(readings, keys).drop("n"), keys, "left").join(different, keys, "left").withColumn("unique", F.coalesce("unique", F.lit(0)))
     return agg.select(*keys, "count", "missing", "unique", "mean", F.col("q")[1].alias("median"), "std", "variance", "min", F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"), "max")
 
 
@@ -127,7 +137,7 @@ def profile(readings: DataFrame, keys: list[str], dp: int | None = 6) -> DataFra
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.var_samp("value").alias("variance"), F.min("value").alias("min"),
         F.max("value").alias("max"), F.skewness("value").alias("g1"), F.kurtosis("value").alias("g2"),
     )
-    agg = agg.join(quantiles(readings, keys).drop("n", "unique"), keys)
+    agg = agg.join(quantiles(readings, keys).drop("n"), keys)
     skew = F.when(F.col("n") > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(F.col("n") > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
     cols = {"mean": F.col("mean"), "std": F.col("std"), "variance": F.col("variance"), "min": F.col("min"), "max": F.col("max"), "median": F.col("q")[1], "q1": F.col("q")[0], "q3": F.col("q")[2], "iqr": F.col("q")[2] - F.col("q")[0], "skewness": skew, "kurtosis": kurt}
@@ -176,7 +186,7 @@ def histogram_overlay(bins: DataFrame, current: DataFrame, profiles: DataFrame,
 
 def boxplot(readings: DataFrame, keys: list[str]) -> DataFrame:
     """Quartiles, whiskers at the last values within 1.5 IQR, and the number of outliers."""
-    q = quantiles(readings, keys).drop("n", "unique")
+    q = quantiles(readings, keys).drop("n")
     both = readings.where("value is not null").join(q, keys)
     reach = (F.col("q")[2] - F.col("q")[0]) * 1.5
     inside = (F.col("value") >= F.col("q")[0] - reach) & (F.col("value") <= F.col("q")[2] + reach)
