@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from torqueline.functions.similarity import vector_topk
+from torqueline.functions.similarity import indel, vector_topk
 from torqueline.functions.vector_index import VectorIndex
-from torqueline.operators import graph, modularity, profiling
+from torqueline.operators import graph, modularity, preprocess, profiling, retrieval
 from torqueline.sources import logs
 
 
@@ -170,3 +170,32 @@ def test_gaps_across_segments(spark, segment):
     assert set(got) == set(want)
     for k, x in want.items():
         assert got[k] is None if x != x else got[k] == pytest.approx(x)
+
+
+def test_similar_words(spark):
+    """All pairs that reach the threshold, repeated letters and very long words among them."""
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 12))) for _ in range(60)] + ["aaaaaa", "aaaaa", "a", "ababab", "é" * 4 + "x"]
+    long = "".join(rng.choice("abcdefgh") for _ in range(10000))
+    words = [*base, long[:5000] + long[5010:]]
+    vocabulary = [*(w[: len(w) // 2] + rng.choice("abz") + w[len(w) // 2 :] for w in base), *base, long]
+    frame = lambda x: spark.createDataFrame([(w,) for w in x], "word string")
+    for threshold in (60.0, 82.0, 95.0):
+        want = {(a, b) for a in set(base) for b in set(vocabulary[:-1]) if indel(a, b) >= threshold} | {(words[-1], long)}
+        got = preprocess.similar_words(frame(words), frame(vocabulary), threshold).collect()
+        assert {(r.word, r.match) for r in got} == want
+        assert all(r.ratio == pytest.approx(indel(r.word, r.match)) for r in got if len(r.word) < 99)
+
+
+def test_holders(spark):
+    words = ["engine", "gin", "misfire", "fire", "aaaa", "aaa", "ab", "xaaaay", "é€engé"]
+    frame = lambda x, c: spark.createDataFrame([(w,) for w in x], f"{c} string")
+    got = {tuple(r) for r in retrieval.holders(frame([*words, "zzz"], "k"), frame(words, "lw")).collect()}
+    assert got == {(k, w) for k in words for w in words if len(k) > 2 and k in w}
+
+
+def test_similar_entities(spark):
+    labels = ["Engine misfire", "engine  misfires", "engine misfirez", "Brake fade", "brake  fade", None, "", "unrelated words"]
+    nodes = spark.createDataFrame(list(enumerate(labels)), "id long, label string")
+    got = {r.id: r.entity for r in modularity.similar_entities(nodes, 92.0).collect()}
+    assert got == {0: "engine misfire", 1: "engine misfire", 2: "engine misfire", 3: "brake fade", 4: "brake fade", 5: None, 6: "", 7: "unrelated words"}

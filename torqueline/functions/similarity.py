@@ -149,6 +149,25 @@ def letters(word: str) -> str:
     return f"transform(split({word}, ''), (c, i) -> concat(c, size(filter(slice(split({word}, ''), 1, i + 1), d -> d = c))))"
 
 
+def common_letters(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of the table as the bits of one number."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    row = whole
+    for y in b:
+        met = row & places.get(y, 0)
+        row = ((row + met) | (row - met)) & whole
+    return len(a) - row.bit_count()
+
+
+@F.pandas_udf(DoubleType())
+def indel_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    """``indel`` of two columns, for words of any length."""
+    return pd.Series([200.0 * common_letters(x, y) / (len(x) + len(y)) if x and y else 100.0 * (x == y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+
 def indel_ratio(a: str, b: str) -> str:
     """SQL of ``indel``: a row of the common-subsequence table is the running maximum of what the row above and the letter allow."""
     letters_b = f"split({b}, '')"

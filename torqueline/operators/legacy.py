@@ -8,15 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..runtime import cut
 from .graph import bfs
-from .retrieval import merged
+from .retrieval import holders, merged
 
 
 def containment_seeds(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(query_id, id): labels that hold a query word of three letters or more as a substring, by substring keys."""
+    """(query_id, id): labels that hold a query word of three letters or more as a part of a word."""
     q = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "\\s+"), lambda w: F.length(w) > 2))).alias("k"))
-    low = nodes.select("id", F.lower("label").alias("l"))
-    keys = low.select("id", F.explode(F.expr("array_distinct(flatten(transform(filter(split(l, '\\\\s+'), w -> length(w) > 2), w -> flatten(transform(sequence(1, length(w)), i -> transform(sequence(1, length(w) - i + 1), n -> substring(w, i, n)))))))")).alias("k")).where("length(k) > 2")
-    return q.join(keys, "k").select("query_id", "id").distinct()
+    words = nodes.select("id", F.explode(F.array_distinct(F.split(F.lower("label"), "\\s+"))).alias("lw"))
+    return q.join(holders(q, words), "k").join(words, "lw").select("query_id", "id").distinct()
 
 
 def hop_scored_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = 2, top_k: int = 30) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import stored
+from .preprocess import similar_words
 
 #: Least gain of modularity for another round, and for another level.
 ROUND_GAIN, LEVEL_GAIN = 1e-3, 1e-6
@@ -114,6 +115,20 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
         labels = step.select("id", "component")
 
 
+def similar_entities(nodes: DataFrame, threshold: float = 92.0) -> DataFrame:
+    """(id, label, entity): nodes with the least label that theirs reaches over labels of Indel ratio ``threshold`` or more.
+
+    Different labels (lower case, single spaces) are compared once each, by the index of
+    letter pairs; links between them are hooked to components.  Null and empty labels stay by themselves.
+    """
+    clean = F.trim(F.regexp_replace(F.lower("label"), r"\s+", " "))
+    own = nodes.select("id", "label", clean.alias("word"))
+    names = stored(own.select("word").where("word <> ''").distinct())
+    pairs = similar_words(names, names, threshold).where("word <> match").select(F.col("word").alias("a"), F.col("match").alias("b"))
+    found = components(stored(pairs), names.withColumnRenamed("word", "id"))
+    return own.join(found.select(F.col("id").alias("word"), "component"), "word", "left").select("id", "label", F.coalesce("component", "label").alias("entity"))
+
+
 def connected(links: DataFrame, labels: DataFrame) -> DataFrame:
     """labels with each community split into its connected parts, named by their least node; this never lowers modularity."""
     c = labels.select("id", "community")
@@ -158,3 +173,8 @@ def numbered(labels: DataFrame) -> DataFrame:
     size = labels.groupBy("community").agg(F.count("*").alias("n"))
     order = size.select("community", (F.row_number().over(Window.orderBy(F.desc("n"), "community")) - 1).alias("number"))
     return labels.join(order, "community").select("id", F.col("number").alias("community"))
+
+
+def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, community): ``partition``, numbered from the largest."""
+    return numbered(partition(nodes, edges))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import indel_ratio, letters
+from ..functions.similarity import indel_ratios
 from ..functions.text import alnum_tokens, error_codes, intent, stem_set
 from ..presets import CATEGORY_SENSORS, DEFAULTS, ENTITY_WEIGHTS, QUERY_STEM, RELATIONS, SYNONYMS, Settings
 from ..runtime import cut
@@ -26,22 +26,42 @@ def word_labels(labels: DataFrame, column: str = "label") -> DataFrame:
     return labels.select(F.col(column).alias("l"), F.explode(F.array_distinct(F.expr(alnum_tokens(column)))).alias("word")).where("length(word) > 2").groupBy("word").agg(F.array_sort(F.collect_set("l")).alias("labels"))
 
 
-def fuzzy_matches(words: DataFrame, vocabulary: DataFrame, threshold: float = DEFAULTS.fuzzy_threshold) -> DataFrame:
-    """(word, match, ratio): the vocabulary's closest word by Indel ratio, if it reaches the threshold; ties by word.
+def _bigrams(word: str):
+    """A word's different pairs of neighbouring letters, with its ends."""
+    return F.array_distinct(F.expr(f"transform(sequence(1, length({word}) + 1), i -> substring(concat('^', {word}, '$'), i, 2))"))
+
+
+def similar_words(words: DataFrame, vocabulary: DataFrame, threshold: float = DEFAULTS.fuzzy_threshold) -> DataFrame:
+    """(word, match, ratio): all words of the vocabulary whose Indel ratio with a word reaches the threshold.
 
-    A ratio bounds the difference in length, and the letters both words have (each as often
-    as in the lesser of the two) are no fewer than their longest common subsequence:
-    candidates are joined on lengths that can reach it and need enough common letters
-    before the subsequence is computed.
+    An index of letter pairs.  Of a word with n letters and a match with m, (3 D + n - m) / 2
+    of the word's pairs at most are lost, where D, the insertions and deletions, is bounded by
+    the threshold.  One more of the word's different pairs must therefore have one of the match's: each
+    word meets the vocabulary by that many of its rarest pairs.  Words with fewer pairs
+    (of one or two repeated letters, or under a low threshold) meet those of all lengths
+    that can reach it.
     """
+    far = 1.0 - threshold / 100.0
     share = threshold / (200.0 - threshold)  # the least ratio of lengths
-    w = words.select("word").where("word <> ''").distinct().withColumns({"n": F.length("word"), "wl": F.expr(letters("word"))})
-    reach = w.select("word", "n", "wl", F.explode(F.sequence(F.ceil(F.col("n") * share).cast("int"), F.floor(F.col("n") / share).cast("int"))).alias("m"))
-    v = vocabulary.select(F.col("word").alias("match")).where("match <> ''").distinct().withColumns({"m": F.length("match"), "ml": F.expr(letters("match"))})
-    near = reach.join(v, "m").where(F.size(F.array_intersect("wl", "ml")) * 200.0 / (F.col("n") + F.col("m")) >= threshold)
-    scored = near.withColumn("ratio", F.expr(indel_ratio("word", "match"))).where(F.col("ratio") >= threshold)
+    n = F.col("n")
+    least, most = F.ceil(n * share - 1e-9).cast("int"), F.floor(n / share + 1e-9).cast("int")
+    lost = F.floor(((3 * far + 1) * n + (3 * far - 1) * (least if 3 * far < 1 else most)) / 2 + 1e-9).cast("int")
+    w = words.select("word").where("word <> ''").distinct().withColumns({"n": F.length("word"), "pairs": _bigrams("word")}).withColumns({"least": least, "most": most, "lost": lost})
+    v = vocabulary.select(F.col("word").alias("match")).where("match <> ''").distinct().withColumn("m", F.length("match"))
+    held = v.select("match", "m", F.explode(_bigrams("match")).alias("pair"))
+    count = held.groupBy("pair").agg(F.count("*").alias("k"))
+    own = w.where("size(pairs) > lost").select("word", "n", "least", "most", "lost", F.explode("pairs").alias("pair")).join(count, "pair", "left")
+    rare = Window.partitionBy("word").orderBy(F.coalesce("k", F.lit(0)), "pair")  # a row a pair of one word
+    first = own.withColumn("rn", F.row_number().over(rare)).where("rn <= lost + 1")
+    near = first.join(held, "pair").where("m between least and most").select("word", "match").distinct()
+    rest = w.where("size(pairs) <= lost").select("word", F.explode(F.sequence("least", "most")).alias("m")).join(v, "m").select("word", "match")
+    return near.union(rest).withColumn("ratio", indel_ratios("word", "match")).where(F.col("ratio") >= threshold)
+
+
+def fuzzy_matches(words: DataFrame, vocabulary: DataFrame, threshold: float = DEFAULTS.fuzzy_threshold) -> DataFrame:
+    """(word, match, ratio): the vocabulary's closest word by Indel ratio, if it reaches the threshold; ties by word."""
     best = Window.partitionBy("word").orderBy(F.desc("ratio"), "match")
-    return scored.withColumn("rn", F.row_number().over(best)).where("rn = 1").select("word", "match", "ratio")
+    return similar_words(words, vocabulary, threshold).withColumn("rn", F.row_number().over(best)).where("rn = 1").select("word", "match", "ratio")
 
 
 def corrected(queries: DataFrame, vocabulary: DataFrame, threshold: float = DEFAULTS.fuzzy_threshold) -> DataFrame:

@@ -47,6 +47,20 @@ def label_overlap(queries: DataFrame, labels: DataFrame) -> DataFrame:
     return q.join(n, "s").groupBy("query_id", "id").agg(F.count("*").cast("int").alias("overlap"))
 
 
+def holders(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """(k, lw): the words lw that hold k, each of three letters or more, as a part.
+
+    Postings of trigrams: a word has as many rows as letters.  Each k meets the words of its rarest
+    trigram alone, and is then looked for in them.
+    """
+    grams = lambda c: F.explode(F.array_distinct(F.expr(f"transform(sequence(1, length({c}) - 2), i -> substring({c}, i, 3))"))).alias("gram")
+    held = words.select("lw").where("length(lw) > 2").distinct().select("lw", grams("lw"))
+    count = held.groupBy("gram").agg(F.count("*").alias("n"))
+    own = asked.select("k").where("length(k) > 2").distinct().select("k", grams("k")).join(count, "gram", "left")
+    rarest = own.groupBy("k").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return rarest.join(held, "gram").where(F.contains("lw", F.col("k"))).select("k", "lw")
+
+
 def graph_seeds(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """(query_id, id): nodes whose label shares a stem with the query or holds one of its telling words.
 
@@ -60,11 +74,11 @@ def graph_seeds(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     q = q.withColumn("telling", F.array_except(F.filter("w", lambda x: F.length(x) > 2), _literal(SEED_STOP_WORDS + GENERIC_SEED_WORDS)))
     n = nodes.select("id", F.lower(F.coalesce("label", F.lit(""))).alias("label"), "community").withColumns({"w": F.expr(f"array_distinct({tokens('label')})"), "stems": F.expr(stem_set(tokens("label"), RETRIEVAL_STEM))})
     words = n.select("id", F.explode("w").alias("lw"))
-    pieces = words.select("id", F.explode(F.expr("array_distinct(flatten(transform(sequence(1, length(lw)), i -> transform(sequence(1, length(lw) - i + 1), k -> substring(lw, i, k)))))")).alias("k")).where("length(k) > 2").select("id", F.concat(F.lit("in:"), "k").alias("k"))
-    starts = words.select("id", F.explode(F.expr("transform(sequence(1, least(4, length(lw))), k -> concat('at:', left(lw, k)))")).alias("k"))
-    keys = pieces.union(starts).distinct()
-    t = q.select("query_id", F.explode("telling").alias("t")).select("query_id", F.explode(F.array(F.concat(F.lit("in:"), "t"), F.expr(f"concat('at:', left({retrieval_stem('t')}, 4))"))).alias("k"))
-    by_word = t.join(keys, "k").select("query_id", "id").distinct()
+    starts = words.select("id", F.explode(F.expr("transform(sequence(1, least(4, length(lw))), k -> left(lw, k))")).alias("k")).distinct()
+    asked = q.select("query_id", F.explode("telling").alias("k"))
+    inside = asked.join(holders(asked, words), "k").join(words, "lw").select("query_id", "id")
+    ahead = asked.select("query_id", F.expr(f"left({retrieval_stem('k')}, 4)").alias("k")).join(starts, "k").select("query_id", "id")
+    by_word = inside.union(ahead).distinct()
     by_stem = label_overlap(q, n).select("query_id", "id")
     plain = q.where("size(telling) = 0").select("query_id")
     in_community = lambda df: df.join(q.select("query_id", "communities"), "query_id").join(n.select("id", "community"), "id").where(F.expr("size(communities) = 0 or array_contains(transform(communities, c -> cast(c as string)), cast(community as string))")).select("query_id", "id")

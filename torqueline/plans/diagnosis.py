@@ -26,16 +26,18 @@ class KnowledgeBase:
     encode: Callable[[DataFrame], DataFrame]
 
     @classmethod
-    def from_records(cls, records: DataFrame, communities: DataFrame | None = None, encode: Callable[[DataFrame], DataFrame] | None = None) -> KnowledgeBase:
+    def from_records(cls, records: DataFrame, communities: DataFrame | None = None, encode: Callable[[DataFrame], DataFrame] | None = None, find: Callable[[DataFrame, DataFrame], DataFrame] = graph.communities) -> KnowledgeBase:
         """Build from fault records; communities (id, community) are detected where none are given.
 
+        find detects them from nodes and edges: by label propagation, or ``modularity.communities``.
+
         encode adds a column embedding (unit vectors) to a table with a column text;
         without one, texts are hashed.
         """
         encode = encode or hashed
         nodes, edges = graph.build(records)
         nodes, edges = cut(graph.normalized(nodes, records)), cut(edges)
-        own = communities if communities is not None else graph.communities(nodes, edges)
+        own = communities if communities is not None else find(nodes, edges)
         nodes = cut(nodes.join(own, "id", "left"))
         return cls(nodes, edges, cut(graph.community_rollup(nodes)), cut(embedded(graph.embedding_text(nodes), encode)), encode)
 

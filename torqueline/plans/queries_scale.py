@@ -58,7 +58,7 @@ def modularity_moves(spark, d):
 @query()
 def modularity_communities(spark, d):
     """Communities of the hierarchy by modularity, numbered from the largest."""
-    return modularity.numbered(modularity.partition(*_kg(spark, d)))
+    return modularity.communities(*_kg(spark, d))
 
 
 _ORDERS = """o as (select *, row_number() over (partition by o_orderpriority order by o_orderkey) - 1 as row_idx from orders)
@@ -121,3 +121,9 @@ def index_recall(spark, d):
     found = index.search(queries, 10, probes=index.probes_for(0.95)).select("query_id", "id", F.lit(1).alias("hit"))
     true = vector_topk(_vectors(spark, d), queries, 10).select("query_id", "id")
     return true.join(found, ["query_id", "id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"), F.count("*").alias("n"))
+
+
+@query()
+def similar_entities(spark, d):
+    """Part types with the entity that each comes to: nearly equal types are one (no SQL for the ratio; held against brute force)."""
+    return modularity.similar_entities(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("label")))
