@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import vector_topk
 from ..functions.vector_index import VectorIndex
-from ..operators import modularity
+from ..operators import graph, modularity
 from ..runtime import scratch
 from ..sources import logs
 from .queries import _DOTS, _KG, _kg, _vectors
+from .queries_decision import _ratio
 from .registry import query, rounded, table
 
 _LINKS = f"""{_KG}, l as (
@@ -55,10 +56,14 @@ def modularity_moves(spark, d):
     return rounded(modularity.moves(*_links(spark, d)), 8)
 
 
-@query()
+@query(f"with {_KG} select count(*) as nodes, true as at_least_spread from g")
 def modularity_communities(spark, d):
-    """Communities of the hierarchy by modularity, numbered from the largest."""
-    return modularity.communities(*_kg(spark, d))
+    """Communities of the hierarchy: how many nodes have one, and whether their modularity is at least that of label propagation."""
+    nodes, edges = _kg(spark, d)
+    links, found = modularity.both_ways(edges), modularity.communities(nodes, edges)
+    value = modularity.modularity(links, found).select(F.col("modularity").alias("a"))
+    spread = modularity.modularity(links, graph.communities(nodes, edges)).select(F.col("modularity").alias("b"))
+    return found.agg(F.count("community").alias("nodes")).join(value).join(spread).select("nodes", (F.col("a") >= F.col("b") - 1e-9).alias("at_least_spread"))
 
 
 _ORDERS = """o as (select *, row_number() over (partition by o_orderpriority order by o_orderkey) - 1 as row_idx from orders)
@@ -114,16 +119,22 @@ def index_search_exact(spark, d):
     return index.search(queries, 10, probes=None)
 
 
-@query()
+@query(f"with {_DOTS} select true as reached, count(*) as n from (select row_number() over (partition by query_id order by raw_score desc, id) as rank from s) where rank <= 10")
 def index_recall(spark, d):
-    """Recall at 10 of a search of as many of 32 lists as a sample asks for (no SQL: the quantiser is learnt)."""
+    """Whether a search of as many of 32 lists as ``probes_for`` asks for has a recall at 10 of 0.9 or more."""
     index, queries = _index(spark, d)
     found = index.search(queries, 10, probes=index.probes_for(0.95)).select("query_id", "id", F.lit(1).alias("hit"))
     true = vector_topk(_vectors(spark, d), queries, 10).select("query_id", "id")
-    return true.join(found, ["query_id", "id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"), F.count("*").alias("n"))
+    return true.join(found, ["query_id", "id"], "left").agg((F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("reached"), F.count("*").alias("n"))
 
 
-@query()
+@query(f"""with recursive n as (select p_partkey as id, case p_partkey % 3 when 0 then p_type else left(p_type, 2) || substring(p_type, 3 + p_partkey % 3) end as label from part),
+vo as (select distinct lower(label) as word from n), {_ratio("select word from vo")},
+r(word, other) as (select word, word from vo union select r.word, l.match from r join lcs l on l.word = r.other where l.ratio >= 80),
+e as (select word, min(other) as entity from r group by 1)
+select id, label, entity from n join e on word = lower(label)""")
 def similar_entities(spark, d):
-    """Part types with the entity that each comes to: nearly equal types are one (no SQL for the ratio; held against brute force)."""
-    return modularity.similar_entities(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("label")))
+    """Types of parts, with no, one or two letters left out, and the entity that each comes to: those that are nearly equal are one."""
+    at = F.col("p_partkey") % 3
+    label = F.when(at == 0, F.col("p_type")).otherwise(F.concat(F.expr("left(p_type, 2)"), F.expr("substring(p_type, cast(3 + p_partkey % 3 as int))")))
+    return modularity.similar_entities(table(spark, d, "part").select(F.col("p_partkey").alias("id"), label.alias("label")), 80.0)
