@@ -385,7 +385,7 @@ def test_personal_data_adds_spans(spark):
 def test_personal_data_on_documents(spark):
     """Of the candidates in the table EM and the classifier accept some and reject some; what is added is checked one by one."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    got = {r.doc_id: r.spans.split(",") if r.spans else [] for r in personal_data.personal_data(docs).collect()}
+    got = {r.doc_id: [x for x in f"{r.spans},{r.secret_spans}".split(",") if x] for r in personal_data.personal_data(docs).collect()}
     added, missed = set(), set()
     for r in docs.collect():
         base = {f"{k}:{s}:{e}" for k, s, e in brute.personal(r.text)}
@@ -405,13 +405,66 @@ def test_personal_data_finds_loose_forms(spark):
     forms = {"email": "write to jo.ann{} [at] site [dot] org now", "phone": "call 202-555-01{:02d} today", "secret": 'api_key: "Zq{:02d}kd83hsYw6Tg2Lp0vN4xB" end'}
     rows = [(10**6 + 10 * i + j, "lorem " * i + text.format(i), kind) for i in range(20) for j, (kind, text) in enumerate(forms.items())]
     planted = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    got = {r.doc_id: r.spans for r in personal_data.personal_data(docs.union(planted)).collect()}
+    got = {r.doc_id: r.spans + r.secret_spans for r in personal_data.personal_data(docs.union(planted)).collect()}
     inner = {"email": r"jo\.ann.* org", "phone": r"[0-9-]{12}", "secret": r"Zq\w+"}
     for i, text, kind in rows:
         m = re.search(inner[kind], text)
         assert got[i] == f"{kind}:{m.start()}:{m.end()}"
 
 
+def test_personal_data_against_hard_negatives(spark):
+    """Forms of all four kinds and secrets planted in the table's texts are found, what only looks like them is not; no length is too long."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rng = random.Random(8)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
+    random_text = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(n - 4)) + "aZ42"
+    forms = [
+        ("email", "mail me: ", lambda i: f"jo.ann{i} [at] corp [dot] com"), ("email", "so ", lambda i: f"{'x' * (60 + i)}(at)site.org"), ("email", "ask ", lambda i: f"kim{i} at dept dot uni dot edu"), ("email", "", lambda i: f"a{i}@b.org"),
+        ("phone", "call me on ", lambda i: f"202-555-01{i:02d}"), ("phone", "phone: ", lambda i: f"(202) 555-01{i:02d}"), ("phone", "", lambda i: f"+49 30 12345{i:02d}"), ("ip", "host ", lambda i: f"10.1.2.{i}"), ("card", "card ", lambda i: "4111 1111 1111 1111"),
+        ("secret", 'api_key: "', lambda i: random_text(30 + 12 * i)), ("secret", "password = ", lambda i: random_text(24)),
+        (None, "commit ", lambda i: hexes(40)), (None, "md5 ", lambda i: hexes(32)), (None, "see ", lambda i: f"a-long-name-with-words-{i}"), (None, "number ", lambda i: f"411111111111{1000 + i * 10 + (3 if i % 10 != 5 else 4)}"),
+    ]
+    rows, want = [], {}
+    for j, (kind, lead, form) in enumerate(forms):
+        for i in range(20):
+            k, text, front = 10**6 + 100 * j + i, form(i), "lorem " * i + lead
+            if kind is None and brute.passes("card", text):
+                continue
+            rows.append((k, f"{front}{text} ende"))
+            want[k] = (kind, f"{kind}:{len(front)}:{len(front) + len(text)}" if kind else "")
+    got = {r.doc_id: r.spans + r.secret_spans for r in personal_data.personal_data(docs.union(spark.createDataFrame(rows, "doc_id long, text string"))).where("doc_id >= 1000000").collect()}
+    assert got == {k: v[1] for k, v in want.items()}
+
+
+def test_personal_data_without_length_caps(spark):
+    """Very long local parts, domains, dotted chains and secrets are one span each, or none, and end."""
+    secret = "".join("aB3dE6gH9k"[i % 10] for i in range(100_000))
+    texts = ["x" * 100_000 + " [at] " + "y" * 5000 + " [dot] com", "jo at a" + " dot bb" * 20_000, f'token = "{secret}"', "a" * 200_000, "a1/" * 60_000 + "@", " at " * 50_000]
+    clean = [(100 + i, f"mail user{i}@mail{i}.com and +1 202 555 01{i:02d}, card 4111 1111 1111 1112 now") for i in range(60)]
+    got = {r.doc_id: (r.spans, r.secret_spans) for r in personal_data.personal_data(spark.createDataFrame([*enumerate(texts), *clean], "doc_id long, text string")).where("doc_id < 100").collect()}
+    assert got == {0: (f"email:0:{len(texts[0])}", ""), 1: (f"email:0:{len(texts[1])}", ""), 2: ("", "secret:9:100009"), 3: ("", ""), 4: ("", ""), 5: ("", "")}
+
+
+def test_reliabilities_against_loops():
+    """Expectation-maximisation again, vote by vote."""
+    rng = np.random.default_rng(5)
+    votes, counts = rng.integers(-1, 2, (30, 6)), rng.integers(1, 50, 30).astype(float)
+    post = [(1 + sum(v == 1 for v in row)) / (2 + sum(v >= 0 for v in row)) for row in votes]
+    for _ in range(100):
+        yes, no = sum(c * p for c, p in zip(counts, post)), sum(c * (1 - p) for c, p in zip(counts, post))
+        prior, after = (yes + 1) / (yes + no + 2), []
+        said = {(j, k, v): sum(c * (p if k else 1 - p) for c, p, row in zip(counts, post, votes) if row[j] == v) + (personal_data.RIGHT if v == k else 1) for j in range(6) for k in (0, 1) for v in (0, 1)}
+        for row in votes:
+            like = [(1 - prior), prior]
+            for j, v in enumerate(row):
+                for k in (0, 1):
+                    like[k] *= said[j, k, v] / (said[j, k, 0] + said[j, k, 1]) if v >= 0 else 1
+            after.append(like[1] / sum(like))
+        post = after
+    got = personal_data.reliabilities(votes, counts)
+    assert np.allclose(got[2], post, atol=1e-9) and abs(got[0] - prior) < 1e-9
+
+
 def test_reliabilities():
     votes, counts = np.array([(1, 1, 1), (0, 0, 0), (1, 1, 0), (0, 0, 1), (-1, -1, 1)]), np.array([50.0, 50.0, 9.0, 9.0, 3.0])
     prior, rates, post = personal_data.reliabilities(votes, counts)

@@ -6,12 +6,13 @@ many matches in one text stay cheap).  Patterns are written so that no match rec
 and no start rescans a run, which keeps very long words and digit runs linear.
 
 Further candidates (loosely written addresses and numbers, long mixed strings that may be
-secrets, and what the base patterns match but their tests reject) are judged by five
-labelers: shape, format test, gazetteer, context that speaks for and context that speaks
-against.  Their votes are counted over all documents by pattern of votes and of text
+secrets, and what the base patterns match but their tests reject) are judged by six
+labelers: shape, format test, gazetteer, context that speaks for, context that speaks
+against, and alphabet (a random string, or one that looks like a digest, an id, a serial
+number).  None of them has a length beyond which it doesn't look.  Their votes are counted over all documents by pattern of votes and of text
 features that no labeler sees (what stands right before and after, and the length), of
 which there is a fixed number; expectation-maximisation on that small table estimates
-each labeler's reliability, and a logistic span classifier is trained on its posteriors.
+each labeler's reliability kind by kind, and a logistic span classifier is trained on its posteriors.
 Candidates it accepts are added where they overlap no base span.
 """
 
@@ -36,8 +37,8 @@ BASE = {
 #: What a text must hold before a pattern is tried.
 NEEDS = {"email": "contains({t}, '@')", "ip": r"{t} rlike r'[0-9]\.[0-9]+\.[0-9]'", "card": r"{t} rlike r'[0-9](?:[ -]?[0-9]){{12}}'", "phone": r"contains({t}, '+')"}
 _LOOSE = {
-    "email": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}(?: ?[\[(]at[\])] ?[A-Za-z0-9-]{{1,63}}(?:(?: ?[\[(]dot[\])] ?|\.)[A-Za-z0-9-]{{2,63}}){{1,4}}+| at [A-Za-z0-9-]{{1,63}}(?: dot [A-Za-z0-9-]{{2,63}}){{1,4}}+)",
-    "secret": r"(?<![A-Za-z0-9_+/=.@-])(?=[A-Za-z_+/-]{0,200}[0-9])(?=[0-9_+/-]{0,200}[A-Za-z])[A-Za-z0-9_+/-]{20,200}+(?![A-Za-z0-9_+/@.-])={0,2}",
+    "email": rf"(?<!{_LOCAL}){_LOCAL}++(?: ?[\[(]at[\])] ?[A-Za-z0-9-]++(?:(?: ?[\[(]dot[\])] ?|\.)[A-Za-z0-9-]{{2,}}+)++| at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]{{2,}}+)++)",
+    "secret": r"(?<![A-Za-z0-9_+/=.@-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{20,}+(?![@.])={0,2}",
     "phone": r"(?<![0-9A-Za-z+().-])(?:\([0-9]{2,4}\) ?|(?:00[0-9]{1,3}[ .-])?[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])",
 }
 CANDIDATE = f"{BASE['email']}|{BASE['phone']}|{BASE['card']}|{BASE['ip']}|{_LOOSE['email']}|{_LOOSE['phone']}|{_LOOSE['secret']}".replace(r"(?:\G|(?<!", r"(?:(?<!")
@@ -51,7 +52,11 @@ CALLING = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 SECRETS = "token|secret|api[_-]?key|access[_-]?key|key|passw(?:or)?d|pwd|auth|bearer|credentials?"
 HASHES = "sha-?[0-9]*|md5|hash|commit|digest|checksum|integrity|uuid|https?|www"
 FOR = "e-?mail|mail|contact|kontakt|tel|phone|fon|t[eé]l[eé]fono?|call|mobile?|fax|card|visa|carte|karte|tarjeta|ip|host|addr"
-AGAINST = r"[=:\"#$%][ \"]*$|[0-9][ ,.]*$|version|isbn|page|seite|página"
+AGAINST = r"[=#$%][ \"]*$|[0-9][ ,.]*$|\b(?:version|isbn|page|seite|página|order|invoice|serial|id|no|nr)\b[^A-Za-z0-9]*$"
+#: Votes with its class that a labeler is credited with beforehand, against one.
+RIGHT = 4
+#: Lengths of hexadecimal digests, and the bits a character of a random string has at least.
+DIGESTS, BITS = (32, 40, 64, 128), 3.0
 
 
 def spans_sql(text: str, pattern: str, needs: str) -> str:
@@ -107,19 +112,23 @@ def _neighbour(c: str) -> str:
 
 
 def _judged(x: str) -> str:
-    """SQL of a candidate with kind, whether it is loosely written, the five votes (1 yes, 0 no, -1 none), and its text features."""
+    """SQL of a candidate with kind, whether it is loosely written, the six votes (1 yes, 0 no, -1 none), and its text features."""
     d = _digits("c.t")
     strict = "(" + " or ".join(f"c.kind = '{k}' and c.t rlike r'^{BASE[k].replace(chr(92) + 'G|', '')}$' and {valid(k, 'c.t')}" for k in KINDS) + ")"
     loose = "(c.t rlike r'[\\[(]at[\\])]| at ' or c.kind = 'secret' or c.kind = 'phone' and not c.t like '+%')"
     mixed = f"length({d}) >= 4 and length(regexp_replace(c.t, '[^A-Za-z]', '')) >= 4"
     test = f"case c.kind when 'email' then if(c.t rlike r'(?:\\.|dot[\\])]? ?)[A-Za-z]{{2,24}}$', 1, 0) when 'secret' then if({mixed}, 1, 0) else if(case c.kind {' '.join(f'when {chr(39)}{k}{chr(39)} then {valid(k, chr(99) + chr(46) + chr(116))}' for k in KINDS[1:])} end, 1, 0) end"
     known = f"case c.kind when 'email' then if(c.t rlike r'(?i)(?:\\.|dot[\\])]? ?)(?:{DOMAINS})$', 1, -1) when 'phone' then if({d} rlike '^(?:00)?(?:{CALLING})' or {d} like '%555%', 1, -1) when 'ip' then if(c.t rlike '^(?:0|10|127|255|192.168)[.]', 0, -1) when 'secret' then if(c.b rlike r'(?i)(?:{SECRETS})[^A-Za-z0-9]*$', 1, 0) else if({d} rlike '^(?:{ISSUERS})', 1, 0) end"
-    pro = f"case c.kind when 'secret' then if(c.b rlike r'[=:] ?[\"\\x27]?$', 1, -1) else if(c.b rlike r'(?i)\\b(?:{FOR})\\b[^A-Za-z0-9]*$', 1, -1) end"
-    con = f"case c.kind when 'secret' then if(c.b rlike r'(?i)(?:{HASHES})[^A-Za-z0-9]*$', 0, -1) else if(c.b rlike r'(?i)(?:{AGAINST})' or c.a rlike '^[0-9A-Za-z_]', 0, -1) end"
+    pro = f"case c.kind when 'secret' then if(c.b rlike r'[=:] ?[\"\\x27]?$', 1, -1) else if(c.b rlike r'(?i)\\b(?:{FOR})\\b(?:[^A-Za-z0-9]+[A-Za-z]+){{0,2}}[^A-Za-z0-9]*$', 1, -1) end"
+    con = f"case c.kind when 'secret' then if(c.b rlike r'(?i)(?:{HASHES})[^A-Za-z0-9]*$', 0, -1) when 'email' then if(c.b rlike '[/@=&?]$' or c.a rlike '^[0-9A-Za-z_]', 0, -1) else if(c.b rlike r'(?i)(?:{AGAINST})' or c.a rlike '^[0-9A-Za-z_]', 0, -1) end"
+    one = f"length(replace({d}, left({d}, 1), '')) = 0"
+    bits = "aggregate(filter(array_distinct(split(c.t, '')), h -> h <> ''), 0d, (z, h) -> z - (1 - length(replace(c.t, h, '')) / length(c.t)) * log2(1 - length(replace(c.t, h, '')) / length(c.t)))"
+    digest = f"c.t rlike '^(?:[0-9a-f]+|[0-9A-F]+)$' and length(c.t) in {DIGESTS} or c.t rlike '^[0-9A-Fa-f]{{8}}(?:-[0-9A-Fa-f]{{4}}){{3}}-[0-9A-Fa-f]{{12}}$' or c.t rlike '^[A-Za-z]+(?:[_/-][A-Za-z0-9]+)+$'"
+    made = f"case c.kind when 'secret' then case when {digest} then 0 when {bits} >= {BITS}d then 1 else 0 end when 'card' then case when {one} then 0 when c.t rlike '^[0-9]{{4}}(?:([ -])[0-9]{{4}}\\\\1[0-9]{{4}}\\\\1[0-9]{{4}}$)' then 1 else -1 end when 'phone' then if({one}, 0, -1) else -1 end"
     long = " + ".join(f"if(length(c.t) > {n}, 1, 0)" for n in _LENGTHS)
     return (
         f"transform(transform({x}, y -> named_struct('s', y.s, 'e', y.e, 't', y.t, 'b', y.b, 'a', y.a, 'kind', {_kind('y.t')})), "
-        f"c -> named_struct('s', c.s, 'e', c.e, 'kind', c.kind, 'loose', {loose}, 'v', array(if({strict}, 1, if({loose}, -1, 0)), {test}, {known}, {pro}, {con}), 'f', array({_neighbour('right(c.b, 1)')}, {_neighbour('left(c.a, 1)')}, {long})))"
+        f"c -> named_struct('s', c.s, 'e', c.e, 'kind', c.kind, 'loose', {loose}, 'v', array(if({strict}, 1, if({loose}, -1, 0)), {test}, {known}, {pro}, {con}, {made}), 'f', array({_neighbour('right(c.b, 1)')}, {_neighbour('left(c.a, 1)')}, {long})))"
     )
 
 
@@ -131,8 +140,9 @@ def candidates(docs: DataFrame) -> DataFrame:
 def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray, np.ndarray]:
     """Expectation-maximisation over rows of votes with counts: prior, p(vote | class) of each labeler, posterior of each row.
 
-    Rates are indexed by labeler, class and vote + 1.  Starts from the majority of votes;
-    a pseudo-count keeps every vote possible.
+    Rates are indexed by labeler, class and vote + 1.  They are those of a labeler that votes: one that abstains
+    (-1) says nothing, its rate is 1.  Starts from the majority of votes; pseudo-counts (RIGHT votes with a class, one
+    against it) hold labelers to be better than chance until there are enough votes.
     """
     if not len(votes):
         return 0.5, np.zeros((0, 2, 3)), np.zeros(0)
@@ -140,7 +150,8 @@ def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> t
     for _ in range(rounds):
         mass = np.stack([counts * (1 - post), counts * post])
         prior = (mass[1].sum() + 1) / (mass.sum() + 2)
-        rates = np.stack([np.stack([(mass @ (votes[:, j] == v) + 1) / (mass.sum(1) + 3) for v in (-1, 0, 1)], 1) for j in range(votes.shape[1])])
+        cast = [np.stack([mass @ (votes[:, j] == v) for v in (0, 1)], 1) + [[RIGHT, 1], [1, RIGHT]] for j in range(votes.shape[1])]
+        rates = np.stack([np.c_[np.ones(2), c / c.sum(1, keepdims=True)] for c in cast])
         odds = np.log(prior / (1 - prior)) + sum(np.log(r[1, votes[:, j] + 1] / r[0, votes[:, j] + 1]) for j, r in enumerate(rates))
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return float(prior), rates, post
@@ -160,7 +171,7 @@ def train_classifier(x: np.ndarray, y: np.ndarray, counts: np.ndarray, rounds: i
 def _feature_tests() -> list[str]:
     """SQL conditions on a judged candidate c: the features of the classifier."""
     return [
-        *[f"c.v[{j}] = {v}" for j in range(5) for v in (0, 1)], *[f"c.kind = '{k}'" for k in ALL_KINDS], "c.loose",
+        *[f"c.kind = '{k}' and c.v[{j}] = {v}" for k in ALL_KINDS for j in range(6) for v in (0, 1)], *[f"c.kind = '{k}'" for k in ALL_KINDS], "c.loose",
         *[f"c.f[{j}] = {n}" for j in (0, 1) for n in range(1, _NEIGHBOURS)], *[f"c.f[2] >= {n}" for n in range(1, len(_LENGTHS) + 1)],
     ]
 
@@ -168,16 +179,20 @@ def _feature_tests() -> list[str]:
 def learn(docs: DataFrame) -> np.ndarray:
     """Weights of the span classifier, from every pattern of kind, form, votes and text features in docs.
 
-    There are 5 * 2 * 3**5 * 5**2 * 4 such patterns at most, whatever the number of documents.
+    There are 5 * 2 * 3**6 * 5**2 * 4 such patterns at most, whatever the number of documents.
     """
     tests = F.expr("array(" + ", ".join(f"int({t})" for t in _feature_tests()) + ")")
     seen = candidates(docs).select(F.explode("judged").alias("c")).groupBy("c.kind", "c.loose", "c.v", "c.f").agg(F.count("*").alias("k"))
-    seen = seen.select(F.struct("kind", "loose", "v", "f").alias("c"), "k").select(F.col("c.v").alias("v"), tests.alias("x"), "k").collect()
+    seen = seen.select(F.struct("kind", "loose", "v", "f").alias("c"), "k").select(F.col("c.v").alias("v"), tests.alias("x"), "k", "c.kind").collect()
     seen.sort()  # so that sums have one order
     votes, x, counts = (np.array([r[i] for r in seen], float if i == 2 else np.int64) for i in range(3))
     if not len(seen):
         return np.r_[np.zeros(len(_feature_tests())), -1.0]
-    return train_classifier(x.astype(float), reliabilities(votes, counts)[2], counts)
+    post = np.zeros(len(seen))
+    for kind in ALL_KINDS:  # a labeler is as reliable as it is on that kind
+        own = np.array([r[3] == kind for r in seen])
+        post[own] = reliabilities(votes[own], counts[own])[2]
+    return train_classifier(x.astype(float), post, counts)
 
 
 def score_sql(weights: np.ndarray) -> str:
@@ -206,17 +221,17 @@ def _listed(spans: str) -> str:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each row of docs (doc_id, text).
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, secret_spans of each row of docs (doc_id, text).
 
-    Counts and base_sha256 are of base spans; spans lists all as kind:start:end, with
-    secrets, which have no base pattern, behind the other kinds.  A null
+    Counts and base_sha256 are of base spans; spans lists all of the four kinds as
+    kind:start:end, secret_spans likewise the secrets, which have no base pattern.  A null
     text is empty; rows are independent, so null or repeated ids pass through; an empty
     table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     done = found_spans(rows)
     listed = "concat(" + ", ".join(f"transform({k}, x -> named_struct('kind', '{k}', 's', x.s, 'e', x.e))" for k in KINDS) + ")"
-    return done.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.expr(_listed(listed)), 256).alias("base_sha256"), F.expr(_listed("spans")).alias("spans"))
+    return done.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.expr(_listed(listed)), 256).alias("base_sha256"), F.expr(_listed("filter(spans, x -> x.kind <> 'secret')")).alias("spans"), F.expr(_listed("filter(spans, x -> x.kind = 'secret')")).alias("secret_spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
