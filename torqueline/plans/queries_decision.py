@@ -52,7 +52,7 @@ def query_coverage(spark, d):
 _LABELS = ["Engine misfires", "engine knocking/pinging", "brake squeal", "window stuck", "Loss of power", "seat", ""]
 _CATEGORIES = ["Fuel System", "Fuel System.Md", "engine components", "Steering", ""]
 _CAND = f"""c as (select p_partkey // 50 as query_id, (p_partkey % 50 + 1)::int as rank, p_partkey as id, {_sql_list(_LABELS)}[p_partkey % 7 + 1] as label, {_sql_list(_CATEGORIES)}[p_partkey % 5 + 1] as category, (p_partkey * 13 % 28) * 0.08 as score,
-  ['vector', 'graph', 'all'][p_partkey % 3 + 1] as source, ['Symptom', 'Subcategory', 'DiagnosisStep', 'Category'][p_partkey % 4 + 1] as node_type from part where p_partkey < 1000),
+  ['vector', 'graph', 'all'][p_partkey % 3 + 1] as source, ['Symptom', 'Subcategory', 'DiagnosisStep', 'Category'][p_partkey % 4 + 1] as node_type from part),
 lm(label, fault) as (values ('Engine misfires', 'FAULT_INJ_PRS'), ('engine knocking/pinging', 'FAULT_SOI'), ('Loss of power', 'FAULT_INJ_PRS')),
 cm(category, at_, fault, base) as (values ('Fuel System', 0, 'FAULT_INJ_PRS', 0.90), ('Fuel System', 1, 'FAULT_INJ_DUR', 0.70), ('Fuel System.Md', 0, 'FAULT_INJ_PRS', 0.90), ('Fuel System.Md', 1, 'FAULT_INJ_DUR', 0.70),
   ('engine components', 0, 'FAULT_INJ_DUR', 0.85), ('engine components', 1, 'FAULT_INJ_PRS', 0.75), ('engine components', 2, 'FAULT_SOI', 0.70), ('', 0, 'FAULT_INJ_DUR', 0.85), ('', 1, 'FAULT_INJ_PRS', 0.75), ('', 2, 'FAULT_SOI', 0.70)),
@@ -70,7 +70,7 @@ fo as (select *, row_number() over (partition by query_id order by final desc, r
 def _candidates(spark, d):
     k = F.col("p_partkey")
     pick = lambda x: F.element_at(F.array(*map(F.lit, x)), (k % len(x) + 1).cast("int"))
-    return table(spark, d, "part").where("p_partkey < 1000").select(
+    return table(spark, d, "part").select(
         F.floor(k / 50).alias("query_id"), (k % 50 + 1).cast("int").alias("rank"), k.alias("id"), pick(_LABELS).alias("label"), pick(_CATEGORIES).alias("category"), (k * 13 % 28 * 0.08).alias("score"),
         pick(["vector", "graph", "all"]).alias("source"), pick(["Symptom", "Subcategory", "DiagnosisStep", "Category"]).alias("node_type"), F.array(pick(["vector", "graph", "all"])).alias("found_by"), F.lit("sub").alias("subcategory"),
     )
@@ -159,26 +159,27 @@ def reasoning_steps(spark, d):
     return chain.select("query_id", F.size("reasoning_chain").alias("n_steps"), at(4).alias("mode_step"), at(1).alias("retrieval_step"))
 
 
-_SIG = "g as (select n_nationkey as k, 's' || (n_nationkey % 4) as sensor, case when n_nationkey % 3 = 0 then 'CRITICAL' when n_nationkey % 3 = 1 then 'WARNING' else 'NORMAL' end as status, 10.0 + n_nationkey / 4 as v, 12.0 as m, n_nationkey / 4 - 2.5 as z, n_nationkey / 8 - 1.5 as pct, (n_nationkey % 11) / 10.0 as sim, n_nationkey / 25.0 as imp from nation)"
+_SIG = "g as (select n_nationkey as k, 's' || (n_nationkey % 4) as sensor, case when n_nationkey % 3 = 0 then 'CRITICAL' when n_nationkey % 3 = 1 then 'WARNING' else 'NORMAL' end as status, 10.0 + n_nationkey / 4 as v, 12.0 as m, n_nationkey / 5 - 2.5 as z, n_nationkey / 10 - 1.5 as pct, (n_nationkey % 11) / 10.0 as sim, n_nationkey / 25.0 as imp from nation)"
 
 
 def _signal_rows(spark, d):
     k = F.col("n_nationkey")
-    return table(spark, d, "nation").select(k.alias("sample_id"), F.lit("F").alias("fault"), k.alias("speed"), F.concat(F.lit("s"), k % 4).alias("sensor"), F.when(k % 3 == 0, "CRITICAL").when(k % 3 == 1, "WARNING").otherwise("NORMAL").alias("status"), (10.0 + k / 4).alias("current_value"), F.lit(12.0).alias("nominal_mean"), (k / 4 - 2.5).alias("z_score"), (k / 8 - 1.5).alias("percent_change"), (k % 11 / 10.0).alias("sensor_confidence"))
+    return table(spark, d, "nation").select(k.alias("sample_id"), F.lit("F").alias("fault"), k.alias("speed"), F.concat(F.lit("s"), k % 4).alias("sensor"), F.when(k % 3 == 0, "CRITICAL").when(k % 3 == 1, "WARNING").otherwise("NORMAL").alias("status"), (10.0 + k / 4).alias("current_value"), F.lit(12.0).alias("nominal_mean"), (k / 5 - 2.5).alias("z_score"), (k / 10 - 1.5).alias("percent_change"), (k % 11 / 10.0).alias("sensor_confidence"))
 
 
 @query(f"""with {_SIG}, t as (select *, case when z >= 0 then z else -z end as az from g where status <> 'NORMAL') select k as sample_id, sensor, status as severity,
 'Current reading (' || printf('%.2f', v) || ') is ' || case when v > m then 'above' else 'below' end || ' the nominal mean (' || printf('%.2f', m) || ') by ' || printf('%.2f', abs(v - m)) || '. with a z-score of ' || printf('%.1f', z) || ' (' || case when az >= 4 then 'far outside' when az >= 3 then 'well outside' when az >= 2 then 'outside' else 'at the edge of' end || ' the normal band). a ' || printf('%+.1f', pct) || '% shift from nominal.' as abnormality,
 case when status = 'CRITICAL' and imp > 0.8 then 'Strongly confirms the diagnosis. The deviation is both severe and directly relevant to the predicted fault mechanism.' when status = 'CRITICAL' then 'Provides supporting evidence. The deviation is severe, though this sensor is not a top-ranked diagnostic indicator for F.' when imp > 0.8 then 'Lends weight to the diagnosis. The sensor is diagnostically important for F but the deviation magnitude is moderate.'
-  else 'Offers minor supporting context. The deviation is moderate and the sensor is not a primary indicator for F.' end || ' ' || case when sim > 0.8 then 'The reading closely matches the expected profile for this fault type.' when sim > 0.5 then 'The reading shows partial alignment with the fault profile.' else 'The reading does not closely match the expected fault profile, reducing diagnostic confidence.' end as contribution from t where k % 4 = 0""")
+  else 'Offers minor supporting context. The deviation is moderate and the sensor is not a primary indicator for F.' end || ' ' || case when sim > 0.8 then 'The reading closely matches the expected profile for this fault type.' when sim > 0.5 then 'The reading shows partial alignment with the fault profile.' else 'The reading does not closely match the expected fault profile, reducing diagnostic confidence.' end as contribution,
+case when k % 4 = 0 then 'd ' else '' end || case when imp > 0.8 then 'It is a primary diagnostic indicator for ' when imp > 0.5 then 'It has moderate diagnostic relevance to ' else 'It has minor diagnostic relevance to ' end || 'F (importance ' || printf('%.2f', imp) || '). Effect size 1.00 sigma.' as relevance from t""")
 def sensor_texts(spark, d):
-    """Texts on flagged signals; every fourth, as the first decimals of these need no rounding."""
+    """Texts on flagged signals."""
     rows = _signal_rows(spark, d)
     k = F.col("n_nationkey")
     m = table(spark, d, "nation").select(F.lit("F").alias("fault"), k.alias("speed"), F.concat(F.lit("s"), k % 4).alias("sensor"), (k / 25.0).alias("importance_score"), F.lit(1.0).alias("effect_size"))
     names = spark.createDataFrame([("s0", "Zero", "d", "u", "x")], "sensor string, display_name string, description string, subsystem string, units string")
     out = validation.interpretations(rows, names, m, m.select("fault", "speed", "sensor", "effect_size"))
-    return out.where("sample_id % 4 = 0").select("sample_id", "sensor", "severity", "abnormality", "contribution")
+    return out.select("sample_id", "sensor", "severity", "abnormality", "contribution", "relevance")
 
 
 @query("""select n_nationkey as query_id, case when n_nationkey % 3 = 2 then 'All sensor readings are within the normal range.' else case when n_nationkey % 3 = 0 then 'Zero (s0): CRITICAL — first' else 's1 (s1): CRITICAL' end || '; s2 (s2): WARNING' end as detail from nation""")
@@ -192,7 +193,8 @@ def sensor_details(spark, d):
 
 @query("""select n_nationkey as k, case n_nationkey % 3 when 0 then 'Diagnosis: ' || n_name || ' (F)' when 1 then 'Insufficient evidence: ' || n_name else 'X: Unknown' end as summary,
 case n_nationkey % 3 when 0 then '**Diagnosis:** ' || n_name || chr(10) || chr(10) || 'This fault falls under **' || 'sub' || '** in the **' || 'cat' || '** system.' || chr(10) || chr(10) || '**Sensor status:** ok' else '' end as text,
-'Based on the symptoms "' || n_name || '", here is what the knowledge graph suggests:' || chr(10) || chr(10) || case when n_nationkey % 2 = 0 then '- **A** — found via vector retrieval.' || chr(10) || '- **' || n_name || '** — found via graph retrieval.' else 'No closely related fault patterns were found in the knowledge base. The described symptoms do not match known patterns. Consider consulting a mechanic for a professional diagnosis.' end as assisted from nation""")
+'Based on the symptoms "' || n_name || '", here is what the knowledge graph suggests:' || chr(10) || chr(10) || case when n_nationkey % 2 = 0 then '- **A** — found via vector retrieval.' || chr(10) || '- **' || n_name || '** — found via graph retrieval.' || chr(10) || chr(10) || 'These are the closest matches in the knowledge base, but none had sufficient confidence for a definitive diagnosis. Consider consulting a mechanic for hands-on inspection.' else 'No closely related fault patterns were found in the knowledge base. The described symptoms do not match known patterns. Consider consulting a mechanic for a professional diagnosis.' end
+|| chr(10) || chr(10) || '---' || chr(10) || '⚠ AI-ASSISTED ANALYSIS — NOT A DIAGNOSIS' || chr(10) || 'This response is generated by an AI language model and is NOT a knowledge-graph-derived diagnosis. It should be treated as general informational guidance only.' as assisted from nation""")
 def explanation_texts(spark, d):
     n, k = table(spark, d, "nation"), F.col("n_nationkey")
     mode = F.when(k % 3 == 0, "EXTRACTED").when(k % 3 == 1, "AMBIGUOUS").otherwise("X")
@@ -201,20 +203,20 @@ def explanation_texts(spark, d):
     return n.select(
         k.alias("k"), decision.brief_summary(mode, F.when(k % 3 < 2, F.col("n_name")), F.when(k % 3 == 0, "F")).alias("summary"),
         decision.diagnosis_summary(mode, F.col("n_name"), F.lit("cat"), F.lit("sub"), F.lit(""), F.lit("ok")).alias("text"),
-        F.regexp_replace(helped, "(?s)\n\nThese are the closest.*|\n\n---.*", "").alias("assisted"),
+        helped.alias("assisted"),
     )
 
 
 # ---- earlier variants
 
-_TAGGED = """t as (select p_partkey // 10 as query_id, (p_partkey % 10 + 1)::int as rank, p_partkey as id, p_name as label, (p_partkey * 13 % 100) / 80.0 as score, ['all', 'vector+graph', 'community'][p_partkey % 3 + 1] as source, p_size > 25 as multi from part where p_partkey < 500),
+_TAGGED = """t as (select p_partkey // 10 as query_id, (p_partkey % 10 + 1)::int as rank, p_partkey as id, p_name as label, (p_partkey * 13 % 100) / 80.0 as score, ['all', 'vector+graph', 'community'][p_partkey % 3 + 1] as source, p_size > 25 as multi from part),
 tf as (select *, score * case source when 'all' then 1.0 when 'vector+graph' then 0.95 else 0.45 + case when multi then 0.1 else 0 end end as eff from t), tg as (select *, case when eff >= 0.75 then 'EXTRACTED' when eff >= 0.55 then 'INFERRED' else 'AMBIGUOUS' end as tag from tf),
 ov as (select query_id, min_by(tag, rank) as mode, 'Could you describe the problem further? Is it related to: ' || array_to_string(list(label order by rank)[1:3], ', ') || '?' as ask from tg group by 1)"""
 
 
 def _tagged(spark, d):
     k = F.col("p_partkey")
-    c = table(spark, d, "part").where("p_partkey < 500").select(F.floor(k / 10).alias("query_id"), (k % 10 + 1).cast("int").alias("rank"), k.alias("id"), F.col("p_name").alias("label"), (k * 13 % 100 / 80.0).alias("score"), F.element_at(F.array(*map(F.lit, ("all", "vector+graph", "community"))), (k % 3 + 1).cast("int")).alias("source"), F.when(F.col("p_size") > 25, "True").otherwise("False").alias("is_multi_category"))
+    c = table(spark, d, "part").select(F.floor(k / 10).alias("query_id"), (k % 10 + 1).cast("int").alias("rank"), k.alias("id"), F.col("p_name").alias("label"), (k * 13 % 100 / 80.0).alias("score"), F.element_at(F.array(*map(F.lit, ("all", "vector+graph", "community"))), (k % 3 + 1).cast("int")).alias("source"), F.when(F.col("p_size") > 25, "True").otherwise("False").alias("is_multi_category"))
     return legacy.tagged(c)
 
 
@@ -230,7 +232,7 @@ def overall_modes(spark, d):
 
 _PATHSQL = f"""{_TAGGED}, rp as (select *, row_number() over (partition by query_id order by rank) as rn from tg where tag <> 'AMBIGUOUS'),
 sy as (select rp.*, string_split(label, ' ') as lw, ['red noise', 'ring smell', 'stuck ' || (id % 5)] as symptoms, ['check ' || (id % 3), 'replace'] as steps from rp where rn <= 5),
-qw as (select p_partkey // 10 as query_id, min_by(p_name, p_partkey) as text from part where p_partkey < 500 group by 1),
+qw as (select p_partkey // 10 as query_id, min_by(p_name, p_partkey) as text from part group by 1),
 mt as (select sy.*, list_filter(symptoms, lambda x: len(list_intersect(string_split(x, ' '), string_split(qw.text, ' '))) > 0) as matched from sy join qw using (query_id)),
 un as (select *, list_filter(symptoms, lambda x: not list_contains(matched, x)) as unconfirmed from mt)"""
 
@@ -239,7 +241,7 @@ def _paths(spark, d):
     t = _tagged(spark, d)
     h = t.select("id", F.concat(F.lit("sub"), "id").alias("subcategory_id"), F.lit("S").alias("subcategory"), F.lit("c").alias("category_id"), F.lit("C").alias("category"), F.array(F.concat(F.lit("chain "), "id")).alias("chain"))
     kids = t.select(F.concat(F.lit("sub"), "id").alias("id"), F.array(F.lit("red noise"), F.lit("ring smell"), F.concat(F.lit("stuck "), F.col("id") % 5)).alias("symptoms"), F.array(F.concat(F.lit("check "), F.col("id") % 3), F.lit("replace")).alias("steps"))
-    q = table(spark, d, "part").where("p_partkey < 500").groupBy(F.floor(F.col("p_partkey") / 10).alias("query_id")).agg(F.min_by("p_name", "p_partkey").alias("text"))
+    q = table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 10).alias("query_id")).agg(F.min_by("p_name", "p_partkey").alias("text"))
     return t, legacy.reasoning_paths(q, t, h, kids)
 
 
@@ -268,7 +270,7 @@ def known_systems(spark, d):
     return legacy.known_systems(p).select("id", "system", "subsystem")
 
 
-@query("""with f as (select p_partkey // 20 as query_id, (p_partkey % 20 + 1) as ord, (1000 - p_partkey % 20 * 37 - p_partkey // 20) / 1000.0 as fs, p_brand as system from part where p_partkey < 400), g as (select query_id, count(*) as n, min_by(fs, ord) as top, count(*) filter (where fs >= 0.6) as strong,
+@query("""with f as (select p_partkey // 20 as query_id, (p_partkey % 20 + 1) as ord, (1000 - p_partkey % 20 * 37 - p_partkey // 20) / 1000.0 as fs, p_brand as system from part), g as (select query_id, count(*) as n, min_by(fs, ord) as top, count(*) filter (where fs >= 0.6) as strong,
   string_agg(system, ',' order by ord) filter (where fs >= 0.6) as confirmed, string_agg(system, ',' order by ord) filter (where fs < 0.3) as contradicted, string_agg(system, ',' order by ord) filter (where fs >= 0.3 and fs < 0.6) as remaining from f group by 1),
 e as (select *, query_id % 5 as nm, query_id % 3 as ns, ['CONFIRMS', 'CONTRADICTS', 'NOT AVAILABLE'][query_id % 3 + 1] as sensor, ['CONFIRMS', 'INCONCLUSIVE'][query_id % 2 + 1] as kg from g),
 s as (select *, case when nm + ns > 0 then nm / (nm + ns) else 0 end * 0.4 + top * 0.3 - greatest(strong - 1, 0) * 0.1 + case sensor when 'CONFIRMS' then 0.15 when 'CONTRADICTS' then -0.1 else 0 end + case kg when 'CONFIRMS' then 0.1 else 0 end as score from e),
@@ -277,7 +279,7 @@ select query_id, quality as evidence_quality, case when quality = 'strong' and s
 round(greatest(least(top * case quality when 'strong' then 1.0 when 'moderate' then 0.8 else 0.5 end + case sensor when 'CONFIRMS' then 0.1 when 'CONTRADICTS' then -0.15 else 0 end, 1), 0), 6) as confidence, coalesce(confirmed, '') as confirmed, coalesce(contradicted, '') as contradicted, coalesce(remaining, '') as remaining from q""")
 def legacy_reasoning(spark, d):
     k = F.col("p_partkey")
-    f = table(spark, d, "part").where("p_partkey < 400").select(F.floor(k / 20).alias("query_id"), (k % 20 + 1).alias("ord"), ((1000 - k % 20 * 37 - F.floor(k / 20)) / 1000.0).alias("final_score"), F.col("p_brand").alias("system"))
+    f = table(spark, d, "part").select(F.floor(k / 20).alias("query_id"), (k % 20 + 1).alias("ord"), ((1000 - k % 20 * 37 - F.floor(k / 20)) / 1000.0).alias("final_score"), F.col("p_brand").alias("system"))
     q = f.select("query_id").distinct()
     i = F.col("query_id")
     ev = q.select("query_id", F.element_at(F.array(*map(F.lit, ("CONFIRMS", "CONTRADICTS", "NOT AVAILABLE"))), (i % 3 + 1).cast("int")).alias("sensor_status"), F.when(i % 2 == 0, "CONFIRMS").otherwise("INCONCLUSIVE").alias("kg_status"))
@@ -370,13 +372,13 @@ def refinement_effects(spark, d):
     return evaluate.refinement_effect(n.select(k.alias("query_id"), c0.alias("confidence"), m0.alias("mode")), after.select(k.alias("query_id"), c1.alias("confidence"), m1.alias("mode")))
 
 
-@query("""with p as (select p_partkey as query_id, p_size / 64.0 as cal, p_partkey % 5 / 4.0 as sep, p_partkey % 3 / 2.0 as cov, p_partkey % 2 * 0.05 as boost from part), x as (select query_id, u.pos, u.component, u.c from p, lateral (values (0, 'retrieval', cal * 0.6), (1, 'separation', sep * 0.2), (2, 'coverage', cov * 0.2), (3, 'sensor', boost)) u(pos, component, c)),
-y as (select *, sum(c) over (partition by query_id order by pos) as run from x) select query_id, component, round(run, 6) as running, run >= 0.3 and run - c < 0.3 as crosses from y where abs(run - 0.3) > 1e-9 and abs(run - c - 0.3) > 1e-9""")
+@query("""with p as (select p_partkey as query_id, (p_size - 0.5) / 60.0 as cal, p_partkey % 5 / 4.0 as sep, p_partkey % 3 / 2.0 as cov, p_partkey % 2 * 0.05 as boost from part), x as (select query_id, u.pos, u.component, u.c from p, lateral (values (0, 'retrieval', cal * 0.6), (1, 'separation', sep * 0.2), (2, 'coverage', cov * 0.2), (3, 'sensor', boost)) u(pos, component, c)),
+y as (select *, sum(c) over (partition by query_id order by pos) as run from x) select query_id, component, round(run, 6) as running, run >= 0.3 and run - c < 0.3 as crosses from y""")
 def component_crossings(spark, d):
-    """Where the running confidence first reaches the mode's threshold (sums that are equal to it are left out)."""
+    """Where the running confidence first reaches the mode's threshold."""
     k = F.col("p_partkey")
-    p = table(spark, d, "part").select(k.alias("query_id"), (F.col("p_size") / 64.0).alias("calibrated_retrieval"), (k % 5 / 4.0).alias("separation"), (k % 3 / 2.0).alias("coverage"), (k % 2 * 0.05).alias("sensor_boost"))
-    out = evaluate.components(p).where("abs(running - 0.3) > 1e-9 and abs(running - contribution - 0.3) > 1e-9")
+    p = table(spark, d, "part").select(k.alias("query_id"), ((F.col("p_size") - 0.5) / 60.0).alias("calibrated_retrieval"), (k % 5 / 4.0).alias("separation"), (k % 3 / 2.0).alias("coverage"), (k % 2 * 0.05).alias("sensor_boost"))
+    out = evaluate.components(p)
     return out.select("query_id", "component", F.round("running", 6).alias("running"), "crosses")
 
 
@@ -400,12 +402,12 @@ def fuzzy_vocab_match(spark, d):
     return rounded(preprocess.fuzzy_matches(typos, words))
 
 
-@query(f"""with recursive {_WORDS}, q as (select p_partkey as k, string_split(upper(left(p_name, 1)) || substring(p_name, 2) || ' widgt, of the bolt', ' ') as w from part where p_partkey < 60), t as (select k, unnest(w) as token, unnest(range(len(w))) as i from q), tc as (select *, lower(regexp_replace(token, '[^a-zA-Z0-9]', '', 'g')) as word from t),
+@query(f"""with recursive {_WORDS}, q as (select p_partkey as k, string_split(upper(left(p_name, 1)) || substring(p_name, 2) || ' widgt, of the bolt', ' ') as w from part), t as (select k, unnest(w) as token, unnest(range(len(w))) as i from q), tc as (select *, lower(regexp_replace(token, '[^a-zA-Z0-9]', '', 'g')) as word from t),
 {_ratio('select distinct word from tc where length(word) > 2 and word not in (select word from vo)')}, b as (select word, match from (select *, row_number() over (partition by word order by ratio desc, match) as rn from lcs where ratio >= 82) where rn = 1)
 select k as query_id, string_agg(coalesce(b.match, token), ' ' order by i) as processed from tc left join b on b.word = tc.word group by 1""")
 def corrected_queries(spark, d):
     p = table(spark, d, "part")
-    q = p.where("p_partkey < 60").select(F.col("p_partkey").alias("query_id"), F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 100), F.lit(" widgt, of the bolt")).alias("text"))
+    q = p.select(F.col("p_partkey").alias("query_id"), F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 100), F.lit(" widgt, of the bolt")).alias("text"))
     return preprocess.corrected(q, preprocess.document_frequency(p, "p_name").select("word")).select("query_id", "processed")
 
 
@@ -416,12 +418,14 @@ def _stems(words: str, rules) -> str:
     return f"list_distinct(list_transform(list_filter({words}, lambda x: length(x) >= 3), lambda w: {_duck_stem(rules, 'w')}))"
 
 
-@query(f"""with s(p, r) as (values {_SYN}), q as (select row_number() over (order by p) as k, 'my car ' || p || ' today' as q from s), x as (select k, q, p, r, replace(q, p, r) as variant from q, s where contains(q, p)),
+@query(f"""with s(p, r) as (values {_SYN}), q as (select p_partkey as k, 'my car ' || p || ' ' || lower(p_name) as q from part join (select p, row_number() over (order by p) - 1 as i from s) on i = p_partkey % {len(SYNONYMS)}), x as (select k, q, p, r, replace(q, p, r) as variant from q, s where contains(q, p)),
 y as (select *, {_stems("string_split(r, ' ')", QUERY_STEM)} as rs, {_stems("string_split(p, ' ')", QUERY_STEM)} as ps, {_stems("string_split(q, ' ')", QUERY_STEM)} as qs from x where variant <> q)
 select distinct k as query_id, variant from y where len(list_filter(rs, lambda x: not list_contains(ps, x) and list_contains(qs, x))) = 0""")
 def synonym_variants(spark, d):
-    names = sorted(SYNONYMS)
-    q = spark.createDataFrame([(i + 1, f"my car {p} today") for i, p in enumerate(names)], "query_id long, processed string")
+    """Each part's name with one of the phrases before it."""
+    k = F.col("p_partkey")
+    phrase = F.element_at(F.array(*map(F.lit, sorted(SYNONYMS))), (k % len(SYNONYMS) + 1).cast("int"))
+    q = table(spark, d, "part").select(k.alias("query_id"), F.concat(F.lit("my car "), phrase, F.lit(" "), F.lower("p_name")).alias("processed"))
     return preprocess.synonym_variants(q).select("query_id", "variant")
 
 

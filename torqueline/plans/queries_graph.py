@@ -135,10 +135,10 @@ def multi_edges(spark, d):
     return graph.multi_edges(e)
 
 
-@query("""with c as (select distinct s_name as p, p_name as n from lineitem join supplier on s_suppkey = l_suppkey join part on p_partkey = l_partkey where l_partkey % 20 = 0) select distinct x.p as a, y.p as b from c x join c y on x.n = y.n and x.p < y.p""")
+@query("""with c as (select distinct s_name as p, p_name as n from lineitem join supplier on s_suppkey = l_suppkey join part on p_partkey = l_partkey) select distinct x.p as a, y.p as b from c x join c y on x.n = y.n and x.p < y.p""")
 def projected_similarity(spark, d):
     """Suppliers that share a part's name."""
-    c = table(spark, d, "lineitem").where("l_partkey % 20 = 0").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    c = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return graph.projected_similarity(c.select(F.col("s_name").alias("parent_label"), F.col("p_name").alias("norm_label")))
 
 
@@ -209,12 +209,12 @@ def hop_scored(spark, d):
     return legacy.hop_scored_search(q, _part_nodes(spark, d), e, max_hops=1)
 
 
-@query("""with c as (select p_partkey // 100 as query_id, p_partkey as id, p_retailprice / 1000 as score, p_size % 10 as com from part where p_partkey % 10 = 0), t as (select distinct query_id, com from c),
+@query("""with c as (select p_partkey // 100 as query_id, p_partkey as id, p_retailprice / 1000 as score, p_size % 10 as com from part), t as (select distinct query_id, com from c),
 f as (select query_id, com, p_partkey as id, row_number() over (partition by query_id, com order by p_type <> 'PROMO', p_name, p_partkey) as rn from t join part on p_size % 10 = com where not exists (select 1 from c where c.query_id = t.query_id and c.id = p_partkey)),
 b as (select query_id, id, score, 'graph' as source from c union all select query_id, id, 0.15, 'community' from f where rn <= 3) select query_id, id, round(score, 6) as score, source, row_number() over (partition by query_id order by score desc, id)::int as rank from b""")
 def community_expansion(spark, d):
     n = _part_nodes(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_type") == "PROMO", "concept").otherwise("document").alias("file_type")), "id")
-    c = table(spark, d, "part").where("p_partkey % 10 = 0").select(F.floor(F.col("p_partkey") / 100).alias("query_id"), F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 1000).alias("score"), F.lit("graph").alias("source"))
+    c = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 100).alias("query_id"), F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 1000).alias("score"), F.lit("graph").alias("source"))
     return legacy.expand(c, n, most=3).withColumn("score", F.round("score", 6))
 
 
@@ -239,11 +239,11 @@ def retrieval_hints(spark, d):
 _SENSOR_ROWS = ", ".join(f"('{k}', '{x}')" for k, v in CATEGORY_SENSORS.items() for x in v)
 
 
-@query(f"""with t(category, sensor) as (values {_SENSOR_ROWS}), c as (select row_number() over (order by category) - 1 as k, category from (select distinct category from t)), e as (select p_partkey % 20 as query_id, category from part join c on c.k = p_partkey * 7 % 13 where p_partkey < 40)
+@query(f"""with t(category, sensor) as (values {_SENSOR_ROWS}), c as (select row_number() over (order by category) - 1 as k, category from (select distinct category from t)), e as (select p_partkey // 2 as query_id, category from part join c on c.k = p_partkey * 7 % 13)
 select query_id, string_agg(distinct sensor, ',' order by sensor) as sensors from e join t using (category) group by 1""")
 def expected_sensors(spark, d):
     names = sorted(CATEGORY_SENSORS)
-    e = table(spark, d, "part").where("p_partkey < 40").select((F.col("p_partkey") % 20).alias("query_id"), F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") * 7 % 13 + 1).cast("int")).alias("category"))
+    e = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 2).alias("query_id"), F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") * 7 % 13 + 1).cast("int")).alias("category"))
     h = preprocess.hints(e.withColumns({"community": F.lit(1), "node_type": F.lit("Symptom")}))
     return h.select("query_id", F.array_join("expected_sensors", ",").alias("sensors"))
 

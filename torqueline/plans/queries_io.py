@@ -171,7 +171,7 @@ def cleaned_files(spark, d):
     return got(spark.read.parquet(f"{path}/parquet")).intersect(got(spark.read.csv(f"{path}/csv", header=True, inferSchema=True)))
 
 
-@query("""with s as (select q.vec_id as query_id, v.vec_id as id, round(list_dot_product(q.embedding::double[], v.embedding::double[]), 4) as raw_score from embeddings q, embeddings v where q.vec_id % 500 = 0)
+@query("""with s as (select q.vec_id as query_id, v.vec_id as id, round(list_dot_product(q.embedding::double[], v.embedding::double[]), 4) as raw_score from embeddings q, embeddings v where q.vec_id % 100 = 0)
 select * from (select query_id, id, raw_score, row_number() over (partition by query_id order by raw_score desc, id)::int as rank from s) where rank <= 5""")
 def stored_vectors(spark, d):
     """A vector store written twice (the second replaces the first), opened and searched."""
@@ -182,12 +182,12 @@ def stored_vectors(spark, d):
     store_vectors(v.limit(3), path)
     store_vectors(v, path)
     kept = open_vectors(spark, path)
-    return vector_topk(kept, kept.where("id % 500 = 0").withColumnRenamed("id", "query_id"), 5)
+    return vector_topk(kept, kept.where("id % 100 = 0").withColumnRenamed("id", "query_id"), 5)
 
 
-@query("select p_partkey as query_id, p_name as query_text, case when p_size > 25 then 'EXTRACTED' else 'AMBIGUOUS' end as mode, p_size / 64.0::double as confidence, 'Diagnosis: ' || p_name as summary from part where p_partkey < 200")
+@query("select p_partkey as query_id, p_name as query_text, case when p_size > 25 then 'EXTRACTED' else 'AMBIGUOUS' end as mode, p_size / 64.0::double as confidence, 'Diagnosis: ' || p_name as summary from part")
 def report_documents(spark, d):
     """The public part of reports as JSON, decoded again."""
-    p = table(spark, d, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query_text"), F.when(F.col("p_size") > 25, "EXTRACTED").otherwise("AMBIGUOUS").alias("mode"), (F.col("p_size") / 64.0).alias("confidence"), F.concat(F.lit("Diagnosis: "), "p_name").alias("summary"), F.lit("x").alias("private"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query_text"), F.when(F.col("p_size") > 25, "EXTRACTED").otherwise("AMBIGUOUS").alias("mode"), (F.col("p_size") / 64.0).alias("confidence"), F.concat(F.lit("Diagnosis: "), "p_name").alias("summary"), F.lit("x").alias("private"))
     j = F.from_json("json", "struct<query_text: string, mode: string, confidence: double, summary: string>")
     return sinks.report_json(p).select("query_id", j.alias("j")).select("query_id", "j.*")
