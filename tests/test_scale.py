@@ -199,3 +199,33 @@ def test_similar_entities(spark):
     nodes = spark.createDataFrame(list(enumerate(labels)), "id long, label string")
     got = {r.id: r.entity for r in modularity.similar_entities(nodes, 92.0).collect()}
     assert got == {0: "engine misfire", 1: "engine misfire", 2: "engine misfire", 3: "brake fade", 4: "brake fade", 5: None, 6: "", 7: "unrelated words"}
+
+
+def test_blocked_correlations(spark):
+    """Against pairwise-complete numpy correlations: gaps, far-off means, a constant, an empty and an infinite sensor, odd names; sums kept or handed out."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 7)) + np.array([0, 1e9, 5, 0, 0, 0, 0])
+    x[:, 2] += 3 * x[:, 0]
+    x[:, 3] = 4.5
+    known = rng.random((500, 7)) > 0.3
+    known[:, 4] = False
+    x[7, 5], known[7, 5] = np.inf, True
+    names = ["a.b", "b", "c", "bi", "s", "v", "_part"]
+    rows = [[float(v) if k else None for v, k in zip(*r, strict=True)] for r in zip(x, known, strict=True)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` double" for n in names)).repartition(5)
+    for size in ({}, {"block": 3, "chunk": 64}, {"block": 2, "chunk": 50, "room": 0, "fan": 2}):
+        got = {(r.sensor_a, r.sensor_b): (r.n, r.r) for r in profiling.blocked_correlations(df, names, **size).collect()}
+        assert len(got) == 49
+        for i, a in enumerate(names):
+            for j, b in enumerate(names):
+                both = known[:, i] & known[:, j]
+                n, r = got[a, b]
+                assert n == both.sum()
+                if 5 in (i, j) and both[7]:
+                    assert np.isnan(r)
+                elif 4 in (i, j) or 3 in (i, j):
+                    assert r is None
+                else:
+                    assert abs(r - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 1e-7
+    assert [(r.n, r.r) for r in profiling.blocked_correlations(df.limit(0), ["b", "c"]).collect()] == [(0, None)] * 4
+    assert profiling.blocked_correlations(df, []).count() == 0

@@ -10,6 +10,8 @@ from functools import reduce
 from itertools import combinations
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,6 +154,104 @@ def correlations(rows: DataFrame, sensors: list[str], keys: tuple[str, ...] = ()
     return agg.selectExpr(*keys, f"stack({2 * len(pairs) + len(sensors)}, {', '.join(cells)}) as (sensor_a, sensor_b, r)")
 
 
+#: Sums of a pair of sensors, over rows that have both values; the last counts rows with a value that isn't finite.
+_SUMS = ("n", "sa", "sb", "saa", "sbb", "sab", "bad")
+
+
+def _pair_sums(value: np.ndarray, known: np.ndarray, block: int):
+    """(block of a, block of b, the seven matrices of sums) of one chunk, for block pairs a <= b."""
+    finite = np.isfinite(value)
+    odd = (known & ~finite).astype(float)
+    x, m = np.where(known & finite, value, 0.0), known.astype(float)
+    cuts = range(0, value.shape[1], block)
+    for i in cuts:
+        a, ma, oa = x[:, i : i + block].T, m[:, i : i + block].T, odd[:, i : i + block].T
+        for j in cuts[i // block :]:
+            b, mb, ob = x[:, j : j + block], m[:, j : j + block], odd[:, j : j + block]
+            yield i // block, j // block, (ma @ mb, a @ mb, ma @ b, (a * a) @ mb, ma @ (b * b), a @ b, oa @ mb + ma @ ob)
+
+
+def blocked_correlations(rows: DataFrame, sensors: list[str], block: int = 64, chunk: int = 4096, room: int = 1 << 26, fan: int = 64) -> DataFrame:
+    """(sensor_a, sensor_b, n, r) of all ordered pairs of a wide table with many sensors, over rows that have both values.
+
+    A blocked Gram matrix: each chunk of rows gives counts, sums and products of every
+    pair of sensor blocks by matrix products.  A task adds up those block pairs that fit
+    into room bytes and hands out the others chunk by chunk, so it never holds all pairs;
+    what tasks hand out is added in two levels, first over fan partitions each.
+    Values are taken from their sensor's mean first, which keeps the sums stable.  r is
+    null where a sensor doesn't vary or fewer than two rows have both, NaN where a value
+    isn't finite; a null in any column only takes its row out of that column's pairs.
+    No sensors give no rows, an empty table gives n = 0.
+    """
+    spark, count = rows.sparkSession, len(sensors)
+    if not count:
+        return spark.createDataFrame([], "sensor_a string, sensor_b string, n long, r double")
+    value = F.array(*[F.col(f"`{c}`").cast("double") for c in sensors])
+    # in several aggregates, as one expression a sensor of a very wide table would make one very large method
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+    center = [x for i in range(0, count, 256) for x in rows.agg(*[F.avg(finite(F.col(f"`{c}`").cast("double"))).alias(f"m{i + k}") for k, c in enumerate(sensors[i : i + 256])]).first()]
+    center = np.array([0.0 if x is None else x for x in center])
+
+    def sums(batches):
+        held, have, total = [], 0, {}
+        most = room // (block * block * 8 * len(_SUMS))
+        row = lambda i, j, s: pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([s], pa.list_(pa.float64()))], names=["bi", "bj", "s"])
+
+        def flush():
+            flat = pa.concat_arrays([h.flatten() for h in held])
+            known = np.asarray(flat.is_valid()).reshape(-1, count)
+            got = flat.to_numpy(zero_copy_only=False).reshape(-1, count) - center
+            for i, j, parts in _pair_sums(got, known, block):
+                s = np.concatenate([p.ravel() for p in parts])
+                if (i, j) in total:
+                    total[i, j] += s
+                elif len(total) < most:
+                    total[i, j] = s
+                else:
+                    yield row(i, j, s)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, chunk):
+                part = batch.column(0).slice(at, chunk)
+                if have and have + len(part) > chunk:
+                    yield from flush()
+                    held, have = [], 0
+                held.append(part)
+                have += len(part)
+        if have:
+            yield from flush()
+        for (i, j), s in total.items():
+            yield row(i, j, s)
+
+    def added(table: pa.Table) -> pa.Table:
+        total = np.zeros(len(table.column("s")[0].values))
+        for part in table.column("s").chunks:
+            for k in range(len(part)):
+                total += part[k].values.to_numpy()
+        return pa.table([table.column("bi")[:1], table.column("bj")[:1], pa.array([total], pa.list_(pa.float64()))], names=["bi", "bj", "s"])
+
+    shape = "bi int, bj int, s array<double>"
+    each = rows.select(value.alias("v")).mapInArrow(sums, shape).withColumn("_part", F.floor(F.spark_partition_id() / fan))
+    once = each.groupBy("bi", "bj", "_part").applyInArrow(lambda t: added(t.select(["bi", "bj", "s"])), shape)
+    blocks = once.groupBy("bi", "bj").applyInArrow(added, shape)
+
+    # the seven matrices of a block follow one another; a cell of block (bi, bj) is row, column of the block's own width
+    wide = F.least(F.lit(block), F.lit(count) - F.col("bj") * block)
+    cells = (F.size("s") / len(_SUMS)).cast("int")
+    zipped = F.arrays_zip(*[F.slice("s", F.lit(i) * cells + 1, cells).alias(c) for i, c in enumerate(_SUMS)])
+    at = blocks.select("bi", "bj", F.posexplode(zipped).alias("k", "z"))
+    at = at.select((F.col("bi") * block + F.floor(F.col("k") / wide)).cast("int").alias("a"), (F.col("bj") * block + F.col("k") % wide).cast("int").alias("b"), "z.*").where("a <= b")
+    n = F.col("n")
+    va, vb, ab = F.col("saa") - F.col("sa") * F.col("sa") / n, F.col("sbb") - F.col("sb") * F.col("sb") / n, F.col("sab") - F.col("sa") * F.col("sb") / n
+    flat = lambda v, s: v <= s * 1e-14
+    r = F.when(F.col("bad") > 0, F.lit(float("nan"))).when((n < 2) | flat(va, F.col("saa")) | flat(vb, F.col("sbb")), F.lit(None)).when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(ab / F.sqrt(va) / F.sqrt(vb))
+    half = at.select("a", "b", n.cast("long").alias("n"), r.alias("r"))
+    both = half.union(half.where("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), "n", "r"))
+    pairs = spark.range(count * count).select((F.col("id") / count).cast("int").alias("a"), (F.col("id") % count).cast("int").alias("b"))
+    name = lambda c: F.element_at(F.array(*[F.lit(s) for s in sensors]), F.col(c) + 1)
+    return pairs.join(both, ["a", "b"], "left").select(name("a").alias("sensor_a"), name("b").alias("sensor_b"), F.coalesce("n", F.lit(0)).alias("n"), "r")
+
+
 def variance_ranking(readings: DataFrame, keys: list[str]) -> DataFrame:
     """Variance of each sensor and its rank within the other keys."""
     outer = [k for k in keys if k != "sensor"]

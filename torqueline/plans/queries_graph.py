@@ -110,15 +110,20 @@ def chain_sentences(spark, d):
     return graph.hierarchy(n, own).select("id", F.array_join("chain", ". ").alias("chain"))
 
 
-@query(f"""with {_REC}, cv as (select k.kind, count(*) as total, count(g.label) as found from (select distinct 'category' as kind, category as label from rec union select distinct 'subcategory', subcategory from rec union select distinct case when kind = 'sym' then 'symptom' else 'step' end, txt from lf) k
-  left join (select distinct label from gn) g on g.label = k.label group by 1) select kind, total, found from cv""")
+_CV = """cv as (select k.kind, count(*) as total, count(g.label) as found from (select distinct 'category' as kind, category as label from rec union select distinct 'subcategory', subcategory from rec union select distinct case when kind = 'sym' then 'symptom' else 'step' end, txt from lf) k
+  left join (select distinct label from gn) g on g.label = k.label group by 1)"""
+
+
+@query(f"""with {_REC}, {_CV} select kind, total, found from cv""")
 def corpus_coverage(spark, d):
     r, n, _ = built(spark, d)
     return graph.coverage(r, n)
 
 
-@query(f"""with {_REC}, c as (select community, count(distinct case when category <> '' then category end) as k from nn group by 1), x as (select count(*) as n from ge e join nn a on a.id = e.source join nn b on b.id = e.target where a.category <> b.category),
-f as (select true as category_coverage, true as subcategory_coverage, true as symptom_coverage, true as step_coverage, true as categories_have_subcategories,
+@query(f"""with {_REC}, {_CV}, c as (select community, count(distinct case when category <> '' then category end) as k from nn group by 1), x as (select count(*) as n from ge e join nn a on a.id = e.source join nn b on b.id = e.target where a.category <> b.category),
+f as (select (select found = total from cv where kind = 'category') as category_coverage, (select found = total from cv where kind = 'subcategory') as subcategory_coverage,
+  (select found / total > 0.8 from cv where kind = 'symptom') as symptom_coverage, (select found / total > 0.8 from cv where kind = 'step') as step_coverage,
+  (select count(distinct source) from ge where relation = 'HAS_SUBCATEGORY') = (select count(*) from nn where node_type = 'Category') as categories_have_subcategories,
   (select count(distinct source) from ge where relation = 'HAS_SYMPTOM') = (select count(*) from nn where node_type = 'Subcategory') as subcategories_have_symptoms,
   (select count(distinct source) from ge where relation = 'HAS_DIAGNOSIS_STEP') = (select count(*) from nn where node_type = 'Subcategory') as subcategories_have_steps,
   (select count(*) from c) > 10 as communities, (select count(*) filter (where k > 1) / count(*) from c) > 0.5 as multi_category, (select n from x) > 100 as cross_category,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import vector_topk
 from ..functions.vector_index import VectorIndex
-from ..operators import graph, modularity
+from ..operators import graph, modularity, profiling
 from ..runtime import scratch
 from ..sources import logs
 from .queries import _DOTS, _KG, _kg, _vectors
@@ -138,3 +138,16 @@ def similar_entities(spark, d):
     at = F.col("p_partkey") % 3
     label = F.when(at == 0, F.col("p_type")).otherwise(F.concat(F.expr("left(p_type, 2)"), F.expr("substring(p_type, cast(3 + p_partkey % 3 as int))")))
     return modularity.similar_entities(table(spark, d, "part").select(F.col("p_partkey").alias("id"), label.alias("label")), 80.0)
+
+
+_DIMS = 64
+
+
+@query(f"""with v as (select vec_id, i, case when (vec_id + i) % 7 = 0 then null else embedding[i]::double end as x from embeddings, range(1, {_DIMS} + 1) r(i)),
+p as (select 'd' || a.i as sensor_a, 'd' || b.i as sensor_b, a.x as x, b.x as y from v a join v b using (vec_id))
+select sensor_a, sensor_b, count(*) filter (where x is not null and y is not null) as n, round(case when sensor_a = sensor_b then 1 else corr(x, y) end, 6)::double as r from p group by 1, 2""")
+def wide_correlations(spark, d):
+    """Dimensions as the sensors of a wide log, with a gap in every seventh cell."""
+    cell = lambda i: F.when((F.col("vec_id") + i) % 7 != 0, F.col("embedding")[i - 1].cast("double"))
+    rows = table(spark, d, "embeddings").select(*[cell(i).alias(f"d{i}") for i in range(1, _DIMS + 1)])
+    return profiling.blocked_correlations(rows, rows.columns, block=24).withColumn("r", F.round("r", 6))
