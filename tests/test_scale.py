@@ -229,3 +229,47 @@ def test_blocked_correlations(spark):
                     assert abs(r - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 1e-7
     assert [(r.n, r.r) for r in profiling.blocked_correlations(df.limit(0), ["b", "c"]).collect()] == [(0, None)] * 4
     assert profiling.blocked_correlations(df, []).count() == 0
+
+
+def betweenness_of(pairs):
+    """Exact edge betweenness by its definition: shares of shortest paths of every pair of nodes, by breadth-first counts."""
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    far, paths = {}, {}
+    for s in near:
+        far[s], paths[s], level = {s: 0}, {s: 1}, [s]
+        while level:
+            reach = {}
+            for v in level:
+                for w in near[v]:
+                    if w not in far[s]:
+                        reach[w] = reach.get(w, 0) + paths[s][v]
+            for w, n in reach.items():
+                far[s][w], paths[s][w] = far[s][level[0]] + 1, n
+            level = list(reach)
+    score = {}
+    for a, b in {(min(x), max(x)) for x in pairs if x[0] != x[1]}:
+        score[a, b] = 0.0
+        for s in near:
+            for t in far[s]:
+                for v, w in ((a, b), (b, a)):
+                    if s < t and v in far[s] and w in far[t] and far[s][v] + 1 + far[t][w] == far[s][t]:
+                        score[a, b] += paths[s][v] * paths[t][w] / paths[s][t]
+    return score
+
+
+def test_betweenness(spark):
+    """Exact from all nodes: two dense groups and one bridge, a separate pair, loops, repeats and both directions."""
+    rng = random.Random(4)
+    pairs = [(f"{g}{rng.randrange(8)}", f"{g}{rng.randrange(8)}") for g in "ab" for _ in range(16)] + [("a1", "b2"), ("b2", "a1"), ("a1", "b2"), ("x", "y"), ("z", "z")]
+    edges = spark.createDataFrame(pairs, "source string, target string")
+    got = {(r.a, r.b): r.score for r in graph.betweenness(edges).collect()}
+    want = betweenness_of(pairs)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    nodes = spark.createDataFrame([(x, ord(x[0]) if x[0] in "ab" else 0) for x in sorted({x for p in pairs for x in p})], "id string, community int")
+    first = graph.surprising(nodes, edges, top=3).collect()
+    assert [(r.source, r.target, r.from_community, r.to_community) for r in first] == [("a1", "b2", ord("a"), ord("b"))]
+    assert graph.betweenness(edges.limit(0)).count() == 0

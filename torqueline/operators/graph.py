@@ -6,11 +6,13 @@ Where the reference depends on record order, rows carry it as ``ord``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import node_id, slug, title
-from ..runtime import cut
+from ..runtime import cut, stored
 
 NODE_PREFIX = {"Category": "cat_", "Subcategory": "subcat_", "Symptom": "sym_", "DiagnosisStep": "step_"}
 
@@ -169,6 +171,59 @@ def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.where("from_community <> to_community")
 
 
+def betweenness(edges: DataFrame, sources: int | None = None) -> DataFrame:
+    """(a, b, score): how many shortest paths from the sources run over each link, each pair of ends counting one in all.
+
+    Links are undirected, unweighted and distinct, loops left out; a < b.  ``sources``
+    bounds the nodes that paths start from (those of least md5 of the id), and scores are
+    scaled to all nodes; None takes every node, which is exact.  Level by level from all
+    sources at once: numbers of shortest paths go outwards, then shares of the paths that
+    end beyond a node come back.  Each level is a join with the links and a written
+    table, so there are as many rounds as the longest of the shortest paths has links; rows are
+    sources times nodes and links.
+    """
+    ends = edges.select(F.col("source").cast("string").alias("u"), F.col("target").cast("string").alias("v")).where("u <> v")
+    pairs = stored(ends.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "links")
+    links = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("v", "w")
+    ids = links.select("v").distinct()
+    start = ids.orderBy(F.md5("v"), "v").limit(sources) if sources is not None else ids
+    levels = [stored(start.select(F.col("v").alias("s"), "v", F.lit(1.0).alias("paths")), "level")]
+    while True:  # a node of the next level was neither on this one nor on the one before
+        reach = levels[-1].join(links, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("paths").alias("paths"))
+        for near in levels[-2:]:
+            reach = reach.join(near.select("s", "v"), ["s", "v"], "left_anti")
+        reach = stored(reach, "level")
+        if reach.isEmpty():
+            break
+        levels.append(reach)
+    beyond, flows = levels[-1].withColumn("share", F.lit(0.0)), []
+    for level in reversed(levels[:-1]):
+        far = beyond.select("s", F.col("v").alias("w"), ((1 + F.col("share")) / F.col("paths")).alias("each"))
+        flow = stored(level.join(links, "v").join(far, ["s", "w"]).select("s", "v", "w", (F.col("paths") * F.col("each")).alias("flow")), "flow")
+        flows.append(flow.select("v", "w", "flow"))
+        beyond = stored(level.join(flow.groupBy("s", "v").agg(F.sum("flow").alias("share")), ["s", "v"], "left").na.fill(0.0, ["share"]), "shares")
+    none = pairs.select(F.col("a").alias("v"), F.col("b").alias("w"), F.lit(0.0).alias("flow"))
+    total = reduce(DataFrame.union, flows, none).groupBy(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).agg(F.sum("flow").alias("flow"))
+    count = levels[0].agg(F.count("*").alias("_from")).crossJoin(ids.agg(F.count("*").alias("_all")))  # one row
+    return total.crossJoin(F.broadcast(count)).select("a", "b", (F.col("flow") * F.col("_all") / F.col("_from") / 2).alias("score"))
+
+
+def surprising(nodes: DataFrame, edges: DataFrame, top: int | None = None, sources: int | None = 64) -> DataFrame:
+    """(source, target, from_community, to_community, score): links between communities, those that most shortest paths need first.
+
+    Edges of equal ends are one link; ties go by the ids.  ``top`` keeps the first ones
+    (the report's length), None all.
+    """
+    scored = betweenness(edges, sources)
+    named = lambda *cs: [F.col(c).cast("string").alias(c) for c in cs]
+    across = bridges(nodes.select(*named("id"), "community"), edges.select(*named("source", "target")).distinct())
+    across = across.withColumns({"a": F.least("source", "target"), "b": F.greatest("source", "target")}).dropDuplicates(["a", "b"])
+    across = across.withColumns({"from_community": F.when(F.col("source") == F.col("a"), F.col("from_community")).otherwise(F.col("to_community")), "to_community": F.when(F.col("source") == F.col("a"), F.col("to_community")).otherwise(F.col("from_community"))})
+    found = across.join(scored, ["a", "b"]).select(F.col("a").alias("source"), F.col("b").alias("target"), "from_community", "to_community", "score")
+    first = found.orderBy(F.desc("score"), "source", "target")
+    return first.limit(top) if top is not None else first
+
+
 def questions(nodes: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
     """(kind, question): what to ask about the first hubs, and about the first edges between communities."""
     label = nodes.select("id", "label")

@@ -151,3 +151,39 @@ def wide_correlations(spark, d):
     cell = lambda i: F.when((F.col("vec_id") + i) % 7 != 0, F.col("embedding")[i - 1].cast("double"))
     rows = table(spark, d, "embeddings").select(*[cell(i).alias(f"d{i}") for i in range(1, _DIMS + 1)])
     return profiling.blocked_correlations(rows, rows.columns, block=24).withColumn("r", F.round("r", 6))
+
+
+#: Start nodes of the sampled betweenness, and levels that its SQL spells out (the graph has fewer).
+_SOURCES, _LEVELS = 8, 8
+
+
+def _levels_sql() -> str:
+    """CTEs of betweenness from sampled sources: levels outwards, shares of paths back, flow of each link."""
+    out = [f"""ed as (select distinct 's' || l_suppkey as u, 'p' || l_partkey as v from lineitem), li as (select u as v, v as w from ed union all select v, u from ed), ids as (select distinct v from li),
+l0 as (select v as s, v, 1.0::double as n from (select v from ids order by md5(v), v limit {_SOURCES})), seen0 as (select s, v from l0)"""]
+    for k in range(1, _LEVELS):
+        out.append(f"l{k} as (select l.s, li.w as v, sum(n) as n from l{k - 1} l join li using (v) where not exists (select 1 from seen{k - 1} z where z.s = l.s and z.v = li.w) group by 1, 2), seen{k} as (select * from seen{k - 1} union all select s, v from l{k})")
+    out.append(f"d{_LEVELS - 1} as (select s, v, n, 0.0::double as share from l{_LEVELS - 1})")
+    for k in range(_LEVELS - 2, -1, -1):
+        out.append(f"f{k} as (select l.s, l.v, li.w, l.n * (1 + d.share) / d.n as flow from l{k} l join li using (v) join d{k + 1} d on d.s = l.s and d.v = li.w), d{k} as (select l.s, l.v, l.n, coalesce(x.share, 0) as share from l{k} l left join (select s, v, sum(flow) as share from f{k} group by 1, 2) x using (s, v))")
+    flows = " union all ".join(f"select v, w, flow from f{k}" for k in range(_LEVELS - 1))
+    out.append(f"fl as ({flows} union all select u, v, 0 from ed), bt as (select least(v, w) as a, greatest(v, w) as b, sum(flow) * (select count(*) from ids) / (select count(*) from l0) / 2 as score from fl group by 1, 2)")
+    return ",\n".join(out)
+
+
+def _supplies(spark, d):
+    e = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct()
+    ids = lambda c, name, p: table(spark, d, name).select(F.concat(F.lit(p), c).alias("id"), (F.col(c) % 5).cast("int").alias("community"))
+    return ids("s_suppkey", "supplier", "s").union(ids("p_partkey", "part", "p")), e
+
+
+@query(f"with {_levels_sql()} select a, b, round(score, 4) as score from bt")
+def edge_betweenness(spark, d):
+    """Which supplies the shortest paths between suppliers and parts need, from a few sources."""
+    return rounded(graph.betweenness(_supplies(spark, d)[1], _SOURCES), 4)
+
+
+@query(f"with {_levels_sql()}, c as (select 's' || s_suppkey as id, (s_suppkey % 5)::int as community from supplier union all select 'p' || p_partkey, (p_partkey % 5)::int from part) select a as source, b as target, x.community as from_community, y.community as to_community, round(score, 4) as score from bt join c x on x.id = a join c y on y.id = b where x.community <> y.community")
+def surprising_connections(spark, d):
+    """Supplies between communities, all of them."""
+    return rounded(graph.surprising(*_supplies(spark, d), sources=_SOURCES), 4)
