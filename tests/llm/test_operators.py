@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 
@@ -278,6 +279,46 @@ def test_class_prior_of_known_mixtures(share):
     assert quality.class_prior(draw(2, 0), unl) == 0.5
 
 
+def test_quality_risk_by_differences():
+    """Risk by its definition, text by text, and its gradient by differences; both where the second part is positive and where it is negative."""
+    rng = np.random.default_rng(9)
+    p, u = rng.normal(0.5, 1, (40, 6)), rng.normal(0, 1, (70, 6))
+    net = quality.Network(np.zeros(6), np.ones(6), 3)
+    net.w = [np.asarray(rng.normal(size=np.shape(w)), float) for w in net.w]
+
+    def score(row):
+        hidden = [math.tanh(sum(x * w for x, w in zip(row, net.w[0][:, k])) + net.w[1][k]) for k in range(len(net.w[1]))]
+        return sum(h * w for h, w in zip(hidden, net.w[2])) + float(np.ravel(net.w[3])[0])
+
+    def parts(prior):
+        loss = lambda rows, sign: sum(math.log1p(math.exp(-sign * score(r))) for r in rows) / len(rows)
+        return prior * loss(p, 1), loss(u, -1) - prior * loss(p, -1)
+
+    assert np.allclose([score(r) for r in u], net.logits(u)[0])
+    signs = set()
+    for prior in (0.05, 0.99, 5.0):  # the last is no probability, but makes the second part negative
+        got = quality.risk_gradient(net, p, u, prior)
+        first, second = parts(prior)
+        signs.add(second >= 0)
+        value = lambda: sum(parts(prior)) if second >= 0 else -parts(prior)[1]  # noqa: E731, B023
+        for k, at in ((0, (2, 5)), (1, (3,)), (2, (7,)), (3, (0,))):
+            was, ends = net.w[k][at], []
+            for step in (1e-5, -1e-5):
+                net.w[k][at] = was + step
+                ends.append(value())
+            net.w[k][at] = was
+            assert abs((ends[0] - ends[1]) / 2e-5 - got[k][at]) < 1e-6
+    assert signs == {True, False}
+
+
+def test_quality_over_all_rows(spark):
+    """Without bounds every row is used; where there are fewer rows than the bounds that is the same."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet").select("doc_id", c) for t, c in (("documents", "text"), ("labels", "quality")))
+    scores = lambda *bounds: {r.doc_id: r.score for r in quality.quality_scores(docs, labels, *bounds).collect()}
+    want = scores()
+    assert scores(None, None) == want and scores(60, 120) != want
+
+
 def test_quality_takes_no_negative_labels(spark):
     """Scores are the same whatever the rows labelled 0 say, and for labels given twice."""
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet").select("doc_id", c) for t, c in (("documents", "text"), ("labels", "quality")))

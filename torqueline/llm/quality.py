@@ -108,6 +108,19 @@ class Network:
         return [z.T @ back, back.sum(0), hidden.T @ by, by.sum(keepdims=True)]
 
 
+def risk_gradient(net: Network, p: np.ndarray, u: np.ndarray, prior: float | None) -> list[np.ndarray]:
+    """Gradient of the non-negative risk of inputs p and u; of minus its second part where that is negative."""
+    (gp, hp), (gu, hu) = net.logits(p), net.logits(u)
+    sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
+    if prior is None:
+        by_p, by_u = (sp - 1) / len(p), su / len(u)
+    elif np.mean(np.logaddexp(0, gu)) >= prior * np.mean(np.logaddexp(0, gp)):
+        by_p, by_u = (prior * (sp - 1) - prior * sp) / len(p), su / len(u)
+    else:
+        by_p, by_u = prior * sp / len(p), -su / len(u)
+    return [x + y for x, y in zip(net.gradient(p, hp, by_p), net.gradient(u, hu, by_u), strict=True)]
+
+
 def train(pos: np.ndarray, unl: np.ndarray, prior: float | None, seed: int = 5) -> Network:
     """Minimise the non-negative risk by Adam over shuffled batches; the same result each time.
 
@@ -125,15 +138,7 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float | None, seed: int = 5)
         a, b = rng.permutation(len(pos)), rng.permutation(len(unl))
         for i in range(steps):
             p, u = pos[a[i * len(a) // steps : (i + 1) * len(a) // steps + 1]], unl[b[i * len(b) // steps : (i + 1) * len(b) // steps + 1]]
-            (gp, hp), (gu, hu) = net.logits(p), net.logits(u)
-            sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-            if prior is None:
-                by_p, by_u = (sp - 1) / len(p), su / len(u)
-            elif np.mean(np.logaddexp(0, gu)) >= prior * np.mean(np.logaddexp(0, gp)):
-                by_p, by_u = (prior * (sp - 1) - prior * sp) / len(p), su / len(u)
-            else:
-                by_p, by_u = prior * sp / len(p), -su / len(u)
-            grads = [x + y + 1e-4 * w for x, y, w in zip(net.gradient(p, hp, by_p), net.gradient(u, hu, by_u), net.w, strict=True)]
+            grads = [g + 1e-4 * w for g, w in zip(risk_gradient(net, p, u, prior), net.w, strict=True)]
             t += 1
             for k, g in enumerate(grads):
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -177,12 +182,13 @@ def _score(net: Network | None):
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, positives: int | None = POSITIVES, unlabelled: int | None = UNLABELLED) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs (doc_id, text); labels has doc_id and quality.
 
     Positives are texts that labels marks 1, unlabelled ones any text, both from rows
-    that aren't held out and drawn by a hash of doc_id down to POSITIVES and UNLABELLED
-    rows; labels of 0 take no part.  The class prior is estimated (``class_prior``) from
+    that aren't held out and drawn by a hash of doc_id down to about ``positives`` and
+    ``unlabelled`` rows (None: all of them, WIDTH figures each, which the driver must hold);
+    labels of 0 take no part.  The class prior is estimated (``class_prior``) from
     those two samples.  predicted is 1 where score >= 0.7.  A null text scores as an
     empty one; with no positive or no unlabelled row every score is 0.5.  Labels with a
     null or another quality aren't used; a doc_id labelled twice counts as positive if
@@ -193,12 +199,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ones = marks.where("quality = 1").count()
     total = rows.where("not held_out").count()
 
-    def drawn(most: int, of: int, seed: int):
-        return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / max(of, 1)))
+    def drawn(most: int | None, of: int, seed: int):
+        return F.lit(True) if most is None else F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / max(of, 1)))
 
-    chosen = marks.where("quality = 1").where(drawn(POSITIVES, ones, 1)).select("doc_id", F.lit(True).alias("positive")).distinct()
-    both = rows.where("not held_out").join(bounded_broadcast(chosen, min(ones, POSITIVES), 40), "doc_id", "left")
-    sample = both.select("text", F.coalesce("positive", F.lit(False)).alias("positive"), F.coalesce(drawn(UNLABELLED, total, 2), F.lit(False)).alias("unlabelled")).where("positive or unlabelled")
+    chosen = marks.where("quality = 1").where(drawn(positives, ones, 1)).select("doc_id", F.lit(True).alias("positive")).distinct()
+    both = rows.where("not held_out").join(bounded_broadcast(chosen, min(ones, ones if positives is None else positives), 40), "doc_id", "left")
+    sample = both.select("text", F.coalesce("positive", F.lit(False)).alias("positive"), F.coalesce(drawn(unlabelled, total, 2), F.lit(False)).alias("unlabelled")).where("positive or unlabelled")
     got = sample.mapInArrow(_draw, "positive boolean, unlabelled boolean, x binary").toArrow()
     raw = got.column("x").to_pylist()
     x = np.frombuffer(b"".join(raw), np.float32).reshape(-1, WIDTH)
