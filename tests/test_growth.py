@@ -43,3 +43,8 @@ def most_rows(spark, run):
 @pytest.mark.parametrize("name", ["two_path_fusion", "hybrid_fusion"])
 def test_queries_meet_the_first_of_their_name_alone(spark, few_names, name):
     assert PARTS <= most_rows(spark, lambda: QUERIES[name](spark, few_names).collect()) < 3 * PARTS
+
+
+@pytest.mark.parametrize("name", ["graph_path_search", "hinted_graph_search", "hop_scored", "community_top3", "community_path_search", "community_expansion"])
+def test_searches_ask_once_and_rank_first_members_alone(spark, few_names, name):
+    assert PARTS <= most_rows(spark, lambda: QUERIES[name](spark, few_names).collect()) <= 4 * PARTS
