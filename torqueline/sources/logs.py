@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Values that a task sends at once.
 VALUES = 1 << 16
+#: Rows of a log in one workbook; the format holds 1,048,576 with two lines of names and units.
+WORKBOOK_ROWS = 1 << 17
 LONG = "file string, sheet string, row_idx long, sensor string, unit string, value double"
 
 
@@ -58,7 +60,7 @@ def workbook_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """The logs of workbooks given as (file, content), in the long form.
+    """The logs of workbooks given as (file, content), in the long form; rows go on from first_row where it is given.
 
     Each workbook is one task's work, read row by row from its zipped sheets; of its parts
     only shared strings are held whole.  Empty sheets have no rows; null contents none; what is no workbook is an error.
@@ -67,19 +69,20 @@ def parsed(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for b in batches:
-            for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for file, content, start in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 if not content.is_valid:
                     continue
                 for sheet, log in _sheets(content.as_buffer()):
-                    for row in _log(log):
-                        rows.append((file, sheet, *row))
+                    for row_idx, *cells in _log(log):
+                        rows.append((file, sheet, start + row_idx, *cells))
                         if len(rows) >= VALUES:
                             yield _batch(rows)
                             rows = []
         if rows:
             yield _batch(rows)
 
-    return files.select(F.col("file").cast("string"), F.col("content").cast("binary")).mapInArrow(run, LONG)
+    start = F.col("first_row") if "first_row" in files.columns else F.lit(0)
+    return files.select(F.col("file").cast("string"), F.col("content").cast("binary"), start.cast("long").alias("first_row")).mapInArrow(run, LONG)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -168,26 +171,37 @@ def _log(rows: Iterator[dict[int, str]]) -> Iterator[tuple[int, str, str | None,
 
 
 def workbooks(readings: DataFrame) -> DataFrame:
-    """(file, content): a workbook for each file of readings (file, row_idx, sensor, unit, value), the counterpart of ``parsed``.
+    """(file, content, first_row): workbooks for each file of readings (file, row_idx, sensor, unit, value), the counterpart of ``parsed``.
 
     Sensors are columns in order of their names, rows are numbered without gaps, units are
-    those of any row.  A workbook is one object by its format and holds 1,048,576 rows at most, more are an error.
+    those of any row.  A workbook is one object by its format and holds 1,048,576 rows at most, so a file
+    goes to a workbook for every ``WORKBOOK_ROWS`` rows, each with the sensors and units of the whole file;
+    first_row is the number of a workbook's first row.
     """
 
     def made(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = frame.pivot_table(index="row_idx", columns="sensor", values="value", dropna=False, aggfunc="first").reindex(range(int(frame.row_idx.max()) + 1))
-        if len(wide) > (1 << 20) - 2:
-            raise ValueError(f"too many rows for a workbook: {frame.file.iloc[0]}")
-        units = frame.dropna(subset="unit").groupby("sensor").unit.first()
+        start, n = int(frame.first_row.iloc[0]), int(frame.n_rows.iloc[0])
+        frame = frame.assign(row_idx=frame.row_idx - start)
+        wide = frame.pivot_table(index="row_idx", columns="sensor", values="value", dropna=False, aggfunc="first")
+        wide = wide.reindex(range(n)).reindex(columns=sorted(frame.sensors.iloc[0]))
+        units = dict(zip(frame.sensors.iloc[0], frame.units.iloc[0], strict=True))
         letters = [_letters(i) for i in range(len(wide.columns))]
         text = lambda at, x: f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(x)}</t></is></c>'
-        lines = ["".join(text(f"{a}{k + 1}", str(x)) for a, x in zip(letters, row, strict=True)) for k, row in enumerate((wide.columns, [units.get(c, "") for c in wide.columns]))]
+        lines = ["".join(text(f"{a}{k + 1}", str(x)) for a, x in zip(letters, row, strict=True)) for k, row in enumerate((wide.columns, [units[c] or "" for c in wide.columns]))]
         values = zip(*(wide[c].tolist() for c in wide.columns), strict=True)
         lines += ["".join(f'<c r="{a}{i}"><v>{x!r}</v></c>' for a, x in zip(letters, row, strict=True) if x == x) for i, row in enumerate(values, 3)]
         sheet = "".join(f'<row r="{i}">{line}</row>' for i, line in enumerate(lines, 1))
-        return pd.DataFrame({"file": [frame.file.iloc[0]], "content": [_zipped(sheet, "log")]})
-
-    return readings.select("file", "row_idx", "sensor", "unit", "value").groupBy("file").applyInPandas(made, "file string, content binary")
+        return pd.DataFrame({"file": [frame.file.iloc[0]], "content": [_zipped(sheet, "log")], "first_row": [start]})
+
+    r = readings.select("file", "row_idx", "sensor", "unit", "value")
+    each = r.groupBy("file", "sensor").agg(F.first("unit", ignorenulls=True).alias("unit"), F.max("row_idx").alias("last"))
+    heads = each.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("sensor", "unit"))).alias("s"), F.max("last").alias("last"))
+    heads = heads.select("file", F.col("s.sensor").alias("sensors"), F.col("s.unit").alias("units"), "last")
+    starts = heads.select("file", "sensors", "units", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"), F.lit(WORKBOOK_ROWS).cast("long"))).alias("first_row"))
+    starts = starts.select("file", "sensors", "units", "first_row", F.least(F.col("last") + 1 - F.col("first_row"), F.lit(WORKBOOK_ROWS)).alias("n_rows"))
+    at = r.withColumn("first_row", F.col("row_idx") - F.pmod("row_idx", F.lit(WORKBOOK_ROWS)))
+    rows = starts.join(at, ["file", "first_row"], "left")  # rows without readings are rows all the same
+    return rows.groupBy("file", "first_row").applyInPandas(made, "file string, content binary, first_row long")
 
 
 def _letters(i: int) -> str:
