@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from torqueline.operators import graph
 from torqueline.plans.queries import QUERIES
+from torqueline.sources import logs
 
 PARTS = 3000
 
@@ -48,3 +50,23 @@ def test_queries_meet_the_first_of_their_name_alone(spark, few_names, name):
 @pytest.mark.parametrize("name", ["graph_path_search", "hinted_graph_search", "hop_scored", "community_top3", "community_path_search", "community_expansion"])
 def test_searches_ask_once_and_rank_first_members_alone(spark, few_names, name):
     assert PARTS <= most_rows(spark, lambda: QUERIES[name](spark, few_names).collect()) <= 4 * PARTS
+
+
+def test_long_logs_take_several_workbooks(spark, monkeypatch):
+    monkeypatch.setattr(logs, "WORKBOOK_ROWS", 4)
+    rows = [("x", i, "t", "s", i / 2) for i in range(11) if i not in (4, 5, 6, 7)] + [("x", 9, "only late", "u", 1.0), ("y", 0, "t", None, 3.0)]
+    made = logs.workbooks(spark.createDataFrame(rows, "file string, row_idx long, sensor string, unit string, value double"))
+    assert sorted((r.file, r.first_row) for r in made.select("file", "first_row").collect()) == [("x", 0), ("x", 4), ("x", 8), ("y", 0)]
+    got = {(r.file, r.row_idx, r.sensor): (r.unit, r.value) for r in logs.parsed(made).collect()}
+    want = {("x", i, "t"): ("s", None if 4 <= i < 8 else i / 2) for i in range(11)} | {("x", i, "only late"): ("u", 1.0 if i == 9 else None) for i in range(11)}
+    assert got == want | {("y", 0, "t"): ("", 3.0)}
+
+
+def test_parents_of_equal_sets_are_paired_once(spark):
+    shared = spark.range(200 * 40).select(F.concat(F.lit("p"), F.col("id") % 200).alias("parent_label"), F.floor(F.col("id") / 200).cast("string").alias("norm_label"))
+    more = spark.createDataFrame([("q", "0"), ("q", "x"), ("r", "x"), ("s", "y"), (None, "x"), ("t", None)], shared.schema)
+    found = []
+    assert most_rows(spark, lambda: found.extend(map(tuple, graph.projected_similarity(shared.union(more)).collect()))) < 100000
+    names = [f"p{i}" for i in range(200)]
+    want = {(a, b) for a in names for b in names if a < b} | {(a, "q") for a in names} | {("q", "r")}
+    assert len(found) == len(want) and set(found) == want
