@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from torqueline.operators import graph
+from torqueline.operators import graph, modularity
 from torqueline.plans.queries import QUERIES
 from torqueline.sources import logs
 
@@ -70,3 +70,10 @@ def test_parents_of_equal_sets_are_paired_once(spark):
     names = [f"p{i}" for i in range(200)]
     want = {(a, b) for a in names for b in names if a < b} | {(a, "q") for a in names} | {("q", "r")}
     assert len(found) == len(want) and set(found) == want
+
+
+def test_every_leaf_of_large_stars_is_placed(spark):
+    """What one leaf gains is below any bound on a round's gain, and there are more of them than levels."""
+    edges = spark.range(60000).select(F.concat(F.lit("hub"), F.col("id") % 2).alias("source"), F.concat(F.lit("leaf"), "id").alias("target"))
+    nodes = edges.select(F.col("source").alias("id")).distinct().union(edges.select("target"))
+    assert modularity.partition(nodes, edges).select("community").distinct().count() == 2
