@@ -223,3 +223,15 @@ def test_plain_comparison_agrees():
     texts = [[b"%d" % rng.randrange(2) for _ in range(120)] + [b"x", b"y"] * k for k in range(12)]
     words = periodic_runs._Words(texts)
     assert [x.tolist() for x in words.runs(12)] == [x.tolist() for x in words._compared(12)]
+
+
+def test_only_windows_that_may_repeat_are_sorted(monkeypatch):
+    rng = np.random.default_rng(5)
+    passage = rng.integers(97, 123, 150, np.uint8).tobytes()
+    pieces = [rng.integers(97, 123, 900, np.uint8).tobytes() + (passage if i % 4 == 0 else b"") + rng.integers(97, 123, 300, np.uint8).tobytes() for i in range(20)]
+    sizes, real = [], suffix_dedup.suffixes
+    monkeypatch.setattr(suffix_dedup, "suffixes", lambda data, size: (sizes.append(len(data)), real(data, size))[1])
+    rows = np.array([(i, 0, 7, len(p) - 99) for i, p in enumerate(pieces)], np.int64)
+    assert sorted(map(tuple, suffix_dedup._covered(rows, pieces, 100).tolist())) == [(i, 0, 907, 51) for i in (4, 8, 12, 16)]
+    assert sum(sizes) == 5 * 151
+    assert not len(suffix_dedup._covered(rows[1:4], pieces[1:4], 100)) and len(sizes) == 1

@@ -7,8 +7,8 @@ smallest hash.  Equal windows have equal anchors, so
 - all windows with one anchor string go to one shard: as segments, the texts of successive
   windows with one anchor.
 
-A shard's segments are one byte string, in the order of documents and places.  External induced sorting
-(``induced_sort``) gives its suffixes with their common prefixes; suffixes that agree for
+A shard's segments are cut down to the windows whose hash occurs twice or more in it, and are one byte string, in the
+order of documents and places.  External induced sorting (``induced_sort``) gives its suffixes with their common prefixes; suffixes that agree for
 ``size`` bytes are one class, and all but its first occurrence are covered.  A task reads
 its shards one after the other and sorts as many together as SHARD_BYTES hold.
 
@@ -42,6 +42,8 @@ GRAM = 16
 HOT, HOT_KEYS = 1000, 1 << 17
 #: Windows of a segment, of a part of a text, and anchors of a task's block.
 LONGEST, PART, ANCHORS = 1024, 1 << 20, 1 << 19
+#: Places whose windows are hashed at a time.
+SLICE = 1 << 18
 #: Bytes of segments that a task gathers before it sends them, and that are sorted together.
 GATHERED, SHARD_BYTES = 12 << 20, 4 << 20
 #: Buckets for each shuffle partition at most, and bytes of text for each bucket at least.
@@ -281,11 +283,48 @@ def _segments(size: int, shards: int, hot: np.ndarray):
     return run
 
 
+def _digests(data: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` bytes from each place on, SLICE places at a time."""
+    out = np.zeros(len(data) - size + 1, _U)
+    for at in range(0, len(out), SLICE):
+        raw = data[at : at + SLICE + size - 1]
+        part, width = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,)), 8
+        while width < size:  # two halves, which overlap in the last step
+            step = min(width, size - width)
+            part, width = mix((part[:-step] * _WORDS[0]) ^ ((part[step:] + _U(1)) * _WORDS[1])), width + step
+        out[at : at + SLICE] = part
+    return out
+
+
+def _again(rows: np.ndarray, data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Segments cut down to runs of windows whose hash occurs twice or more; equal windows have equal hashes, so no repeat is lost."""
+    length = rows[:, 3] + size  # with END
+    begin = np.cumsum(length) - length
+    at = np.arange(int(rows[:, 3].sum())) + np.repeat(begin - np.cumsum(rows[:, 3]) + rows[:, 3], rows[:, 3])
+    digest = _digests(data, size)[at]
+    found = np.sort(digest)
+    found = found[1:][found[1:] == found[:-1]]
+    if not len(found):
+        return rows[:0], data[:0]
+    near = np.searchsorted(found, digest)
+    at = at[found[np.minimum(near, len(found) - 1)] == digest]
+    owner = np.searchsorted(begin, at, "right") - 1
+    new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])])
+    n, head, owner = np.diff(np.r_[new, len(at)]), at[new], owner[new]
+    length = n + size
+    stop = np.cumsum(length)
+    less = data[np.arange(int(stop[-1])) + np.repeat(head - stop + length, length)]
+    less[stop - 1] = END
+    return np.stack([rows[owner, 0], rows[owner, 1], rows[owner, 2] + head - begin[owner], n], axis=1), less
+
+
 def _covered(rows: np.ndarray, pieces: list[bytes], size: int) -> np.ndarray:
     """(doc, tag, place, windows) of all windows of different segments that occur before, by one suffix array."""
     order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
-    rows = rows[order]
     data = np.frombuffer(b"".join([x for i in order.tolist() for x in (pieces[i], bytes([END]))]), np.uint8)
+    rows, data = _again(rows[order], data, size)
+    if not len(rows):
+        return np.zeros((0, 4), np.int64)
     length = rows[:, 3] + size  # with END
     begin = np.cumsum(length) - length
     late = np.zeros(len(data), bool)
