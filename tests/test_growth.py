@@ -77,3 +77,36 @@ def test_every_leaf_of_large_stars_is_placed(spark):
     edges = spark.range(60000).select(F.concat(F.lit("hub"), F.col("id") % 2).alias("source"), F.concat(F.lit("leaf"), "id").alias("target"))
     nodes = edges.select(F.col("source").alias("id")).distinct().union(edges.select("target"))
     assert modularity.partition(nodes, edges).select("community").distinct().count() == 2
+
+
+def shuffled_rows(spark, run):
+    """All rows that were shuffled while ``run`` ran."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    done, total = store.executionsList(), 0
+    for i in range(before, done.size()):
+        e = done.apply(i).executionId()
+        values = store.executionMetrics(e)
+        ids = {m.accumulatorId() for m in (done.apply(i).metrics().apply(j) for j in range(done.apply(i).metrics().size())) if m.name() == "shuffle records written"}
+        total += sum(int(values.apply(k).replace(",", "")) for k in ids if values.contains(k))
+    return total
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    """Joins are copied to the tasks only where the library says so."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_few_sources_shuffle_no_links(spark, no_broadcasts):
+    """600 rings of ten nodes, paths from two of them: only the distinct links and nodes are shuffled."""
+    k, ring = F.col("id"), F.floor(F.col("id") / 10) * 10
+    edges = spark.range(6000).select(F.concat(F.lit("n"), k).alias("source"), F.concat(F.lit("n"), ring + (k + 1) % 10).alias("target"))
+    found = []
+    assert shuffled_rows(spark, lambda: found.extend(graph.betweenness(edges, 2).collect())) < 6000 * 6
+    assert len(found) == 6000 and sum(r.score > 0 for r in found) in (10, 20)
+    assert abs(sum(r.score for r in found) - 2 * 25 * 6000 / 2 / 2) < 1e-6
