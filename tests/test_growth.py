@@ -110,3 +110,20 @@ def test_few_sources_shuffle_no_links(spark, no_broadcasts):
     assert shuffled_rows(spark, lambda: found.extend(graph.betweenness(edges, 2).collect())) < 6000 * 6
     assert len(found) == 6000 and sum(r.score > 0 for r in found) in (10, 20)
     assert abs(sum(r.score for r in found) - 2 * 25 * 6000 / 2 / 2) < 1e-6
+
+
+def test_shared_texts_shuffle_no_pairs(spark):
+    """60 records that share 50 texts: rows are shuffled for each record and text and for each pair, not for each text of a pair."""
+    k, text = F.col("id") % 60, F.floor(F.col("id") / 60).cast("string")
+    leaf = spark.range(60 * 50).select(k.alias("ord"), F.lit(0).alias("at"), F.lit("sym").alias("kind"), F.concat(F.lit("c"), k).alias("category"), F.concat(F.lit("s"), k).alias("sub_id"), F.lit("f").alias("sub_file"), text.alias("text"))
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        found = []
+        assert shuffled_rows(spark, lambda: found.extend(graph.similarity_edges(leaf).collect())) < 60 * 50 * 9
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert {(r.source, r.target) for r in found} == {(f"s{i}", f"s{j}") for i in range(60) for j in range(i + 1, 60)} and len(found) == 60 * 59 // 2
