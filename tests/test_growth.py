@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from torqueline.functions.similarity import vector_topk
+from torqueline.functions.vector_index import VectorIndex
 from torqueline.operators import graph, modularity
 from torqueline.plans.queries import QUERIES
 from torqueline.sources import logs
@@ -127,3 +129,15 @@ def test_shared_texts_shuffle_no_pairs(spark):
         for key, value in before.items():
             spark.conf.set(key, value)
     assert {(r.source, r.target) for r in found} == {(f"s{i}", f"s{j}") for i in range(60) for j in range(i + 1, 60)} and len(found) == 60 * 59 // 2
+
+
+def test_few_queries_shuffle_no_vectors(spark, no_broadcasts, tmp_path):
+    """Blocks of vectors stay where they are read; a search of all lists sends no query to each list by itself."""
+    v = spark.range(4000).select("id", F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.sin(F.col("id") * i)).alias("embedding"))
+    q = v.where("id % 4 = 0").withColumnRenamed("id", "query_id")
+    found = []
+    assert shuffled_rows(spark, lambda: found.extend(vector_topk(v, q, 3).collect())) <= 1000 * 3 * 4 + 1000 + 10
+    index = VectorIndex.create(v, str(tmp_path / "index"), lists=16)
+    got = []
+    assert shuffled_rows(spark, lambda: got.extend(index.search(q, 3, probes=None).collect())) <= 1000 * 3 * 16 + 1000 + 10
+    assert sorted(got) == sorted(found) and len(got) == 3000

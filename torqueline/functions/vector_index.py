@@ -171,10 +171,12 @@ class VectorIndex:
         spread over SALTS tasks.
         """
         q = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").where("query_id is not null and embedding is not null")
+        if probes is None:  # every query meets every list, so none is sent to each list by itself
+            return vector_topk(self.vectors(), q, k, dp)
         asked = self._asked(q, probes).drop("place")
         rows = self.vectors()
-        if probes is not None:  # the lists that any query asks for prune the partitions that are read
-            rows = rows.where(F.col("list").isin([r.list for r in asked.select("list").distinct().collect()]))
+        # the lists that any query asks for prune the partitions that are read
+        rows = rows.where(F.col("list").isin([r.list for r in asked.select("list").distinct().collect()]))
         w = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "id")
         found = packed_topk(rows, asked, k, dp, ["list"])
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
