@@ -1,5 +1,7 @@
 """Work that must grow no faster than the tables: rows that the steps of a query make."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from torqueline.operators import graph, modularity
 from torqueline.plans.queries import QUERIES
 from torqueline.sources import logs
 
+from .test_scale import betweenness_of
+
 PARTS = 3000
 
 
@@ -142,3 +146,19 @@ def test_few_queries_shuffle_no_vectors(spark, no_broadcasts, tmp_path):
     got = index.search(q, 3, probes=None)
     assert "SortMergeJoin" not in plan(got)
     assert sorted(got.collect()) == sorted(found.collect()) and found.count() == 3000
+
+
+@pytest.mark.parametrize("bounds", [{}, {"TASK_LINKS": 20}, {"TASK_WORK": 1000, "TASK_SOURCES": 3, "SMALL_LINKS": 5}, {"TASK_CELLS": 1}])
+def test_surprising_links_come_from_all_sources(spark, monkeypatch, bounds):
+    """More nodes than any sample of sources: scores are those of the paths of all of them, however the search is dealt."""
+    rng = random.Random(7)
+    pairs = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(110)] + [(f"m{i}", f"m{i + 1}") for i in range(5)] + [("x", "y"), ("y", "z"), ("x", "x")]
+    for name, value in bounds.items():
+        monkeypatch.setattr(graph, name, value)
+    edges = spark.createDataFrame(pairs, "source string, target string")
+    names = sorted({v for p in pairs for v in p})
+    nodes = spark.createDataFrame([(v, k % 3) for k, v in enumerate(names)], "id string, community int")
+    found = graph.surprising(nodes, edges).collect()
+    want = {k: v for k, v in betweenness_of(pairs).items() if names.index(k[0]) % 3 != names.index(k[1]) % 3}
+    assert len(names) > 64 and len(found) == len(want)
+    assert all(abs(r.score - want[r.source, r.target]) < 1e-9 for r in found)
