@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from torqueline import runtime
 from torqueline.functions.similarity import vector_topk
 from torqueline.functions.vector_index import VectorIndex
 from torqueline.operators import graph, modularity
@@ -162,3 +163,22 @@ def test_surprising_links_come_from_all_sources(spark, monkeypatch, bounds):
     want = {k: v for k, v in betweenness_of(pairs).items() if names.index(k[0]) % 3 != names.index(k[1]) % 3}
     assert len(names) > 64 and len(found) == len(want)
     assert all(abs(r.score - want[r.source, r.target]) < 1e-9 for r in found)
+
+
+@pytest.mark.parametrize("rows", [1024, 5])
+def test_shared_texts_are_sent_once_and_pairs_named_in_place(spark, no_broadcasts, monkeypatch, rows):
+    """300 records, more than the few that a join used to copy: rows are shuffled a few times for each record and text, and no pair is; labels are those of the first text."""
+    monkeypatch.setattr(graph, "COPIED_BYTES", 0)
+    monkeypatch.setattr(runtime, "COPIED_BYTES", 0)
+    monkeypatch.setattr(graph, "BLOCK_ROWS", rows)
+    k, text = F.col("id") % 300, F.floor(F.col("id") / 300) + F.floor(F.col("id") % 300 / 60) * 100
+    leaf = spark.range(300 * 10).select(k.alias("ord"), F.floor(F.col("id") / 300).cast("int").alias("at"), F.lit("sym").alias("kind"), (k % 7).cast("string").alias("category"), F.concat(F.lit("s"), k).alias("sub_id"), F.concat(F.lit("f"), k).alias("sub_file"), text.cast("string").alias("text"))
+    found = []
+    shuffled = shuffled_rows(spark, lambda: found.extend(graph.similarity_edges(leaf).select("source", "target").collect()))
+    want = {(f"s{i}", f"s{j}") for g in range(5) for i in range(60 * g, 60 * g + 60) for j in range(i + 1, 60 * g + 60) if i % 7 != j % 7}
+    assert set(map(tuple, found)) == want and len(found) == len(want)
+    if rows > 60:
+        assert shuffled < 300 * 10 * 5
+    whole = graph.similarity_edges(leaf.union(leaf.limit(40))).collect()
+    assert {(r.source, r.target) for r in whole} == want and len(whole) == len(want)
+    assert {(int(r.source[1:]) // 60, r.source_file, r.label, r.seen.ord, r.seen.at, r.relation) for r in whole} == {(g, f"f{60 * g}", str(100 * g), 60 * g, 0, "SIMILAR_SYMPTOM_TO") for g in range(5)}
