@@ -182,3 +182,21 @@ def test_shared_texts_are_sent_once_and_pairs_named_in_place(spark, no_broadcast
     whole = graph.similarity_edges(leaf.union(leaf.limit(40))).collect()
     assert {(r.source, r.target) for r in whole} == want and len(whole) == len(want)
     assert {(int(r.source[1:]) // 60, r.source_file, r.label, r.seen.ord, r.seen.at, r.relation) for r in whole} == {(g, f"f{60 * g}", str(100 * g), 60 * g, 0, "SIMILAR_SYMPTOM_TO") for g in range(5)}
+
+
+@pytest.mark.parametrize("copied", [None, 0])
+def test_pairs_of_blocks_are_dealt_by_number(spark, no_broadcasts, monkeypatch, copied):
+    """No exchange carries members by what they are, and a class's blocks meet once."""
+    if copied is not None:
+        monkeypatch.setattr(graph, "NAMES_BYTES", copied)
+    kids = spark.range(400).select(F.concat(F.lit("p"), "id").alias("parent_label"), F.lit("all").alias("norm_label")).union(spark.createDataFrame([("q", "all"), ("q", "x"), ("r", "x")], "a string, b string"))
+    made = graph.projected_similarity(kids)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not any("xs#" in line or "ys#" in line for line in plan.splitlines() if "Exchange hashpartitioning(" in line)
+    if copied is None:
+        assert "SortMergeJoin" not in plan
+    found = [tuple(r) for r in made.collect()]
+    names = [f"p{i}" for i in range(400)]
+    want = {(a, b) for a in names for b in names if a < b} | {(a, "q") for a in names} | {("q", "r")}
+    assert len(found) == len(want) and set(found) == want
+    assert graph.projected_similarity(kids.limit(0)).count() == 0
